@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import id_crc, read
 from inkwell.llm.exact_dedup import exact_groups
+from inkwell.llm.near_dup import near_duplicates
 from inkwell.llm.quality import fit_quality, score_quality
 
 
@@ -22,9 +23,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
