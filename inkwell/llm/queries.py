@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import id_crc, read
 from inkwell.llm.exact_dedup import exact_groups
+from inkwell.llm.mixing import fair_queue
 from inkwell.llm.near_dup import near_duplicates
 from inkwell.llm.quality import fit_quality, score_quality
 
@@ -23,6 +24,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+#: Weights of the sources in the order of their names, repeating.
+WEIGHTS = (5.0, 2.0, 1.0)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = fair_queue(read(spark, sf_dir, "documents"), WEIGHTS, share=1.0, repeats=3)
+    return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -30,6 +40,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "op8_source_mix": op8_source_mix,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -39,4 +50,21 @@ ORACLE: dict[str, str] = {
              g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY s)
         SELECT d.doc_id, g.keep_id, g.n AS group_size, coalesce(d.doc_id = g.keep_id, false) AS kept, d.s AS text_sha256
         FROM d JOIN g ON d.s = g.s""",
+    "op8_source_mix": """
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                          md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS shuffle FROM documents),
+             g AS (SELECT source, CAST(sum(size) AS DOUBLE) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
+             w AS (SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM g),
+             f AS (SELECT *, s * 3 / weight AS fills, sum(s) OVER () AS total, sum(weight) OVER () AS every FROM w),
+             c AS (SELECT *, (total - coalesce(sum(s * 3) OVER before, 0)) / (every - coalesce(sum(weight) OVER before, 0)) AS level FROM f
+                   WINDOW before AS (ORDER BY fills, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+             t AS (SELECT source, no, CAST(s AS BIGINT) AS source_size, least(coalesce(weight * (SELECT min(level) FROM c WHERE level <= fills), s * 3), s * 3) AS target FROM c),
+             q AS (SELECT doc_id, size, no, source_size, target, sum(size) OVER (PARTITION BY no ORDER BY shuffle, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+             e AS (SELECT *, row_number() OVER () AS r, CASE WHEN size > 0 AND target > 0 THEN least(3, greatest(0, floor((target - upto) / source_size) + 1)) ELSE 0 END AS early FROM q),
+             l AS (SELECT r, size, no, doc_id, upto / target + k * source_size / target AS finish FROM e, (VALUES (0), (1), (2)) AS rounds(k)
+                   WHERE size > 0 AND target > 0 AND k >= early),
+             o AS (SELECT r, sum(size) OVER (ORDER BY finish, no, doc_id, size ROWS UNBOUNDED PRECEDING) AS queue FROM l),
+             n AS (SELECT r, count(*) AS late FROM o WHERE queue <= (SELECT sum(size) - sum(size * early) FROM e) GROUP BY r)
+        SELECT doc_id, size, source_size, target, CAST(size * (early + coalesce(late, 0)) AS BIGINT) AS taken FROM e LEFT JOIN n USING (r)""",
 }
