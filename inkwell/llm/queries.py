@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.llm.ann import nearest
 from inkwell.llm.common import id_crc, read, scratch_path
 from inkwell.llm.exact_dedup import exact_groups
 from inkwell.llm.mixing import fair_queue
@@ -42,6 +43,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
 
 
+def op9_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
     "op8_source_mix": op8_source_mix,
+    "op9_one_bit_ann": op9_one_bit_ann,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -60,6 +66,11 @@ ORACLE: dict[str, str] = {
              g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY s)
         SELECT d.doc_id, g.keep_id, g.n AS group_size, coalesce(d.doc_id = g.keep_id, false) AS kept, d.s AS text_sha256
         FROM d JOIN g ON d.s = g.s""",
+    "op9_one_bit_ann": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+             p AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM v AS q JOIN v ON q.vec_id != v.vec_id WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_source_mix": """
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
                           md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS shuffle FROM documents),
