@@ -69,3 +69,23 @@ def id_crc(c: Column) -> Column:
 
 def id_crc_py(i: int | None) -> int:
     return zlib.crc32(b"" if i is None else str(i).encode())
+
+
+class Memory:
+    """Results by key in two generations of at most so many entries: what is asked for again outlives the rest."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Makes room, and returns the keys that have to be stored in young; all others are in young afterwards."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    new.append(k)
+        return new

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.ann import nearest
+from inkwell.llm.bpe import bpe_digests
 from inkwell.llm.common import id_crc, read, scratch_path
 from inkwell.llm.exact_dedup import exact_groups
 from inkwell.llm.mixing import fair_queue
@@ -34,6 +35,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
+    "op6_bpe": op6_bpe,
     "op8_source_mix": op8_source_mix,
     "op9_one_bit_ann": op9_one_bit_ann,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,

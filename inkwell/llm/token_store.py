@@ -36,14 +36,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices
+from inkwell.llm.common import Memory, slices
 
 MAGIC = b"IWTOK001"
 TRAILER = struct.Struct("<QIQQI8s")
 SEEK = np.dtype([("size", "<u8"), ("raw", "<u8"), ("crc", "<u4")])
 FRAME_BYTES = 1 << 20
-#: Pieces that an encoder remembers.
-PIECES_KEPT = 400_000
+#: Pieces remembered in each of two generations.
+PIECES_KEPT = 300_000
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s \S|\S \s|^ | $|^\s*$|\x1c|\x1d|\x1e|\x1f")
 
@@ -61,7 +61,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.memory = Memory(PIECES_KEPT)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -72,11 +72,8 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(p for ps in cut for p in ps if p not in known))
-        if len(known) + len(new) > PIECES_KEPT:
-            known.clear()
-            new = list(dict.fromkeys(p for ps in cut for p in ps))
+        new = self.memory.missing(set().union(*cut))
+        known = self.memory.young
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
