@@ -12,6 +12,7 @@ from inkwell.llm.ann import nearest
 from inkwell.llm.bpe import bpe_digests
 from inkwell.llm.common import id_crc, read, scratch_path
 from inkwell.llm.exact_dedup import exact_groups
+from inkwell.llm.html_text import extract_text
 from inkwell.llm.mixing import fair_queue
 from inkwell.llm.near_dup import near_duplicates
 from inkwell.llm.quality import fit_quality, score_quality
@@ -39,6 +40,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
     "op6_bpe": op6_bpe,
+    "op7_html_extraction": op7_html_extraction,
     "op8_source_mix": op8_source_mix,
     "op9_one_bit_ann": op9_one_bit_ann,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
