@@ -87,8 +87,9 @@ def parse(html: str) -> Node:
             open_tags["#main"] -= x.main
         del stack[i:]
 
+    last = html.rfind(">")
     while at < n:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at) if at <= last else None  # what follows the last tag is text
         text = html[at : m.start()] if m else html[at:]
         if text and not stack[-1].dropped:
             stack[-1].children.append(text)

@@ -17,6 +17,7 @@ from inkwell.llm.mixing import fair_queue
 from inkwell.llm.near_dup import near_duplicates
 from inkwell.llm.quality import fit_quality, score_quality
 from inkwell.llm.token_store import read_tokens, write_tokens
+from inkwell.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, crc = read(spark, sf_dir, "documents"), id_crc(F.col("doc_id"))
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"), train=crc % 4 != 2)
+    return score_toxicity(docs, model).select("doc_id", (crc % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     files = write_tokens(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -64,6 +71,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op6_bpe": op6_bpe,
     "op7_html_extraction": op7_html_extraction,
