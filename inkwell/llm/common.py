@@ -71,6 +71,23 @@ def id_crc_py(i: int | None) -> int:
     return zlib.crc32(b"" if i is None else str(i).encode())
 
 
+#: Words of 64 bits in the bitmap of within_keys: its size, whatever the data.
+BITMAP_WORDS = 1 << 18
+
+
+def within_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column may be among keys (one column), before a join that makes sure of it.
+
+    The keys set bits in a bitmap of fixed size, which is small enough to broadcast by construction, so that only few
+    other rows are shuffled. With very many keys it lets all rows pass."""
+    word = lambda c: F.xxhash64(c).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")
+    bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 58).cast("int")
+    key = keys.columns[0]
+    maps = keys.select(word(key).alias("__word"), bit(key).alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    marked = rows.withColumns({"__word": word(column), "__bit": bit(column)})
+    return marked.join(F.broadcast(maps), "__word").filter(F.expr("shiftrightunsigned(__bits, __bit) & 1 = 1")).drop("__word", "__bit", "__bits")
+
+
 class Memory:
     """Results by key in two generations of at most so many entries: what is asked for again outlives the rest."""
 

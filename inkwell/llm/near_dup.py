@@ -4,12 +4,12 @@ Every document is sketched once: words (ASCII white space cut, A-Z lower-cased),
 shingles, and ``TREES * DEPTH`` minimum hashes. Documents with the same word sequence form one class, so that copies
 cost one row each and are never paired. Each tree orders the classes by its own DEPTH hashes; classes that agree on a
 prefix of that order lie next to each other and form a region. Depth adapts to the region: one of at most ``region``
-classes gives all its pairs as candidates, a larger one is cut by the next hash of the order, as often as needed. A
-region that is still large at full depth is a family of close copies, too large for all its pairs: there the members
-are compared with a few leaders, and in further rounds those that no leader accepted are grouped again among
-themselves, until every region is small or accepted. Candidates are first judged by the whole signature, with a
-margin of five standard deviations below the threshold, then by the full shingle sets. Verified links are joined into
-components by label propagation with pointer jumping.
+classes is done, a larger one is cut by the next hash of the order, as often as needed. Candidates are first each class
+with the first one of its region, and, when their links have been joined, all pairs of the small regions whose ends are
+still in different components. Regions that are still large at full depth make up families of close copies: there the
+classes that are not yet in the family's largest component are held against all its members, in blocks. Candidates are
+judged by the whole signature, with a margin of five standard deviations below the threshold, then by the full
+shingle sets. Verified links are joined into components by label propagation with pointer jumping.
 
 Null or empty texts and texts without words have no shingles, link with nothing and are their own component; texts
 with fewer words than a shingle have their whole sequence as one shingle. Rows that repeat a doc_id are judged each
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import checkpoint, materialize, slices
+from inkwell.llm.common import checkpoint, materialize, slices, within_keys
 
-TREES, DEPTH, SHALLOW, REGION, ROUNDS = 16, 8, 2, 24, 4
+TREES, DEPTH, SHALLOW, REGION = 16, 8, 2, 24
 WORDS_KEPT = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -113,43 +113,38 @@ def _similar_sizes(a: str, b: str, percent: int):
     return F.lit(100) * F.least(F.col(a), F.col(b)) >= F.lit(percent) * F.greatest(F.col(a), F.col(b))
 
 
-def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs inside each region of rows (region, cls, n), which must be small."""
-    a, b = rows.select("region", F.col("cls").alias("a"), F.col("n").alias("na")), rows.select("region", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    return a.join(b, "region").filter((F.col("a") < F.col("b")) & _similar_sizes("na", "nb", percent)).select("a", "b")
-
-
-def _led_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each class of a region (region, cls, n, leaders) with the region's leaders."""
-    led = rows.select("cls", "n", F.explode(F.array_distinct("leaders")).alias("l"))
-    led = led.filter((F.col("cls") != F.col("l.cls")) & _similar_sizes("n", "l.n", percent))
-    return led.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b"))
+def _small_pairs(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """The pairs inside each region of rows (region, cls, n), which must be small, that no links join yet."""
+    rows = rows.join(label, "cls", "left").select("region", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    rows = materialize(rows, "members")
+    a, b = rows.toDF("region", "a", "na", "ca"), rows.toDF("region", "b", "nb", "cb")
+    met = a.join(b, (a.region == b.region) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", percent))
+    return met.select("a", "b").distinct()
 
 
 def _with_regions(rows: DataFrame, depth: int) -> DataFrame:
-    """rows (tree, pre, cls, n) that share their prefix of this depth with another class, with the region's size and leaders."""
+    """rows (tree, pre, cls, n) that share their prefix of this depth with another class, with the region's size and
+    first class. Most prefixes are alone; their rows are dropped before the join."""
     keyed = rows.withColumn("region", F.xxhash64("tree", F.expr(f"substring(pre, 1, {4 * depth})")))
-    member = F.struct("cls", "n")
-    leaders = F.array(F.min(member), F.max(member), F.min_by(member, F.xxhash64("cls", F.lit(1))), F.min_by(member, F.xxhash64("cls", F.lit(2))))
-    sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), *([leaders.alias("leaders")] if depth == DEPTH else []))
-    return keyed.join(sizes.filter("size > 1"), "region")
+    sizes = materialize(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first")).filter("size > 1"), f"sizes-{depth}")
+    return within_keys(keyed, "region", sizes.select("region")).join(sizes, "region")
 
 
-def forest_pairs(nodes: DataFrame, percent: int, region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a < b) of classes, and the regions that stay large at full depth (null: none)."""
+def forest(nodes: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
+    """The regions in which the orders of the trees bring classes together, as rows (region, cls, n, size, first):
+    small ones, each at the depth that made it small, and those that stay large at full depth (None: there are none)."""
     rows = nodes.select(F.posexplode(F.array(*(F.expr(f"substring(sig, {4 * DEPTH * t + 1}, {4 * DEPTH})") for t in range(TREES)))).alias("tree", "pre"), "cls", "n")
-    pairs, large = [], None
+    small = []
     for depth in range(SHALLOW, DEPTH + 1):
         shared = materialize(_with_regions(rows, depth), f"regions-{depth}")
-        pairs.append(_small_pairs(shared.filter(F.col("size") <= region), percent))
-        rows = shared.filter(F.col("size") > region)
+        members = shared.select("region", "cls", "n", "size", "first")
+        small.append(members.filter(F.col("size") <= region))
+        rows = shared.filter(F.col("size") > region).select("tree", "pre", "cls", "n")
         if rows.isEmpty():
             break
-        if depth == DEPTH:
-            large = rows.select("region", "cls", "n", "leaders")
-            pairs.append(_led_pairs(rows, percent))
-        rows = rows.select("tree", "pre", "cls", "n")
-    return reduce(DataFrame.unionByName, pairs).distinct(), large
+    else:
+        return reduce(DataFrame.unionByName, small), members.filter(F.col("size") > region)
+    return reduce(DataFrame.unionByName, small), None
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +168,7 @@ def verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -
     """Pairs with 100 * |intersection| >= percent * |union| of the full shingle sets."""
     pairs = materialize(pairs, "likely")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(documents.select("doc_id", "text").join(ids, "doc_id"), "texts")
+    texts = materialize(within_keys(documents.select("doc_id", "text"), "doc_id", ids).join(ids, "doc_id"), "texts")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,40 +207,92 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, region: int = REGION) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links (of its class, to other texts)."""
+    """One row per document: doc_id, n_shingles, component_id, kept."""
     sketch = materialize(sketches(documents, words), "sketches")
     classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("cls"))
     own = sketch.select(F.col("doc_id").alias("cls"), "key", F.col("n_shingles").alias("n"), "sig").join(classes, ["key", "cls"])
     nodes = materialize(own.groupBy("cls", "key").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-    pairs, large = forest_pairs(nodes, percent, region)
-    links = verified(likely(pairs, nodes, percent), documents, words, percent)
+    small, large = forest(nodes, region)
+    judge = lambda pairs: verified(likely(pairs, nodes, percent), documents, words, percent)
+    # first each class with the first of its region: that already joins most families
+    firsts = nodes.select(F.col("cls").alias("first"), F.col("n").alias("nf"))
+    every = small if large is None else small.unionByName(large)
+    star = every.filter("cls != first").select("cls", "n", "first").distinct().join(firsts, "first").filter(_similar_sizes("n", "nf", percent))
+    links = judge(star.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
     label = components(links)
-    for _ in range(ROUNDS if large is not None else 0):
-        strays = _strays(large, label)
-        if strays.isEmpty():
-            break
-        small = strays.filter(F.col("size") <= region)
-        more = _small_pairs(small, percent).unionByName(_led_pairs(strays.filter(F.col("size") > region), percent)).distinct()
-        links = materialize(links.unionByName(verified(likely(more, nodes, percent), documents, words, percent)).distinct(), "links")
-        label, large = components(links), strays.filter(F.col("size") > region).select("region", "cls", "n", "leaders")
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    known = classes.join(label, "cls", "left").join(degree, "cls", "left").select("key", F.coalesce("component", "cls").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    known = materialize(known, "classes")
+    # then the pairs of the small regions that lie in different components
+    links = materialize(links.unionByName(judge(_small_pairs(small.select("region", "cls", "n"), label, percent))), "links")
+    label = components(links)
+    # then, in the families of large regions, the classes outside a family's largest component with all its members
+    if large is not None:
+        links = materialize(links.unionByName(_family_links(large, label, documents, words, percent)), "links")
+        label = components(links)
+    known = materialize(classes.join(label, "cls", "left").select("key", F.coalesce("component", "cls").alias("component_id")), "classes")
     out = sketch.select("doc_id", "key", "n_shingles").join(known, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
-
-def _strays(large: DataFrame, label: DataFrame) -> DataFrame:
-    """Of large regions, the classes that are not in the component of a leader, with their number and new leaders."""
-    at = large.join(label, "cls", "left").select("region", "cls", "n", F.coalesce("component", "cls").alias("component"), F.explode("leaders.cls").alias("leader"))
-    of = label.select(F.col("cls").alias("leader"), F.col("component").alias("led"))
-    at = at.join(of, "leader", "left").groupBy("region", "cls", "n").agg(F.max(F.col("component") == F.coalesce("led", "leader")).alias("found"))
-    at = at.filter("NOT found").select("region", "cls", "n")
-    member = F.struct("cls", "n")
-    leaders = F.array(F.min(member), F.max(member), F.min_by(member, F.xxhash64("cls", F.lit(3))), F.min_by(member, F.xxhash64("cls", F.lit(4))))
-    at = checkpoint(at)
-    return checkpoint(at.join(at.groupBy("region").agg(F.count(F.lit(1)).alias("size"), leaders.alias("leaders")).filter("size > 1"), "region"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def _family_links(large: DataFrame, label: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links between different components inside the families that large regions (region, cls, first) make up.
+
+    The classes outside the largest component of a family are held against all its classes, whole sets against whole
+    sets, in blocks: a row is a block of the ones with a block of the others, and only links leave a task."""
+    family = components(large.filter("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
+    at = checkpoint(family.withColumnRenamed("component", "family").join(label, "cls", "left").select("family", "cls", F.coalesce("component", "cls").alias("component")))
+    most = at.groupBy("family", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("family").agg(F.max_by("component", F.struct("held", "component")).alias("most"))
+    at = checkpoint(at.join(most, "family").select("family", "cls", "component", (F.col("component") != F.col("most")).alias("apart")))
+    at = at.join(at.filter("apart").select("family").distinct(), "family", "left_semi")
+    texts = within_keys(documents.select("doc_id", "text"), "doc_id", at.select("cls")).join(at.withColumnRenamed("cls", "doc_id"), "doc_id")
+    texts = materialize(texts, "families")
+
+    def packed(rows: DataFrame, name: str, size: int) -> DataFrame:
+        """One row per family and block of about size classes and at most about 4 MB."""
+        cuts = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / size, F.sum(F.length("text")) / 4e6)).cast("int").alias("cuts"))
+        placed = rows.join(cuts, "family").withColumn(name, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("cuts")).cast("int"))
+        return placed.groupBy("family", name, F.col("cuts").alias(f"{name}_cuts")).agg(F.collect_list(F.struct("doc_id", "component", "text")).alias(f"{name}_rows"))
+
+    apart = materialize(packed(texts.filter("apart"), "few", 128), "apart")
+    counts = apart.groupBy("family").agg(F.max("few_cuts").cast("int").alias("n"))
+    every = packed(texts, "many", 256).join(counts, "family").withColumn("few", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = every.join(apart, ["family", "few"]).select("few_rows", "many_rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingler(words)
+        for x in slices(batches, 1):
+            few, many = x.column("few_rows")[0].as_py(), x.column("many_rows")[0].as_py()
+            found = joined([cut.shingles(r["text"]) for r in few], [cut.shingles(r["text"]) for r in many], percent)
+            ends = [(few[i], many[j]) for i, j in zip(*found, strict=True) if few[i]["component"] != many[j]["component"]]
+            pairs = [sorted((p["doc_id"], q["doc_id"])) for p, q in ends]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    return materialize(met.mapInArrow(run, "a long, b long").distinct(), "family-links")
+
+
+def joined(few: list[np.ndarray], many: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets (sorted arrays) whose similarity reaches the threshold; counts common elements by
+    multiplying incidence matrices, some columns at a time."""
+    vocabulary = np.unique(np.concatenate(few))
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, value = np.repeat(np.arange(len(sets)), list(map(len, sets))), np.concatenate(sets)
+        column = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
+        known = vocabulary[column] == value
+        order = np.argsort(column[known], kind="stable")
+        return row[known][order], column[known][order]
+
+    common, width = np.zeros((len(few), len(many)), np.float64), 4096
+    (fr, fc), (mr, mc) = cells(few), cells(many)
+    for at in range(0, len(vocabulary), width):
+        parts = []
+        for r, c, n in ((fr, fc, len(few)), (mr, mc, len(many))):
+            i, j = np.searchsorted(c, [at, at + width])
+            part = np.zeros((n, width), np.float32)
+            part[r[i:j], c[i:j] - at] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    total = np.array(list(map(len, few)))[:, None] + np.array(list(map(len, many)))[None, :]
+    return np.nonzero(100 * common >= percent * (total - common))
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
