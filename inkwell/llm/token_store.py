@@ -27,6 +27,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.bpe import byte_alphabet
 from inkwell.llm.common import Memory, slices
 
 MAGIC = b"IWTOK001"
@@ -43,16 +45,19 @@ TRAILER = struct.Struct("<QIQQI8s")
 SEEK = np.dtype([("size", "<u8"), ("raw", "<u8"), ("crc", "<u4")])
 FRAME_BYTES = 1 << 20
 #: Pieces remembered in each of two generations.
-PIECES_KEPT = 300_000
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s \S|\S \s|^ | $|^\s*$|\x1c|\x1d|\x1e|\x1f")
+PIECES_KEPT = 500_000
+#: Marks that always make a token of their own at the end of a piece of letters.
+TAILS = frozenset(".,!?;:|")
+LETTERS = re.compile("[ A-Za-zÀ-ÖØ-öø-ɏ][A-Za-zÀ-ÖØ-öø-ɏ]+")
+ALPHABET = dict(enumerate(byte_alphabet()))
 
 
 class PieceEncoder:
     """The ids of texts as the tokenizers library gives them, with a memory of pieces.
 
-    A byte-level pre-tokenizer always cuts before a single space between two other characters, so the pieces between
-    such cuts can be encoded one by one, and each distinct piece once."""
+    A byte-level pre-tokenizer always cuts before a single space between two characters that are no white space, so
+    the pieces between such cuts can be encoded one by one, and each distinct piece once. Texts with other white space
+    around a space are encoded whole."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,23 +67,63 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory = Memory(PIECES_KEPT)
+        self.tails = {t: self._whole(t) for t in TAILS}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return _SINGLE_SPACE.sub("\0 ", text).split("\0") if "\0" not in text else [text]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+        """The text cut before every space."""
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of new pieces, None for those that begin or end with white space besides the cut."""
+        tokenize = self.tokenizer.model.tokenize
+        young, old, compound, single = self.memory.young, self.memory.old, [], {}
+        for p in new:
+            bare = p[1:] if p[0:1] == " " else p
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                young[p] = None
+            elif bare[-1] in TAILS and bare[:-1].isalpha():
+                compound.append(p)
+                base = p[:-1]
+                if base not in young:
+                    if base in old:
+                        young[base] = old[base]
+                    else:
+                        single[base] = None
+            else:
+                single[p] = None
+        words = []
+        for p in single:
+            # letters, with or without a space before, are one word of the model, written in the byte-level alphabet
+            if LETTERS.fullmatch(p):
+                mapped = p.encode().decode("latin-1").translate(ALPHABET)
+                young[p] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+            else:
+                words.append(p)
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(done.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            young.update((p, ids[i:j]) for p, i, j in zip(part, cuts, cuts[1:], strict=False))
+        for p in compound:
+            young[p] = young[p[:-1]] + self.tails[p[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        new = self.memory.missing(set().union(*cut))
-        known = self.memory.young
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        self._learn(self.memory.missing(set().union(*cut)))
+        known, out = self.memory.young.__getitem__, []
+        for text, pieces in zip(texts, cut, strict=True):
+            try:
+                out.append(b"".join(map(known, pieces)))
+            except TypeError:  # one of the pieces is None
+                out.append(self._whole(text))
+        return out
 
 
 class FileWriter:
