@@ -13,6 +13,7 @@ from inkwell.llm.bpe import bpe_digests
 from inkwell.llm.common import id_crc, read, scratch_path
 from inkwell.llm.exact_dedup import exact_groups
 from inkwell.llm.html_text import extract_text
+from inkwell.llm.licenses import scan_licenses
 from inkwell.llm.mixing import fair_queue
 from inkwell.llm.near_dup import near_duplicates
 from inkwell.llm.quality import fit_quality, score_quality
@@ -43,6 +44,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_license_scan": op5_license_scan,
     "op6_bpe": op6_bpe,
     "op7_html_extraction": op7_html_extraction,
     "op8_source_mix": op8_source_mix,
