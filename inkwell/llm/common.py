@@ -75,17 +75,29 @@ def id_crc_py(i: int | None) -> int:
 BITMAP_WORDS = 1 << 18
 
 
-def within_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows whose column may be among keys (one column), before a join that makes sure of it.
+def _marked(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """rows with __hit: may the column be among keys (one column)?
 
-    The keys set bits in a bitmap of fixed size, which is small enough to broadcast by construction, so that only few
-    other rows are shuffled. With very many keys it lets all rows pass."""
+    The keys set bits in a bitmap of fixed size, which is small enough to broadcast by construction. With very many
+    keys all rows may be hits."""
     word = lambda c: F.xxhash64(c).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")
     bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 58).cast("int")
     key = keys.columns[0]
     maps = keys.select(word(key).alias("__word"), bit(key).alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    marked = rows.withColumns({"__word": word(column), "__bit": bit(column)})
-    return marked.join(F.broadcast(maps), "__word").filter(F.expr("shiftrightunsigned(__bits, __bit) & 1 = 1")).drop("__word", "__bit", "__bits")
+    marked = rows.withColumns({"__word": word(column), "__bit": bit(column)}).join(F.broadcast(maps), "__word", "left")
+    return marked.withColumn("__hit", F.expr("coalesce(shiftrightunsigned(__bits, __bit) & 1, 0) = 1")).drop("__word", "__bit", "__bits")
+
+
+def within_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column may be among keys, before a join that makes sure of it: few other rows are shuffled."""
+    return _marked(rows, column, keys).filter("__hit").drop("__hit")
+
+
+def without_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column is not among keys (materialized, one column, no nulls); most of them are not shuffled."""
+    marked, key = _marked(rows, column, keys), keys.columns[0]
+    doubt = marked.filter("__hit").drop("__hit")
+    return marked.filter("NOT __hit").drop("__hit").unionByName(doubt.join(keys.withColumnRenamed(key, "__key"), doubt[column] == F.col("__key"), "left_anti"))
 
 
 class Memory:

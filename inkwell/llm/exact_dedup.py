@@ -7,8 +7,9 @@ the shuffle, however large a group of copies is. The way back to the documents j
 narrow columns that adaptive execution can split for a hot group; should two different texts ever agree on both,
 which the grouping by bytes detects, the job fails instead of merging them.
 
-Defined results: the kept row of a group is the one with the smallest doc_id; ids that are null come last, and a
-group of which all ids are null has keep_id null and keeps nothing; rows that repeat a doc_id share its kept flag.
+Defined results: the kept row of a group is the one with the smallest doc_id; ids that are null come last, so a group
+of which all ids are null has keep_id null; rows that repeat both doc_id and text share their flags (of them,
+drop_exact_duplicates leaves one). Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SPACE
+from inkwell.llm.common import SPACE, materialize, within_keys, without_keys
 
 
 def normalised(text: Column) -> Column:
@@ -34,12 +35,19 @@ def exact_groups(documents: DataFrame) -> DataFrame:
         "doc_id",
         "keep_id",
         size.alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat doc_id and text, one."""
-    kept = exact_groups(documents).filter("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns; of rows that repeat doc_id and text, one.
+
+    Rows are told apart by id and text digest. Only rows that may be dropped are shuffled with their texts."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"))
+    rows = materialize(exact_groups(documents).select(F.concat(key, "text_sha256").alias("row"), "kept"), "rows")
+    dropped = rows.filter("NOT kept").select("row").distinct()
+    repeated = rows.filter("kept").groupBy("row").count().filter("count > 1").select("row")
+    marked = documents.withColumn("__row", F.concat(key, F.sha2(normalised(F.col("text")), 256)))
+    rest = without_keys(marked, "__row", dropped)
+    return without_keys(rest, "__row", repeated).unionByName(within_keys(rest, "__row", repeated).join(repeated.withColumnRenamed("row", "__row"), "__row", "left_semi").dropDuplicates(["__row"])).drop("__row")

@@ -44,10 +44,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float = 1.
     # Filled up to a level, sources of small size / weight reach their cap first: those before the first source that
     # stays below its cap hold repeats * size, and the rest share what is left by weight.
     fills = F.col("source_size") * F.lit(float(repeats)) / F.col("weight")
-    upto = every.orderBy(fills, F.col("source").isNull(), F.col("source").cast("binary")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = every.orderBy(fills, "source_no").rowsBetween(Window.unboundedPreceding, -1)
     by = by.withColumns({"total": total, "fills": fills, "capped": F.coalesce(F.sum(F.col("source_size") * F.lit(float(repeats))).over(upto), F.lit(0.0)), "weighed": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))})
     level = (F.col("total") - F.col("capped")) / F.col("weighed")
-    by = by.withColumn("level", F.min(F.when(level <= F.col("fills"), level)).over(every))
+    by = by.withColumn("level", F.min(F.when(level <= F.col("fills"), F.struct("fills", "source_no", level.alias("level")))).over(every)["level"])
     target = F.least(F.coalesce(F.col("weight") * F.col("level"), F.lit(float("inf"))), F.col("source_size") * F.lit(float(repeats)))
     return by.select("source", "source_no", "source_size", "n_docs", "weight", target.alias("target"))
 
@@ -91,9 +91,10 @@ def fair_queue(documents: DataFrame, weights: Sequence[float], share: float = 1.
 
 
 def mixture(documents: DataFrame, weights: Sequence[float], share: float = 1.0, repeats: int = 3, seed: str = "0") -> DataFrame:
-    """The documents of the mix with all their columns, one row per copy that is taken. Rows that repeat a doc_id
-    with equal texts share one queue entry here."""
-    once = documents.dropDuplicates(["doc_id"])
-    taken = fair_queue(once, weights, share, repeats, seed).filter("taken_copies > 0").select("doc_id", "taken_copies")
-    named = once.join(taken.withColumnRenamed("taken_copies", "__copies"), "doc_id")
-    return named.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in documents.columns))
+    """The documents of the mix with all their columns, one row per copy that is taken. Of rows that repeat doc_id and
+    text, one takes part."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    once = documents.withColumn("__row", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), digest)).dropDuplicates(["__row"])
+    taken = fair_queue(once.select(F.col("__row").alias("doc_id"), "source", "text"), weights, share, repeats, seed)
+    taken = taken.filter("taken_copies > 0").select(F.col("doc_id").alias("__row"), F.sequence(F.lit(1), F.col("taken_copies")).alias("__copies"))
+    return once.join(taken, "__row").withColumn("__copy", F.explode("__copies")).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import checkpoint, materialize, slices, within_keys
+from inkwell.llm.common import checkpoint, materialize, slices, within_keys, without_keys
 
 TREES, DEPTH, SHALLOW, REGION = 16, 8, 2, 24
 WORDS_KEPT = 400_000
@@ -296,6 +296,6 @@ def joined(few: list[np.ndarray], many: list[np.ndarray], percent: int) -> tuple
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    kept = near_duplicates(documents, words, percent).filter("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi")
+    """The documents that stay, one of each group, with all their columns. Rows without an id stay."""
+    judged = near_duplicates(documents, words, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return without_keys(documents, "doc_id", materialize(judged.filter("NOT kept").select("doc_id"), "dropped"))

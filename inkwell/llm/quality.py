@@ -141,3 +141,18 @@ def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
         return docs.select("doc_id", F.lit(None).cast("double").alias("diff"), F.lit(0.5).alias("score"))
     x = F.lit(model.slope) * F.col("diff") + F.lit(model.intercept)
     return _differences(docs, model, ["doc_id"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))))
+
+
+def keep_quality(documents: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows with a score of at least threshold, with all their columns; nothing is shuffled."""
+    if model.bad is None:
+        return documents if threshold <= 0.5 else documents.filter(F.lit(False))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = SizeDifference(shared.value)
+        for b in slices(batches):
+            diff = np.array([measure(t) for t in b.column("text").to_pylist()], dtype=float)
+            yield b.filter(pa.array(shared.value.score(diff) >= threshold, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

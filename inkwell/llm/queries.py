@@ -73,6 +73,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,13 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_one_bit_ann": op9_one_bit_ann,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS s FROM documents),
              g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY s)
-        SELECT d.doc_id, g.keep_id, g.n AS group_size, coalesce(d.doc_id = g.keep_id, false) AS kept, d.s AS text_sha256
+        SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.s AS text_sha256
         FROM d JOIN g ON d.s = g.s""",
     "op9_one_bit_ann": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -105,7 +112,7 @@ ORACLE: dict[str, str] = {
              f AS (SELECT *, s * 3 / weight AS fills, sum(s) OVER () AS total, sum(weight) OVER () AS every FROM w),
              c AS (SELECT *, (total - coalesce(sum(s * 3) OVER before, 0)) / (every - coalesce(sum(weight) OVER before, 0)) AS level FROM f
                    WINDOW before AS (ORDER BY fills, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-             t AS (SELECT source, no, CAST(s AS BIGINT) AS source_size, least(coalesce(weight * (SELECT min(level) FROM c WHERE level <= fills), s * 3), s * 3) AS target FROM c),
+             t AS (SELECT source, no, CAST(s AS BIGINT) AS source_size, least(coalesce(weight * (SELECT level FROM c WHERE level <= fills ORDER BY fills, no LIMIT 1), s * 3), s * 3) AS target FROM c),
              q AS (SELECT doc_id, size, no, source_size, target, sum(size) OVER (PARTITION BY no ORDER BY shuffle, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
                    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
              e AS (SELECT *, row_number() OVER () AS r, CASE WHEN size > 0 AND target > 0 THEN least(3, greatest(0, floor((target - upto) / source_size) + 1)) ELSE 0 END AS early FROM q),
