@@ -46,18 +46,20 @@ SEEK = np.dtype([("size", "<u8"), ("raw", "<u8"), ("crc", "<u4")])
 FRAME_BYTES = 1 << 20
 #: Pieces remembered in each of two generations.
 PIECES_KEPT = 500_000
-#: Marks that always make a token of their own at the end of a piece of letters.
-TAILS = frozenset(".,!?;:|")
-LETTERS = re.compile("[ A-Za-zÀ-ÖØ-öø-ɏ][A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Letters, and after them marks that make a token run of their own.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:|]{0,4})")
 ALPHABET = dict(enumerate(byte_alphabet()))
+#: Begins the key of a piece without a space before it.
+FIRST = "\0"
 
 
 class PieceEncoder:
     """The ids of texts as the tokenizers library gives them, with a memory of pieces.
 
-    A byte-level pre-tokenizer always cuts before a single space between two characters that are no white space, so
-    the pieces between such cuts can be encoded one by one, and each distinct piece once. Texts with other white space
-    around a space are encoded whole."""
+    A byte-level pre-tokenizer always cuts before a single space, and around a single line end, between characters
+    that are no white space. So the pieces between such cuts can be encoded one by one, and each distinct piece once;
+    pieces of letters and closing marks go straight to the library's model, the others through all of it. Texts with
+    other white space at a cut are encoded whole."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,51 +69,60 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory = Memory(PIECES_KEPT)
-        self.tails = {t: self._whole(t) for t in TAILS}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """The text cut before every space."""
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+        """Keys of the pieces: those that stand after a space, FIRST and those that don't, and line ends."""
+        if FIRST in text:
+            return [FIRST]
+        out = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = FIRST + words[0]
+            out += words
+            out.append("\n")
+        out.pop()
+        return out
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of new pieces, None for those that begin or end with white space besides the cut."""
         tokenize = self.tokenizer.model.tokenize
-        young, old, compound, single = self.memory.young, self.memory.old, [], {}
+        young, old, tails, others = self.memory.young, self.memory.old, self.tails, {}
         for p in new:
-            bare = p[1:] if p[0:1] == " " else p
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                young[p] = None
-            elif bare[-1] in TAILS and bare[:-1].isalpha():
-                compound.append(p)
-                base = p[:-1]
-                if base not in young:
-                    if base in old:
-                        young[base] = old[base]
-                    else:
-                        single[base] = None
-            else:
-                single[p] = None
-        words = []
-        for p in single:
-            # letters, with or without a space before, are one word of the model, written in the byte-level alphabet
-            if LETTERS.fullmatch(p):
-                mapped = p.encode().decode("latin-1").translate(ALPHABET)
-                young[p] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
-            else:
-                words.append(p)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            if p == "\n":
+                young[p] = self._whole(p)
+                continue
+            first = p[:1] == FIRST
+            bare = p[1:] if first else p
+            plain = PLAIN.fullmatch(bare)
+            if plain is None:
+                if not bare or bare[0].isspace() or bare[-1].isspace():
+                    young[p] = None
+                else:
+                    others[p] = bare if first else " " + bare
+                continue
+            word, tail = plain.groups()
+            base = p[: len(p) - len(tail)]
+            ids = young.get(base) or old.get(base)
+            if ids is None:
+                mapped = (word if first else " " + word).encode().decode("latin-1").translate(ALPHABET)
+                ids = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+            young[base] = ids
+            if tail:
+                if tail not in tails:
+                    tails[tail] = self._whole(tail)
+                young[p] = ids + tails[tail]
+        keys = list(others)
+        for at in range(0, len(keys), 4096):
+            part = keys[at : at + 4096]
+            done = self.tokenizer.encode(list(map(others.__getitem__, part)), is_pretokenized=True, add_special_tokens=False)
             ids = np.array(done.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
             young.update((p, ids[i:j]) for p, i, j in zip(part, cuts, cuts[1:], strict=False))
-        for p in compound:
-            young[p] = young[p[:-1]] + self.tails[p[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
@@ -221,7 +232,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = path = temp = writer = stream = part = None
         end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, 1536):
             if b.num_rows and writer is None:
                 part = b.column("part")[0].as_py()
                 store, base = fs.FileSystem.from_uri(folder)
