@@ -7,12 +7,13 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.functions.html import body_of, links_of, parse, title_of, to_markdown
 from inkwell.functions.urls import normalize_url
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _links(html: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([links_of(h or "", u or "") for h, u in zip(html, url, strict=True)], dtype=object)
 

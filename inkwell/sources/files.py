@@ -10,8 +10,8 @@ TABLES = ("documents", "sections", "chunks")
 
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path and content of every file under path whose name matches; a single file is read whatever its folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_html_snapshot(spark: SparkSession, path: str) -> DataFrame:
