@@ -16,15 +16,16 @@ and score 0; rows that repeat an id are scanned one by one; a null id is passed
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import ascii_lower
 
-#: What stands between words.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, before A-Z have become a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases whose places are counted, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -98,7 +99,7 @@ _LICENSES = (
 _CC_TERMS = (("by", "attribution"), ("by sa", "attribution share ?alike"), ("by nd", "attribution no ?deriv(?:atives|s)"), ("by nc", "attribution non ?commercial"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc nd", "attribution non ?commercial no ?deriv(?:atives|s)"))
 _CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: Every match of a rule holds one of these; they are rare, so most texts are done after this one search.
-GATE = r"licen|gpl|(?:released|distributed|available|provided|published) under |creative ?commons|cc0|cc by|all rights reserved|public domain|nasa open|permission (?:is|to)|redistribution and use|free software|wtfpl|opensource org|spdx"
+GATE = ("licen", "gpl", "released under ", "distributed under ", "available under ", "provided under ", "published under ", "creative commons", "creativecommons", "cc0", "cc by", "all rights reserved", "public domain", "nasa open", "permission is", "permission to", "redistribution and use", "free software", "wtfpl", "opensource org", "spdx")
 _UNDER = r"(?:(?:licen[sc]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?)"
 
 
@@ -138,8 +139,13 @@ def rules() -> list[Rule]:
 
 
 def words_of(text: Column) -> Column:
-    """The words joined by single spaces."""
-    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, " "))
+    """The words joined by single spaces, in their own case."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BETWEEN, " "))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -161,8 +167,9 @@ def _spans(canon: Column, known: list[Rule]) -> Column:
     """All matches of the rules whose keyword the text holds: array of struct(start, end, priority, label, weight).
 
     A rule's matches and the gaps between them add up to the positions."""
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for r in known))
-    tried = F.filter(table, lambda r: F.contains(canon, r["keyword"]))
+    table = F.from_json(F.lit(json.dumps([asdict(r) for r in known])), "array<struct<label:string,keyword:string,pattern:string,priority:int,weight:double>>")
+    keywords = F.filter(F.from_json(F.lit(json.dumps(sorted({r.keyword for r in known}))), "array<string>"), lambda k: F.contains(canon, k))
+    tried = _let(keywords, lambda held: F.filter(table, lambda r: F.array_contains(held, r["keyword"])))
 
     def found(r: Column) -> Column:
         hits = F.regexp_extract_all(canon, r["pattern"], F.lit(0))
@@ -192,31 +199,39 @@ def _standing(spans: Column) -> Column:
     return F.aggregate(order, empty, step)["kept"]
 
 
-def scan_licenses(documents: DataFrame, known: list[Rule] | None = None, base: tuple[tuple[str, str], ...] = BASE, gate: str = GATE) -> DataFrame:
+def scan_licenses(documents: DataFrame, known: list[Rule] | None = None, base: tuple[tuple[str, str], ...] = BASE, gate: tuple[str, ...] = GATE) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the
     detections that stand (label, start and end in the joined words, priority, weight). With rules of your own give a
-    gate, a pattern that every text with a match has."""
+    gate: words of which every text with a match holds one."""
     known = rules() if known is None else known
-    gate = "|".join([gate, *(p for p, _ in base)])
-    docs = documents.select("doc_id", words_of(F.col("text")).alias("canon"))
-    docs = docs.withColumn("n_words", F.when(F.col("canon") == "", F.lit(0)).otherwise(F.length("canon") - F.length(F.replace("canon", F.lit(" "), F.lit(""))) + 1).cast("long"))
-    docs = docs.withColumn("held", F.when(F.rlike("canon", F.lit(gate)), F.col("canon")))
-    phrases = F.when(F.rlike("held", F.lit("|".join(p for p, _ in base))), F.split("held", " "))
-    places = [F.when(phrases.isNotNull(), _places(phrases, p)) for p, _ in base]
-    docs = docs.withColumn("places", F.array(*(F.coalesce(p, F.array().cast("array<int>")) for p in places)))
-    docs = docs.withColumn("detections", F.when(F.col("held").isNotNull(), _standing(_spans(F.col("held"), known))))
-    every = F.flatten("places")
-    base_labels = F.array_compact(F.array(*(F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(base))))
-    labels = F.array_union(base_labels, F.coalesce(F.transform("detections", lambda d: d["label"]), F.array().cast("array<string>")))
-    best = F.coalesce(F.array_max(F.transform("detections", lambda d: d["weight"])), F.lit(0.0))
-    return docs.select(
-        "doc_id",
-        "n_words",
-        F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"),
-        F.when(F.size(every) > 0, F.greatest(best, F.lit(0.6))).otherwise(best).alias("score"),
-        F.transform("detections", lambda d: F.struct(d["label"].alias("label"), d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["weight"].alias("weight"))).alias("detections"),
-    )
+    none, no_places = F.array().cast("array<string>"), F.array().cast("array<int>")
+
+    def held(canon: Column) -> Column:
+        """Base places (an array for each phrase) and standing detections of a lower-cased text that passed the gate."""
+        by_phrase = _let(F.split(canon, " "), lambda words: F.array(*(F.when(F.contains(canon, F.lit(p)), _places(words, p)).otherwise(no_places) for p, _ in base)))
+        return F.struct(by_phrase.alias("places"), _let(_spans(canon, known), _standing).alias("detections"))
+
+    def scanned(canon: Column) -> Column:
+        passed = _let(F.lower(canon), lambda low: F.exists(F.from_json(F.lit(json.dumps([*gate, *(p for p, _ in base)])), "array<string>"), lambda w: F.contains(low, w)))
+        n = F.when(canon == "", F.lit(0)).otherwise(F.length(canon) - F.length(F.replace(canon, F.lit(" "), F.lit(""))) + 1)
+        return F.struct(n.cast("long").alias("n_words"), F.when(passed, _let(ascii_lower(canon), held)).alias("held"))
+
+    def digest(r: Column) -> Column:
+        every = F.coalesce(F.flatten(r["held"]["places"]), no_places)
+        standing = r["held"]["detections"]
+        base_labels = F.array_compact(F.array(*(F.when(F.size(F.get(r["held"]["places"], F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(base))))
+        labels = F.array_union(base_labels, F.coalesce(F.transform(standing, lambda d: d["label"]), none))
+        best = F.coalesce(F.array_max(F.transform(standing, lambda d: d["weight"])), F.lit(0.0))
+        return F.struct(
+            r["n_words"].alias("n_words"),
+            F.size(every).cast("long").alias("n_base"),
+            F.array_min(every).cast("long").alias("first_word"),
+            F.array_max(every).cast("long").alias("last_word"),
+            F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
+            F.array_join(F.array_sort(labels), ",").alias("labels"),
+            F.when(F.size(every) > 0, F.greatest(best, F.lit(0.6))).otherwise(best).alias("score"),
+            F.transform(standing, lambda d: F.struct(d["label"].alias("label"), d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["weight"].alias("weight"))).alias("detections"),
+        )
+
+    made = _let(words_of(F.col("text")), lambda canon: _let(scanned(canon), digest))
+    return documents.select("doc_id", made.alias("made")).select("doc_id", "made.*")
