@@ -21,6 +21,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -182,9 +183,15 @@ class PairIndexEncoder:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
+@lru_cache(maxsize=2)
+def pair_index_encoder(path: str) -> PairIndexEncoder:
+    """The encoder of this Python worker; what it remembers serves all of the worker's tasks."""
+    return PairIndexEncoder(path)
+
+
 def _encoded(documents: DataFrame, path: str, columns: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PairIndexEncoder(path)
+        encoder = pair_index_encoder(path)
         for b in slices(batches, 1024):
             done = [make(pieces) for pieces in encoder.encode(b.column("text").to_pylist())]
             rows = list(zip(*done, strict=True)) if done else [[]] * len(kinds)

@@ -1,17 +1,19 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained, one from well and one from badly rated text. A document is cut into
-blocks of ``block`` bytes (all of it, however long), each block is compressed with both dictionaries, and the
-difference of the summed sizes, divided by the document's bytes, is the only feature. A logistic curve fitted on
-labelled rows that the dictionaries have not seen turns it into a score from 0 to 1.
+blocks of ``block`` bytes (all of it, however long), each block is compressed with both dictionaries, and the sizes are
+summed. The features are their difference, once divided by the document's bytes and once by the sum of both sizes, the
+bytes that the good dictionary leaves of one, and the logarithm of the length. A logistic curve fitted on labelled rows
+that the dictionaries have not seen turns them into a score from 0 to 1.
 
-Defined results: a null or empty text has difference 0 and gets the score of that difference; a null doc_id is
+Defined results: a null or empty text has features of 0 and gets the score of those; a null doc_id is
 scored like any other row and is never used for fitting; repeated rows are scored once each; if the labels hold
 only one class (or none), every score is 0.5. Columns of the input other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,35 +30,36 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Trained dictionaries (None: nothing could be learned) and the logistic curve."""
+    """Trained dictionaries (None: nothing could be learned) and the logistic curve: a weight per feature."""
 
     bad: bytes | None
     good: bytes | None
-    slope: float = 0.0
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     intercept: float = 0.0
-    block: int = 1024
+    block: int = 256
 
-    def score(self, diff: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * diff + self.intercept, -60, 60)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(features.reshape(-1, len(self.weights)) @ np.array(self.weights) + self.intercept, -60, 60)))
 
 
-class SizeDifference:
-    """Callable on a text: (size with the bad dictionary - size with the good one) / bytes."""
+class SizeFeatures:
+    """Callable on a text: (difference / bytes, difference / both sizes, good size / bytes, log of bytes); the
+    difference is the size with the bad dictionary less that with the good one."""
 
     def __init__(self, model: QualityModel):
         self.block, self.by = model.block, []
         for raw in (model.bad, model.good):
             known = zstandard.ZstdCompressionDict(raw)
             known.precompute_compress(level=LEVEL)
-            self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False))
+            self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress)
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, text: str | None) -> tuple[float, float, float, float]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return 0.0
+            return (0.0, 0.0, 0.0, 0.0)
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
-        bad, good = (sum(len(c.compress(b)) for b in blocks) for c in self.by)
-        return (bad - good) / len(raw)
+        bad, good = (sum(map(len, map(c, blocks))) for c in self.by)
+        return ((bad - good) / len(raw), (bad - good) / (bad + good), good / len(raw), math.log(len(raw)))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, chars: int | None) -> DataFrame:
@@ -72,21 +75,22 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
     return documents.select("doc_id", (text if chars is None else F.substring(text, 1, chars)).alias("text")).join(F.broadcast(picked), "doc_id")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a weak ridge on the standardised feature."""
-    mean, sd = x.mean(), x.std() or 1.0
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Weights of the columns of x and intercept by Newton's method, with a weak ridge on the standardised columns."""
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 0, sd, 1.0)
     z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
-    w, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
+    w, ridge = np.zeros(z.shape[1]), np.diag([*[1e-2] * x.shape[1], 1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
+    return w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def train_dictionary(texts: list[str], size: int, block: int) -> bytes | None:
+def train_dictionary(texts: list[str], size: int, block: int = 1024) -> bytes | None:
     """A zstandard dictionary from blocks of the texts; where there is too little to train on, their raw bytes."""
     raw = [t.encode("utf-8", "surrogatepass") for t in sorted(texts)]
     blocks = [r[i : i + block] for r in raw for i in range(0, len(r), block)]
@@ -100,7 +104,7 @@ def train_dictionary(texts: list[str], size: int, block: int) -> bytes | None:
 
 
 def fit_quality(
-    documents: DataFrame, labels: DataFrame, *, train: Column | None = None, dictionary_docs: int = 4000, calibration_docs: int = 1500, sample_chars: int = 4096, dictionary_bytes: int = 512 * 1024, block: int = 1024
+    documents: DataFrame, labels: DataFrame, *, train: Column | None = None, dictionary_docs: int = 4000, calibration_docs: int = 1500, sample_chars: int = 4096, dictionary_bytes: int = 512 * 1024, block: int = 256
 ) -> QualityModel:
     """Fit on a bounded sample of labelled rows: dictionary_docs and calibration_docs of each class at most, and
     sample_chars of each text for the dictionaries. train: which ids may be learned from (default: all).
@@ -108,39 +112,39 @@ def fit_quality(
     train = F.lit(True) if train is None else train
     aside = (F.floor(id_crc(F.col("doc_id")) / 7) % 4) == 0
     rows = labelled_sample(documents, labels, "quality", train & ~aside, dictionary_docs, sample_chars).collect()
-    bad, good = (train_dictionary([r["text"] for r in rows if r["label"] == v], dictionary_bytes, block) for v in (0, 1))
+    bad, good = (train_dictionary([r["text"] for r in rows if r["label"] == v], dictionary_bytes) for v in (0, 1))
     if bad is None or good is None:
         return QualityModel(None, None, block=block)
     model = QualityModel(bad, good, block=block)
     held = labelled_sample(documents, labels, "quality", train & aside, calibration_docs, None)
-    pairs = np.array([(r["diff"], r["label"]) for r in _differences(held, model, ["label"]).collect()], dtype=float).reshape(-1, 2)
-    if len(set(pairs[:, 1])) < 2:
-        return QualityModel(bad, good, slope=20.0, block=block)
+    scored = _scored(held, model, ["label"]).select("label", "features").collect()
+    x, y = np.array([r["features"] for r in scored], dtype=float).reshape(-1, 4), np.array([r["label"] for r in scored], dtype=float)
+    if len(set(y)) < 2:
+        return QualityModel(bad, good, (20.0, 0.0, 0.0, 0.0), block=block)
     # the sample is balanced by class, the population is not: the prior stays even, so that 0.5 is the balanced cut
-    slope, intercept = logistic(pairs[:, 0], pairs[:, 1])
-    return QualityModel(bad, good, slope, intercept, block)
+    weights, intercept = logistic(x, y)
+    return QualityModel(bad, good, tuple(map(float, weights)), intercept, block)
 
 
-def _differences(documents: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
+def _scored(documents: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = SizeDifference(shared.value)
+        measure = SizeFeatures(shared.value)
         for b in slices(batches):
-            diff = [measure(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(diff, pa.float64())], [*keep, "diff"])
+            x = [measure(t) for t in b.column("text").to_pylist()]
+            score = shared.value.score(np.array(x, dtype=float))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(x, pa.list_(pa.float64())), pa.array(score, pa.float64())], [*keep, "features", "score"])
 
-    schema = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep) + ", diff double"
+    schema = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep) + ", features array<double>, score double"
     return documents.select(*keep, "text").mapInArrow(run, schema)
 
 
 def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, diff (null: no model), score of every row, each whole text read once."""
-    docs = documents.select("doc_id", "text")
+    """doc_id, features (null: no model), score of every row, each whole text read once."""
     if model.bad is None:
-        return docs.select("doc_id", F.lit(None).cast("double").alias("diff"), F.lit(0.5).alias("score"))
-    x = F.lit(model.slope) * F.col("diff") + F.lit(model.intercept)
-    return _differences(docs, model, ["doc_id"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))))
+        return documents.select("doc_id", F.lit(None).cast("array<double>").alias("features"), F.lit(0.5).alias("score"))
+    return _scored(documents.select("doc_id", "text"), model, ["doc_id"])
 
 
 def keep_quality(documents: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
@@ -150,9 +154,9 @@ def keep_quality(documents: DataFrame, model: QualityModel, threshold: float = 0
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = SizeDifference(shared.value)
+        measure = SizeFeatures(shared.value)
         for b in slices(batches):
-            diff = np.array([measure(t) for t in b.column("text").to_pylist()], dtype=float)
-            yield b.filter(pa.array(shared.value.score(diff) >= threshold, pa.bool_()))
+            x = np.array([measure(t) for t in b.column("text").to_pylist()], dtype=float)
+            yield b.filter(pa.array(shared.value.score(x) >= threshold, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -29,6 +29,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,12 @@ class PieceEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def piece_encoder(tokenizer_path: str) -> PieceEncoder:
+    """The encoder of this Python worker; what it remembers serves all of the worker's tasks."""
+    return PieceEncoder(tokenizer_path)
+
+
 class FileWriter:
     """Collects the documents of one file; frames are compressed as they fill."""
 
@@ -240,7 +247,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
                 temp = f"{base}/_writing-{uuid.uuid4().hex}"
                 store.create_dir(base, recursive=True)
                 stream = store.open_output_stream(temp)
-                writer, encoder = FileWriter(stream, frame_bytes), PieceEncoder(tokenizer_path)
+                writer, encoder = FileWriter(stream, frame_bytes), piece_encoder(tokenizer_path)
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()) if b.num_rows else [], strict=True):
                 writer.add(doc_id, ids + end)
         if writer is not None:

@@ -166,8 +166,8 @@ def fit_toxicity(
     pairs = np.array([(r["value"], r["label"]) for r in _values(held, model, ["label"]).select("value", "label").collect()], dtype=float).reshape(-1, 2)
     if len(set(pairs[:, 1])) < 2:
         return ToxicityModel(kept, exceptions, 2.0, -2.0, power)
-    slope, intercept = logistic(pairs[:, 0], pairs[:, 1])
-    return ToxicityModel(kept, exceptions, slope, intercept, power)
+    weights, intercept = logistic(pairs[:, :1], pairs[:, 1])
+    return ToxicityModel(kept, exceptions, float(weights[0]), intercept, power)
 
 
 def _values(documents: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
