@@ -21,17 +21,21 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: t != "")
 
 
-def build_index(chunks: DataFrame, id_column: str = "chunk_id") -> dict[str, DataFrame]:
+def build_index(chunks: DataFrame, id_column: str = "chunk_id", cache: bool = False) -> dict[str, DataFrame]:
     """Index tables of chunks (id, content, section_title): postings (term, id, field, tf, length), terms (term, field,
-    df) and fields (field, n, avg_length; a few rows)."""
+    df) and fields (field, n, avg_length; a few rows). cache: keep the postings for several uses; an index that outlives
+    the job is better written as tables."""
     words = None
     for f in FIELDS:
         part = chunks.select(F.col(id_column), F.lit(f).alias("field"), tokens(f).alias("words"))
         words = part if words is None else words.unionByName(part)
     words = words.withColumn("length", F.size("words"))
     postings = words.select(id_column, "field", "length", F.explode("words").alias("term")).groupBy("term", id_column, "field", "length").agg(F.count(F.lit(1)).alias("tf"))
+    postings = postings.select("term", id_column, "field", "tf", "length")
+    if cache:
+        postings = postings.cache()
     return {
-        "postings": postings.select("term", id_column, "field", "tf", "length"),
+        "postings": postings,
         "terms": postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")),
         "fields": words.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length")),
     }

@@ -59,7 +59,7 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return bm25.build_index(store(spark, sf_dir)["chunks"].withColumnRenamed("id", "chunk_id"))
+    return bm25.build_index(store(spark, sf_dir)["chunks"].withColumnRenamed("id", "chunk_id"), cache=True)
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -669,6 +669,7 @@ def w2(spark, sf_dir):
 
 @query("w3_r9_r11_answers")
 def w3(spark, sf_dir):
-    tables = workflows.ingest(page_files(spark, sf_dir), F.lit(AT).cast("timestamp"), workflows.default_encoder(), low=16)
+    tables = workflows.ingest(page_files(spark, sf_dir).cache(), F.lit(AT).cast("timestamp"), workflows.default_encoder(), low=16)
+    tables["chunks"].cache()
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return rerank.api_rows(workflows.answers(tables, queries, workflows.default_encoder(), low=16, threshold=0.3))

@@ -39,7 +39,7 @@ def ingest(files: DataFrame, at: Column, encoder: Callable[[], object] | None =
 def answers(tables: dict[str, DataFrame], queries: DataFrame, encoder: Callable[[], object], low: int = 128, limit: int = 5, top: int = 50, threshold: float = 0.3, version: str | None = None, category: str | None = None) -> DataFrame:
     """The best limit hits for each query (query_id, query) over tables of embedded chunks."""
     held = active_chunks(tables["chunks"], tables["sections"], tables["documents"], version, category).withColumnRenamed("id", "chunk_id")
-    index = build_index(tables["chunks"].withColumnRenamed("id", "chunk_id"))
+    index = build_index(tables["chunks"].withColumnRenamed("id", "chunk_id"), cache=True)
     asked = embed(queries, encoder, "query", low).select("query_id", "query", F.col("embedding").alias("vector"), F.col("multi_vector_low_dim").alias("multi"))
     return full_search(index, held, asked, limit, top, low, threshold)
 
