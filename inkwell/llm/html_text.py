@@ -2,7 +2,8 @@
 
 The page is read into a tree (implied and missing end tags, void and raw-text elements, quoted attributes, comments).
 Scripts, styles, forms, navigation, page headers and footers, asides, and elements whose class, id or role names an
-advert, notice, menu, sidebar or reader comments are cut off. Every remaining node gets a density: its characters per
+advert, notice, menu, sidebar or reader comments are cut off (a wrapper that is named like one loses only what is
+outside the article or main element in it). Every remaining node gets a density: its characters per
 tag, lowered the more of its characters and tags are links; a node's rank is the sum of its children's densities. The
 search runs in the article or main elements of the page if it has any, else in its body. The best-ranked node decides:
 if it lies in an article or main element, that element is the text; else the lowest density on its path to the body
@@ -40,6 +41,9 @@ SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd":
 BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments respond disqus replies reply share sharing social related widget toolbar pagination pager skip login search".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADER_NAMES = frozenset(("header", "topbar"))
+COMMENT_NAMES = frozenset("comment comments respond disqus replies reply".split())
+#: An element is cut off for good, or, by the look of its names, but for an article or main element inside it.
+HARD, SOFT = 1, 2
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[!?/][^>]*+(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -49,30 +53,30 @@ _NAME = re.compile(r"[a-z]+")
 class Node:
     __slots__ = ("tag", "children", "dropped", "main", "chars", "links", "tags", "link_tags", "density", "rank")
 
-    def __init__(self, tag: str, dropped: bool = False, main: bool = False):
+    def __init__(self, tag: str, dropped: int = 0, main: bool = False):
         self.tag, self.dropped, self.main = tag, dropped, main
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.rank = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Is an element cut off; is it main content by its role."""
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
+    """Is an element cut off (0, HARD or SOFT); is it an article or main element by tag or role."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True, False
+        return HARD, False
     main = tag in ("article", "main")
     if attributes and tag not in ("html", "body"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
             if name.lower() == "role":
                 if value in BOILERPLATE_ROLES:
-                    return True, False
+                    return HARD, False
                 main = main or value in ("main", "article")
             else:
                 names = set(_NAME.findall(value))
                 if not names.isdisjoint(BOILERPLATE_NAMES) or (not in_article and tag != "article" and not names.isdisjoint(HEADER_NAMES)):
-                    return True, False
-    return False, main
+                    return (HARD if in_article or not names.isdisjoint(COMMENT_NAMES) else SOFT), False
+    return 0, main
 
 
 def parse(html: str) -> Node:
@@ -119,7 +123,12 @@ def parse(html: str) -> Node:
             if cut is not None:
                 close(cut)
         up = stack[-1]
-        dropped, main = (True, False) if up.dropped else _boilerplate(tag, attributes, open_tags["#main"] > 0)
+        dropped, main = (HARD, False) if up.dropped == HARD else _boilerplate(tag, attributes, open_tags["#main"] > 0)
+        if up.dropped == SOFT and not dropped:
+            if main:  # the wrapper's name misled: the element counts as a child of what is around the wrapper
+                up = next(x for x in reversed(stack) if not x.dropped)
+            else:
+                dropped = SOFT
         node = Node(tag, dropped, main)
         up.children.append(node)
         if tag in RAW:
