@@ -30,6 +30,7 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
     texts = docs.groupBy("h", "sha", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     classes = texts.groupBy("h", "sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
+    classes = materialize(classes, "classes")  # so that both sides of the join are exchanged, and a hot group can be split
     size = F.when(F.col("n_texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts agree on MD5 and SHA-256")).cast("bigint"))
     return docs.select("doc_id", "h", "sha").join(classes, ["h", "sha"]).select(
         "doc_id",
