@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import markdown, urls, vectors
 from inkwell.operators import bm25, catalog, chunking, evaluation, fusion, html, ingest, linkgraph, querylog, rerank, vector_search
 from inkwell.plans import workflows
+from inkwell.sources import files as storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +139,33 @@ def u9(spark, sf_dir):
     return read(spark, sf_dir, "pages").filter(urls.is_html_page(kind, "html")).select("page_id")
 
 
+@query("s3_s5_markdown_docs", "SELECT 'snapshot' AS source, lang AS target_version, concat(doc_id, '.md') AS rel_path, md5(text) AS digest FROM documents")
+def s3(spark, sf_dir):
+    path = storage.work_folder(spark)
+    docs = read(spark, sf_dir, "documents").select(F.lit("snapshot").alias("source"), F.col("lang").alias("target_version"), F.concat("doc_id", F.lit(".md")).alias("rel_path"), F.col("text").alias("content"))
+    storage.write_markdown_docs(docs.withColumn("content", F.lit("stale")), path)
+    storage.write_markdown_docs(docs, path)
+    return spark.read.parquet(path).select("source", "target_version", "rel_path", F.md5("content").alias("digest"))
+
+
+@query("s4_store", f"WITH {SQL_STORE} SELECT 'documents' AS name, CAST(id AS VARCHAR) AS id, status AS value FROM docs UNION ALL SELECT 'sections', concat('s', id), category FROM docs UNION ALL SELECT 'chunks', CAST(id AS VARCHAR), md5(text) FROM docs")
+def s4(spark, sf_dir):
+    path = storage.work_folder(spark)
+    storage.write_store(store(spark, sf_dir), path)
+    back = storage.read_store(spark, path)
+    values = {"documents": F.col("status"), "sections": F.col("title"), "chunks": F.md5("content")}
+    parts = [back[n].select(F.lit(n).alias("name"), F.col("id").cast("string").alias("id"), v.alias("value")) for n, v in values.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s6_json_log", "SELECT conv_id, turn, md5(text) AS digest FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, md5(text) FROM conversations WHERE role <> 'user'")
+def s6(spark, sf_dir):
+    path, said = storage.work_folder(spark), read(spark, sf_dir, "conversations")
+    storage.write_json_log(said.filter("role = 'user'"), path)
+    storage.write_json_log(said.filter("role <> 'user'"), path)
+    return spark.read.schema(said.schema).json(path).select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
 # ---- HTML and Markdown ----------------------------------------------------------------------------------------------
 
 
@@ -272,20 +300,20 @@ def packed(spark: SparkSession, sf_dir: str, kind: str = "int8") -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", vectors.pack_tokens(8, kind)(vectors.split_tokens("embedding", 4)).alias("multi"))
 
 
-@query("e3_e4_e5_pack")
+SQL_TOKENS = """tok AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS t, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    sl AS (SELECT vec_id, t, list_slice(e, 16 * t + 1, 16 * t + 8) AS x FROM tok),
+    tk AS (SELECT vec_id, t, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS u, list_transform(x, lambda y: CAST(CAST(y / sqrt(list_dot_product(x, x)) AS FLOAT) AS DOUBLE)) AS f FROM sl)"""
+
+
+@query("e3_e4_e5_pack", f"WITH {SQL_TOKENS} SELECT vec_id, concat('0400', string_agg(array_to_string(list_transform(u, lambda y: printf('%02X', CAST((CAST(trunc(y * 127) AS INTEGER) + 256) % 256 AS INTEGER))), ''), '' ORDER BY t)) AS packed FROM tk GROUP BY vec_id")
 def e3(spark, sf_dir):
     return packed(spark, sf_dir).select("vec_id", F.hex("multi").alias("packed"))
 
 
-@query(
-    "e6_unpack",
-    """WITH v AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS t, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-            s AS (SELECT vec_id, t, list_slice(e, 16 * t + 1, 16 * t + 8) AS x FROM v)
-       SELECT vec_id, CAST(t AS INTEGER) AS token, list_transform(x, lambda y: round(y / sqrt(list_dot_product(x, x)), 4)) AS values FROM s""",
-)
+@query("e6_unpack", f"WITH {SQL_TOKENS} SELECT vec_id, CAST(t AS INTEGER) AS token, list_transform(f, lambda y: round(y, 6)) AS values FROM tk")
 def e6(spark, sf_dir):
     rows = packed(spark, sf_dir, "float32").select("vec_id", F.posexplode(vectors.unpack_tokens(8, "float32")("multi")).alias("token", "v"))
-    return rows.select("vec_id", "token", F.transform("v", lambda x: F.round(x, 4)).alias("values"))
+    return rows.select("vec_id", "token", F.transform("v", lambda x: F.round(x, 6)).alias("values"))
 
 
 # ---- ingestion ------------------------------------------------------------------------------------------------------
@@ -455,17 +483,22 @@ def r6(spark, sf_dir):
     return fusion.assemble_hits(fused(spark, sf_dir), every).select("query_id", "chunk_id", "rank", "document_title", "target_version", F.md5("content").alias("digest"))
 
 
-def multi_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def multi_hits(spark: SparkSession, sf_dir: str, kind: str = "int8") -> tuple[DataFrame, DataFrame]:
     """Fused hits with the packed vectors of hits and queries."""
-    multi = packed(spark, sf_dir)
+    multi = packed(spark, sf_dir, kind)
     hits = fused(spark, sf_dir).join(multi.select(F.col("vec_id").alias("chunk_id"), F.col("multi").alias("multi_vector_low_dim")), "chunk_id", "left").withColumn("similarity", F.col("rrf_score"))
     return hits, asked(spark, sf_dir).select("query_id").join(multi.select(F.col("vec_id").alias("query_id"), "multi"), "query_id", "left")
 
 
-@query("r7_maxsim")
+@query(
+    "r7_maxsim",
+    f"""WITH {SQL_RRF}, {SQL_TOKENS}, pr AS (SELECT query_id, chunk_id FROM rr WHERE rank <= 50),
+             mx AS (SELECT pr.query_id, pr.chunk_id, a.t, max(list_dot_product(a.f, b.f)) AS best FROM pr JOIN tk a ON a.vec_id = pr.query_id LEFT JOIN tk b ON b.vec_id = pr.chunk_id GROUP BY 1, 2, 3)
+        SELECT query_id, chunk_id, round(coalesce(avg(best), 0), 6) AS score FROM mx GROUP BY 1, 2""",
+)
 def r7(spark, sf_dir):
-    hits, queries = multi_hits(spark, sf_dir)
-    return hits.join(queries, "query_id").select("query_id", "chunk_id", F.round(vectors.maxsim(8)("multi", "multi_vector_low_dim"), 6).alias("score"))
+    hits, queries = multi_hits(spark, sf_dir, "float32")
+    return hits.join(queries, "query_id").select("query_id", "chunk_id", F.round(vectors.maxsim(8, "float32")("multi", "multi_vector_low_dim"), 6).alias("score"))
 
 
 @query(

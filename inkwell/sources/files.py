@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +41,14 @@ def write_store(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    # versions like 4.20 are text
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    """The tables of write_store; versions like 4.20 stay text."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    finally:
+        spark.conf.set(key, before)
 
 
 def write_json_log(events: DataFrame, path: str) -> None:
@@ -48,5 +56,15 @@ def write_json_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write: in spark.checkpoint.dir, or a temporary one where that is unset. The
+    driver's JVM deletes it at its end."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-inkwell-')}"
+    path = f"{base}/work-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def as_json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns))
