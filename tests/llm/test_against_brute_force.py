@@ -121,6 +121,19 @@ def test_large_family_of_near_copies(spark):
     assert got == slow_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize(("words", "percent", "run"), [(5, 80, 40), (3, 85, 30)])
+def test_dense_family_at_the_threshold(spark, words, percent, run):
+    """Variants that are close to the base only, at the threshold itself, in a family of far more than a region."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        at = rng.randrange(words, 400 - run - words)
+        rows.append((i, " ".join([*base[:at], *(f"x{i}-{j}" for j in range(run)), *base[at + run :]])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()}
+    assert got == slow_components(rows, words, percent) and {c for _, c in got.values()} == {0}
+
+
 def test_joined_blocks():
     rng = np.random.RandomState(0)
     sets = [np.unique(rng.randint(0, 60, 40).astype(np.uint64)) for _ in range(30)]
