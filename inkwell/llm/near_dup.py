@@ -91,6 +91,11 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.RandomState(20240501).randint(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
+def class_key(words: list[bytes]) -> bytes:
+    """128-bit hash of a word sequence."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def sketches(documents: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, key (128-bit hash of the word sequence), n_shingles, sig (null without words) of every row."""
 
@@ -100,7 +105,7 @@ def sketches(documents: DataFrame, words: int = 3) -> DataFrame:
             keys, sizes, sigs, seen = [], [], [], {}
             for text in b.column("text").to_pylist():
                 seq = cut.split(text)
-                key = hashlib.blake2b(b" ".join(seq), digest_size=16).digest()
+                key = class_key(seq)
                 if key not in seen:
                     s = np.unique(cut.hashes(seq))
                     seen[key] = (len(s), signature(s, mult) if len(s) else None)
@@ -167,11 +172,25 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+def class_texts(documents: DataFrame, nodes: DataFrame, cls: DataFrame) -> DataFrame:
+    """doc_id, text of the classes cls (one column). An id that is repeated may have other texts, or none, besides those
+    of its class; they are left out."""
+    keys = nodes.join(cls, "cls", "left_semi").select(F.col("cls").alias("doc_id"), "key")
+    rows = within_keys(documents.select("doc_id", "text").filter("text IS NOT NULL"), "doc_id", cls).join(keys, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = pa.array([class_key(Shingler.split(t)) == k for t, k in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(own), b.column("text").filter(own)], ["doc_id", "text"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(run, "doc_id long, text string")
+
+
+def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs with 100 * |intersection| >= percent * |union| of the full shingle sets."""
     pairs = materialize(pairs, "likely")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(within_keys(documents.select("doc_id", "text"), "doc_id", ids).join(ids, "doc_id"), "texts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    texts = materialize(class_texts(documents, nodes, ids), "texts")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +199,11 @@ def verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -
             held, keep = {}, []
             for p, q, s, t in zip(*(x.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
                 for i, text in ((p, s), (q, t)):
-                    if (i, len(text)) not in held:
+                    if (i, text) not in held:
                         if len(held) > 64:
                             held.clear()
-                        held[i, len(text)] = cut.shingles(text)
-                u, v = held.get((p, len(s))), held.get((q, len(t)))
+                        held[i, text] = cut.shingles(text)
+                u, v = held.get((p, s)), held.get((q, t))
                 u = cut.shingles(s) if u is None else u
                 v = cut.shingles(t) if v is None else v
                 common = len(np.intersect1d(u, v, assume_unique=True))
@@ -216,7 +235,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, reg
     own = sketch.select(F.col("doc_id").alias("cls"), "key", F.col("n_shingles").alias("n"), "sig").join(classes, ["key", "cls"])
     nodes = materialize(own.groupBy("cls", "key").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     small, large = forest(nodes, region)
-    judge = lambda pairs: verified(likely(pairs, nodes, percent), documents, words, percent)
+    judge = lambda pairs: verified(likely(pairs, nodes, percent), documents, nodes, words, percent)
     # first each class with the first of its region: that already joins most families
     firsts = nodes.select(F.col("cls").alias("first"), F.col("n").alias("nf"))
     every = small if large is None else small.unionByName(large)
@@ -228,7 +247,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, reg
     label = components(links)
     # then, in the families of large regions, the classes outside a family's largest component with all its members
     if large is not None:
-        links = materialize(links.unionByName(_family_links(large, label, documents, words, percent)), "links")
+        links = materialize(links.unionByName(_family_links(large, label, documents, nodes, words, percent)), "links")
         label = components(links)
     known = materialize(classes.join(label, "cls", "left").select("key", F.coalesce("component", "cls").alias("component_id")), "classes")
     out = sketch.select("doc_id", "key", "n_shingles").join(known, "key", "left")
@@ -236,7 +255,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, reg
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _family_links(large: DataFrame, label: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+def _family_links(large: DataFrame, label: DataFrame, documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The links between different components inside the families that large regions (region, cls, first) make up.
 
     The classes outside the largest component of a family are held against all its classes, whole sets against whole
@@ -246,7 +265,7 @@ def _family_links(large: DataFrame, label: DataFrame, documents: DataFrame, word
     most = at.groupBy("family", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("family").agg(F.max_by("component", F.struct("held", "component")).alias("most"))
     at = checkpoint(at.join(most, "family").select("family", "cls", "component", (F.col("component") != F.col("most")).alias("apart")))
     at = at.join(at.filter("apart").select("family").distinct(), "family", "left_semi")
-    texts = within_keys(documents.select("doc_id", "text"), "doc_id", at.select("cls")).join(at.withColumnRenamed("cls", "doc_id"), "doc_id")
+    texts = class_texts(documents, nodes, at.select("cls")).join(at.withColumnRenamed("cls", "doc_id"), "doc_id")
     texts = materialize(texts, "families")
 
     def packed(rows: DataFrame, name: str, size: int) -> DataFrame:

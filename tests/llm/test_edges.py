@@ -77,6 +77,14 @@ def test_near(docs, none):
     assert near_duplicates(none).count() == drop_near_duplicates(none).count() == 0
 
 
+def test_near_with_repeated_ids(spark):
+    """A repeated id brings no other text of its rows into its class: none, a blank one, or one of another class."""
+    a, b = [f"a{i}" for i in range(60)], " ".join(f"b{i}" for i in range(60))
+    rows = [(7, " ".join(a)), (7, None), (7, " "), (7, b), (9, " ".join([*a, "end"])), (9, None), (9, ""), (3, b), (11, b + " end"), (12, " ".join(f"c{i}" for i in range(60)))]
+    out = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert out == {(7, 58, 7), (7, 0, 7), (7, 58, 3), (9, 59, 7), (9, 0, 9), (3, 58, 3), (11, 59, 3), (12, 58, 12)}
+
+
 def test_mixing(spark, docs, none):
     rows = fair_queue(docs, (5, 2, 1)).collect()
     sizes = Counter()
