@@ -44,10 +44,13 @@ class Rule:
 # The licenses. Label; keyword of its names; names, as patterns over words; SPDX identifier; versions
 # as they are written (an empty list: the license has none).
 _LICENSES = (
-    ("mit", "mit", r"mit (?:expat )?licen[sc]e|expat licen[sc]e|mit x11 licen[sc]e", "mit", ()),
+    ("mit", "mit", r"mit (?:expat )?licen[sc]e|mit x11 licen[sc]e", "mit", ()),
+    ("mit", "expat", r"expat licen[sc]e", "", ()),
     ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?", "mit 0", ()),
-    ("isc", "isc", r"isc licen[sc]e|internet systems consortium licen[sc]e", "isc", ()),
-    ("bsd", "bsd", r"bsd licen[sc]e|bsd style licen[sc]e|berkeley software distribution licen[sc]e", "bsd", ()),
+    ("isc", "isc", r"isc licen[sc]e", "isc", ()),
+    ("isc", "internet systems", r"internet systems consortium licen[sc]e", "", ()),
+    ("bsd", "bsd", r"bsd licen[sc]e|bsd style licen[sc]e", "bsd", ()),
+    ("bsd", "berkeley", r"berkeley software distribution licen[sc]e", "", ()),
     ("bsd-clause", "bsd", r"(?:(?:new|modified|revised|simplified|original) bsd licen[sc]e)", "bsd", ("1 clause", "2 clause", "3 clause", "4 clause")),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", "apache", ("1 0", "1 1", "2 0")),
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "gpl", ("1 0", "2 0", "3 0", "1", "2", "3")),
@@ -70,7 +73,8 @@ _LICENSES = (
     ("wtfpl", "what the", r"do what the \w+ you want to public licen[sc]e", "wtfpl", ("2",)),
     ("cc0", "cc0", r"cc0(?: universal)?", "cc0", ("1 0",)),
     ("cc0", "creative commons", r"creative commons (?:zero|public domain dedication)", "cc0", ("1 0",)),
-    ("python", "python", r"python software foundation licen[sc]e|psf licen[sc]e", "psf", ("2 0", "2")),
+    ("python", "python", r"python software foundation licen[sc]e", "psf", ("2 0", "2")),
+    ("python", "psf", r"psf licen[sc]e", "", ("2 0", "2")),
     ("ruby", "ruby", r"ruby licen[sc]e", "ruby", ()),
     ("php", "php", r"php licen[sc]e", "php", ("3 0", "3 01")),
     ("openssl", "openssl", r"openssl licen[sc]e", "openssl", ()),
