@@ -4,10 +4,10 @@ The page is read into a tree (implied and missing end tags, void and raw-text el
 Scripts, styles, forms, navigation, page headers and footers, asides, and elements whose class, id or role names an
 advert, notice, menu, sidebar or reader comments are cut off (a wrapper that is named like one loses only what is
 outside the article or main element in it). Every remaining node gets a density: its characters per
-tag, lowered the more of its characters and tags are links; a node's rank is the sum of its children's densities. The
-search runs in the article or main elements of the page if it has any, else in its body. The best-ranked node decides:
-if it lies in an article or main element, that element is the text; else the lowest density on its path to the body
-is the threshold, and every topmost node at or above it gives its best-ranked subtree.
+tag, lowered the more of its characters and tags are links; a node's rank is the sum of its children's densities. If the
+page has article or main elements, all of them that lie in no other one are the text. Else the lowest density on the path
+of the best-ranked node to the body is the threshold, and the text is the body without the elements below it that are
+mostly links; headings, short blocks and loose text stay.
 
 Text is given block by block in page order: character references decoded, white space inside a block one space,
 trimmed, blocks joined by one newline. ``br`` counts as white space.
@@ -42,6 +42,7 @@ BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement advertisi
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADER_NAMES = frozenset(("header", "topbar"))
 COMMENT_NAMES = frozenset("comment comments respond disqus replies reply".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element is cut off for good, or, by the look of its names, but for an article or main element inside it.
 HARD, SOFT = 1, 2
 
@@ -183,20 +184,16 @@ def _paths(root: Node) -> dict[int, Node]:
 def content(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
     nodes = measure(root)
-    up = _paths(root)
-    inside_main, todo = [], [(root, False)]
+    mains, todo = [], [root]
     while todo:
-        x, main = todo.pop()
-        main = main or (x.main and x.chars > 0)
-        if main:
-            inside_main.append(x)
-        todo.extend((c, main) for c in x.children if not isinstance(c, str) and not c.dropped)
-    if inside_main:
-        best = max(inside_main, key=lambda x: (x.rank, x.density))
-        while not best.main:
-            best = up[id(best)]
-        # an article inside a main element stands for itself, its neighbours inside stay out
-        return [best]
+        x = todo.pop()
+        if x.main and x.chars > 0:
+            mains.append(x)
+        else:
+            todo.extend(c for c in reversed(x.children) if not isinstance(c, str) and not c.dropped)
+    if mains:
+        return mains
+    up = _paths(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     inside = _postorder(body)
     best = max(inside, key=lambda x: x.rank)
@@ -209,14 +206,21 @@ def content(root: Node) -> list[Node]:
         threshold = min(threshold, x.density)
     if best is body:
         return [body]
-    out, todo = [], [body]
+    todo = [body]
     while todo:
         x = todo.pop()
-        if id(x) not in above and x.density >= threshold:
-            out.append(x)
-            continue
-        todo.extend(c for c in reversed(x.children) if not isinstance(c, str) and not c.dropped)
-    return out or [best]
+        loose = any(isinstance(c, str) and unescape(c).strip() for c in x.children)
+        for c in x.children:
+            if isinstance(c, str) or c.dropped or (loose and c.tag not in BLOCK and id(c) not in above):
+                continue
+            if id(c) in above:
+                todo.append(c)
+            elif c.density < threshold and 2 * c.links > c.chars and c.tag not in HEADINGS:
+                if any(isinstance(d, str) and unescape(d).strip() for d in c.children) or all(isinstance(d, str) for d in c.children):
+                    c.dropped = HARD
+                else:
+                    todo.append(c)
+    return [body]
 
 
 def blocks(tops: list[Node]) -> list[str]:

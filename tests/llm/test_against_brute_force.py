@@ -239,6 +239,16 @@ def test_article_is_found_among_boilerplate():
     assert html_text.main_text("<main><p>text</p></main><div id='comments'><article>hm</article></div>") == "text"
 
 
+def test_text_beside_the_densest_subtree_stays():
+    long = "words of a paragraph " * 15
+    para = long.strip()
+    assert html_text.main_text(f"<body><h1>Head</h1><div><p>{long}</p><p>{long}</p></div><p>The end</p></body>") == f"Head\n{para}\n{para}\nThe end"
+    assert html_text.main_text(f"<body>loose <b>text</b> with <a href=x>link</a><div><p>{long}</p><p>{long}</p></div>tail</body>") == f"loose text with link\n{para}\n{para}\ntail"
+    assert html_text.main_text(f"<body><ul><li><a href=x>one</a><li><a href=y>two</a></ul><h2><a href=z>Linked</a></h2><div><p>{long}</p><p>{long}</p></div></body>") == f"Linked\n{para}\n{para}"
+    assert html_text.main_text(f"<main><h1>Head</h1><article><p>{long}</p><p>{long}</p></article></main>") == f"Head\n{para}\n{para}"
+    assert html_text.main_text(f"<body><article><p>first</p></article><article><p>{long}</p></article></body>") == f"first\n{para}"
+
+
 def test_pages_of_table(spark, sf_dir):
     import html
     import re
