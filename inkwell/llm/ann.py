@@ -1,14 +1,18 @@
 """Nearest neighbours by randomly rotated one-bit codes with error bounds.
 
-Vectors are centred on the mean of all, scaled to length one and turned by a random rotation (fixed seed); the code
-keeps one bit per dimension, packed, with two scalars: the distance to the centre and the inner product of the unit
-vector with its own code. From bits and scalars alone the inner product of a query with a vector is estimated without
-bias, and the scalars bound the error. Inside a block of vectors a query computes all estimates at once; the k smallest
-upper bounds give a limit, and only vectors whose lower bound is not above it are measured exactly, in double
-precision on the original vectors. The best k of each block meet in a small window per query.
-
-Vectors are packed into blocks where they are scanned, and each block meets each block of queries once, so no key,
-however frequent, gathers rows. Queries are never broadcast: their blocks are joined by number.
+The vectors are dealt at random into cells of bounded size, and every query visits every cell. There the vectors are
+centred on the cell's mean, scaled to length one and turned by a random rotation (fixed seed); the code keeps one bit
+per dimension, packed, with two scalars: the distance to the centre and the inner product of the unit vector with its
+own code. A query is turned the same way and rounded to four bits per dimension, kept as four bit planes. Its inner
+product with all vectors of a cell is estimated without bias from bit counts of codes and planes and the scalars, which
+also bound the error. The nearest by estimate are measured exactly, in double precision on the original vectors; the
+k-th distance among them is the limit, and only vectors whose lower bound is not above it are measured besides. The best
+k of each cell meet in a small window per query.
+
+Each vector is shuffled once and each query once for each cell, so the shuffle is N + Q N / CELL rows; the scan compares
+all Q N pairs of a query and a vector by their bits (no pair is a row), which is the cost that grows fastest. Cells are
+chosen by a hash of id and vector, so no key, however frequent, gathers rows, and a task holds one cell and a few
+queries at a time. Nothing is broadcast.
 
 Defined results: null or empty vectors, vectors holding null, NaN or infinite components, all-zero vectors and null
 ids take no part, neither as queries nor as candidates; a query meets only vectors of its own dimension; rows that
@@ -27,11 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import materialize
-
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors in a cell; cells of small tables are smaller, down to LEAST, so that there is one for each shuffle partition.
+CELL, LEAST = 65_536, 4_096
 #: Error bounds are so many standard deviations of the estimate wide.
 SPREAD = 4.0
+#: Bits for each dimension of a query.
+PLANES = 4
+#: So many times k vectors are measured for the limit.
+AHEAD = 4
 
 
 @lru_cache(maxsize=8)
@@ -46,111 +53,115 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed bits, distances to the centre, and inner products of unit vectors with their codes."""
-    dim = vectors.shape[1]
-    moved = vectors - centre
-    far = np.sqrt(np.einsum("ij,ij->i", moved, moved))
-    unit = (moved / np.where(far > 0, far, 1)[:, None]) @ rotation(dim)
-    bits = unit > 0
-    return np.packbits(bits, axis=1), far, np.abs(unit).sum(axis=1) / np.sqrt(dim)
-
-
-def bounds(queries: np.ndarray, centre: np.ndarray, codes: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distances, queries x vectors."""
-    dim = queries.shape[1]
-    moved = queries - centre
-    length = np.sqrt(np.einsum("ij,ij->i", moved, moved))
-    unit = ((moved / np.where(length > 0, length, 1)[:, None]) @ rotation(dim)).astype(np.float32)
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    safe = np.where(own > 0, own, 1)
-    estimate = (unit @ signs.T) / np.sqrt(dim) / safe
-    error = np.where(own > 0, SPREAD * np.sqrt(np.maximum(0, 1 - safe**2) / safe**2 / max(1, dim - 1)), 0) + 1e-6
-    middle = far[None, :] ** 2 + length[:, None] ** 2 - 2 * length[:, None] * far[None, :] * estimate
-    width = 2 * length[:, None] * (far * error)[None, :] + 1e-9
-    return middle - width, middle + width
-
-
-def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, far: np.ndarray, own: np.ndarray, centre: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of the block: its row, and the ids and exact distances of its k nearest here."""
-    low, high = bounds(queries, centre, codes, far, own)
-    low[query_ids[:, None] == ids[None, :]] = np.inf
-    high[query_ids[:, None] == ids[None, :]] = np.inf
-    limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(queries), np.inf)
-    for r in range(len(queries)):
-        rows = np.flatnonzero((low[r] <= limit[r]) & (ids != query_ids[r]))
-        gap = vectors[rows] - queries[r]
-        exact = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-        best = np.lexsort((ids[rows], exact))[:k]
-        yield r, ids[rows[best]], exact[best]
-
-
-def _packed(rows: DataFrame, size: int, centres: dict[int, np.ndarray] | None) -> DataFrame:
-    """Rows (id, v) as blocks of at most size vectors of one dimension: dim, ids, vectors (doubles, bytes) and, with
-    centres, codes and the two scalars."""
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, lists = b.column("id").to_numpy(), b.column("v")
-            dims = np.diff(lists.offsets.to_numpy())
-            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                for s in range(0, len(rows), size):
-                    part = rows[s : s + size]
-                    x = flat[at[part][:, None] + np.arange(dim)]
-                    row = {"dim": [dim], "ids": [ids[part].astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()]}
-                    if shared.value is not None:
-                        row |= dict(zip(("codes", "far", "own"), ([a.tobytes()] for a in encode(x, shared.value[dim])), strict=True))
-                    kinds = [pa.int32()] + [pa.binary()] * (len(row) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(row.values(), kinds, strict=True)], list(row))
-
-    return rows.mapInArrow(run, "dim int, ids binary, vectors binary" + (", codes binary, far binary, own binary" if centres is not None else ""))
-
-
-def centres_of(rows: DataFrame) -> dict[int, np.ndarray]:
-    """The mean vector of each dimension; adds up in the tasks, returns dim numbers per dimension."""
-    each = rows.select(F.size("v").alias("dim"), F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.avg("x").alias("x"))
-    out: dict[int, dict[int, float]] = {}
-    for r in each.collect():
-        out.setdefault(r["dim"], {})[r["at"]] = r["x"]
-    return {d: np.array([m[i] for i in range(d)]) for d, m in out.items()}
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def pack(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    raw = np.packbits(bits, axis=1)
+    return np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+
+
+class Cell:
+    """The codes of some vectors of one dimension, with the vectors themselves."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.dim = ids, vectors, vectors.shape[1]
+        self.centre = vectors.mean(axis=0, dtype=np.float64)
+        moved = vectors - self.centre
+        self.far = np.sqrt(np.einsum("ij,ij->i", moved, moved))
+        unit = (moved / np.where(self.far > 0, self.far, 1)[:, None]) @ rotation(self.dim)
+        bits = unit > 0
+        self.codes, self.ones = pack(bits), bits.sum(axis=1)
+        own = np.abs(unit).sum(axis=1) / np.sqrt(self.dim)
+        self.own = np.where(own > 0, own, 1)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated squared distances and their error bounds, queries x vectors."""
+        root = np.sqrt(self.dim)
+        moved = queries - self.centre
+        length = np.sqrt(np.einsum("ij,ij->i", moved, moved))
+        unit = (moved / np.where(length > 0, length, 1)[:, None]) @ rotation(self.dim)
+        low = unit.min(axis=1)
+        step = np.maximum((unit.max(axis=1) - low) / (2**PLANES - 1), 1e-30)
+        levels = np.rint((unit - low[:, None]) / step[:, None]).astype(np.uint8)
+        small = np.uint16 if self.dim < 4096 else np.uint32
+        counts = np.zeros((len(queries), len(self.ids)), small)
+        for bit in range(PLANES):
+            plane = pack((levels >> bit) & 1)
+            for word in range(self.codes.shape[1]):
+                counts += np.left_shift(np.bitwise_count(plane[:, word, None] & self.codes[None, :, word]), bit, dtype=small)
+        # with u = low + step * level, <u, code> = (2 <u, bits> - sum of u) / sqrt(dim)
+        single = lambda x: x.astype(np.float32)
+        total = (low * self.dim + step * levels.sum(axis=1))[:, None]
+        estimate = counts * single(2 * step)[:, None] + (single(2 * low)[:, None] * single(self.ones) - single(total))
+        scale = single(2 * length)[:, None] * single(self.far)
+        square = single(length**2)[:, None] + single(self.far**2)
+        error = np.sqrt(single(np.maximum(0, 1 - self.own**2) / max(1, self.dim - 1)) + single(step**2 / 12)[:, None]) * single(SPREAD / self.own)
+        return square - scale * estimate * single(1 / root / self.own), scale * error + 1e-5 * square + 1e-9
+
+    def nearest(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and exact distances of its k nearest here."""
+        middle, width = self.bounds(queries)
+        ahead = AHEAD * k
+        for query, own_id, mid, wide in zip(queries, query_ids, middle, width, strict=True):
+            other = self.ids != own_id
+            mid[~other] = np.inf
+            first = np.argpartition(mid, ahead)[:ahead] if len(mid) > ahead else np.arange(len(mid))
+            first = first[other[first]]
+            exact = self._distances(first, query)
+            if len(mid) > ahead:
+                limit = np.partition(exact, k - 1)[k - 1] ** 2 if len(exact) >= k else np.inf
+                first = np.flatnonzero((mid - wide <= limit) & other)
+                exact = self._distances(first, query)
+            best = np.lexsort((self.ids[first], exact))[:k]
+            yield self.ids[first[best]], exact[best]
+
+    def _distances(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        gap = self.vectors[rows] - query
+        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dim, cell, kind, ids, hashes, vectors as doubles) of consecutive rows that agree on the first three."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        dim, cell, kind, ids, h = (b.column(c).to_numpy() for c in ("dim", "cell", "kind", "id", "h"))
+        lists = b.column("v")
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(cell) != 0) | (np.diff(kind) != 0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            yield int(dim[i]), int(cell[i]), int(kind[i]), ids[i:j], h[i:j], flat[at[i] : at[j]].reshape(j - i, -1).astype(np.float64)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", cell: int = CELL, least: int = LEAST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of each query by Euclidean distance."""
-    spark = vectors.sparkSession
     kept = vectors.filter(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
-    rows = kept.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    queries = kept.filter(is_query).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).distinct()
-    centres = centres_of(rows)
-    blocks = _packed(rows, BLOCK, centres)
-    n_blocks, salts = max(1, -(-queries.count() // QUERY_BLOCK)), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = materialize(_packed(queries.repartition(n_blocks), 2 * QUERY_BLOCK, None).withColumn("block", F.spark_partition_id()), "queries")
-    asked = asked.select("dim", "block", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    # every block of vectors meets every block of queries of its dimension: an equi-join of few wide rows, salted so
-    # that one block of queries keeps all tasks busy
-    spread = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    met = spread.join(asked, ["dim", "block", "salt"])
-    shared = spark.sparkContext.broadcast(centres)
+    v = F.col(vector_column)
+    row = [F.size(v).alias("dim"), F.col(id_column).cast("long").alias("id"), F.xxhash64(v).alias("h"), v.alias("v")]
+    rows, queries = kept.select(*row), kept.filter(is_query).select(*row).distinct()
+    n, wanted = rows.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(1, -(-n // cell), min(wanted, -(-n // least)))
+    dealt = rows.select("dim", F.pmod(F.xxhash64("id", "h", F.lit(11)), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("kind"), "id", "h", "v")
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), "id", "h", "v")
+    # the vectors of a cell come first, then the queries, which are read and answered a few at a time
+    met = dealt.unionByName(asked).repartition(cells, "dim", "cell").sortWithinPartitions("dim", "cell", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.to_pylist():
-                dim = x["dim"]
-                qids, q = np.frombuffer(x["qids"], "<i8"), np.frombuffer(x["qvectors"], "<f8").reshape(-1, dim)
-                ids, v = np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["vectors"], "<f8").reshape(-1, dim)
-                codes = np.frombuffer(x["codes"], "u1").reshape(len(ids), -1)
-                far, own = np.frombuffer(x["far"], "<f8"), np.frombuffer(x["own"], "<f8")
-                for s in range(0, len(q), 128):
-                    out = [(qids[s + r], x["block"] * 2 * QUERY_BLOCK + s + r, near, score) for r, near, score in nearest_in_block(q[s : s + 128], qids[s : s + 128], v, ids, codes, far, own, shared.value[dim], k)]
-                    n = [len(o[2]) for o in out]
-                    columns = [np.full(sum(n), dim), np.repeat([o[0] for o in out], n), np.repeat([o[1] for o in out], n), np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["dim", "query_id", "query_row", "vec_id", "score"])
-
-    found = met.select("dim", "block", "ids", "vectors", "codes", "far", "own", "qids", "qvectors").mapInArrow(run, "dim int, query_id long, query_row long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("dim", "query_row").orderBy("score", "vec_id"))
+        at, held, here = None, [], None
+        for dim, number, kind, ids, h, x in _runs(batches):
+            if at != (dim, number):
+                at, held, here = (dim, number), [], None
+            if not kind:
+                held.append((ids, x))
+                continue
+            if here is None and held:
+                here, held = Cell(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held])), []
+            step = max(1, (1 << 18) // len(here.ids)) if here else len(ids)
+            for s in range(0, len(ids) if here else 0, step):
+                found = list(here.nearest(x[s : s + step], ids[s : s + step], k))
+                size = [len(f[0]) for f in found]
+                columns = [np.full(sum(size), dim), np.repeat(ids[s : s + step], size), np.repeat(h[s : s + step], size), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["dim", "query_id", "h", "vec_id", "score"])
+
+    found = met.mapInArrow(run, "dim int, query_id long, h long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("dim", "query_id", "h").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
