@@ -6,8 +6,11 @@ sources sorted by size over weight). Inside a source the documents stand in a sh
 and the id only. A copy of a document is finished at virtual time (tokens of its source up to its end, earlier rounds
 included) / target. The copies of all sources, sorted by virtual time, are taken until the budget is used up.
 
-Running sums never pass one task: an order of n rows is cut into about sqrt(n) buckets (by hash inside a source, by
-virtual time in the global order), bucket sums are added up first, and windows run inside buckets only.
+Running sums never pass one task: inside a source an order of n rows is cut into about sqrt(n) buckets by hash, bucket
+sums are added up first, and windows run inside buckets only. In the global order the copies are added up by the
+logarithm of their virtual time (FINENESS steps a doubling, a bounded number whatever the data); only the copies of the
+step in which the budget ends are ordered, again in about sqrt(n) buckets. What meets in one window is one row for each
+source, bucket or step.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own and
 the last one; a null doc_id is ordered before the others; rows that repeat a doc_id are documents of their own. An
@@ -22,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import WORD, materialize
+from inkwell.llm.common import WORD, materialize, within_keys
 
+#: Steps of virtual time for each doubling; there are 64 doublings at most.
+FINENESS = 4096
 #: Up to so many sources their targets are broadcast; beyond, the join is left to adaptive execution.
 BROADCAST_SOURCES = 50_000
 
@@ -78,23 +83,41 @@ def fair_queue(documents: DataFrame, weights: Sequence[float], share: float = 1.
     early = F.when(time.isNotNull(), F.least(F.lit(repeats), F.greatest(F.lit(0), F.floor((F.col("target") - F.col("upto")) / F.col("source_size")) + 1))).otherwise(F.lit(0)).cast("int")
     rows = materialize(rows.withColumn("virtual_time", time).withColumn("early", early).withColumn("row", F.monotonically_increasing_id()), "queued")
     # what is left of the budget goes to the copies that finish next, in global order of virtual time
-    copies = rows.filter("virtual_time IS NOT NULL").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).filter("round >= early")
+    copies = rows.filter(F.col("virtual_time").isNotNull() & (F.col("early") < repeats)).withColumn("round", F.explode(F.sequence(F.col("early"), F.lit(repeats - 1))))
     copies = copies.select("row", "doc_id", "size", "source_no", (F.col("virtual_time") + F.col("round") * F.col("source_size") / F.col("target")).alias("finish"))
+    copies = copies.withColumn("step", F.floor(F.log2(F.greatest(F.col("finish"), F.lit(1.0))) * FINENESS).cast("int"))
     rest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("size") * F.col("early")), F.lit(0)).alias("used"), F.count(F.lit(1)).alias("n"))
     rest = rest.select(F.floor(F.col("total") * F.lit(float(share))) - F.col("used"), F.ceil(F.sqrt("n"))).first()
     left, cuts = int(rest[0]), max(1, int(rest[1]))
-    copies = copies.withColumn("cut", F.least(F.floor((F.col("finish") - 1) * cuts), F.lit(1 << 40)).cast("long"))
-    queue = _running(copies, ["cut"], [F.col("finish"), F.col("source_no"), F.col("doc_id"), F.col("size")], "size", "queue")
-    late = queue.filter(F.col("queue") <= left).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("late"))
+    steps = copies.groupBy("step").agg(F.sum("size").alias("sum"))
+    steps = steps.withColumn("upto", F.sum("sum").over(Window.partitionBy(F.lit(1)).orderBy("step")))
+    ends = steps.filter(F.col("upto") > left).agg(F.min_by(F.struct("step", (F.col("upto") - F.col("sum")).alias("before")), "step").alias("s")).select("s.*").first()
+    if ends["step"] is None:
+        late = copies.select("row")
+    else:
+        low, high = (2.0 ** ((ends["step"] + i) / FINENESS) for i in (0, 1))
+        last = copies.filter(F.col("step") == ends["step"]).withColumn("cut", F.floor((F.col("finish") - low) / (high - low) * cuts).cast("long"))
+        queue = _running(last, ["cut"], [F.col("finish"), F.col("source_no"), F.col("doc_id"), F.col("size")], "size", "queue")
+        late = copies.filter(F.col("step") < ends["step"]).select("row").unionByName(queue.filter(F.col("queue") <= left - ends["before"]).select("row"))
+    late = late.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("late"))
     done = rows.join(late, "row", "left").withColumn("taken_copies", F.col("early") + F.coalesce("late", F.lit(0)))
     return done.select("doc_id", "source", "size", "source_size", "target", "virtual_time", "taken_copies")
 
 
 def mixture(documents: DataFrame, weights: Sequence[float], share: float = 1.0, repeats: int = 3, seed: str = "0") -> DataFrame:
-    """The documents of the mix with all their columns, one row per copy that is taken. Of rows that repeat doc_id and
-    text, one takes part."""
-    digest = F.md5(F.coalesce("text", F.lit("")))
-    once = documents.withColumn("__row", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), digest)).dropDuplicates(["__row"])
-    taken = fair_queue(once.select(F.col("__row").alias("doc_id"), "source", "text"), weights, share, repeats, seed)
-    taken = taken.filter("taken_copies > 0").select(F.col("doc_id").alias("__row"), F.sequence(F.lit(1), F.col("taken_copies")).alias("__copies"))
-    return once.join(taken, "__row").withColumn("__copy", F.explode("__copies")).select(*(F.col(f"`{c}`") for c in documents.columns))
+    """The documents of the mix with all their columns, one row per copy that is taken.
+
+    Rows are told apart by id and text digest. Rows that share both are documents of their own; what the mix takes of
+    them is dealt out evenly, and what is left over of that comes from the one that is first in order of its columns."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    keyed = documents.withColumn("__row", key)
+    queue = fair_queue(keyed.select(F.col("__row").alias("doc_id"), "source", "text"), weights, share, repeats, seed)
+    taken = queue.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("taken_copies").alias("__taken"), F.count(F.lit(1)).alias("__rows")).filter("__taken > 0")
+    taken = materialize(taken.select("__key", F.floor(F.col("__taken") / F.col("__rows")).cast("int").alias("__each"), (F.col("__taken") % F.col("__rows")).cast("int").alias("__rest")), "taken")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    even = keyed.join(taken.filter("__each > 0"), F.col("__row") == F.col("__key")).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__each"))).select(*columns)
+    some = taken.filter("__rest > 0")
+    whole = F.struct(*columns)
+    one = within_keys(keyed, "__row", some.select("__key")).join(some, F.col("__row") == F.col("__key"))
+    one = one.groupBy("__row").agg(F.min_by(whole, F.to_json(whole)).alias("__whole"), F.first("__rest").alias("__rest"))
+    return even.unionByName(one.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__rest"))).select("__whole.*"))
