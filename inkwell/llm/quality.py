@@ -2,18 +2,22 @@
 
 Two zstandard dictionaries are trained, one from well and one from badly rated text. A document is cut into
 blocks of ``block`` bytes (all of it, however long), each block is compressed with both dictionaries, and the sizes are
-summed. The features are their difference, once divided by the document's bytes and once by the sum of both sizes, the
-bytes that the good dictionary leaves of one, and the logarithm of the length. A logistic curve fitted on labelled rows
-that the dictionaries have not seen turns them into a score from 0 to 1.
+summed. The features are the difference of the sizes, once divided by the document's bytes and once by the sum of both
+sizes, and the bytes that the good dictionary leaves of one. A logistic curve fitted on labelled rows that the
+dictionaries have not seen turns them into a score from 0 to 1. Its rows are weighted by how frequent their class is
+among all labelled ids that may be learned from, so the score is calibrated to that population, however many rows of a
+class the fit takes.
 
 Defined results: a null or empty text has features of 0 and gets the score of those; a null doc_id is
-scored like any other row and is never used for fitting; repeated rows are scored once each; if the labels hold
+scored like any other row and is never used for fitting; repeated rows are scored once each, and of the texts of a
+repeated id the first in order is learned from; ids with both labels are not learned from; if the labels hold
 only one class (or none), every score is 0.5. Columns of the input other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +38,7 @@ class QualityModel:
 
     bad: bytes | None
     good: bytes | None
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
     intercept: float = 0.0
     block: int = 256
 
@@ -43,8 +47,8 @@ class QualityModel:
 
 
 class SizeFeatures:
-    """Callable on a text: (difference / bytes, difference / both sizes, good size / bytes, log of bytes); the
-    difference is the size with the bad dictionary less that with the good one."""
+    """Callable on a text: (difference / bytes, difference / both sizes, good size / bytes); the difference is the size
+    with the bad dictionary less that with the good one."""
 
     def __init__(self, model: QualityModel):
         self.block, self.by = model.block, []
@@ -53,47 +57,74 @@ class SizeFeatures:
             known.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress)
 
-    def __call__(self, text: str | None) -> tuple[float, float, float, float]:
+    def __call__(self, text: str | None) -> tuple[float, float, float]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return (0.0, 0.0, 0.0, 0.0)
+            return (0.0, 0.0, 0.0)
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         bad, good = (sum(map(len, map(c, blocks))) for c in self.by)
-        return ((bad - good) / len(raw), (bad - good) / (bad + good), good / len(raw), math.log(len(raw)))
+        return ((bad - good) / len(raw), (bad - good) / (bad + good), good / len(raw))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, chars: int | None) -> DataFrame:
-    """At most per_class rows of each class, those with the smallest hash of doc_id, with the first chars of the text.
+def rated_ids(labels: DataFrame, label: str, train: Column) -> DataFrame:
+    """doc_id, label of the ids that may be learned from: one row each, none for ids with both labels."""
+    rated = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & train)
+    each = rated.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
+    return each.filter("label = most").drop("most")
+
+
+def labelled_sample(documents: DataFrame, rated: DataFrame, per_class: int) -> DataFrame:
+    """doc_id, text, label of at most per_class ids of each class, those with the smallest hash; one row for each id.
 
     The ids are bounded by a limit before they are joined, so that the documents are only scanned."""
-    rated = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & train)
-    picked = None
-    for value in (0, 1):
-        part = rated.filter(F.col("label") == value).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", (text if chars is None else F.substring(text, 1, chars)).alias("text")).join(F.broadcast(picked), "doc_id")
+    picked = [rated.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for value in (0, 1)]
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+
 
+def class_weights(rated: DataFrame, taken: Counter[int]) -> dict[int, float]:
+    """For each class its ids among all rated ones over those taken, so that weighted rows stand for all of them."""
+    every = {r["label"]: r["count"] for r in rated.groupBy("label").count().collect()}
+    scale = sum(taken.values()) / max(1, sum(every.get(c, 0) for c in taken))
+    return {c: scale * every.get(c, 0) / n for c, n in taken.items()}
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Weights of the columns of x and intercept by Newton's method, with a weak ridge on the standardised columns."""
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Weights of the columns of x and intercept by Newton's method, with a weak ridge on the standardised columns;
+    weight: how many rows each row stands for."""
+    weight = np.ones(len(x)) if weight is None else weight
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd = np.where(sd > 0, sd, 1.0)
     z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
     w, ridge = np.zeros(z.shape[1]), np.diag([*[1e-2] * x.shape[1], 1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + ridge, z.T @ (weight * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def train_dictionary(texts: list[str], size: int, block: int = 1024) -> bytes | None:
-    """A zstandard dictionary from blocks of the texts; where there is too little to train on, their raw bytes."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in sorted(texts)]
-    blocks = [r[i : i + block] for r in raw for i in range(0, len(r), block)]
+def dictionary_blocks(sample: DataFrame, per_class: int, size: int) -> DataFrame:
+    """label, block: of all blocks of the sampled texts, whole ones, per_class of each class at most, those with the
+    smallest hash of id and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            out = []
+            for i, label, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                out += [(label, zlib.crc32(f"{i}:{at}".encode()), raw[at : at + size]) for at in range(0, len(raw), size)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["label", "place", "block"])
+
+    blocks = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInArrow(run, "label int, place long, block binary")
+    parts = [blocks.filter(F.col("label") == v).orderBy("place", "block").limit(per_class) for v in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+def train_dictionary(blocks: list[bytes], size: int) -> bytes | None:
+    """A zstandard dictionary from blocks of text; where there is too little to train on, their raw bytes."""
     total = sum(map(len, blocks))
     if total < 64:
         return None
@@ -104,25 +135,26 @@ def train_dictionary(texts: list[str], size: int, block: int = 1024) -> bytes |
 
 
 def fit_quality(
-    documents: DataFrame, labels: DataFrame, *, train: Column | None = None, dictionary_docs: int = 4000, calibration_docs: int = 1500, sample_chars: int = 4096, dictionary_bytes: int = 512 * 1024, block: int = 256
+    documents: DataFrame, labels: DataFrame, *, train: Column | None = None, dictionary_docs: int = 4000, dictionary_blocks_kept: int = 16384, calibration_docs: int = 1500, dictionary_bytes: int = 512 * 1024, block: int = 256, block_bytes: int = 1024
 ) -> QualityModel:
-    """Fit on a bounded sample of labelled rows: dictionary_docs and calibration_docs of each class at most, and
-    sample_chars of each text for the dictionaries. train: which ids may be learned from (default: all).
-    A quarter of the ids, told apart by their crc32, is kept for the curve; the dictionaries learn from the others."""
+    """Fit on a bounded sample of labelled rows: dictionary_docs and calibration_docs of each class at most; from
+    the whole texts of the former, dictionary_blocks_kept blocks of block_bytes. train: which ids may be learned from
+    (default: all). A quarter of the ids, told apart by their crc32, is kept for the curve; the dictionaries learn from
+    the others."""
     train = F.lit(True) if train is None else train
     aside = (F.floor(id_crc(F.col("doc_id")) / 7) % 4) == 0
-    rows = labelled_sample(documents, labels, "quality", train & ~aside, dictionary_docs, sample_chars).collect()
-    bad, good = (train_dictionary([r["text"] for r in rows if r["label"] == v], dictionary_bytes) for v in (0, 1))
+    rated = rated_ids(labels, "quality", train)
+    rows = dictionary_blocks(labelled_sample(documents, rated.filter(~aside), dictionary_docs), dictionary_blocks_kept, block_bytes).collect()
+    bad, good = (train_dictionary(sorted(bytes(r["block"]) for r in rows if r["label"] == v), dictionary_bytes) for v in (0, 1))
     if bad is None or good is None:
         return QualityModel(None, None, block=block)
     model = QualityModel(bad, good, block=block)
-    held = labelled_sample(documents, labels, "quality", train & aside, calibration_docs, None)
-    scored = _scored(held, model, ["label"]).select("label", "features").collect()
-    x, y = np.array([r["features"] for r in scored], dtype=float).reshape(-1, 4), np.array([r["label"] for r in scored], dtype=float)
+    scored = _scored(labelled_sample(documents, rated.filter(aside), calibration_docs), model, ["doc_id", "label"]).select("doc_id", "label", "features").orderBy("doc_id").collect()
+    x, y = np.array([r["features"] for r in scored], dtype=float).reshape(-1, 3), np.array([r["label"] for r in scored], dtype=float)
     if len(set(y)) < 2:
-        return QualityModel(bad, good, (20.0, 0.0, 0.0, 0.0), block=block)
-    # the sample is balanced by class, the population is not: the prior stays even, so that 0.5 is the balanced cut
-    weights, intercept = logistic(x, y)
+        return QualityModel(bad, good, (20.0, 0.0, 0.0), block=block)
+    by_class = class_weights(rated.filter(aside), Counter(r["label"] for r in scored))
+    weights, intercept = logistic(x, y, np.array([by_class[r["label"]] for r in scored]))
     return QualityModel(bad, good, tuple(map(float, weights)), intercept, block)
 
 
