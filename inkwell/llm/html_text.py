@@ -1,13 +1,19 @@
 """Main text of web pages by composite text density.
 
 The page is read into a tree (implied and missing end tags, void and raw-text elements, quoted attributes, comments).
-Scripts, styles, forms, navigation, page headers and footers, asides, and elements whose class, id or role names an
-advert, notice, menu, sidebar or reader comments are cut off (a wrapper that is named like one loses only what is
-outside the article or main element in it). Every remaining node gets a density: its characters per
-tag, lowered the more of its characters and tags are links; a node's rank is the sum of its children's densities. If the
-page has article or main elements, all of them that lie in no other one are the text. Else the lowest density on the path
-of the best-ranked node to the body is the threshold, and the text is the body without the elements below it that are
-mostly links; headings, short blocks and loose text stay.
+Every node gets a composite text density: its characters per tag, lowered the more of its characters and tags are links
+(nodes of menus and footers count too). A node's rank is the sum of its children's densities; the best-ranked node under
+the body is the densest subtree, and the lowest density on its path to the body is the threshold. Then every element off
+that path is judged:
+
+- what HTML or ARIA itself says is no article goes: navigation, page headers, footers, asides, controls, media;
+- an element whose class or id names an advert, notice, menu, sidebar or reader comments, or a form, counts with a small
+  part of its density, and goes if that is below the threshold; if the name has other words too, or the element is a
+  paragraph, heading, item or the like, it counts in full inside the densest subtree and with a half outside;
+- outside the densest subtree, elements that are mostly links and below the threshold go, headings excepted.
+
+A name is not believed if less than a tenth of what it names would be left as the text. All else stays, short blocks, headings and loose text included. Article and main elements get no preference; only a
+header inside one, or inside a section, counts as theirs and not the page's, as HTML defines it.
 
 Text is given block by block in page order: character references decoded, white space inside a block one space,
 trimmed, blocks joined by one newline. ``br`` counts as white space.
@@ -34,17 +40,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes head nav footer aside form button select option datalist dialog menu template noscript object applet canvas svg math audio video map".split())
+DROPPED = frozenset("script style textarea title xmp iframe noembed noframes head nav footer aside button select option datalist dialog menu template noscript object applet canvas svg math audio video map".split())
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "thead": ("tr", "td", "th")}
 #: An implied end does not reach beyond these.
 SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), **{t: frozenset(("table",)) for t in ("tr", "td", "th", "tbody", "tfoot", "thead")}, "option": frozenset(("select", "datalist")), "p": frozenset(("td", "th", "table", "button", "object", "caption"))}
-BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments respond disqus replies reply share sharing social related widget toolbar pagination pager skip login search".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-HEADER_NAMES = frozenset(("header", "topbar"))
-COMMENT_NAMES = frozenset("comment comments respond disqus replies reply".split())
+BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond disqus replies reply share sharing social related widget toolbar pagination pager skip login search".split())
+#: These name boilerplate only outside the densest subtree.
+PAGE_NAMES = frozenset("header topbar masthead banner".split())
+#: Words of a name that say nothing by themselves.
+NEUTRAL_NAMES = frozenset("a and area article bar bottom box button buttons card container content div el entry for global group id in inner item items layout left link links list main of outer page panel post primary right row secondary section site slot the top unit user view with wrap wrapper".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alertdialog dialog menu menubar toolbar".split())
+SECTIONS = frozenset(("article", "main", "section"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: An element is cut off for good, or, by the look of its names, but for an article or main element inside it.
-HARD, SOFT = 1, 2
+#: Elements that are text rather than containers of it.
+TEXTUAL = HEADINGS | frozenset("p li dt dd pre blockquote td th tr caption figcaption address summary legend".split())
+#: What a name leaves of an element's density.
+NAMED, PARTLY_NAMED = 0.02, 0.5
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[!?/][^>]*+(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -52,36 +63,44 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "dropped", "main", "chars", "links", "tags", "link_tags", "density", "rank")
+    """dropped: no part of the text; names: what its class and id leave of the density, inside and outside the densest
+    subtree."""
 
-    def __init__(self, tag: str, dropped: int = 0, main: bool = False):
-        self.tag, self.dropped, self.main = tag, dropped, main
+    __slots__ = ("tag", "children", "dropped", "names", "chars", "links", "tags", "link_tags", "density", "rank", "loose")
+
+    def __init__(self, tag: str, dropped: bool = False, names: tuple[float, float] = (1.0, 1.0)):
+        self.tag, self.dropped, self.names = tag, dropped, names
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.rank = 0.0
+        self.loose = False
+
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if not isinstance(c, str)]
 
 
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
-    """Is an element cut off (0, HARD or SOFT); is it an article or main element by tag or role."""
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return HARD, False
-    main = tag in ("article", "main")
+def _judged(tag: str, attributes: str, in_section: bool) -> tuple[bool, tuple[float, float]]:
+    """Is an element dropped for what it is; what its names leave of its density, inside and outside."""
+    if tag in DROPPED or (tag == "header" and not in_section):
+        return True, (1.0, 1.0)
+    inside = outside = NAMED if tag == "form" else 1.0
     if attributes and tag not in ("html", "body"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
             if name.lower() == "role":
                 if value in BOILERPLATE_ROLES:
-                    return HARD, False
-                main = main or value in ("main", "article")
-            else:
-                names = set(_NAME.findall(value))
-                if not names.isdisjoint(BOILERPLATE_NAMES) or (not in_article and tag != "article" and not names.isdisjoint(HEADER_NAMES)):
-                    return (HARD if in_article or not names.isdisjoint(COMMENT_NAMES) else SOFT), False
-    return 0, main
+                    return True, (1.0, 1.0)
+                continue
+            for each in value.split():
+                words = set(_NAME.findall(each)) - NEUTRAL_NAMES
+                if words & (BOILERPLATE_NAMES | PAGE_NAMES):
+                    inside = min(inside, NAMED if words <= BOILERPLATE_NAMES and tag not in TEXTUAL else 1.0)
+                    outside = min(outside, NAMED if words <= BOILERPLATE_NAMES | PAGE_NAMES and tag not in TEXTUAL else PARTLY_NAMED)
+    return False, (inside, outside)
 
 
 def parse(html: str) -> Node:
-    """The tree of a page; text of dropped elements is left out."""
+    """The tree of a page, without the text of scripts and the like."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
     open_tags: Counter[str] = Counter()  # so that the stack is searched only for what is on it
@@ -89,14 +108,13 @@ def parse(html: str) -> Node:
     def close(i: int) -> None:
         for x in stack[i:]:
             open_tags[x.tag] -= 1
-            open_tags["#main"] -= x.main
         del stack[i:]
 
     last = html.rfind(">")
     while at < n:
         m = _TAG.search(html, at) if at <= last else None  # what follows the last tag is text
         text = html[at : m.start()] if m else html[at:]
-        if text and not stack[-1].dropped:
+        if text:
             stack[-1].children.append(text)
         if not m:
             break
@@ -124,23 +142,15 @@ def parse(html: str) -> Node:
             if cut is not None:
                 close(cut)
         up = stack[-1]
-        dropped, main = (HARD, False) if up.dropped == HARD else _boilerplate(tag, attributes, open_tags["#main"] > 0)
-        if up.dropped == SOFT and not dropped:
-            if main:  # the wrapper's name misled: the element counts as a child of what is around the wrapper
-                up = next(x for x in reversed(stack) if not x.dropped)
-            else:
-                dropped = SOFT
-        node = Node(tag, dropped, main)
+        dropped, names = _judged(tag, attributes, any(open_tags[t] for t in SECTIONS))
+        node = Node(tag, dropped or up.dropped, names)
         up.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            if not dropped:
-                node.children.append(html[at : end.start()])
             at = end.end()
         elif tag not in VOID:
             stack.append(node)
             open_tags[tag] += 1
-            open_tags["#main"] += main
     return root
 
 
@@ -149,7 +159,7 @@ def _postorder(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         out.append(node)
-        todo.extend(c for c in node.children if not isinstance(c, str) and not c.dropped)
+        todo.extend(node.elements())
     return out[::-1]
 
 
@@ -159,72 +169,104 @@ def measure(root: Node) -> list[Node]:
     for x in nodes:
         for c in x.children:
             if isinstance(c, str):
-                x.chars += len("".join(c.split())) if "&" not in c else len("".join(unescape(c).split()))
-            elif not c.dropped:
+                n = len("".join(c.split())) if "&" not in c else len("".join(unescape(c).split()))
+                x.chars += n
+                x.loose = x.loose or n > 0
+            else:
                 x.chars += c.chars
                 x.links += c.links
                 x.tags += c.tags + 1
                 x.link_tags += c.link_tags + (c.tag == "a")
         if x.tag == "a":
             x.links = x.chars
-    chars, links = max(1, root.chars), root.links
+    of_body = root.links / max(1, root.chars)
     for x in nodes:
         if x.chars:
-            base = math.log(x.chars / max(1, x.chars - x.links) * x.links + links / chars * x.chars + math.e)
             ratio = x.chars / max(1, x.links) * max(1, x.tags) / max(1, x.link_tags)
-            x.density = x.chars / max(1, x.tags) * math.log(max(ratio, 1.0) + 1e-9) / max(base, 1e-9) if base > 0 else 0.0
-        x.rank = sum(c.density for c in x.children if not isinstance(c, str) and not c.dropped)
+            base = math.log(x.chars / max(1, x.chars - x.links) * x.links + of_body * x.chars + math.e)
+            # a page without links has base 1 everywhere; the natural logarithm keeps the order of its densities
+            x.density = x.chars / max(1, x.tags) * math.log(max(ratio, 1.0)) / (math.log(base) if base > 1 else 1.0)
+        x.rank = sum(c.density * c.names[1] for c in x.elements() if not c.dropped)
     return nodes
 
 
-def _paths(root: Node) -> dict[int, Node]:
-    return {id(c): x for x in _postorder(root) for c in x.children if not isinstance(c, str)}
-
-
-def content(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order."""
-    nodes = measure(root)
-    mains, todo = [], [root]
+def densest(body: Node) -> tuple[Node, set[int], float]:
+    """The best-ranked node, the ids of the nodes from it up to the body, and the lowest density among them."""
+    best, most, up = body, 0.0, {}
+    todo = [(body, 1.0)]
     while todo:
-        x = todo.pop()
-        if x.main and x.chars > 0:
-            mains.append(x)
-        else:
-            todo.extend(c for c in reversed(x.children) if not isinstance(c, str) and not c.dropped)
-    if mains:
-        return mains
-    up = _paths(root)
-    body = next((x for x in nodes if x.tag == "body"), root)
-    inside = _postorder(body)
-    best = max(inside, key=lambda x: x.rank)
-    if best.rank <= 0:
-        return [body]
-    threshold, x, above = best.density, best, set()
+        x, left = todo.pop()
+        if x.rank * left > most:
+            best, most = x, x.rank * left
+        for c in reversed(x.elements()):
+            up[id(c)] = x
+            if not c.dropped:
+                todo.append((c, left * c.names[1]))
+    path, threshold, x = {id(best)}, best.density, best
     while x is not body:
         x = up[id(x)]
-        above.add(id(x))
+        path.add(id(x))
         threshold = min(threshold, x.density)
-    if best is body:
-        return [body]
-    todo = [body]
+    return best, path, threshold
+
+
+def content(root: Node) -> Node:
+    """The body, with all elements dropped that are no part of the main text."""
+    nodes = measure(root)
+    body = next((x for x in nodes if x.tag == "body" and not x.dropped), root)
+    while True:
+        gone = _drop(body)
+        named = [x for x in gone if min(x.names) < 1]
+        largest = max(named, key=lambda x: x.chars, default=None)
+        if largest is None or 10 * _visible(body) >= largest.chars:
+            return body
+        largest.names = (1.0, 1.0)
+        for x in gone:
+            x.dropped = False
+        for x in nodes:
+            x.rank = sum(c.density * c.names[1] for c in x.elements() if not c.dropped)
+
+
+def _visible(body: Node) -> int:
+    """Characters of what is not dropped."""
+    total, todo = body.chars, [body]
     while todo:
-        x = todo.pop()
-        loose = any(isinstance(c, str) and unescape(c).strip() for c in x.children)
-        for c in x.children:
-            if isinstance(c, str) or c.dropped or (loose and c.tag not in BLOCK and id(c) not in above):
-                continue
-            if id(c) in above:
+        for c in todo.pop().elements():
+            if c.dropped:
+                total -= c.chars
+            else:
                 todo.append(c)
-            elif c.density < threshold and 2 * c.links > c.chars and c.tag not in HEADINGS:
-                if any(isinstance(d, str) and unescape(d).strip() for d in c.children) or all(isinstance(d, str) for d in c.children):
-                    c.dropped = HARD
-                else:
-                    todo.append(c)
-    return [body]
+    return total
 
 
-def blocks(tops: list[Node]) -> list[str]:
-    """The texts of the blocks of these subtrees in page order."""
+def _drop(body: Node) -> list[Node]:
+    """Drops the elements under the body that are no part of the main text, and returns them."""
+    best, path, threshold = densest(body)
+    gone, todo = [], [(body, best is not body)]
+    while todo:
+        x, outside = todo.pop()
+        menus = outside or x is body
+        inherited = x.names[1] if outside and id(x) in path else 1.0  # the name of a wrapper is about what is beside the path
+        for c in x.elements():
+            if c.dropped:
+                continue
+            if id(c) in path:
+                todo.append((c, outside and c is not best))
+                continue
+            part_of_text, heading = x.loose and c.tag not in BLOCK, c.tag in HEADINGS
+            left = c.names[1 if menus else 0] * (1.0 if heading else inherited)
+            weak = left < 1 and c.density * left < threshold
+            menu = menus and not heading and 2 * c.links > c.chars and c.density < threshold and (c.loose or not c.elements())
+            if not part_of_text and (weak or menu):
+                c.dropped = True
+                gone.append(c)
+            elif not (menus and (part_of_text or heading)):
+                todo.append((c, menus))
+    return gone
+
+
+def blocks(top: Node) -> list[str]:
+    """The texts of the blocks of a subtree in page order."""
     out, run = [], []
 
     def flush() -> None:
@@ -233,26 +275,25 @@ def blocks(tops: list[Node]) -> list[str]:
         if text:
             out.append(text)
 
-    for top in tops:
-        todo: list[Node | str | None] = [top]
-        while todo:
-            x = todo.pop()
-            if x is None:
-                flush()
-            elif isinstance(x, str):
-                run.append(x)
-            elif not x.dropped:
-                if x.tag == "br":
-                    run.append(" ")
-                elif x.tag in BLOCK:
-                    flush()
-                    todo.append(None)
-                    todo.extend(reversed(x.children))
-                else:
-                    todo.extend(reversed(x.children))
+    todo: list[Node | str | None] = [top]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            flush()
+        elif isinstance(x, str):
+            run.append(x)
+        elif not x.dropped:
+            if x.tag == "br":
+                run.append(" ")
             elif x.tag in BLOCK:
                 flush()
-        flush()
+                todo.append(None)
+                todo.extend(reversed(x.children))
+            else:
+                todo.extend(reversed(x.children))
+        elif x.tag in BLOCK:
+            flush()
+    flush()
     return out
 
 
