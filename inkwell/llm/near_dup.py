@@ -1,17 +1,25 @@
 """Near duplicates by a MinHash LSH forest.
 
 Every document is sketched once: words (ASCII white space cut, A-Z lower-cased), the set of its distinct word
-shingles, and ``TREES * DEPTH`` minimum hashes. Documents with the same word sequence form one class, so that copies
-cost one row each and are never paired. Each tree orders the classes by its own DEPTH hashes; classes that agree on a
-prefix of that order lie next to each other and form a region. Depth adapts to the region: one of at most ``region``
-classes is done, a larger one is cut by the next hash of the order, as often as needed. Candidates are first each class
-with the first one of its region, and, when their links have been joined, all pairs of the small regions whose ends are
-still in different components. Regions that are still large at full depth make up families: there the classes that are
-not yet in the family's largest component are held against all its members, in blocks. Full depth is small and trees are
-many, so that a pair at the threshold shares a region of full depth in some tree almost surely (all but 5e-8 at 0.80,
-6e-11 at 0.85), and is met in it whether it is small or large. Candidates are
-judged by the whole signature, with a margin of five standard deviations below the threshold, then by the full
-shingle sets. Verified links are joined into components by label propagation with pointer jumping.
+shingles, and ``TREES * OWN`` minimum hashes. Documents with the same word sequence form one class, so that copies
+cost one row each and are never paired. Each tree orders the classes by the hashes from its own place in the signature
+on. Candidates come from these orders in three rounds, and after each the links found are joined into components, so
+that the next looks only at ends in different ones:
+
+1. neighbours: in each sorted order every class meets its predecessor, if they share a prefix of SHALLOW hashes; their
+   prefix is the longest that either shares with any class on that side. First only the neighbour that agrees best.
+2. all other neighbours, and all pairs of the small regions. A region holds the classes with a common prefix; depth
+   adapts to it: one of at most ``region`` classes is done, a larger one is cut by the next hash, down to FULL hashes.
+3. the regions that are still large at full depth make up families. Their classes meet the family's hub, the class with
+   the most links so far; then those still outside the family's largest component meet all members, as blocks of
+   signatures, so pairs are never rows. Where families are dense copies of each other few are left for that; it is the
+   one step whose work can grow faster than the input, and it takes 50 ns of CPU a pair.
+
+A pair that shares no region of full depth is no candidate by regions: with a chance of (1 - J^FULL)^TREES, 6e-5 at
+0.80 and 3e-7 at 0.85, if all its regions are cut that deep. Candidates are judged by the whole signature, with a margin
+of five standard deviations below the threshold, then by the full shingle sets. Verified links are joined by label
+propagation with pointer jumping. A class has at most two neighbours in an order, so no join of the first two rounds
+has a frequent key; those of the third have one row for each family on one side, so that the other can be split.
 
 Null or empty texts and texts without words have no shingles, link with nothing and are their own component; texts
 with fewer words than a shingle have their whole sequence as one shingle. Rows that repeat a doc_id are judged each
@@ -30,12 +38,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.llm.common import checkpoint, materialize, slices, within_keys, without_keys
 
-#: A pair of similarity J is no candidate with a chance of (1 - J^DEPTH)^TREES at most, however large its regions are.
-TREES, DEPTH, SHALLOW, REGION = 32, 4, 2, 24
-WORDS_KEPT = 400_000
+#: Trees, hashes of their own, hashes that order them (the next trees' follow a tree's own), depths of regions, and the
+#: classes of a small region.
+TREES, OWN, ORDER, SHALLOW, FULL, REGION = 32, 4, 12, 2, 6, 24
+WORDS_KEPT = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -100,7 +110,7 @@ def sketches(documents: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, key (128-bit hash of the word sequence), n_shingles, sig (null without words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, mult = Shingler(words), _multipliers(TREES * DEPTH)
+        cut, mult = Shingler(words), _multipliers(TREES * OWN)
         for b in slices(batches):
             keys, sizes, sigs, seen = [], [], [], {}
             for text in b.column("text").to_pylist():
@@ -131,45 +141,105 @@ def _small_pairs(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_regions(rows: DataFrame, depth: int) -> DataFrame:
-    """rows (tree, pre, cls, n) that share their prefix of this depth with another class, with the region's size and
-    first class. Most prefixes are alone; their rows are dropped before the join."""
+    """rows (tree, pre, cls, n) that share their prefix of this depth with another class, with the region and its size.
+    Most prefixes are alone; their rows are dropped before the join."""
     keyed = rows.withColumn("region", F.xxhash64("tree", F.expr(f"substring(pre, 1, {4 * depth})")))
-    sizes = materialize(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first")).filter("size > 1"), f"sizes-{depth}")
-    return within_keys(keyed, "region", sizes.select("region")).join(sizes, "region")
+    sizes = materialize(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), f"sizes-{depth}")
+    return materialize(within_keys(keyed, "region", sizes.select("region")).join(sizes, "region"), f"regions-{depth}")
 
 
-def forest(nodes: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
-    """The regions in which the orders of the trees bring classes together, as rows (region, cls, n, size, first):
-    small ones, each at the depth that made it small, and those that stay large at full depth (None: there are none)."""
-    rows = nodes.select(F.posexplode(F.array(*(F.expr(f"substring(sig, {4 * DEPTH * t + 1}, {4 * DEPTH})") for t in range(TREES)))).alias("tree", "pre"), "cls", "n")
+def orders(nodes: DataFrame) -> DataFrame:
+    """tree, pre (the hashes that order it), cls, n, region, size of the classes that share SHALLOW hashes with another."""
+    around = nodes.select("cls", "n", F.concat("sig", F.expr(f"substring(sig, 1, {4 * (ORDER - OWN)})")).alias("sig"))
+    rows = around.select(F.posexplode(F.array(*(F.expr(f"substring(sig, {4 * OWN * t + 1}, {4 * ORDER})") for t in range(TREES)))).alias("tree", "pre"), "cls", "n")
+    return _with_regions(rows, SHALLOW)
+
+
+def forest(shared: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
+    """The regions of the orders, as rows (region, cls, n): small ones, each at the depth that made it small, and those
+    that stay large at full depth (None: there are none)."""
     small = []
-    for depth in range(SHALLOW, DEPTH + 1):
-        shared = materialize(_with_regions(rows, depth), f"regions-{depth}")
-        members = shared.select("region", "cls", "n", "size", "first")
-        small.append(members.filter(F.col("size") <= region))
-        rows = shared.filter(F.col("size") > region).select("tree", "pre", "cls", "n")
-        if rows.isEmpty():
-            break
-    else:
-        return reduce(DataFrame.unionByName, small), members.filter(F.col("size") > region)
-    return reduce(DataFrame.unionByName, small), None
+    for depth in range(SHALLOW, FULL + 1):
+        small.append(shared.filter(F.col("size") <= region).select("region", "cls", "n"))
+        large = shared.filter(F.col("size") > region)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, small), None
+        if depth < FULL:
+            shared = _with_regions(large.select("tree", "pre", "cls", "n"), depth + 1)
+    return reduce(DataFrame.unionByName, small), large.select("region", "cls", "n")
+
+
+def neighbours(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): in each order every class with its predecessor, if they share SHALLOW hashes and their sizes allow it.
+
+    The orders are range-sorted over all tasks; where a task ends, its last row meets the next one's first."""
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = shared.select("tree", "pre", "cls", "n").repartitionByRange(parts, "tree", "pre", "cls").sortWithinPartitions("tree", "pre", "cls")
+    kinds = {"tree": pa.int32(), "pre": pa.binary(), "cls": pa.int64(), "n": pa.int64(), "place": pa.int64(), "other": pa.int64(), "m": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = place = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = 2 * b.column("part")[0].as_py()
+            rows = pa.Table.from_batches([b.select(["tree", "pre", "cls", "n"])])
+            edge = rows.slice(0, 1 if last is None else 0)
+            if last is not None:
+                rows = pa.concat_tables([last, rows])
+            tree, cls, n = (rows.column(c).to_numpy() for c in ("tree", "cls", "n"))
+            pre = np.frombuffer(b"".join(rows.column("pre").to_pylist()), np.uint32).reshape(len(tree), -1)[:, :SHALLOW]
+            at = np.flatnonzero((tree[1:] == tree[:-1]) & (pre[1:] == pre[:-1]).all(axis=1))
+            yield _table(kinds, cls=cls[at], n=n[at], other=cls[at + 1], m=n[at + 1])
+            yield _table(kinds, **{c: edge.column(c) for c in ("tree", "pre", "cls", "n")}, place=[place] * edge.num_rows)
+            last = rows.slice(rows.num_rows - 1)
+        if last is not None:
+            yield _table(kinds, **{c: last.column(c) for c in ("tree", "pre", "cls", "n")}, place=[place + 1])
+
+    found = materialize(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, "tree int, pre binary, cls long, n long, place long, other long, m long"), "neighbours")
+    ends = found.filter("place IS NOT NULL")  # two rows for each task
+    before = F.lag(F.struct("tree", "pre", "cls", "n", "place")).over(Window.partitionBy(F.lit(1)).orderBy("place"))
+    met = ends.withColumn("before", before).filter(f"before.tree = tree AND substring(before.pre, 1, {4 * SHALLOW}) = substring(pre, 1, {4 * SHALLOW}) AND before.place % 2 = 1 AND place % 2 = 0")
+    pairs = found.filter("other IS NOT NULL").select("cls", "n", "other", "m").unionByName(met.select(F.col("before.cls").alias("cls"), F.col("before.n").alias("n"), F.col("cls").alias("other"), F.col("n").alias("m")))
+    return pairs.filter(_similar_sizes("n", "m", percent)).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
+def _table(kinds: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
+    """A batch of the columns given, the others null."""
+    rows = len(next(iter(columns.values())))
+    cast = lambda c, t: (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c)).cast(t)
+    return pa.RecordBatch.from_arrays([cast(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in kinds.items()], list(kinds))
+
+
+def least_agreement(percent: int) -> int:
+    """Equal hashes that a pair at the threshold has, less five standard deviations."""
+    t, n = percent / 100, TREES * OWN
+    return math.floor(n * (t - 5 * math.sqrt(t * (1 - t) / n)))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in at least the threshold less five standard deviations."""
-    t, n = percent / 100, TREES * DEPTH
-    least = math.floor(n * (t - 5 * math.sqrt(t * (1 - t) / n)))
-    sig = nodes.select("cls", "sig")
+    """a, b, agree (equal hashes) of the pairs whose signatures agree well enough."""
+    sig, least = nodes.select("cls", "sig"), least_agreement(percent)
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing(least), "a long, b long, agree int")
 
+
+def _agreeing(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
                 a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint32).reshape(x.num_rows, -1) for c in ("sa", "sb"))
-                keep = pa.array((a == b).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([x.column("a").filter(keep), x.column("b").filter(keep)], ["a", "b"])
+                agree = (a == b).sum(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(agree)], ["a", "b", "agree"]).filter(pa.array(agree >= least))
+
+    return run
+
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    one, two = label.toDF("a", "ca"), label.toDF("b", "cb")
+    both = pairs.join(one, "a", "left").join(two, "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def class_texts(documents: DataFrame, nodes: DataFrame, cls: DataFrame) -> DataFrame:
@@ -234,87 +304,96 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, reg
     classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("cls"))
     own = sketch.select(F.col("doc_id").alias("cls"), "key", F.col("n_shingles").alias("n"), "sig").join(classes, ["key", "cls"])
     nodes = materialize(own.groupBy("cls", "key").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-    small, large = forest(nodes, region)
-    judge = lambda pairs: verified(likely(pairs, nodes, percent), documents, nodes, words, percent)
-    # first each class with the first of its region: that already joins most families
-    firsts = nodes.select(F.col("cls").alias("first"), F.col("n").alias("nf"))
-    every = small if large is None else small.unionByName(large)
-    star = every.filter("cls != first").select("cls", "n", "first").distinct().join(firsts, "first").filter(_similar_sizes("n", "nf", percent))
-    links = judge(star.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
+    judge = lambda pairs: verified(pairs.select("a", "b"), documents, nodes, words, percent)
+    shared = orders(nodes)
+    # first each class with the neighbour that agrees best
+    near = materialize(likely(neighbours(shared, percent), nodes, percent), "near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("cls"), F.struct("agree", "a", "b").alias("pair"))
+    links = judge(ends.groupBy("cls").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct())
     label = components(links)
-    # then the pairs of the small regions that lie in different components
-    links = materialize(links.unionByName(judge(_small_pairs(small.select("region", "cls", "n"), label, percent))), "links")
+    # then the other neighbours and the pairs of small regions
+    small, large = forest(shared, region)
+    others = apart(near, label).unionByName(likely(_small_pairs(small, label, percent), nodes, percent).select("a", "b")).distinct()
+    links = materialize(links.unionByName(judge(others)), "links")
     label = components(links)
-    # then, in the families of large regions, the classes outside a family's largest component with all its members
+    # then what regions that stay large have besides
     if large is not None:
-        links = materialize(links.unionByName(_family_links(large, label, documents, nodes, words, percent)), "links")
-        label = components(links)
+        members = _families(large)
+        for candidates in (_hub_pairs, _block_pairs):
+            links = materialize(links.unionByName(judge(candidates(members, label, links, nodes, percent))), "links")
+            label = components(links)
     known = materialize(classes.join(label, "cls", "left").select("key", F.coalesce("component", "cls").alias("component_id")), "classes")
     out = sketch.select("doc_id", "key", "n_shingles").join(known, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _family_links(large: DataFrame, label: DataFrame, documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links between different components inside the families that large regions (region, cls, first) make up.
-
-    The classes outside the largest component of a family are held against all its classes, whole sets against whole
-    sets, in blocks: a row is a block of the ones with a block of the others, and only links leave a task."""
-    family = components(large.filter("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
-    at = checkpoint(family.withColumnRenamed("component", "family").join(label, "cls", "left").select("family", "cls", F.coalesce("component", "cls").alias("component")))
+def _families(large: DataFrame) -> DataFrame:
+    """(family, cls): classes of large regions (region, cls) that share one, or are joined by others that do, have one
+    family. Regions and classes take the smallest name they meet in turn, until none changes."""
+    rows = large.select("region", "cls").withColumn("family", F.col("region"))
+    while True:
+        of_class = rows.groupBy("cls").agg(F.min("family").alias("f"))
+        rows_f = rows.join(of_class, "cls").select("region", "cls", "family", "f")
+        of_region = materialize(rows_f.groupBy("region").agg(F.min("f").alias("g"), F.max("family").alias("was"), F.min("family").alias("low")), "of-region")
+        rows = materialize(rows.select("region", "cls").join(of_region.select("region", F.col("g").alias("family")), "region"), "family-rows")
+        if of_region.filter("g < was").isEmpty():
+            return materialize(rows.select("family", "cls").distinct(), "families")
+
+
+def _placed(members: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """family, cls, component, n, sig of the members."""
+    with_label = members.join(label, "cls", "left").select("family", "cls", F.coalesce("component", "cls").alias("component"))
+    return with_label.join(nodes.select("cls", "n", "sig"), "cls")
+
+
+def _hub_pairs(members: DataFrame, label: DataFrame, links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Each family's members outside its hub's component with the hub, as far as sizes and signatures allow."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
+    hub = members.join(degree, "cls", "left").groupBy("family").agg(F.max_by("cls", F.struct(F.coalesce("degree", F.lit(0)), -F.col("cls"))).alias("hub"))
+    at = materialize(_placed(members, label, nodes), "placed")
+    hubs = materialize(at.join(hub, "family").filter("cls = hub").select("family", "hub", F.col("component").alias("hc"), F.col("n").alias("m"), F.col("sig").alias("sb")), "hubs")
+    met = at.join(hubs, "family").filter(F.col("component") != F.col("hc")).filter(_similar_sizes("n", "m", percent))
+    found = met.select(F.col("cls").alias("a"), F.col("hub").alias("b"), F.col("sig").alias("sa"), "sb").mapInArrow(_agreeing(least_agreement(percent)), "a long, b long, agree int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_pairs(members: DataFrame, label: DataFrame, links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The classes outside the largest component of their family with all its classes, as far as sizes and signatures
+    allow: a row is a block of the ones with a block of the others, and only pairs that pass leave a task."""
+    at = materialize(_placed(members, label, nodes), "placed")
     most = at.groupBy("family", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("family").agg(F.max_by("component", F.struct("held", "component")).alias("most"))
-    at = checkpoint(at.join(most, "family").select("family", "cls", "component", (F.col("component") != F.col("most")).alias("apart")))
-    at = at.join(at.filter("apart").select("family").distinct(), "family", "left_semi")
-    texts = class_texts(documents, nodes, at.select("cls")).join(at.withColumnRenamed("cls", "doc_id"), "doc_id")
-    texts = materialize(texts, "families")
+    at = at.join(materialize(most, "most"), "family").withColumn("out", F.col("component") != F.col("most"))
 
     def packed(rows: DataFrame, name: str, size: int) -> DataFrame:
-        """One row per family and block of about size classes and at most about 4 MB."""
-        cuts = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / size, F.sum(F.length("text")) / 4e6)).cast("int").alias("cuts"))
-        placed = rows.join(cuts, "family").withColumn(name, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("cuts")).cast("int"))
-        return placed.groupBy("family", name, F.col("cuts").alias(f"{name}_cuts")).agg(F.collect_list(F.struct("doc_id", "component", "text")).alias(f"{name}_rows"))
+        """One row per family and block of about size classes."""
+        cuts = materialize(rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cuts")), "cuts")
+        placed = rows.join(cuts, "family").withColumn(name, F.pmod(F.xxhash64("cls", F.lit(5)), F.col("cuts")).cast("int"))
+        return placed.groupBy("family", name, F.col("cuts").alias(f"{name}_cuts")).agg(F.collect_list(F.struct("cls", "component", "n", "sig")).alias(f"{name}_rows"))
 
-    apart = materialize(packed(texts.filter("apart"), "few", 128), "apart")
-    counts = apart.groupBy("family").agg(F.max("few_cuts").cast("int").alias("n"))
-    every = packed(texts, "many", 256).join(counts, "family").withColumn("few", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = every.join(apart, ["family", "few"]).select("few_rows", "many_rows")
+    few = materialize(packed(at.filter("out"), "few", 512), "apart")
+    counts = few.groupBy("family").agg(F.max("few_cuts").cast("int").alias("cuts_met"))
+    every = packed(at.join(counts.select("family"), "family", "left_semi"), "many", 1024).join(counts, "family")
+    met = every.withColumn("few", F.explode(F.sequence(F.lit(0), F.col("cuts_met") - 1))).join(few, ["family", "few"]).select("few_rows", "many_rows")
+    least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Shingler(words)
         for x in slices(batches, 1):
-            few, many = x.column("few_rows")[0].as_py(), x.column("many_rows")[0].as_py()
-            found = joined([cut.shingles(r["text"]) for r in few], [cut.shingles(r["text"]) for r in many], percent)
-            ends = [(few[i], many[j]) for i, j in zip(*found, strict=True) if few[i]["component"] != many[j]["component"]]
-            pairs = [sorted((p["doc_id"], q["doc_id"])) for p, q in ends]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-    return materialize(met.mapInArrow(run, "a long, b long").distinct(), "family-links")
-
-
-def joined(few: list[np.ndarray], many: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets (sorted arrays) whose similarity reaches the threshold; counts common elements by
-    multiplying incidence matrices, some columns at a time."""
-    vocabulary = np.unique(np.concatenate(few))
-
-    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row, value = np.repeat(np.arange(len(sets)), list(map(len, sets))), np.concatenate(sets)
-        column = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
-        known = vocabulary[column] == value
-        order = np.argsort(column[known], kind="stable")
-        return row[known][order], column[known][order]
-
-    common, width = np.zeros((len(few), len(many)), np.float64), 4096
-    (fr, fc), (mr, mc) = cells(few), cells(many)
-    for at in range(0, len(vocabulary), width):
-        parts = []
-        for r, c, n in ((fr, fc, len(few)), (mr, mc, len(many))):
-            i, j = np.searchsorted(c, [at, at + width])
-            part = np.zeros((n, width), np.float32)
-            part[r[i:j], c[i:j] - at] = 1
-            parts.append(part)
-        common += parts[0] @ parts[1].T
-    total = np.array(list(map(len, few)))[:, None] + np.array(list(map(len, many)))[None, :]
-    return np.nonzero(100 * common >= percent * (total - common))
+            sides = []
+            for c in ("few_rows", "many_rows"):
+                rows = x.column(c).values
+                sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint32).reshape(len(rows), -1)
+                sides.append((*(rows.field(f).to_numpy() for f in ("cls", "component", "n")), sig))
+            (cls, component, n, sig), (cls_m, component_m, n_m, sig_m) = sides
+            a, b = [], []
+            for i in range(len(cls)):
+                fit = np.flatnonzero((component_m != component[i]) & (100 * np.minimum(n_m, n[i]) >= percent * np.maximum(n_m, n[i])))
+                fit = fit[(sig_m[fit] == sig[i]).sum(axis=1) >= least]
+                a.append(np.minimum(cls_m[fit], cls[i]))
+                b.append(np.maximum(cls_m[fit], cls[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
