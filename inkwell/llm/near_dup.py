@@ -6,10 +6,12 @@ cost one row each and are never paired. Each tree orders the classes by the hash
 on. Candidates come from these orders in three rounds, and after each the links found are joined into components, so
 that the next looks only at ends in different ones:
 
-1. neighbours: in each sorted order every class meets its predecessor, if they share a prefix of SHALLOW hashes; their
-   prefix is the longest that either shares with any class on that side. First only the neighbour that agrees best.
-2. all other neighbours, and all pairs of the small regions. A region holds the classes with a common prefix; depth
-   adapts to it: one of at most ``region`` classes is done, a larger one is cut by the next hash, down to FULL hashes.
+1. neighbours: in ORDERS of the sorted orders every class meets its predecessor, if they share a prefix of SHALLOW
+   hashes; their prefix is the longest that either shares with any class on that side. First only the neighbour that
+   agrees best.
+2. all other neighbours, and all pairs of the small regions of all trees. A region holds the classes with a common
+   prefix; depth adapts to it: one of at most ``region`` classes is done, a larger one is cut by the next STEP hashes,
+   down to FULL hashes.
 3. the regions that are still large at full depth make up families. Their classes meet the family's hub, the class with
    the most links so far; then those still outside the family's largest component meet all members, as blocks of
    signatures, so pairs are never rows. Where families are dense copies of each other few are left for that; it is the
@@ -40,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import checkpoint, materialize, slices, within_keys, without_keys
+from inkwell.llm.common import materialize, slices, within_keys, without_keys
 
-#: Trees, hashes of their own, hashes that order them (the next trees' follow a tree's own), depths of regions, and the
-#: classes of a small region.
-TREES, OWN, ORDER, SHALLOW, FULL, REGION = 32, 4, 12, 2, 6, 24
+#: Trees, hashes of their own, hashes that order them (the next trees' follow a tree's own), least and full depth of
+#: regions and the step between, the classes of a small region, and the orders in which neighbours meet.
+TREES, OWN, ORDER, SHALLOW, FULL, STEP, REGION, ORDERS = 32, 4, 12, 2, 6, 2, 24, 4
 WORDS_KEPT = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -159,22 +161,22 @@ def forest(shared: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFram
     """The regions of the orders, as rows (region, cls, n): small ones, each at the depth that made it small, and those
     that stay large at full depth (None: there are none)."""
     small = []
-    for depth in range(SHALLOW, FULL + 1):
+    for depth in range(SHALLOW, FULL + 1, STEP):
         small.append(shared.filter(F.col("size") <= region).select("region", "cls", "n"))
         large = shared.filter(F.col("size") > region)
         if large.isEmpty():
             return reduce(DataFrame.unionByName, small), None
         if depth < FULL:
-            shared = _with_regions(large.select("tree", "pre", "cls", "n"), depth + 1)
+            shared = _with_regions(large.select("tree", "pre", "cls", "n"), depth + STEP)
     return reduce(DataFrame.unionByName, small), large.select("region", "cls", "n")
 
 
-def neighbours(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): in each order every class with its predecessor, if they share SHALLOW hashes and their sizes allow it.
+def neighbours(shared: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
+    """(a, b): in each of the first orders every class with its predecessor, if they share SHALLOW hashes and their sizes allow it.
 
     The orders are range-sorted over all tasks; where a task ends, its last row meets the next one's first."""
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = shared.select("tree", "pre", "cls", "n").repartitionByRange(parts, "tree", "pre", "cls").sortWithinPartitions("tree", "pre", "cls")
+    ordered = shared.filter(F.col("tree") < orders).select("tree", "pre", "cls", "n").repartitionByRange(parts, "tree", "pre", "cls").sortWithinPartitions("tree", "pre", "cls")
     kinds = {"tree": pa.int32(), "pre": pa.binary(), "cls": pa.int64(), "n": pa.int64(), "place": pa.int64(), "other": pa.int64(), "m": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +288,13 @@ def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, words: in
 
 def components(links: DataFrame) -> DataFrame:
     """(cls, component): for every end of a link the smallest end it reaches."""
-    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("v"), "l"))
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
+    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("v"), "l"), "labels")
     while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("l").alias("m"))
         step = labels.join(near, labels.v == near.a).select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         up = labels.select(F.col("v").alias("w"), F.col("l").alias("jump"))
-        step = checkpoint(step.join(up, step.l == up.w, "left").select("v", "old", F.least("l", F.coalesce("jump", "l")).alias("l")))
+        step = materialize(step.join(up, step.l == up.w, "left").select("v", "old", F.least("l", F.coalesce("jump", "l")).alias("l")), "labels")
         if step.filter("l < old").isEmpty():
             return labels.select(F.col("v").alias("cls"), F.col("l").alias("component"))
         labels = step.select("v", "l")
