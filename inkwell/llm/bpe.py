@@ -1,17 +1,19 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The distinct words of a slice of a partition are laid out as one array of symbols. An index maps every adjacent pair
+A partition is worked through in slices of bounded size, so that an index fits any memory. The distinct words of a
+slice that are not remembered from earlier ones are laid out as one array of symbols. An index maps every adjacent pair
 that has a merge rank to all the positions where it stands; the active ranks are taken in ascending order, each merge
 is applied to all its positions at once, and the pairs that it creates left and right are added to the index (a lower
 rank that becomes active is taken next). Words are independent and inside a word the lowest rank always goes first, so
-this gives the same symbols as merging word by word. Finished words are remembered, a bounded number of them.
+this gives the same symbols as merging word by word. The ids of finished pieces are remembered, up to MEMORY_BYTES in
+each Python worker; ids as text and the decoded text are made from the ids of each document.
 
 The vocabulary file is one of the tokenizers library's JSON files with a BPE model of words (``</w>`` suffix), NFC,
 white space and lower-case normalisers, a removing split pattern and the byte-level alphabet. No text is truncated or
 padded and no special tokens are added; where the strings of special tokens stand in a text they become their ids.
 
 Defined results: a null or empty text, or one of white space only, has no ids, and the empty text is decoded from it.
-Rows that repeat an id are encoded one by one. Other columns of the input are ignored.
+Rows that repeat an id are encoded one by one, a null id is passed through. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from inkwell.llm.common import Memory, slices
 
-#: Pieces remembered in each of two generations.
-PIECES_KEPT = 300_000
+#: What an encoder may remember; a Python worker holds one encoder for each vocabulary file that it meets.
+MEMORY_BYTES = 48 << 20
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Characters that Python's split() takes for white space and Unicode does not.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -47,7 +49,7 @@ def byte_alphabet() -> list[str]:
 class PairIndexEncoder:
     """Words to ids with one vocabulary file, which is read where the encoder is made."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory_bytes: int = MEMORY_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -70,7 +72,9 @@ class PairIndexEncoder:
         self.left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([self.vocab[b] for _, b in pairs], np.int64)
         self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        self.memory = Memory(PIECES_KEPT)
+        self.memory = Memory(memory_bytes)
+        self.kind = "<u2" if self.base <= 1 << 16 else "<u4"
+        self.numbers = list(map(str, range(self.base)))
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs of symbols, -1 where there is no merge."""
@@ -158,29 +162,27 @@ class PairIndexEncoder:
                     for w in self.split.findall(self._normal(part)):
                         plan.append(words.setdefault(w.encode("utf-8", "surrogatepass"), len(words)) - (1 << 40))
             plans.append(plan)
-        done = [a.tolist() for a in self.encode_words(list(words))] if words else []
-        token = self.token
-        for p, plan in zip(pieces, plans, strict=True):
-            ids = [i for x in plan for i in (done[x + (1 << 40)] if x < 0 else (x,))]
-            self.memory.young[p] = (" ".join(map(str, ids)), len(ids), " ".join([token[i] for i in ids]))
+        done = [a.astype(self.kind).tobytes() for a in self.encode_words(list(words))] if words else []
+        self.memory.add({p: b"".join([done[x + (1 << 40)] if x < 0 else np.array(x, self.kind).tobytes() for x in plan]) for p, plan in zip(pieces, plans, strict=True)})
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[str, int, str]]]:
-        """For each text its pieces in order: (ids as text, their number, decoded text); pieces without ids left out."""
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
         cut = []
         for t in texts:
             t = t or ""
             cut.append(t.split() if not _SEPARATORS.search(t) else [p for p in _SPACES.split(t) if p])
-        self.learn(self.memory.missing(set().union(*cut)))
+        self.learn(list(self.memory.missing(set().union(*cut))))
         known = self.memory.young
-        return [[k for k in map(known.__getitem__, ps) if k[1]] for ps in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, ps)), self.kind).tolist() for ps in cut]
 
     def ids(self, text: str | None) -> list[int]:
-        return [int(i) for k in self.encode([text])[0] for i in k[0].split(" ")]
+        return self.encode([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by one space: what a file without a decoder gives; special tokens are kept, ids that the
         vocabulary lacks are left out."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        token = self.token
+        return " ".join([token[i] for i in ids if i in token])
 
 
 @lru_cache(maxsize=2)
@@ -193,7 +195,7 @@ def _encoded(documents: DataFrame, path: str, columns: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pair_index_encoder(path)
         for b in slices(batches, 1024):
-            done = [make(pieces) for pieces in encoder.encode(b.column("text").to_pylist())]
+            done = [make(encoder, ids) for ids in encoder.encode(b.column("text").to_pylist())]
             rows = list(zip(*done, strict=True)) if done else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], ["doc_id", *names])
 
@@ -205,18 +207,14 @@ def _encoded(documents: DataFrame, path: str, columns: str, make) -> DataFrame:
 
 def encode_bpe(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded of every whole text. The decoded text comes from the ids' tokens."""
-
-    def make(pieces):
-        return [int(i) for k in pieces for i in k[0].split(" ")], " ".join([k[2] for k in pieces])
-
-    return _encoded(documents, path, "ids array<int>, decoded string", make)
+    return _encoded(documents, path, "ids array<int>, decoded string", lambda encoder, ids: (ids, encoder.decode(ids)))
 
 
 def bpe_digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as encode_bpe, but only digests leave the tasks."""
 
-    def make(pieces):
-        ids, text = " ".join([k[0] for k in pieces]), " ".join([k[2] for k in pieces])
-        return sum(k[1] for k in pieces), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def make(encoder, ids):
+        numbers = " ".join(map(encoder.numbers.__getitem__, ids))
+        return len(ids), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()
 
     return _encoded(documents, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

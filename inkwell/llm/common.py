@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -21,12 +22,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors see; a temporary one only where none is configured."""
+    """The checkpoint folder all executors see. Where none is configured a temporary one serves a local master; on a
+    cluster that is an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-inkwell-')}")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-inkwell-')}"
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -46,16 +53,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to so many rows, so that Python objects of few documents live at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most so many rows and about so many bytes (one row at least), so that Python objects of
+    few documents live at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes))) if b.num_rows else 1
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -101,20 +105,24 @@ def without_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 
 class Memory:
-    """Results by key in two generations of at most so many entries: what is asked for again outlives the rest."""
+    """Results (bytes, or None) by text in two generations of about so many bytes together: what is asked for again
+    outlives the rest."""
+
+    #: Bytes that an entry takes in a dictionary, with the headers of key and value.
+    ENTRY = 186
 
     def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Makes room, and returns the keys that have to be stored in young; all others are in young afterwards."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    new.append(k)
-        return new
+        self.limit, self.size, self.young, self.old = limit, 0, {}, {}
+
+    def add(self, made: dict[str, bytes | None]) -> None:
+        self.young.update(made)
+        self.size += self.ENTRY * len(made) + sum(map(len, made)) + sum(map(len, filter(None, made.values())))
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Makes room, and returns the keys that have to be added; all others are in young afterwards."""
+        if 2 * self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = keys.difference(self.young)
+        known = new.intersection(self.old)
+        self.add({k: self.old[k] for k in known})
+        return new - known
