@@ -13,12 +13,13 @@ that the next looks only at ends in different ones:
    prefix; depth adapts to it: one of at most ``region`` classes is done, a larger one is cut by the next STEP hashes,
    down to FULL hashes.
 3. the regions that are still large at full depth make up families. Their classes meet the family's hub, the class with
-   the most links so far; then those still outside the family's largest component meet all members, as blocks of
-   signatures, so pairs are never rows. Where families are dense copies of each other few are left for that; it is the
-   one step whose work can grow faster than the input, and it takes 50 ns of CPU a pair.
+   the most links so far; then those still outside the family's largest component meet all members in blocks, signatures
+   first and then full sets, so pairs are never rows. Where families are dense copies of each other few are left for
+   that; it is the one step whose work can grow faster than the input (50 ns of CPU a pair for the signatures).
 
-A pair that shares no region of full depth is no candidate by regions: with a chance of (1 - J^FULL)^TREES, 6e-5 at
-0.80 and 3e-7 at 0.85, if all its regions are cut that deep. Candidates are judged by the whole signature, with a margin
+Inside a small region, the classes' signatures are compared by one byte of each hash, so only pairs that agree well
+become rows. A pair that shares no region is no candidate by regions: with a chance of (1 - J^SHALLOW)^TREES, 5e-8 at
+0.80 and 6e-11 at 0.85; if all its regions are cut to full depth, (1 - J^FULL)^TREES, 6e-5 and 3e-7. Candidates are judged by the whole signature, with a margin
 of five standard deviations below the threshold, then by the full shingle sets. Verified links are joined by label
 propagation with pointer jumping. A class has at most two neighbours in an order, so no join of the first two rounds
 has a frequent key; those of the third have one row for each family on one side, so that the other can be split.
@@ -46,7 +47,7 @@ from inkwell.llm.common import materialize, slices, within_keys, without_keys
 
 #: Trees, hashes of their own, hashes that order them (the next trees' follow a tree's own), least and full depth of
 #: regions and the step between, the classes of a small region, and the orders in which neighbours meet.
-TREES, OWN, ORDER, SHALLOW, FULL, STEP, REGION, ORDERS = 32, 4, 12, 2, 6, 2, 24, 4
+TREES, OWN, ORDER, SHALLOW, FULL, STEP, REGION, ORDERS = 32, 4, 12, 4, 6, 2, 24, 4
 WORDS_KEPT = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -109,7 +110,8 @@ def class_key(words: list[bytes]) -> bytes:
 
 
 def sketches(documents: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, key (128-bit hash of the word sequence), n_shingles, sig (null without words) of every row."""
+    """doc_id, key (128-bit hash of the word sequence), n_shingles, sig and tiny (one byte of each hash of sig; both null
+    without words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, mult = Shingler(words), _multipliers(TREES * OWN)
@@ -124,22 +126,43 @@ def sketches(documents: DataFrame, words: int = 3) -> DataFrame:
                 keys.append(key)
                 sizes.append(seen[key][0])
                 sigs.append(seen[key][1])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "sig"])
+            tiny = [None if g is None else g[::4] for g in sigs]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(tiny, pa.binary())], ["doc_id", "key", "n_shingles", "sig", "tiny"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary, tiny binary")
 
 
 def _similar_sizes(a: str, b: str, percent: int):
     return F.lit(100) * F.least(F.col(a), F.col(b)) >= F.lit(percent) * F.greatest(F.col(a), F.col(b))
 
 
-def _small_pairs(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """The pairs inside each region of rows (region, cls, n), which must be small, that no links join yet."""
-    rows = rows.join(label, "cls", "left").select("region", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    rows = materialize(rows, "members")
-    a, b = rows.toDF("region", "a", "na", "ca"), rows.toDF("region", "b", "nb", "cb")
-    met = a.join(b, (a.region == b.region) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", percent))
-    return met.select("a", "b").distinct()
+def _small_pairs(rows: DataFrame, label: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs inside each region of rows (region, cls, n), which must be small, that no links join yet and whose
+    signatures agree well enough by one byte of each hash. A region's few classes are gathered; pairs that disagree
+    are never rows."""
+    rows = materialize(rows.join(label, "cls", "left").select("region", "cls", "n", F.coalesce("component", "cls").alias("component")), "members")
+    torn = materialize(rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("region"), "torn")
+    held = within_keys(rows, "region", torn).join(nodes.select("cls", "tiny"), "cls")
+    gathered = held.groupBy("region").agg(F.collect_list(F.struct("cls", "component", "n", "tiny")).alias("members")).select("members")
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            lists = b.column("members")
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            cls, component, n = (flat.field(c).to_numpy() for c in ("cls", "component", "n"))
+            tiny = np.frombuffer(b"".join(flat.field("tiny").to_pylist()), np.uint8).reshape(len(cls), -1)
+            region = np.repeat(np.arange(len(sizes)), sizes)
+            pairs = []
+            for gap in range(1, int(sizes.max(initial=0))):
+                i = np.flatnonzero((region[gap:] == region[:-gap]) & (component[gap:] != component[:-gap]))
+                i = i[100 * np.minimum(n[i], n[i + gap]) >= percent * np.maximum(n[i], n[i + gap])]
+                i = i[(tiny[i] == tiny[i + gap]).sum(axis=1) >= least]
+                pairs.append(np.stack([np.minimum(cls[i], cls[i + gap]), np.maximum(cls[i], cls[i + gap])]))
+            a, c = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return gathered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _with_regions(rows: DataFrame, depth: int) -> DataFrame:
@@ -304,8 +327,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, reg
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketch = materialize(sketches(documents, words), "sketches")
     classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("cls"))
-    own = sketch.select(F.col("doc_id").alias("cls"), "key", F.col("n_shingles").alias("n"), "sig").join(classes, ["key", "cls"])
-    nodes = materialize(own.groupBy("cls", "key").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    own = sketch.select(F.col("doc_id").alias("cls"), "key", F.col("n_shingles").alias("n"), "sig", "tiny").join(classes, ["key", "cls"])
+    nodes = materialize(own.groupBy("cls", "key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("tiny").alias("tiny")), "nodes")
     judge = lambda pairs: verified(pairs.select("a", "b"), documents, nodes, words, percent)
     shared = orders(nodes)
     # first each class with the neighbour that agrees best
@@ -315,15 +338,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, reg
     label = components(links)
     # then the other neighbours and the pairs of small regions
     small, large = forest(shared, region)
-    others = apart(near, label).unionByName(likely(_small_pairs(small, label, percent), nodes, percent).select("a", "b")).distinct()
+    others = apart(near, label).unionByName(likely(_small_pairs(small, label, nodes, percent), nodes, percent).select("a", "b")).distinct()
     links = materialize(links.unionByName(judge(others)), "links")
     label = components(links)
     # then what regions that stay large have besides
     if large is not None:
         members = _families(large)
-        for candidates in (_hub_pairs, _block_pairs):
-            links = materialize(links.unionByName(judge(candidates(members, label, links, nodes, percent))), "links")
-            label = components(links)
+        links = materialize(links.unionByName(judge(_hub_pairs(members, label, links, nodes, percent))), "links")
+        label = components(links)
+        links = materialize(links.unionByName(_block_links(members, label, documents, nodes, words, percent)), "links")
+        label = components(links)
     known = materialize(classes.join(label, "cls", "left").select("key", F.coalesce("component", "cls").alias("component_id")), "classes")
     out = sketch.select("doc_id", "key", "n_shingles").join(known, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -360,42 +384,60 @@ def _hub_pairs(members: DataFrame, label: DataFrame, links: DataFrame, nodes: Da
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _block_pairs(members: DataFrame, label: DataFrame, links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The classes outside the largest component of their family with all its classes, as far as sizes and signatures
-    allow: a row is a block of the ones with a block of the others, and only pairs that pass leave a task."""
+def _block_links(members: DataFrame, label: DataFrame, documents: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links of the classes outside the largest component of their family with its other components.
+
+    A row is a block of the ones with a block of all; signatures and then full sets are compared inside the task, and
+    only links leave it, one for each class and component that it reaches in a block."""
     at = materialize(_placed(members, label, nodes), "placed")
     most = at.groupBy("family", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("family").agg(F.max_by("component", F.struct("held", "component")).alias("most"))
-    at = at.join(materialize(most, "most"), "family").withColumn("out", F.col("component") != F.col("most"))
+    at = materialize(at.join(materialize(most, "most"), "family").withColumn("out", F.col("component") != F.col("most")), "judged")
+    at = at.join(at.filter("out").select("family").distinct(), "family", "left_semi")
+    texts = class_texts(documents, nodes, at.select("cls").distinct()).withColumnRenamed("doc_id", "cls")
+    held = materialize(at.join(texts, "cls"), "texts")
 
     def packed(rows: DataFrame, name: str, size: int) -> DataFrame:
-        """One row per family and block of about size classes."""
-        cuts = materialize(rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cuts")), "cuts")
+        """One row per family and block of about size classes and 4 MB."""
+        cuts = materialize(rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / size, F.sum(F.length("text")) / 4e6)).cast("int").alias("cuts")), "cuts")
         placed = rows.join(cuts, "family").withColumn(name, F.pmod(F.xxhash64("cls", F.lit(5)), F.col("cuts")).cast("int"))
-        return placed.groupBy("family", name, F.col("cuts").alias(f"{name}_cuts")).agg(F.collect_list(F.struct("cls", "component", "n", "sig")).alias(f"{name}_rows"))
+        return placed.groupBy("family", name, F.col("cuts").alias(f"{name}_cuts")).agg(F.collect_list(F.struct("cls", "component", "n", "sig", "text")).alias(f"{name}_rows"))
 
-    few = materialize(packed(at.filter("out"), "few", 512), "apart")
+    few = materialize(packed(held.filter("out"), "few", 256), "apart")
     counts = few.groupBy("family").agg(F.max("few_cuts").cast("int").alias("cuts_met"))
-    every = packed(at.join(counts.select("family"), "family", "left_semi"), "many", 1024).join(counts, "family")
+    every = packed(held, "many", 512).join(counts, "family")
     met = every.withColumn("few", F.explode(F.sequence(F.lit(0), F.col("cuts_met") - 1))).join(few, ["family", "few"]).select("few_rows", "many_rows")
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingler(words)
         for x in slices(batches, 1):
             sides = []
             for c in ("few_rows", "many_rows"):
-                rows = x.column(c).values
+                rows = x.column(c).flatten()
                 sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint32).reshape(len(rows), -1)
-                sides.append((*(rows.field(f).to_numpy() for f in ("cls", "component", "n")), sig))
-            (cls, component, n, sig), (cls_m, component_m, n_m, sig_m) = sides
+                sides.append((*(rows.field(f).to_numpy() for f in ("cls", "component", "n")), sig, rows.field("text")))
+            (cls, component, n, sig, text), (cls_m, component_m, n_m, sig_m, text_m) = sides
+            sets: dict[int, np.ndarray] = {}
             a, b = [], []
             for i in range(len(cls)):
                 fit = np.flatnonzero((component_m != component[i]) & (100 * np.minimum(n_m, n[i]) >= percent * np.maximum(n_m, n[i])))
-                fit = fit[(sig_m[fit] == sig[i]).sum(axis=1) >= least]
-                a.append(np.minimum(cls_m[fit], cls[i]))
-                b.append(np.maximum(cls_m[fit], cls[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
+                agree = (sig_m[fit] == sig[i]).sum(axis=1)
+                fit, agree = fit[agree >= least], agree[agree >= least]
+                mine, reached = None, set()
+                for j in fit[np.argsort(-agree, kind="stable")].tolist():
+                    if component_m[j] in reached:
+                        continue
+                    mine = cut.shingles(text[i].as_py()) if mine is None else mine
+                    if j not in sets:
+                        sets[j] = cut.shingles(text_m[j].as_py())
+                    common = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                    if 100 * common >= percent * (len(mine) + len(sets[j]) - common):
+                        reached.add(component_m[j])
+                        a.append(min(cls[i], cls_m[j]))
+                        b.append(max(cls[i], cls_m[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return materialize(met.mapInArrow(run, "a long, b long").distinct(), "family-links")
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
