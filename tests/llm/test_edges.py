@@ -16,7 +16,7 @@ from inkwell.llm.html_text import extract_text
 from inkwell.llm.licenses import scan_licenses
 from inkwell.llm.mixing import fair_queue, mixture
 from inkwell.llm.near_dup import drop_near_duplicates, near_duplicates
-from inkwell.llm.quality import fit_quality, keep_quality, score_quality
+from inkwell.llm.quality import fit_quality, keep_quality, labelled_sample, rated_ids, score_quality
 from inkwell.llm.token_store import read_tokens, write_tokens
 from inkwell.llm.toxicity import fit_toxicity, lexicon_model, score_toxicity
 
@@ -105,6 +105,11 @@ def test_mixing(spark, docs, none):
     assert sum(r["size"] * r["taken_copies"] for r in rows) <= total
     assert fair_queue(none, (5, 2, 1)).count() == mixture(none, (5, 2, 1)).count() == 0
     assert mixture(docs, (5, 2, 1)).columns == docs.columns
+    # rows without an id and rows that repeat id and text stay documents of their own
+    twins = [(None, "a b c", "s"), (None, "a b c", "s"), (None, "a b c", "s"), (1, "d e f", "s"), (1, "d e f", "s"), (2, "x", "t")]
+    assert mixture(spark.createDataFrame(twins, SCHEMA), (1.0,)).groupBy("doc_id", "text").count().count() == 3
+    mixed = Counter(r["text"] for r in mixture(spark.createDataFrame(twins[:5], SCHEMA), (1.0,)).collect())
+    assert mixed == {"a b c": 3, "d e f": 2}
     many = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 5}" if i % 3 else "hot") for i in range(900)], SCHEMA)
     once, again = (sorted(map(tuple, fair_queue(many.repartition(n), (5, 2, 1)).collect())) for n in (1, 5))
     assert once == again
@@ -136,14 +141,13 @@ def test_bpe(docs, none):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    got = sorted(tuple(r) for r in bpe_digests(docs.filter("doc_id IS NOT NULL"), path).collect())
+    got = [tuple(r) for r in bpe_digests(docs, path).collect()]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = []
     for i, text, _ in ROWS:
-        if i is not None:
-            ids = t.encode(text or "", add_special_tokens=False).ids
-            want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
-    assert got == sorted(want)
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert bpe_digests(none, path).count() == 0
 
 
@@ -168,6 +172,10 @@ def test_classifiers(spark, docs, none):
         model = fit_toxicity(docs, given)
         scores = [r["score"] for r in score_toxicity(docs, model).collect()]
         assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
+    torn = spark.createDataFrame([(7, 1), (7, 0), (2, 1)], "doc_id long, quality int")
+    assert [r["doc_id"] for r in rated_ids(torn, "quality", F.lit(True)).collect()] == [2]
+    again = docs.unionByName(docs).unionByName(docs)
+    assert labelled_sample(again, rated_ids(labels, "quality", F.lit(True)), 10).count() == 2
     assert score_quality(none, fit_quality(none, labels)).count() == 0
     assert score_toxicity(none, lexicon_model({"bad": 1.0})).count() == 0
     assert keep_quality(docs, fit_quality(docs, labels.limit(0))).count() == len(ROWS)
