@@ -139,6 +139,10 @@ def _strings(element: Element) -> list[str]:
     return out
 
 
+#: Blocks that Markdown has a form for.
+OWN_FORM = frozenset("h1 h2 h3 h4 h5 h6 pre hr ul ol blockquote table".split())
+
+
 class _Writer:
     """Markdown of a tree. Blocks are separated by blank lines; white space in running text is squeezed."""
 
@@ -184,13 +188,20 @@ class _Writer:
             if text:
                 out.append(text)
 
-        for c in node.children:
-            if isinstance(c, str) or (c.tag not in BLOCKS and not self.has_blocks(c)):
+        todo: list[Element | str | None] = list(reversed(node.children))
+        while todo:  # plain containers are walked here, however deep they are nested; None ends one
+            c = todo.pop()
+            if c is None:
+                flush()
+            elif isinstance(c, str) or (c.tag not in BLOCKS and not self.has_blocks(c)):
                 run.append(self.inline(c))
-                continue
-            flush()
-            if c.tag not in SILENT:
-                out.extend(self.block(c))
+            else:
+                flush()
+                if c.tag in OWN_FORM:
+                    out.extend(self.block(c))
+                elif c.tag not in SILENT:
+                    todo.append(None)
+                    todo.extend(reversed(c.children))
         flush()
         return out
 

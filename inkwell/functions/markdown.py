@@ -46,36 +46,37 @@ def file_stem(path: Column | str) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+#: A role is its name between colons and its argument: text in backquotes, or a bare word; a doc role may also have a
+#: bare word with a target in angle brackets. A colon before backquotes is a role without a name.
+ROLE = r":(?:[a-z0-9_-]+:(?:`[^`]+`|(?<=:doc:)[^ \n`<>]+ <[^>]+>|[^ \n`]+)|(?=`[^`]))"
+
+
 def clean_roles(text: Column | str, base_url: str) -> Column:
-    """Documentation roles left in converted text: ``:doc:`` becomes a link, ``:setting:`` a link to its anchor, other
-    roles their content; tildes and escapes go, entities are decoded, blank lines squeezed."""
-    t = _col(text)
+    """Documentation roles left in converted text, in one pass over them: ``doc`` becomes a link, ``setting`` a link to
+    its anchor, other roles their content. Tildes and escapes go, entities are decoded, blank lines squeezed."""
+
+    def link(title: Column, path: Column) -> Column:
+        return F.concat(F.lit("["), title, F.lit(f"]({base_url}/"), path, F.lit(")"))
+
+    def role(match: Column) -> Column:
+        name = F.regexp_extract(match, r"^:([a-z0-9_-]*):", 1)
+        argument = F.regexp_replace(match, r"^:(?:[a-z0-9_-]+:)?", "")
+        bare = F.btrim(argument, F.lit("` "))
+        title, target = F.regexp_extract(bare, r"(?s)^([^<]*?) <", 1), F.regexp_extract(bare, r"(?s)^[^<]* <(.*)>$", 1)
+        titled = target != ""
+        page = F.regexp_replace(F.ltrim(F.when(titled, target).otherwise(bare), F.lit("/")), r"\.(?:txt|rst)|~", "")
+        page = F.regexp_replace(page, r"(?<=[^/])$", "/")
+        setting = F.regexp_replace(argument, r"[`~]|\\(?=_)", "")
+        anchor = F.concat(F.lit("ref/settings/#"), F.translate(F.lower(setting), "_", "-"))
+        linked = (name == "doc") & (argument.startswith("`") | titled)
+        return F.when(linked, link(F.when(titled, title).otherwise(bare), page)).when(name == "setting", link(setting, anchor)).otherwise(argument)
+
+    plain = _col(text)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-
-    def each(t: Column, pattern: str, link) -> Column:
-        """Replace every match of pattern by link(match): the gaps between matches, with the links in between."""
-        links = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), link)
-        return F.array_join(F.flatten(F.zip_with(F.split(t, pattern, -1), links, lambda gap, made: F.array(gap, F.coalesce(made, F.lit(""))))), "")
-
-    def doc(match: Column) -> Column:
-        content = F.regexp_replace(F.substring(match, 6, 1 << 20), r"^[` ]+|[` ]+$", "")
-        named = F.rlike(content, F.lit(r"^[^<]* <.*>$"))
-        shown = F.when(named, F.regexp_extract(content, r"^(.*?) <", 1)).otherwise(content)
-        path = F.when(named, F.regexp_extract(content, r" <(.*)>$", 1)).otherwise(content)
-        path = F.regexp_replace(F.ltrim(path, F.lit("/")), r"\.txt|\.rst|~", "")
-        path = F.when((path != "") & ~path.endswith("/"), F.concat(path, F.lit("/"))).otherwise(path)
-        return F.concat(F.lit("["), shown, F.lit(f"]({base_url}/"), path, F.lit(")"))
-
-    def setting(match: Column) -> Column:
-        name = F.replace(F.regexp_replace(F.substring(match, 10, 1 << 20), r"[`~]", ""), F.lit("\\_"), F.lit("_"))
-        return F.concat(F.lit("["), name, F.lit(f"]({base_url}/ref/settings/#"), F.translate(F.lower(name), "_", "-"), F.lit(")"))
-
-    t = each(t, r":doc:(?:`[^`]+`|[^ \n`<>]+ <[^>]+>)", doc)
-    t = each(t, r":setting:(?:`[^`]+`|[^ \n`]+)", setting)
-    t = F.replace(F.replace(F.replace(t, F.lit("~"), F.lit("")), F.lit("\\_"), F.lit("_")), F.lit("\\*"), F.lit("*"))
-    t = F.regexp_replace(t, r":[a-z0-9_-]+:(`[^`]+`|[^ \n`]+)", "$1")
-    return squeeze_newlines(F.regexp_replace(t, r":(`[^`]+`)", "$1"))
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    made = F.transform(F.regexp_extract_all(plain, F.lit(ROLE), F.lit(0)), role)
+    pieces = F.zip_with(F.split(plain, ROLE, -1), made, lambda between, one: F.concat(between, F.coalesce(one, F.lit(""))))
+    return squeeze_newlines(F.regexp_replace(F.array_join(pieces, ""), r"~|\\(?=[_*])", ""))
 
 
 def word_count(text: Column | str) -> Column:

@@ -21,17 +21,29 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: t != "")
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def term_counts(words: Column) -> Column:
+    """array of struct(term, tf) of an array of words: sorted, then cut where the word changes."""
+
+    def runs(row: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda i: (i == 0) | (F.get(row, i) != F.get(row, i - 1)))
+        return _let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(row))), lambda i, j: F.struct(F.get(row, i).alias("term"), (j - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(words) > 0, _let(F.array_sort(words), runs))
+
+
 def build_index(chunks: DataFrame, id_column: str = "chunk_id", cache: bool = False) -> dict[str, DataFrame]:
-    """Index tables of chunks (id, content, section_title): postings (term, id, field, tf, length), terms (term, field,
-    df) and fields (field, n, avg_length; a few rows). cache: keep the postings for several uses; an index that outlives
-    the job is better written as tables."""
-    words = None
-    for f in FIELDS:
-        part = chunks.select(F.col(id_column), F.lit(f).alias("field"), tokens(f).alias("words"))
-        words = part if words is None else words.unionByName(part)
-    words = words.withColumn("length", F.size("words"))
-    postings = words.select(id_column, "field", "length", F.explode("words").alias("term")).groupBy("term", id_column, "field", "length").agg(F.count(F.lit(1)).alias("tf"))
-    postings = postings.select("term", id_column, "field", "tf", "length")
+    """Index tables of chunks (id, content, section_title; one row each): postings (term, id, field, tf, length), terms
+    (term, field, df) and fields (field, n, avg_length; a few rows). Terms are counted inside each row, so postings are
+    made without a shuffle. cache: keep the postings for several uses; an index that outlives the job is better written
+    as tables."""
+    parts = [chunks.select(F.col(id_column), F.lit(f).alias("field"), tokens(f).alias("words")) for f in FIELDS]
+    words = parts[0].unionByName(parts[1]).withColumn("length", F.size("words"))
+    postings = words.select(id_column, "field", "length", F.inline(term_counts(F.col("words")))).select("term", id_column, "field", "tf", "length")
     if cache:
         postings = postings.cache()
     return {
@@ -42,8 +54,9 @@ def build_index(chunks: DataFrame, id_column: str = "chunk_id", cache: bool = Fa
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more rows than limit; else the join is left to the optimizer."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df for a broadcast if it has no more rows than limit, which are then computed once; else df for any join."""
+    rows = df.limit(limit + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= limit else df
 
 
 def top_k(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
@@ -57,17 +70,27 @@ def top_k(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
 def search(index: dict[str, DataFrame], queries: DataFrame, k: int = 50, title_boost: float = 3.0, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None, id_column: str = "chunk_id", digits: int | None = None) -> DataFrame:
     """query_id, id, score, rank: the best k chunks for each query (query_id, query) with any of its terms.
 
-    Postings are cut to the queries' terms before anything is shuffled. allowed: only these ids may be hits (the
-    statistics stay those of the whole index). digits: round scores before ranking."""
+    Postings are cut to the queries' terms before anything is shuffled, if these can be broadcast. allowed: only these
+    ids may be hits (the statistics stay those of the whole index); if it has target_version and category and the queries
+    have filters of these names too, a query meets only chunks that fit its own (null, empty or All: any). digits: round
+    scores before ranking."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     weights = asked.join(index["terms"], "term").join(F.broadcast(index["fields"]), "field")
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = weights.select("query_id", "term", "field", (idf * F.when(F.col("field") == "section_title", F.lit(title_boost)).otherwise(F.lit(1.0))).alias("weight"), "avg_length")
-    postings = index["postings"] if allowed is None else index["postings"].join(allowed.select(id_column), id_column, "left_semi")
-    met = postings.join(small(weights), ["term", "field"])
+    met = index["postings"].join(small(weights), ["term", "field"])
     # a field without any word has no postings, so the average length is not 0 here
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     scored = met.groupBy("query_id", id_column).agg(F.sum(part).alias("score"))
+    filters = [c for c in ("target_version", "category") if allowed is not None and c in allowed.columns and c in queries.columns]
+    if filters:
+        own = queries.select("query_id", *(F.col(c).alias(f"__{c}") for c in filters))
+        scored = scored.join(allowed.select(id_column, *filters), id_column).join(own, "query_id")
+        for c in filters:
+            scored = scored.filter(F.coalesce(F.col(f"__{c}"), F.lit("")).isin("", "All") | (F.col(c) == F.col(f"__{c}")))
+        scored = scored.select("query_id", id_column, "score")
+    elif allowed is not None:
+        scored = scored.join(allowed.select(id_column), id_column, "left_semi")
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     return top_k(scored, "query_id", [F.desc("score"), F.col(id_column)], k)

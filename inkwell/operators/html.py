@@ -19,7 +19,7 @@ def _links(html: pd.Series, url: pd.Series) -> pd.Series:
 
 
 def convert_pages(pages: DataFrame, selectors: Sequence[str] = (), html: str = "html", url: str = "url") -> DataFrame:
-    """Adds title, markdown and error. The body is the first element of the first selector that matches (default: main
+    """Adds title, markdown and error, in place of columns of these names. The body is the first element of the first selector that matches (default: main
     content, then body, then everything), its links are made absolute against the URL. A page that can't be converted
     has its error and no text."""
     chosen = tuple(selectors)
@@ -35,7 +35,8 @@ def convert_pages(pages: DataFrame, selectors: Sequence[str] = (), html: str = "
                 rows.append((None, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["title", "markdown", "error"])
 
-    return pages.withColumn("__made", run(F.col(html), F.col(url))).select("*", "__made.title", "__made.markdown", "__made.error").drop("__made")
+    made_here = ("title", "markdown", "error")
+    return pages.withColumn("__made", run(F.col(html), F.col(url))).select(*(F.col(f"`{c}`") for c in pages.columns if c not in made_here), "__made.*")
 
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.functions.urls import is_target_url
 
@@ -23,17 +22,20 @@ def discover(edges: DataFrame, seeds: Sequence[str] | DataFrame, base_prefix: st
     links = links.distinct().cache()
     start = seeds.toDF("url") if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "url string")
     visited = frontier = start.distinct().withColumn("depth", F.lit(0))
-    saved, depth = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined(), 0
+    saved, depth, held = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined(), 0, []
     while True:
         depth += 1
         near = frontier.join(links, frontier.url == links.src).select(F.col("dst").alias("url")).distinct()
         frontier = near.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)).cache()
+        held.append(frontier)
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
         if saved and depth % checkpoint_every == 0:
             visited, frontier = visited.checkpoint(), frontier.checkpoint()
-    links.unpersist()
+            for df in held:  # what the checkpoints hold need not be kept besides
+                df.unpersist()
+            held = []
     return visited
 
 
@@ -49,14 +51,15 @@ def keep_visited(documents: DataFrame, visited: DataFrame, url: str = "source_ur
 
 
 def dedupe_by_content(pages: DataFrame, content: str, order: str) -> DataFrame:
-    """One row per content, the first in order. Digests are grouped before rows are looked up, so that many copies of
-    one content don't meet in a window."""
+    """One row per content, the first in order; rows whose order is null come last. Digests are grouped before rows are
+    looked up, so that many copies of one content don't meet in a window."""
     hashed = pages.withColumn("content_hash", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
-    first = hashed.groupBy("content_hash").agg(F.min(order).alias("__first"))
-    return hashed.join(first, (hashed.content_hash == first.content_hash) & (F.col(order) == F.col("__first")), "left_semi").dropDuplicates(["content_hash"])
+    first = hashed.groupBy("content_hash").agg(F.min(order).alias("__first")).withColumnRenamed("content_hash", "__hash")
+    kept = hashed.join(first, (hashed.content_hash == F.col("__hash")) & hashed[order].eqNullSafe(F.col("__first")), "left_semi")
+    return kept.dropDuplicates(["content_hash"])
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the largest order for each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order)))
-    return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    """The row with the largest order for each key. Rows are compared where they are, so a frequent key gathers none."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(F.lit(1), *order)).alias("__last"))
+    return last.select("__last.*")

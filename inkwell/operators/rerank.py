@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,10 +44,12 @@ def full_search(index: dict[str, DataFrame], chunks: DataFrame, queries: DataFra
     return rerank(hybrid_search(index, chunks, queries, top, id_column=id_column), queries, dim, threshold, limit=limit, id_column=id_column)
 
 
-def api_rows(hits: DataFrame, max_results: int = 5, cap: int = 10, default_version: str | None = None, id_column: str = "chunk_id") -> DataFrame:
-    """Result rows: content, target_version, document_type, source_url, relevance_score, extra_meta."""
+def api_rows(hits: DataFrame, max_results: int | Column = 5, cap: int = 10, default_version: str | None = None, id_column: str = "chunk_id") -> DataFrame:
+    """Result rows: content, target_version, document_type, source_url, relevance_score, extra_meta. max_results: for
+    all queries, or a column with each query's own."""
+    most = max_results if isinstance(max_results, Column) else F.lit(max_results)
     extra = F.struct("document_title", "section_title", F.col(id_column).cast("string").alias("id"), "rrf_score", "rerank_score", "rerank_failed")
-    return hits.filter(F.col("final_rank") <= min(max_results, cap)).select(
+    return hits.filter(F.col("final_rank") <= F.least(F.coalesce(most, F.lit(cap)), F.lit(cap))).select(
         "query_id",
         "final_rank",
         F.coalesce("content", F.lit("")).alias("content"),

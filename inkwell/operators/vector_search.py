@@ -17,7 +17,7 @@ QUERY_BLOCK = 1024
 
 
 def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "content", low: int = 128, kind: str = "int8", batch: int = 64) -> DataFrame:
-    """Adds embedding (array<float>), multi_vector_low_dim (packed) and token_count. encoder makes the encoder, once
+    """Adds embedding (array<float>), multi_vector_low_dim (packed) and token_count, in place of columns of these names. encoder makes the encoder, once
     in each Python worker; it gets batch texts at a time."""
     made: dict[str, object] = {}
 
@@ -31,29 +31,34 @@ def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "co
                 out.append((dense.astype(np.float32), pack(low_dim(tokens, low), kind), n))
         return pd.DataFrame(out, columns=["embedding", "multi_vector_low_dim", "token_count"])
 
-    return rows.withColumn("__e", run(F.col(text_column))).select("*", "__e.*").drop("__e")
+    made_here = ("embedding", "multi_vector_low_dim", "token_count")
+    return rows.withColumn("__e", run(F.col(text_column))).select(*(F.col(f"`{c}`") for c in rows.columns if c not in made_here), "__e.*")
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, id_column: str = "chunk_id", vector_column: str = "embedding", digits: int | None = None) -> DataFrame:
     """query_id, id, similarity, rank: the k vectors of largest cosine for each query (query_id, vector); a zero vector
-    has similarity null and comes last. Queries travel in blocks; each block of vectors is multiplied with a block of
+    has similarity null and comes last; a query meets vectors of its own dimension. Queries travel in blocks; each block of vectors is multiplied with a block of
     queries and gives only its best k, so pairs are never rows."""
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.groupBy("block").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("vector").alias("query_vectors"))
+    asked = asked.filter("vector IS NOT NULL").groupBy("block", F.size("vector").alias("dim")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("vector").alias("query_vectors"))
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     kind = vectors.schema[id_column].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)), pa.array([part.column(1).to_pylist()], pa.list_(pa.list_(pa.float64())))], ["ids", "vectors"])
-
-    held = vectors.filter(F.col(vector_column).isNotNull()).select(id_column, F.col(vector_column).cast("array<double>").alias("v")).mapInArrow(packed, f"ids array<{kind}>, vectors array<array<double>>")
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = b.filter(pa.array(dims == dim))
+                for at in range(0, rows.num_rows, 4096):
+                    part = rows.slice(at, 4096)
+                    whole = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(c)])) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*whole, pa.array([dim], pa.int32())], ["ids", "vectors", "dim"])
+
+    held = vectors.filter(F.col(vector_column).isNotNull()).select(id_column, F.col(vector_column).cast("array<double>").alias("v"), F.size(vector_column).alias("dim")).mapInArrow(packed, f"ids array<{kind}>, vectors array<array<double>>, dim int")
     held = held.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +88,6 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, id_column
                 scores = pa.array([None if s == -np.inf else s for s in out[2]], pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("query_ids").type.value_type), pa.array(out[1], batch.schema.field("ids").type.value_type), scores], ["query_id", id_column, "similarity"])
 
-    found = held.join(asked, ["block", "salt"]).select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(best, f"query_id {qkind}, {id_column} {kind}, similarity double")
+    found = held.join(asked, ["dim", "block", "salt"]).select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(best, f"query_id {qkind}, {id_column} {kind}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), F.col(id_column))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

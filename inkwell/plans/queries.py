@@ -501,21 +501,45 @@ def r7(spark, sf_dir):
     return hits.join(queries, "query_id").select("query_id", "chunk_id", F.round(vectors.maxsim(8, "float32")("multi", "multi_vector_low_dim"), 6).alias("score"))
 
 
+SQL_RERANK = f"""{SQL_RRF}, {SQL_TOKENS},
+    ti AS (SELECT vec_id, t, list_transform(u, lambda y: trunc(y * 127) / 127) AS i FROM tk),
+    mx AS (SELECT rr.query_id, rr.chunk_id, a.t, max(list_dot_product(a.i, b.i)) AS best FROM rr JOIN ti a ON a.vec_id = rr.query_id LEFT JOIN ti b ON b.vec_id = rr.chunk_id WHERE rr.rank <= 50 GROUP BY 1, 2, 3),
+    ms AS (SELECT query_id, chunk_id, bool_and(best IS NULL) AS lacks, round(coalesce(avg(best), 0), 6) AS s FROM mx GROUP BY 1, 2),
+    k AS (SELECT rr.query_id, rr.chunk_id, rank, s AS rerank_score, round(CASE WHEN lacks THEN rrf_score ELSE s END, 9) AS similarity FROM rr JOIN ms ON ms.query_id = rr.query_id AND ms.chunk_id = rr.chunk_id WHERE lacks OR s >= 0.3),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS final_rank FROM k)"""
+
+
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five of the fused hits by MaxSim of packed int8 vectors, rounded before they are ranked."""
+    hits, queries = multi_hits(spark, sf_dir)
+    score = F.round(vectors.maxsim(8)("multi", "multi_vector_low_dim"), 6)
+    hits = hits.join(queries, "query_id").withColumn("s", score).drop("multi")
+    return rerank.rerank(hits, queries, dim=8, threshold=0.3, limit=5, score="s").filter("NOT rerank_failed")
+
+
+@query("r8_rerank", f"WITH {SQL_RERANK} SELECT query_id, chunk_id, rerank_score, similarity, CAST(final_rank AS INTEGER) AS final_rank FROM o WHERE final_rank <= 5")
+def r8(spark, sf_dir):
+    return reranked(spark, sf_dir).select("query_id", "chunk_id", "rerank_score", F.round("similarity", 9).alias("similarity"), "final_rank")
+
+
 @query(
-    "r8_rerank",
-    f"""WITH {SQL_RRF}, h AS (SELECT rr.query_id, rr.chunk_id, rr.rank, rrf_score, e.vec_id IS NULL AS lacks, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q), 6) AS s FROM rr JOIN vq ON vq.query_id = rr.query_id LEFT JOIN embeddings e ON e.vec_id = rr.chunk_id WHERE rr.rank <= 50),
-             k AS (SELECT query_id, chunk_id, rank, CASE WHEN lacks THEN 0.0 ELSE s END AS rerank_score, round(CASE WHEN lacks THEN rrf_score ELSE s END, 9) AS similarity FROM h WHERE lacks OR s >= 0.3),
-             o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS final_rank FROM k)
-        SELECT query_id, chunk_id, rerank_score, similarity, CAST(final_rank AS INTEGER) AS final_rank FROM o WHERE final_rank <= 5""",
+    "r1_r11_per_query",
+    f"""WITH {SQL_BM25}, {SQL_STORE},
+             q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'All' END AS version, CASE item_id % 2 WHEN 0 THEN 'src1' ELSE '' END AS kind, 1 + item_id % 12 AS max_results FROM benchmark),
+             h AS (SELECT sc.query_id, chunk_id, score, target_version, category, max_results, row_number() OVER (PARTITION BY sc.query_id ORDER BY score DESC, chunk_id) AS rank
+                   FROM sc JOIN q ON q.query_id = sc.query_id JOIN docs ON docs.id = sc.chunk_id
+                   WHERE status = 'Active' AND (coalesce(version, '') IN ('', 'All') OR target_version = version) AND (kind IN ('', 'All') OR category = kind))
+        SELECT query_id, CAST(rank AS INTEGER) AS final_rank, target_version, category AS document_type, score AS relevance_score FROM h WHERE rank <= least(max_results, 10)""",
 )
-def r8(spark, sf_dir):
-    hits, queries = multi_hits(spark, sf_dir)
-    dense = read(spark, sf_dir, "embeddings")
-    near = dense.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("d"))
-    mine = dense.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    hits = hits.join(near, "chunk_id", "left").join(mine, "query_id", "left").withColumn("s", F.round(vectors.cosine("q", "d"), 6))
-    out = rerank.rerank(hits, queries, threshold=0.3, limit=5, score="s")
-    return out.filter("NOT rerank_failed").select("query_id", "chunk_id", "rerank_score", F.round("similarity", 9).alias("similarity"), "final_rank")
+def r1_per_query(spark, sf_dir):
+    held = store(spark, sf_dir)
+    allowed = bm25.active_chunks(held["chunks"], held["sections"], held["documents"]).withColumnRenamed("id", "chunk_id")
+    version = F.when(F.col("query_id") % 3 == 0, "en").when(F.col("query_id") % 3 == 1, "All")
+    queries = asked(spark, sf_dir).select("query_id", "query", version.alias("target_version"), F.when(F.col("query_id") % 2 == 0, "src1").otherwise("").alias("category"), (1 + F.col("query_id") % 12).alias("max_results"))
+    found = bm25.search(index_of(spark, sf_dir), queries, 10, allowed=allowed, digits=6)
+    hits = found.join(allowed, "chunk_id").join(queries.select("query_id", "max_results"), "query_id").withColumn("rrf_score", F.col("score"))
+    hits = hits.withColumns({"final_rank": F.col("rank"), "similarity": F.col("score"), "rerank_score": F.lit(None).cast("double"), "rerank_failed": F.lit(True)})
+    return rerank.api_rows(hits, F.col("max_results")).select("query_id", "final_rank", "target_version", "document_type", "relevance_score")
 
 
 @query("r10_rerank_fallback", f"WITH {SQL_RRF} SELECT query_id, chunk_id, true AS rerank_failed, round(rrf_score, 9) AS similarity, CAST(rank AS INTEGER) AS final_rank FROM rr WHERE rank <= 5")
@@ -637,9 +661,9 @@ def v6_failures(spark, sf_dir):
 
 @query(
     "v7_compare_modes",
-    f"""WITH {SQL_RRF}, g AS (SELECT item_id AS query_id, substr(text, 1, 40) AS kw FROM benchmark), m AS (SELECT 'bm25' AS mode, query_id, chunk_id, rank FROM bm UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM ve UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM rr),
+    f"""WITH {SQL_RERANK}, g AS (SELECT item_id AS query_id, substr(text, 1, 40) AS kw FROM benchmark), m AS (SELECT 'reranked' AS mode, query_id, chunk_id, final_rank AS rank FROM o UNION ALL SELECT 'bm25' AS mode, query_id, chunk_id, rank FROM bm UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM ve UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM rr),
              r AS (SELECT m.mode, m.query_id, min(rank) AS f FROM m JOIN g ON g.query_id = m.query_id JOIN documents d ON d.doc_id = m.chunk_id WHERE rank <= 5 AND contains(lower(d.text), lower(kw)) GROUP BY 1, 2),
-             j AS (SELECT modes.mode, g.query_id, coalesce(r.f, 0) AS first_rank FROM g CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid')) AS modes(mode) LEFT JOIN r ON r.mode = modes.mode AND r.query_id = g.query_id)
+             j AS (SELECT modes.mode, g.query_id, coalesce(r.f, 0) AS first_rank FROM g CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid'), ('reranked')) AS modes(mode) LEFT JOIN r ON r.mode = modes.mode AND r.query_id = g.query_id)
         SELECT mode, {_MEASURES} FROM j GROUP BY mode""",
 )
 def v7(spark, sf_dir):
@@ -647,6 +671,7 @@ def v7(spark, sf_dir):
     one = lambda mode, hits: evaluation.judge(golden(spark, sf_dir), hits.filter("rank <= 5").join(texts, "chunk_id")).withColumn("mode", F.lit(mode))
     words, near = words_hits(spark, sf_dir), vector_hits(spark, sf_dir)
     every = one("bm25", words).unionByName(one("vector", near)).unionByName(one("hybrid", fusion.reciprocal_rank_fusion(words, near)))
+    every = every.unionByName(one("reranked", reranked(spark, sf_dir).select("query_id", "chunk_id", F.col("final_rank").alias("rank"))))
     return rounded(evaluation.measures(every, ["mode"]))
 
 

@@ -57,9 +57,13 @@ def write_json_log(events: DataFrame, path: str) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: in spark.checkpoint.dir, or a temporary one where that is unset. The
-    driver's JVM deletes it at its end."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-inkwell-')}"
+    """A new folder where all executors can write: in spark.checkpoint.dir. Where that is unset a local master gets a
+    temporary one, and a cluster an error. The driver's JVM deletes it at its end."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-inkwell-')}"
     path = f"{base}/work-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

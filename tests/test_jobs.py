@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -30,6 +31,36 @@ def test_dedupe(spark):
     assert sorted(r["id"] for r in linkgraph.dedupe_by_content(pages, "html", "id").collect()) == [1, 3]
 
 
+def test_dedupe_keeps_contents_without_an_id(spark):
+    pages = spark.createDataFrame([(None, "x"), (None, "x"), (None, "y"), (2, "y")], "id int, html string")
+    assert sorted(linkgraph.dedupe_by_content(pages, "html", "id").select("html", "id").collect(), key=str) == [("x", None), ("y", 2)]
+    rows = spark.createDataFrame([("a", 1, "p"), ("a", 3, "q"), ("a", None, "r"), ("b", None, "s")], "k string, seq int, v string")
+    assert sorted((r["k"], r["v"]) for r in linkgraph.latest(rows, ["k"], ["seq"]).collect()) == [("a", "q"), ("b", "s")]
+
+
+def test_deep_page_and_clashing_columns(spark):
+    pages = spark.createDataFrame([("http://h/", "<div>" * 3000 + "<h1>T</h1>deep", "old", "old")], "url string, html string, title string, error string")
+    made = html.convert_pages(pages)
+    assert sorted(made.columns) == ["error", "html", "markdown", "title", "url"]
+    assert (made.first()["markdown"], made.first()["error"]) == ("# T\n\ndeep\n", None)
+
+
+def test_queries_meet_vectors_of_their_dimension(spark):
+    held = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])], "chunk_id int, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, [1.0, 0.0, 0.0])], "query_id int, vector array<float>")
+    got = [(r["query_id"], r["rank"], r["chunk_id"]) for r in vector_search.vector_search(held, asked, 5).collect()]
+    assert sorted(got) == [(7, 1, 1), (7, 2, 2), (8, 1, 3)]
+
+
+def test_postings_against_plain_counts(spark):
+    rng = random.Random(0)
+    rows = [(i, " ".join(rng.choices("abcde", k=rng.randrange(12)))) for i in range(50)]
+    index = bm25.build_index(spark.createDataFrame(rows, "chunk_id int, content string").withColumn("section_title", F.lit("a b a")))
+    got = {(r["term"], r["chunk_id"]): r["tf"] for r in index["postings"].filter("field = 'content'").collect()}
+    assert got == {(w, i): n for i, t in rows for w, n in Counter(t.split()).items()}
+    assert "Exchange" not in index["postings"]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ingest_and_upsert(spark, tmp_path):
     rows = [("docs/a.md", "---\ntitle: Ingest Test\ntarget_version: 5.0\n---\n# Introduction\nHello\n\n## Section 1\nText", "1.0", "Guide", 1), ("docs/b.md", "plain body", "1.0", "Guide", 2), ("docs/b.md", "plain later", "1.0", "Guide", 3)]
     source = spark.createDataFrame(rows, "source_path string, content string, default_version string, default_category string, seq long")
