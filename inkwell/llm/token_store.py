@@ -54,7 +54,7 @@ FRAME_BYTES, LIST_DOCS = 1 << 20, 1 << 16
 #: Bytes of text that make a file; of small tables a file holds less, so that there is one for each shuffle partition.
 FILE_BYTES, LEAST_BYTES = 128 << 20, 8 << 20
 #: What an encoder may remember; a Python worker holds one encoder for each tokenizer file that it meets.
-MEMORY_BYTES = 128 << 20
+MEMORY_BYTES = 224 << 20
 #: Letters, and after them marks that make a token run of their own.
 PLAIN = re.compile("(\0?([A-Za-zÀ-ÖØ-öø-ɏ]+))([.,!?;:|]{0,4})")
 ALPHABET = dict(enumerate(byte_alphabet()))
