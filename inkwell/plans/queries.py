@@ -139,6 +139,14 @@ def u9(spark, sf_dir):
     return read(spark, sf_dir, "pages").filter(urls.is_html_page(kind, "html")).select("page_id")
 
 
+@query("s1_html_snapshot", "SELECT concat(page_id % 7, '/', page_id, '.html') AS rel_path, md5(html) AS digest FROM pages WHERE html IS NOT NULL")
+def s1(spark, sf_dir):
+    path = storage.work_folder(spark)
+    name = F.concat(F.col("page_id") % 7, F.lit("/"), F.col("page_id"), F.lit(".html"))
+    storage.write_text_files(read(spark, sf_dir, "pages").select(name.alias("rel_path"), F.col("html").alias("content")), path)
+    return storage.read_html_snapshot(spark, path).select(F.regexp_extract("path", r"(\d+/\d+\.html)$", 1).alias("rel_path"), F.md5("html").alias("digest"))
+
+
 @query("s3_s5_markdown_docs", "SELECT 'snapshot' AS source, lang AS target_version, concat(doc_id, '.md') AS rel_path, md5(text) AS digest FROM documents")
 def s3(spark, sf_dir):
     path = storage.work_folder(spark)
@@ -158,6 +166,22 @@ def s4(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "i4_publish",
+    f"WITH {SQL_STORE} SELECT 'documents' AS name, CAST(id AS VARCHAR) AS id FROM docs UNION ALL SELECT 'sections', concat('s', id) FROM docs UNION ALL SELECT 'chunks', CAST(id AS VARCHAR) FROM docs WHERE target_version <> 'en'",
+)
+def i4_publish(spark, sf_dir):
+    path, held = storage.work_folder(spark), store(spark, sf_dir)
+    storage.publish_store(held, path, "first")
+    storage.write_store(held, f"{path}/unfinished")
+    now = storage.published_store(spark, path)
+    english = now["documents"].filter("target_version = 'en'").select(F.col("id").alias("document_id"))
+    storage.publish_store({**now, "chunks": now["chunks"].join(english, "document_id", "left_anti")}, path, "second")
+    back = storage.published_store(spark, path)
+    parts = [back[n].select(F.lit(n).alias("name"), F.col("id").cast("string").alias("id")) for n in storage.TABLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("s6_json_log", "SELECT conv_id, turn, md5(text) AS digest FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, md5(text) FROM conversations WHERE role <> 'user'")
 def s6(spark, sf_dir):
     path, said = storage.work_folder(spark), read(spark, sf_dir, "conversations")
@@ -197,6 +221,13 @@ def t6(spark, sf_dir):
     return fronted(spark, sf_dir).select("doc_id", F.md5("content").alias("digest"))
 
 
+@query("s2_markdown_files", f"SELECT concat(doc_id, '.md') AS rel_path, md5({SQL_FRONT}) AS digest FROM documents WHERE text IS NOT NULL")
+def s2(spark, sf_dir):
+    path = storage.work_folder(spark)
+    storage.write_text_files(fronted(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("rel_path"), "content"), path)
+    return storage.read_markdown(spark, path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("rel_path"), F.md5("content").alias("digest"))
+
+
 @query("t7_parse_front_matter", "SELECT doc_id, source AS title, lang AS target_version, concat('https://docs.example.org/', doc_id) AS source_url, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest FROM documents")
 def t7(spark, sf_dir):
     value = lambda k: markdown.front_matter_value("content", k).alias(k)
@@ -208,7 +239,12 @@ def t8(spark, sf_dir):
     return html.page_links(read(spark, sf_dir, "pages"))
 
 
-@query("t9_clean_roles")
+SQL_ROLES = "text || repeat(chr(10), 4) || 'See [Guide](https://docs.example.org/en/5.2/intro/' || source || '/) and [DEBUG_' || upper(lang) || '](https://docs.example.org/en/5.2/ref/settings/#debug-' || lower(lang) || ') or `x` a_b'"
+for _old, _new in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("~", ""), ("\\_", "_"), ("\\*", "*")):
+    SQL_ROLES = f"replace({SQL_ROLES}, '{_old}', '{_new}')"
+
+
+@query("t9_clean_roles", f"SELECT doc_id, regexp_replace(regexp_replace({SQL_ROLES}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def t9(spark, sf_dir):
     text = F.concat("text", F.lit("\n\n\n\nSee :doc:`Guide </intro/"), "source", F.lit(".txt>` and :setting:`DEBUG_"), F.upper("lang"), F.lit("` or :class:`~x` a\\_b"))
     return read(spark, sf_dir, "documents").select("doc_id", markdown.clean_roles(text, "https://docs.example.org/en/5.2").alias("text"))
@@ -692,12 +728,16 @@ def v9(spark, sf_dir):
 @query(
     "l1_s6_log_records",
     f"""WITH {SQL_BM25}, h AS (SELECT * FROM bm WHERE rank <= 5)
-        SELECT b.item_id AS query_id, 'tool_call' AS event, CAST(count(h.chunk_id) AS INTEGER) AS results_count, coalesce(array_to_string(list(CAST(h.chunk_id AS VARCHAR) ORDER BY h.rank) FILTER (WHERE h.chunk_id IS NOT NULL), ','), '') AS chunk_ids
-        FROM benchmark b LEFT JOIN h ON h.query_id = b.item_id GROUP BY b.item_id""",
+        SELECT b.item_id AS query_id, '2024-01-02T03:04:05.000000+00:00' AS timestamp, 'INFO' AS level, md5(concat('Tool search called with query: ', b.text)) AS message, 'max_results=5' AS params, 'tool_call' AS event, CAST(count(h.chunk_id) AS INTEGER) AS results_count, coalesce(array_to_string(list(CAST(h.chunk_id AS VARCHAR) ORDER BY h.rank) FILTER (WHERE h.chunk_id IS NOT NULL), ','), '') AS chunk_ids
+        FROM benchmark b LEFT JOIN h ON h.query_id = b.item_id GROUP BY b.item_id, b.text""",
 )
 def l1(spark, sf_dir):
     hits = words_hits(spark, sf_dir).filter("rank <= 5").select("query_id", "rank", F.col("chunk_id").alias("id"), F.concat(F.lit("Title "), "chunk_id").alias("title"), "score")
-    return querylog.log_records(asked(spark, sf_dir).drop("vector"), hits).select("query_id", "event", "results_count", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    calls = asked(spark, sf_dir).drop("vector").withColumn("max_results", F.lit(5))
+    made, path = querylog.log_records(calls, hits, at=F.lit(AT).cast("timestamp"), params=["max_results"]), storage.work_folder(spark)
+    storage.write_json_log(made, path)
+    params = F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return spark.read.schema(made.schema).json(path).select("query_id", "timestamp", "level", F.md5("message").alias("message"), params.alias("params"), "event", "results_count", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 @query("l2_flag_repeats", "SELECT conv_id AS session, turn AS ts, regexp_extract(text, '^(\\S*)', 1) AS query, row_number() OVER (PARTITION BY conv_id, regexp_extract(text, '^(\\S*)', 1) ORDER BY turn) > 1 AS repeated FROM conversations WHERE role = 'user'")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,26 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path, "*.md")
 
 
+def write_text_files(rows: DataFrame, path: str, name: str = "rel_path", content: str = "content") -> int:
+    """One file for each row that has a content, at its relative path under path, which all executors must see; returns
+    their number. Tasks write their own rows; a repeated task writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pa.fs.FileSystem.from_uri(path)
+        for b in batches:
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if ".." in file.split("/"):
+                    raise ValueError(f"{file} leaves the folder")
+                target = f"{base}/{file}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    there = rows.select(name, content).filter(F.col(name).isNotNull() & F.col(content).isNotNull())
+    return there.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_markdown_docs(docs: DataFrame, path: str) -> None:
     """Converted documents with their relative paths, one folder for each source and version; replaces what is there."""
     docs.write.mode("overwrite").partitionBy("source", "target_version").parquet(path)
@@ -51,6 +74,27 @@ def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         spark.conf.set(key, before)
 
 
+def publish_store(tables: dict[str, DataFrame], path: str, name: str) -> None:
+    """The three tables as a new version of the store, visible all at once: they are written to a folder of their own,
+    and one row that names it, added to a small table in a single commit, makes it the current one. Tables read from an
+    earlier version stay readable. One writer at a time."""
+    write_store(tables, f"{path}/{name}")
+    spark, log = tables[TABLES[0]].sparkSession, f"{path}/published"
+    number = spark.read.parquet(log).count() if _exists(spark, log) else 0
+    spark.range(1).select(F.lit(name).alias("name"), F.lit(number).alias("number")).coalesce(1).write.mode("append").parquet(log)
+
+
+def published_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the version published last."""
+    name = spark.read.parquet(f"{path}/published").agg(F.max_by("name", "number")).first()[0]
+    return read_store(spark, f"{path}/{name}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_json_log(events: DataFrame, path: str) -> None:
     """Query-log events as JSON lines, added to what is there."""
     events.write.mode("append").json(path)
