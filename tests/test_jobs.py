@@ -95,6 +95,33 @@ def test_read_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/docs").count() == 1
 
 
+def test_text_files_are_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.html", "<p>\u00e9\r\ntwo"), ("b.html", "t"), ("c.html", None), (None, "t")], "rel_path string, content string")
+    assert files.write_text_files(rows, f"file://{tmp_path}/out") == 2
+    assert files.write_text_files(rows, f"file://{tmp_path}/out") == 2
+    assert sorted(r["html"] for r in files.read_html_snapshot(spark, f"file://{tmp_path}/out").collect()) == ["<p>\u00e9\r\ntwo", "t"]
+    assert files.write_text_files(rows.limit(0), f"file://{tmp_path}/out") == 0
+    with pytest.raises(Exception, match="leaves the folder"):
+        files.write_text_files(spark.createDataFrame([("../x", "t")], "rel_path string, content string"), f"file://{tmp_path}/out")
+
+
+def test_store_is_published_whole(spark, tmp_path):
+    tables = lambda n: {"documents": spark.createDataFrame([(n, "4.20")], "id int, target_version string"), "sections": spark.range(n), "chunks": spark.range(n)}
+    files.publish_store(tables(1), f"file://{tmp_path}", "one")
+    files.publish_store(tables(2), f"file://{tmp_path}", "two")
+    files.write_store(tables(3), f"file://{tmp_path}/three")
+    now = files.published_store(spark, f"file://{tmp_path}")
+    assert (now["documents"].first().asDict(), now["chunks"].count()) == ({"id": 2, "target_version": "4.20"}, 2)
+
+
+def test_log_record_has_all_fields(spark):
+    asked = spark.createDataFrame([(1, "q", 5), (2, None, None)], "query_id int, query string, max_results int")
+    hits = spark.createDataFrame([], "query_id int, rank int, id int, title string, score double")
+    one, two = querylog.log_records(asked, hits, at=now(), params=["max_results"]).orderBy("query_id").collect()
+    assert (one["timestamp"], one["level"], one["message"], one["params"]) == ("2024-01-02T00:00:00.000000+00:00", "INFO", "Tool search called with query: q", {"max_results": "5"})
+    assert two["params"] == {"max_results": None} and two["results_count"] == 0
+
+
 def test_bad_page_is_quarantined(spark, monkeypatch):
     pages = spark.createDataFrame([("http://h/", "<h1>T</h1>x"), (None, None)], "url string, html string")
     good, bad = ingest.quarantine(html.convert_pages(pages))
