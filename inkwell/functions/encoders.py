@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -27,12 +26,11 @@ class HashingEncoder:
         return self._known[token]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        split, out = [_TOKEN.findall((t or "").lower())[: self.max_tokens] for t in texts], []
-        place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-        vectors = np.stack([self._token(w) for w in place]) if place else np.empty((0, self.dim))
-        for tokens in split:
-            rows = vectors[np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))]
-            dense = rows.sum(axis=0)
+        out = []
+        for t in texts:
+            tokens = _TOKEN.findall((t or "").lower())[: self.max_tokens]
+            rows = np.stack([self._token(w) for w in tokens]) if tokens else np.empty((0, self.dim))
+            dense = rows.sum(axis=0) if tokens else np.zeros(self.dim)
             length = np.sqrt((dense**2).sum())
             out.append((dense / length if length > 0 else dense, rows, len(tokens)))
         return out
