@@ -21,7 +21,7 @@ Inside a small region, the classes' signatures are compared by one byte of each
 become rows. A pair that shares no region is no candidate by regions: with a chance of (1 - J^SHALLOW)^TREES, 5e-8 at
 0.80 and 6e-11 at 0.85; if all its regions are cut to full depth, (1 - J^FULL)^TREES, 6e-5 and 3e-7. Candidates are judged by the whole signature, with a margin
 of five standard deviations below the threshold, then by the full shingle sets. Verified links are joined by label
-propagation with pointer jumping. A class has at most two neighbours in an order, so no join of the first two rounds
+propagation with pointer jumping; later rounds join the components found before, not their members. A class has at most two neighbours in an order, so no join of the first two rounds
 has a frequent key; those of the third have one row for each family on one side, so that the other can be split.
 
 Null or empty texts and texts without words have no shingles, link with nothing and are their own component; texts
@@ -323,6 +323,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("v", "l")
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (cls, component) after more links (a, b).
+
+    Only what the links change is worked on: their ends become the components they are in, and of these only those that
+    a link joins take part in the propagation."""
+    one, two = label.toDF("a", "ca"), label.toDF("b", "cb")
+    named = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = materialize(named.filter("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return label
+    new = components(between)
+    every = label.unionByName(new.select("cls", F.col("cls").alias("component"))).distinct()  # a component's own name is in label, or in no link so far
+    return materialize(every.join(new.toDF("component", "joined"), "component", "left").select("cls", F.coalesce("joined", "component").alias("component")), "merged")
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, region: int = REGION) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketch = materialize(sketches(documents, words), "sketches")
@@ -339,15 +354,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, reg
     # then the other neighbours and the pairs of small regions
     small, large = forest(shared, region)
     others = apart(near, label).unionByName(likely(_small_pairs(small, label, nodes, percent), nodes, percent).select("a", "b")).distinct()
-    links = materialize(links.unionByName(judge(others)), "links")
-    label = components(links)
+    more = judge(others)
+    label = merged(label, more)
     # then what regions that stay large have besides
     if large is not None:
         members = _families(large)
-        links = materialize(links.unionByName(judge(_hub_pairs(members, label, links, nodes, percent))), "links")
-        label = components(links)
-        links = materialize(links.unionByName(_block_links(members, label, documents, nodes, words, percent)), "links")
-        label = components(links)
+        label = merged(label, judge(_hub_pairs(members, label, links.unionByName(more), nodes, percent)))
+        label = merged(label, _block_links(members, label, documents, nodes, words, percent))
     known = materialize(classes.join(label, "cls", "left").select("key", F.coalesce("component", "cls").alias("component_id")), "classes")
     out = sketch.select("doc_id", "key", "n_shingles").join(known, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

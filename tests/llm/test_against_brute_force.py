@@ -20,7 +20,7 @@ from inkwell.llm.ann import Cell, nearest
 from inkwell.llm.bpe import PairIndexEncoder
 from inkwell.llm.common import read
 from inkwell.llm.licenses import rules, scan_licenses
-from inkwell.llm.near_dup import Shingler, near_duplicates, neighbours, orders, sketches
+from inkwell.llm.near_dup import Shingler, components, merged, near_duplicates, neighbours, orders, sketches
 from inkwell.llm.quality import class_weights, fit_quality, logistic, score_quality
 from inkwell.llm.token_store import FileReader, FileWriter, PieceEncoder
 from inkwell.llm.toxicity import Matcher, choose_entries, fit_toxicity, fold, lexicon_model, score_toxicity, terms
@@ -91,6 +91,24 @@ def test_memories_stay_within_their_bytes():
         assert large.memory.size > 1 << 20
 
 
+def test_components_merge_with_later_links(spark):
+    """Components found in rounds are those of all links at once: chains, stars, links inside a component, none at all."""
+    rng = np.random.RandomState(3)
+    chain, star = [(i, i + 1) for i in range(40)], [(100, i) for i in range(101, 160)]
+    loose = [tuple(sorted(p)) for p in rng.randint(0, 300, (60, 2)).tolist() if p[0] != p[1]]
+    rounds, label, done = [chain[::2] + star, [], chain[1::2] + loose[:30], [(0, 1), (5, 9)], loose[30:]], None, []
+    for links in rounds:
+        done += links
+        frame = spark.createDataFrame(links, "a long, b long")
+        label = components(frame) if label is None else merged(label, frame)
+        root = {v: v for p in done for v in p}
+        for _ in root:
+            for a, b in done:
+                root[a] = root[b] = min(root[a], root[b])
+        got = label.collect()
+        assert {r["cls"]: r["component"] for r in got} == root and len(got) == len(root)
+
+
 def slow_components(docs, words, percent):
     sets, parent = {}, {}
     for i, t in docs:
