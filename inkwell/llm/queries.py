@@ -19,6 +19,9 @@ from inkwell.llm.near_dup import near_duplicates
 from inkwell.llm.quality import fit_quality, score_quality
 from inkwell.llm.token_store import read_tokens, write_tokens
 from inkwell.llm.toxicity import fit_toxicity, score_toxicity
+from inkwell.llm.url_filter import judge_urls
+from inkwell.llm.vector_codes import code_report
+from inkwell.llm.whitening import whitened
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +76,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read(spark, sf_dir, "embeddings"), components=32)
+
+
+#: Actions with a host and the beginning of a path.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,15 +109,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_one_bit_ann": op9_one_bit_ann,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_url_filter": op13_url_filter,
     "pipeline": pipeline,
 }
 
+
+def _rounds(rounds: int = 4) -> str:
+    """SQL of op11: entries e0, then for each round the parts' nearest entries (code, distance) and the entries moved."""
+    near = """a{0} AS (SELECT vec_id, part, min(CAST(p.norm + e.norm - 2 * list_inner_product(p.v, e.v) AS BIGINT) * 256 + entry) AS best FROM p JOIN e{0} AS e USING (part) GROUP BY vec_id, part)"""
+    move = """
+             m{1} AS (SELECT part, best % 256 AS entry, place, floor(sum(v[place]) / count(*)) AS x FROM a{0} JOIN p USING (vec_id, part), range(1, len(v) + 1) AS r(place) GROUP BY part, entry, place),
+             n{1} AS (SELECT part, entry, list(x ORDER BY place) AS v FROM m{1} GROUP BY part, entry),
+             e{1} AS (SELECT part, entry, v, list_inner_product(v, v) AS norm FROM (SELECT part, entry, coalesce(n.v, e.v) AS v FROM e{0} AS e LEFT JOIN n{1} AS n USING (part, entry)))"""
+    return ",".join(f"{near.format(i)},{move.format(i, i + 1)},\n             " for i in range(rounds)).replace(",\n             ,", ",\n             ") + near.format(rounds)
+
+
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS s FROM documents),
              g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY s)
         SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.s AS text_sha256
         FROM d JOIN g ON d.s = g.s""",
+    "op11_vector_codes": f"""
+        WITH k AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT vec_id, part, list_slice(v, CAST(part * len(v) / 4 AS BIGINT) + 1, CAST((part + 1) * len(v) / 4 AS BIGINT)) AS v FROM k, range(4) AS r(part)),
+             p AS (SELECT *, list_inner_product(v, v) AS norm FROM s),
+             e0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v, norm FROM p QUALIFY entry < 256),
+             {_rounds()},
+             c AS (SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+             l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN k USING (vec_id) GROUP BY label),
+             b AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e4)
+        SELECT vec_id, code, error, label_error, codebooks_sha256 FROM c JOIN k USING (vec_id) JOIN l ON k.label IS NOT DISTINCT FROM l.label, b""",
+    "op13_url_filter": r"""
+        WITH u AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+             l AS (SELECT DISTINCT regexp_replace(url, '#.*', '') AS a, regexp_replace(unnest(regexp_extract_all(html, '<link rel="canonical" href="(https?://[^"]+)"', 1)), '#.*', '') AS b FROM pages),
+             e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+             h AS (SELECT DISTINCT a, translate(regexp_extract(a, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(a, '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM e),
+             r AS (SELECT action, rule, split_part(rule, '/', 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path
+                   FROM (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')) AS v(action, rule)),
+             best AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action
+                      FROM (SELECT host, path FROM u UNION SELECT host, path FROM h) JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path),
+             w AS (SELECT a, rule FROM h JOIN best USING (host, path) WHERE action = 'block'),
+             t AS (WITH RECURSIVE t AS (SELECT a, rule FROM w UNION SELECT e.b, t.rule FROM t JOIN e ON t.a = e.a) SELECT a, min(rule) AS alias_rule FROM t GROUP BY a)
+        SELECT page_id, u.host, u.path, best.rule, coalesce(best.action, CASE WHEN t.alias_rule IS NOT NULL THEN 'block' END, 'allow') AS verdict,
+               CASE WHEN best.rule IS NULL THEN t.alias_rule END AS alias_rule
+        FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path LEFT JOIN t ON regexp_replace(u.url, '#.*', '') = t.a""",
     "op9_one_bit_ann": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
              p AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM v AS q JOIN v ON q.vec_id != v.vec_id WHERE q.vec_id % 100 = 0),
