@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs
@@ -74,25 +77,128 @@ def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         spark.conf.set(key, before)
 
 
+def last_commit(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """Number and content of the last commit under path; 0 and None before the first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    fs = folder.getFileSystem(conf)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    numbers = [int(n[:8]) for n in names if re.fullmatch(r"\d{8}\.json", n)]
+    if not numbers:
+        return 0, None
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, f"{max(numbers):08d}.json"))
+    try:
+        return max(numbers), json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def try_commit(spark: SparkSession, path: str, number: int, content: dict) -> bool:
+    """Adds commit number; False if another writer has added it. The file is written aside and gets its name in one step
+    that fails if the name is taken: a hard link on a local disk, elsewhere a rename without overwriting, which must be
+    atomic in the file system of path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    aside, target = (jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{n}") for n in (f"_{uuid.uuid4().hex}", f"{number:08d}.json"))
+    fs = aside.getFileSystem(conf)
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            where = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, aside)]
+            jvm.java.nio.file.Files.createLink(*where)
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), conf).rename(aside, target, options)
+    except Exception:
+        if fs.exists(target):
+            return False
+        raise
+    finally:
+        fs.delete(aside, False)
+    return True
+
+
 def publish_store(tables: dict[str, DataFrame], path: str, name: str) -> None:
     """The three tables as a new version of the store, visible all at once: they are written to a folder of their own,
-    and one row that names it, added to a small table in a single commit, makes it the current one. Tables read from an
-    earlier version stay readable. One writer at a time."""
+    and a commit makes it the current one, in place of whatever is. Tables read from an earlier version stay readable."""
     write_store(tables, f"{path}/{name}")
-    spark, log = tables[TABLES[0]].sparkSession, f"{path}/published"
-    number = spark.read.parquet(log).count() if _exists(spark, log) else 0
-    spark.range(1).select(F.lit(name).alias("name"), F.lit(number).alias("number")).coalesce(1).write.mode("append").parquet(log)
+    spark = tables[TABLES[0]].sparkSession
+    files = {n: {"": name} for n in TABLES}
+    while not try_commit(spark, path, last_commit(spark, path)[0] + 1, {"folders": files}):
+        pass
 
 
 def published_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the version published last."""
-    name = spark.read.parquet(f"{path}/published").agg(F.max_by("name", "number")).first()[0]
-    return read_store(spark, f"{path}/{name}")
+    """The tables of the version published last: each is made of the partitions that the commit names."""
+    number, commit = last_commit(spark, path)
+    if commit is None:
+        raise ValueError(f"nothing is published under {path}")
+    return _tables(spark, path, commit)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _tables(spark: SparkSession, path: str, commit: dict) -> dict[str, DataFrame]:
+    out = {}
+    for name in TABLES:
+        parts = []
+        for folder in sorted(set(commit["folders"][name].values())):
+            df = read_store(spark, f"{path}/{folder}")[name]
+            mine = [p for p, f in commit["folders"][name].items() if f == folder]
+            if mine != [""]:
+                parts.append(df.filter(F.col(PART).isin([int(p) for p in mine])).drop(PART))
+            else:
+                parts.append(df)
+        out[name] = reduce(lambda a, b: a.unionByName(b), parts)
+    return out
+
+
+#: Column that holds the part of a partitioned store that a document belongs to; all rows of a document are in one.
+PART = "__part"
+
+
+def upsert_store(spark: SparkSession, path: str, new: dict[str, DataFrame], parts: int = 32, name: str | None = None) -> int:
+    """Puts the new tables' documents in place of those with the same path and version, and returns the commit's number.
+
+    A store of this kind is cut into parts by a hash of path and version, so that old and new of a document meet in one;
+    only parts that hold new documents are written again, under a new folder, and the commit names the folder of every part.
+    Several writers may work at once: a commit fails if another was first, and what changed meanwhile is looked at
+    again. The first call makes the store."""
+    name, attempt = name or f"upsert-{uuid.uuid4().hex}", 0
+    placed = _placed(new, parts)
+    touched = sorted(r[0] for r in placed["documents"].select(PART).distinct().collect())
+    while True:
+        number, commit = last_commit(spark, path)
+        folders = {n: dict(commit["folders"][n]) for n in TABLES} if commit else {n: {} for n in TABLES}
+        if commit and (commit.get("parts") != parts):
+            raise ValueError(f"the store has {commit.get('parts')} parts")
+        written = {n: placed[n] for n in TABLES}
+        folder, again = f"{name}-{attempt}", {n: {p: f for p, f in folders[n].items() if int(p) in touched} for n in TABLES}
+        if any(again.values()):
+            old = {n: _kept_parts(spark, path, again[n], n) for n in TABLES}
+            gone = old["documents"].join(new["documents"].select("source_path", "target_version").distinct(), ["source_path", "target_version"], "left_semi").select(F.col("id").alias("document_id"))
+            rest = {"documents": old["documents"].join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti")}
+            rest |= {n: old[n].join(gone, "document_id", "left_anti") for n in ("sections", "chunks")}
+            written = {n: rest[n].unionByName(placed[n]) for n in TABLES}
+        for n in TABLES:
+            written[n].repartition(PART).write.partitionBy(PART).parquet(f"{path}/{folder}/{n}")
+            folders[n].update({str(p): folder for p in touched})
+        if try_commit(spark, path, number + 1, {"folders": folders, "parts": parts}):
+            return number + 1
+        attempt += 1
+
+
+def _placed(tables: dict[str, DataFrame], parts: int) -> dict[str, DataFrame]:
+    """The tables with the part of each row's document."""
+    part = F.pmod(F.xxhash64("source_path", "target_version"), F.lit(parts)).cast("int")
+    docs = tables["documents"].withColumn(PART, part)
+    of = docs.select(F.col("id").alias("document_id"), PART)
+    return {"documents": docs, **{n: tables[n].join(of, "document_id") for n in ("sections", "chunks")}}
+
+
+def _kept_parts(spark: SparkSession, path: str, where: dict[str, str], name: str) -> DataFrame:
+    """The rows of parts of one table, by part and folder."""
+    rows = [read_store(spark, f"{path}/{folder}")[name].filter(F.col(PART).isin([int(p) for p, f in where.items() if f == folder])) for folder in sorted(set(where.values()))]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 def write_json_log(events: DataFrame, path: str) -> None:
