@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +94,56 @@ def unpack_tokens(dim: int, kind: str = "int8"):
     return run
 
 
+def unpack_all(packed: pa.Array, dim: int, kind: str = "int8") -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of many packed multi-vectors, one under the other as they are stored, and how many each has."""
+    size = dim * (1 if kind == "int8" else 4)
+    packed = packed.cast(pa.large_binary())
+    at = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    data = np.frombuffer(packed.buffers()[2] or b"", np.uint8)
+    length = np.diff(at)
+    head = np.where(length >= 2, 0, -1)
+    first, second = (data[np.where(head == 0, at[:-1] + i, 0)] if len(data) else np.zeros(len(length), np.uint8) for i in (0, 1))
+    n = np.where(head == 0, np.minimum(first + 256 * second.astype(np.int64), (length - 2) // size), 0)
+    starts = np.cumsum(n) - n
+    rows = np.arange(n.sum()) - np.repeat(starts, n)
+    begins = np.repeat(at[:-1] + 2, n) + rows * size
+    raw = data[begins[:, None] + np.arange(size)] if len(rows) else np.empty((0, size), np.uint8)
+    return raw.view("<i1" if kind == "int8" else "<f4").reshape(-1, dim), n
+
+
+def maxsim_scores(query: pa.Array, doc: pa.Array, dim: int, kind: str = "int8") -> np.ndarray:
+    """maxsim_score of each pair. The documents that meet one query are one matrix: a product with it gives all inner
+    products, of which the largest of each document are taken at its offsets."""
+    coded = query.fill_null(b"").dictionary_encode()
+    which, distinct = coded.indices.to_numpy(), coded.dictionary
+    order = np.argsort(which, kind="stable")
+    d, n = unpack_all(doc.fill_null(b"").take(pa.array(order)), dim, kind)
+    q, m = unpack_all(distinct, dim, kind)
+    scale = 127.0 if kind == "int8" else 1.0
+    q_at, d_at = np.cumsum(m) - m, np.concatenate([[0], np.cumsum(n)])
+    out, cuts = np.zeros(len(which)), np.searchsorted(which[order], np.arange(len(distinct) + 1))
+    for i in range(len(distinct)):
+        rows = np.arange(cuts[i], cuts[i + 1])
+        rows = rows[n[rows] > 0]  # the others have no tokens and no place in the matrix
+        if not m[i] or not len(rows):
+            continue
+        mine = q[q_at[i] : q_at[i] + m[i]].astype(np.float64) / scale
+        # a few megabytes of inner products at a time
+        step = max(1, int(len(rows) * (1 << 19) // max(1, m[i] * n[rows].sum())))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            block = d[d_at[some[0]] : d_at[some[-1] + 1]].astype(np.float64) / scale
+            best = np.maximum.reduceat(mine @ block.T, d_at[some] - d_at[some[0]], axis=1)
+            out[order[some]] = best.mean(axis=0)
+    return out
+
+
 def maxsim(dim: int, kind: str = "int8"):
     """Vectorised function: (query, document) in packed form to their score."""
 
-    @F.pandas_udf(T.DoubleType())
-    def run(query: pd.Series, doc: pd.Series) -> pd.Series:
-        return pd.Series([maxsim_score(None if q is None else bytes(q), None if d is None else bytes(d), dim, kind) for q, d in zip(query, doc, strict=True)], dtype="float64")
+    @F.arrow_udf(T.DoubleType())
+    def run(query: pa.Array, doc: pa.Array) -> pa.Array:
+        return pa.array(maxsim_scores(query, doc, dim, kind))
 
     return run
 

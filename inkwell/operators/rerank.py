@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.vectors import maxsim
-from inkwell.operators.bm25 import search as bm25_search
 from inkwell.operators.fusion import assemble_hits, reciprocal_rank_fusion
-from inkwell.operators.vector_search import vector_search
+from inkwell.operators.text_index import TextIndex, allowed_facets, pruned_search, with_filter
+from inkwell.operators.vector_search import VectorCells, cell_search
 
 
 def rerank(hits: DataFrame, queries: DataFrame, dim: int = 128, threshold: float = 0.3, kind: str = "int8", limit: int | None = None, id_column: str = "chunk_id", score: str | None = None) -> DataFrame:
@@ -31,17 +31,20 @@ def rerank(hits: DataFrame, queries: DataFrame, dim: int = 128, threshold: float
     return out if limit is None else out.filter(F.col("final_rank") <= limit)
 
 
-def hybrid_search(index: dict[str, DataFrame], chunks: DataFrame, queries: DataFrame, top: int = 50, rrf_k: int = 60, id_column: str = "chunk_id") -> DataFrame:
-    """Fused hits of BM25 and vector search with their content; chunks are those that may be hits (id, embedding, ...),
-    queries have query_id, query and vector."""
-    words = bm25_search(index, queries, top, allowed=chunks, id_column=id_column)
-    near = vector_search(chunks, queries, top, id_column)
-    return assemble_hits(reciprocal_rank_fusion(words, near, top, rrf_k, id_column), chunks.drop("embedding"), id_column)
+def hybrid_search(index: TextIndex, cells: VectorCells, chunks: DataFrame, queries: DataFrame, top: int = 50, rrf_k: int = 60, fixed: dict[str, str] | None = None, digits: int | None = None) -> DataFrame:
+    """Fused hits of words and vectors with what chunks (chunk_id, ...) have of them. queries have query_id, query and
+    vector, and may have columns named like the index's facets as filters of their own; fixed values hold for all. Chunks
+    that a filter excludes are left out of postings and vector cells before anything of them is scored. cells are made with
+    the facet of the index."""
+    words = pruned_search(index, queries, top, digits=digits, fixed=fixed)
+    filters = allowed_facets(index, queries, fixed) if index.facets else None
+    near = cell_search(cells, with_filter(index, queries).filter("vector IS NOT NULL"), top, digits, filters)
+    return assemble_hits(reciprocal_rank_fusion(words, near, top, rrf_k), chunks)
 
 
-def full_search(index: dict[str, DataFrame], chunks: DataFrame, queries: DataFrame, limit: int = 5, top: int = 50, dim: int = 128, threshold: float = 0.3, id_column: str = "chunk_id") -> DataFrame:
+def full_search(index: TextIndex, cells: VectorCells, chunks: DataFrame, queries: DataFrame, limit: int = 5, top: int = 50, dim: int = 128, threshold: float = 0.3, fixed: dict[str, str] | None = None) -> DataFrame:
     """Hybrid search of the best top, reranked, the first limit for each query; nothing above the threshold: no rows."""
-    return rerank(hybrid_search(index, chunks, queries, top, id_column=id_column), queries, dim, threshold, limit=limit, id_column=id_column)
+    return rerank(hybrid_search(index, cells, chunks, queries, top, fixed=fixed), queries, dim, threshold, limit=limit)
 
 
 def api_rows(hits: DataFrame, max_results: int | Column = 5, cap: int = 10, default_version: str | None = None, id_column: str = "chunk_id") -> DataFrame:

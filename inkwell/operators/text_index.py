@@ -97,6 +97,11 @@ def term_bit(term: Column | str, field: Column | str) -> Column:
     return F.pmod(F.xxhash64(term, field), F.lit(SIGNATURE)).cast("int")
 
 
+def facet_key(facets: Sequence[str]) -> Column:
+    """The number of a combination of facets."""
+    return F.xxhash64(*(F.col(c) for c in facets)) if facets else F.lit(0).cast("long")
+
+
 @F.arrow_udf(ArrayType(LongType()))
 def _signature(bits: pa.Array) -> pa.Array:
     rows = np.repeat(np.arange(len(bits)), np.diff(bits.offsets.to_numpy()))
@@ -116,8 +121,7 @@ def _counted(chunks: DataFrame, facets: Sequence[str]) -> DataFrame:
         return F.transform(found, lambda t: F.struct(t["term"].alias("term"), F.lit(field).alias("field"), t["tf"].alias("tf")))
 
     rows = rows.select("chunk_id", *facets, *(F.size(f).alias(f"{f}_length") for f in FIELDS), F.concat(*(counts(f) for f in FIELDS)).alias("terms"))
-    facet = F.xxhash64(*(F.col(c) for c in facets)) if facets else F.lit(0).cast("long")
-    return rows.select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(ID_BUCKETS)).cast("int").alias("id_bucket"), facet.alias("facet"), *facets, *(f"{f}_length" for f in FIELDS), "terms", _signature(F.transform("terms", lambda t: term_bit(t["term"], t["field"]))).alias("signature"))
+    return rows.select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(ID_BUCKETS)).cast("int").alias("id_bucket"), facet_key(facets).alias("facet"), *facets, *(f"{f}_length" for f in FIELDS), "terms", _signature(F.transform("terms", lambda t: term_bit(t["term"], t["field"]))).alias("signature"))
 
 
 def _write_chunks(rows: DataFrame, path: str) -> DataFrame:
@@ -233,6 +237,11 @@ def allowed_facets(index: TextIndex, queries: DataFrame, fixed: dict[str, str] |
     return known.join(F.broadcast(asked), fits).select("filter", "facet").distinct()
 
 
+def with_filter(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """queries with the number of their filter, as allowed_facets has it."""
+    return queries.withColumn("filter", _filter([c for c in index.facets if c in queries.columns]))
+
+
 def _filter(columns: Sequence[str]) -> Column:
     return F.xxhash64(F.lit(0), *(F.coalesce(F.col(c), F.lit("")) for c in columns))
 

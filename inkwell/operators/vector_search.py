@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.functions.vectors import low_dim, pack
+from inkwell.operators.bm25 import top_k
+from inkwell.sources.files import work_folder
 
-QUERY_BLOCK = 1024
+#: Queries that meet a packed row of vectors together, vectors in such a row, and pivots at most.
+QUERY_BLOCK, PIECE, MOST_PIVOTS = 1024, 4096, 1024
 
 
 def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "content", low: int = 128, kind: str = "int8", batch: int = 64) -> DataFrame:
@@ -35,59 +39,174 @@ def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "co
     return rows.withColumn("__e", run(F.col(text_column))).select(*(F.col(f"`{c}`") for c in rows.columns if c not in made_here), "__e.*")
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, id_column: str = "chunk_id", vector_column: str = "embedding", digits: int | None = None) -> DataFrame:
-    """query_id, id, similarity, rank: the k vectors of largest cosine for each query (query_id, vector); a zero vector
-    has similarity null and comes last; a query meets vectors of its own dimension. Queries travel in blocks; each block of vectors is multiplied with a block of
-    queries and gives only its best k, so pairs are never rows."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.filter("vector IS NOT NULL").groupBy("block", F.size("vector").alias("dim")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("vector").alias("query_vectors"))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    kind = vectors.schema[id_column].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class VectorCells:
+    """Vectors packed by cell: rows (dim, facet, cell, ids, units), and for each cell its number of vectors and the largest
+    angle to its pivot."""
+
+    pieces: DataFrame
+    pivots: dict[int, np.ndarray]
+    cells: dict[int, np.ndarray]
+    id_column: str
+    id_type: str
+
+
+def _units(lists: pa.ListArray, dim: int) -> np.ndarray:
+    """Rows at length one; those of length zero stay zero."""
+    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), dim)
+    length = np.sqrt(np.einsum("ij,ij->i", m, m))
+    return m / np.where(length > 0, length, 1)[:, None]
+
+
+def vector_cells(vectors: DataFrame, id_column: str = "chunk_id", vector_column: str = "embedding", facet: str | None = None) -> VectorCells:
+    """Vectors dealt to the nearest of about sqrt(n) pivots, which are some of them, separately for each facet (a column of
+    whole numbers), and packed in rows of at most PIECE vectors. A vector is shuffled once; a crowded cell is cut over
+    several tasks and rows."""
+    held = vectors.filter(F.col(vector_column).isNotNull())
+    rows = held.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v"), (F.col(facet) if facet else F.lit(0)).cast("long").alias("facet"), F.size(vector_column).alias("dim"))
+    wanted = max(1, min(MOST_PIVOTS, math.isqrt(rows.count())))
+    pivots: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect():  # at most MOST_PIVOTS
+        v = np.array(r["v"])
+        if len(v) and v.any():
+            pivots.setdefault(len(v), []).append(v / np.sqrt(v @ v))
+    matrix = {d: np.stack(m) for d, m in pivots.items()}
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
-                rows = b.filter(pa.array(dims == dim))
-                for at in range(0, rows.num_rows, 4096):
-                    part = rows.slice(at, 4096)
-                    whole = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(c)])) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*whole, pa.array([dim], pa.int32())], ["ids", "vectors", "dim"])
-
-    held = vectors.filter(F.col(vector_column).isNotNull()).select(id_column, F.col(vector_column).cast("array<double>").alias("v"), F.size(vector_column).alias("dim")).mapInArrow(packed, f"ids array<{kind}>, vectors array<array<double>>, dim int")
-    held = held.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+                part = b.filter(pa.array(dims == dim))
+                for at in range(0, part.num_rows, PIECE):
+                    some = part.slice(at, PIECE)
+                    unit = _units(some.column("v"), dim)
+                    cell, angle = np.full(len(unit), -1), np.full(len(unit), np.pi)
+                    if dim in matrix and dim:
+                        near = unit @ matrix[dim].T
+                        cell = np.where(unit.any(axis=1), near.argmax(axis=1), -1)
+                        angle = np.arccos(np.clip(near.max(axis=1), -1, 1))
+                    packed = pa.array([u.tobytes() for u in unit], pa.binary())
+                    yield pa.RecordBatch.from_arrays([some.column("dim"), some.column("facet"), pa.array(cell, pa.int32()), some.column("id"), packed, pa.array(angle)], ["dim", "facet", "cell", "id", "unit", "angle"])
 
-    def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        m = np.array(rows, dtype=float)
-        length = np.sqrt((m**2).sum(axis=1))
-        return m / np.where(length > 0, length, 1)[:, None], length > 0
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in ("dim", "facet", "cell")]) if b.num_rows else np.empty((3, 0), int)
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                for at in range(i, j, PIECE):
+                    part = b.slice(at, min(PIECE, j - at))
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
+                    units = b"".join(part.column("unit").to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).slice(0, 1) for c in ("dim", "facet", "cell")), ids, pa.array([units], pa.binary()), pa.array([part.num_rows], pa.int64()), pa.array([max(part.column("angle").to_numpy())])], ["dim", "facet", "cell", "ids", "units", "n", "angle"])
+
+    placed = rows.mapInArrow(dealt, f"dim int, facet long, cell int, id {kind}, unit binary, angle double")
+    met = placed.hint("rebalance", "dim", "facet", "cell").sortWithinPartitions("dim", "facet", "cell", "id")
+    path = work_folder(vectors.sparkSession)
+    met.mapInArrow(packed, f"dim int, facet long, cell int, ids array<{kind}>, units binary, n long, angle double").write.parquet(f"{path}/cells")
+    pieces = vectors.sparkSession.read.parquet(f"{path}/cells")
+    stats: dict[int, list] = {}
+    for r in pieces.groupBy("dim", "facet", "cell").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")).orderBy("dim", "facet", "cell").collect():
+        stats.setdefault(r["dim"], []).append((r["facet"], r["cell"], r["n"], r["angle"]))
+    return VectorCells(pieces, matrix, {d: np.array(c, dtype=[("facet", "i8"), ("cell", "i4"), ("n", "i8"), ("angle", "f8")]) for d, c in stats.items()}, id_column, kind)
+
+
+def cell_search(held: VectorCells, queries: DataFrame, k: int = 50, digits: int | None = None, filters: DataFrame | None = None, visits: list | None = None) -> DataFrame:
+    """query_id, id, similarity, rank: the k vectors of largest cosine for each query (query_id, vector); a zero vector has
+    similarity null and comes last; a query meets vectors of its own dimension.
+
+    First each query visits the cells nearest to it that hold k vectors together, which gives a limit; then all cells in
+    which, by the angle to their pivot and their largest angle, something may be as near as that. Blocks of queries meet
+    packed cells, and only the best k of each meeting leave it, so pairs are never rows, and vectors are read where they are or
+    shuffled once, however many queries there are.
+
+    filters: (filter, facet), the facets that the queries' column filter admits; other cells are not visited. visits: gets
+    the rows (query_id, facet, cell) of both rounds."""
+    spark, cells, pivots, id_column = queries.sparkSession, held.cells, held.pivots, held.id_column
+    qkind = queries.schema["query_id"].dataType.simpleString()
+    rows = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), *(["filter"] if filters is not None else []))
+    if filters is None:
+        rows = rows.withColumn("facets", F.lit(None).cast("array<long>"))
+    else:
+        admitted = filters.groupBy("filter").agg(F.collect_set("facet").alias("facets"))  # facets are few
+        rows = rows.join(admitted, "filter", "left").withColumn("facets", F.coalesce("facets", F.array().cast("array<long>"))).drop("filter")
+    folder = work_folder(spark)
+    slack = 1e-9 if digits is None else 2.0 * 10.0**-digits
+
+    def visiting(second: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                dims, limits = b.column("dim").to_numpy(), b.column("kth").to_pylist()
+                facets, qid = b.column("facets").to_pylist(), b.column("query_id")
+                at, facet, cell, units = [], [], [], []
+                for i, dim in enumerate(dims.tolist()):
+                    known = cells.get(dim)
+                    if known is None:
+                        continue
+                    unit = _units(b.column("vector").slice(i, 1), dim)
+                    if facets[i] is not None:
+                        known = known[np.isin(known["facet"], np.array(facets[i], np.int64))]
+                    # of cells without a pivot, and for a query of length zero, nothing is known
+                    upper = np.full(len(known), 1.0 if unit.any() else np.inf)
+                    if dim in pivots and unit.any():
+                        to = np.arccos(np.clip(pivots[dim] @ unit[0], -1, 1))
+                        upper = np.where(known["cell"] >= 0, np.cos(np.maximum(0, to[np.maximum(known["cell"], 0)] - known["angle"])), -np.inf) + 1e-7  # arccos loses half its digits near 1
+                    order = np.argsort(-upper, kind="stable")
+                    enough = np.searchsorted(np.cumsum(np.where(known["cell"] >= 0, known["n"], 0)[order]), k) + 1
+                    first = order[:enough]
+                    chosen = first
+                    if second:
+                        near = np.arange(len(known)) if limits[i] is None else np.flatnonzero(upper >= limits[i] - slack)
+                        chosen = np.setdiff1d(near, first)
+                    at += [i] * len(chosen)
+                    facet += known["facet"][chosen].tolist()
+                    cell += known["cell"][chosen].tolist()
+                    units += [unit.tobytes()] * len(chosen)
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(at, pa.int64())), pa.array(dims[at], pa.int32()), pa.array(facet, pa.int64()), pa.array(cell, pa.int32()), pa.array(units, pa.binary())], ["query_id", "dim", "facet", "cell", "unit"])
+
+        return run
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, qids = np.array(batch.column("ids")[r].as_py()), batch.column("query_ids")[r].as_py()
-                v, there = unit(batch.column("vectors")[r].as_py())
-                q, asks = unit(batch.column("query_vectors")[r].as_py())
+                dim, asked = batch.column("dim")[r].as_py(), batch.column("asked").slice(r, 1).flatten()
+                ids = batch.column("ids").slice(r, 1).flatten()
+                v = np.frombuffer(batch.column("units")[r].as_buffer()).reshape(len(ids), dim)
+                q = np.frombuffer(b"".join(asked.field("unit").to_pylist())).reshape(len(asked), dim)
                 score = q @ v.T
-                score[:, ~there] = -np.inf
-                score[~asks, :] = -np.inf
                 if digits is not None:
                     score = np.round(score, digits)
-                out = ([], [], [])
-                for i in range(len(qids)):
+                score[~q.any(axis=1)] = -np.inf
+                score[:, ~v.any(axis=1)] = -np.inf
+                keys = ids.to_numpy(zero_copy_only=False)
+                who, what, how = [], [], []
+                for i in range(len(q)):
                     row = score[i]
                     near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    near = near[np.lexsort((ids[near], -row[near]))][:k]
-                    out[0].extend([qids[i]] * len(near))
-                    out[1].extend(ids[near].tolist())
-                    out[2].extend(row[near].tolist())
-                scores = pa.array([None if s == -np.inf else s for s in out[2]], pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("query_ids").type.value_type), pa.array(out[1], batch.schema.field("ids").type.value_type), scores], ["query_id", id_column, "similarity"])
-
-    found = held.join(asked, ["dim", "block", "salt"]).select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(best, f"query_id {qkind}, {id_column} {kind}, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), F.col(id_column))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                    near = near[np.lexsort((keys[near], -row[near]))][:k]
+                    who.append(np.full(len(near), i))
+                    what.append(near)
+                    how.append(row[near])
+                who, what, how = (np.concatenate(x) for x in (who, what, how))
+                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(who)), ids.take(pa.array(what)), pa.array(how, mask=np.isneginf(how))], ["query_id", id_column, "similarity"])
+
+    def met(asked: DataFrame, second: bool) -> DataFrame:
+        found = asked.mapInArrow(visiting(second), f"query_id {qkind}, dim int, facet long, cell int, unit binary")
+        if visits is not None:
+            visits.append(found.select("query_id", "facet", "cell"))
+        blocks = found.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).groupBy("dim", "facet", "cell", "block").agg(F.collect_list(F.struct("query_id", "unit")).alias("asked"))
+        both = held.pieces.join(blocks, ["dim", "facet", "cell"]).select("dim", "ids", "units", "asked")
+        return both.mapInArrow(best, f"query_id {qkind}, {id_column} {held.id_type}, similarity double")
+
+    n_blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    order = [F.col("similarity").desc_nulls_last(), F.col(id_column)]
+    met(rows.withColumn("kth", F.lit(None).cast("double")), False).write.parquet(f"{folder}/first")
+    first = spark.read.parquet(f"{folder}/first")
+    kth = top_k(first, "query_id", order, k).groupBy("query_id").agg(F.when(F.count("similarity") >= k, F.min("similarity")).alias("kth"))
+    more = met(rows.join(kth, "query_id", "left").select("query_id", "vector", "dim", "facets", "kth"), True)
+    return top_k(first.unionByName(more), "query_id", order, k)
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, id_column: str = "chunk_id", vector_column: str = "embedding", digits: int | None = None, facet: str | None = None, filters: DataFrame | None = None) -> DataFrame:
+    """cell_search over vectors that are packed for it."""
+    return cell_search(vector_cells(vectors, id_column, vector_column, facet), queries, k, digits, filters)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import markdown, urls, vectors
-from inkwell.operators import bm25, catalog, chunking, evaluation, fusion, html, ingest, linkgraph, querylog, rerank, vector_search
+from inkwell.operators import bm25, catalog, chunking, evaluation, fusion, html, ingest, linkgraph, querylog, rerank, text_index, vector_search
 from inkwell.plans import workflows
 from inkwell.sources import files as storage
 
@@ -578,6 +578,55 @@ def r1_per_query(spark, sf_dir):
     return rerank.api_rows(hits, F.col("max_results")).select("query_id", "final_rank", "target_version", "document_type", "relevance_score")
 
 
+@query("r3_stored_index", f"WITH {SQL_BM25} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10")
+def r3_stored(spark, sf_dir):
+    """Three versions first, one of them with other texts; then an increment replaces that one and adds the others."""
+    chunks = store(spark, sf_dir)["chunks"].select(F.col("id").alias("chunk_id"), "content", "section_title", F.col("id").alias("n"))
+    early = chunks.filter("n % 5 <> 3").withColumn("content", F.when(F.col("n") % 5 == 2, F.lit("stale text")).otherwise(F.col("content")))
+    index = text_index.create_index(early.drop("n"), storage.work_folder(spark))
+    index = text_index.update_index(index, chunks.filter("n % 5 IN (2, 3)").drop("n"), early.limit(0).select("chunk_id"))
+    return text_index.pruned_search(index, asked(spark, sf_dir), 10, digits=6)
+
+
+@query("r2_increments", f"WITH {SQL_INDEX} SELECT term, p.field, count(*) AS df FROM p WHERE chunk_id % 7 <> 1 GROUP BY ALL")
+def r2_increments(spark, sf_dir):
+    """An index of two thirds and stale texts, the rest and the right texts added, a seventh deleted."""
+    chunks = store(spark, sf_dir)["chunks"].select(F.col("id").alias("chunk_id"), "content", "section_title")
+    early = chunks.filter("chunk_id % 3 <> 0").withColumn("content", F.when(F.col("chunk_id") % 3 == 1, F.upper("section_title")).otherwise(F.col("content")))
+    index = text_index.create_index(early, storage.work_folder(spark))
+    index = text_index.update_index(index, chunks.filter("chunk_id % 3 <> 2"))
+    index = text_index.update_index(index, chunks.limit(0), chunks.filter("chunk_id % 7 = 1").select("chunk_id"))
+    return index.terms()
+
+
+@query(
+    "r1_r9_hybrid_filters",
+    f"""WITH {SQL_INDEX}, {SQL_STORE},
+             q AS (SELECT item_id AS query_id, text, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'All' END AS version, CASE item_id % 2 WHEN 0 THEN 'src1' ELSE '' END AS kind FROM benchmark),
+             ok AS (SELECT q.query_id, docs.id AS chunk_id FROM q, docs WHERE status = 'Active' AND (coalesce(version, '') IN ('', 'All') OR target_version = version) AND (kind = '' OR category = kind)),
+             a AS (SELECT DISTINCT query_id, unnest({_WORDS.format("text")}) AS term FROM q),
+             sc AS (SELECT a.query_id, p.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * CASE WHEN p.field = 'content' THEN 1.0 ELSE 3.0 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score
+                    FROM a JOIN p ON a.term = p.term JOIN df ON df.term = p.term AND df.field = p.field JOIN f ON f.field = p.field JOIN ok ON ok.query_id = a.query_id AND ok.chunk_id = p.chunk_id GROUP BY 1, 2),
+             bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc),
+             vs AS (SELECT ok.query_id, ok.chunk_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity FROM ok JOIN embeddings e ON e.vec_id = ok.query_id JOIN embeddings c ON c.vec_id = ok.chunk_id),
+             ve AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM vs),
+             fu AS (SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.chunk_id, v.chunk_id) AS chunk_id, b.rank AS bm25_rank, v.rank AS vector_rank, coalesce(1.0 / (60 + b.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS rrf_score
+                    FROM (SELECT * FROM bm WHERE rank <= 20) b FULL JOIN (SELECT * FROM ve WHERE rank <= 20) v ON b.query_id = v.query_id AND b.chunk_id = v.chunk_id),
+             rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST, chunk_id) AS rank FROM fu)
+        SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, CAST(vector_rank AS INTEGER) AS vector_rank, target_version, category FROM rr JOIN docs ON docs.id = rr.chunk_id WHERE rank <= 20""",
+)
+def r1_r9(spark, sf_dir):
+    """Every query with a version and a category of its own, over words and vectors."""
+    held = store(spark, sf_dir)
+    vec = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks = workflows.with_facets(held["chunks"], held["documents"]).join(vec, "chunk_id", "left")
+    index, cells = workflows.index_chunks(chunks, storage.work_folder(spark))
+    version = F.when(F.col("query_id") % 3 == 0, "en").when(F.col("query_id") % 3 == 1, "All")
+    queries = asked(spark, sf_dir).withColumns({"target_version": version, "category": F.when(F.col("query_id") % 2 == 0, "src1").otherwise("")})
+    hits = rerank.hybrid_search(index, cells, chunks.drop("embedding", "content"), queries, 20, fixed={"status": "Active"}, digits=6)
+    return hits.select("query_id", "chunk_id", "rank", "bm25_rank", "vector_rank", "target_version", "category")
+
+
 @query("r10_rerank_fallback", f"WITH {SQL_RRF} SELECT query_id, chunk_id, true AS rerank_failed, round(rrf_score, 9) AS similarity, CAST(rank AS INTEGER) AS final_rank FROM rr WHERE rank <= 5")
 def r10(spark, sf_dir):
     hits, queries = multi_hits(spark, sf_dir)
@@ -767,7 +816,8 @@ def w2(spark, sf_dir):
 
 @query("w3_r9_r11_answers")
 def w3(spark, sf_dir):
-    tables = workflows.ingest(page_files(spark, sf_dir).cache(), F.lit(AT).cast("timestamp"), workflows.default_encoder(), low=16)
-    tables["chunks"].cache()
+    made, path = workflows.ingest(page_files(spark, sf_dir), F.lit(AT).cast("timestamp"), workflows.default_encoder(), low=16), storage.work_folder(spark)
+    storage.write_store(made, path)
+    tables = storage.read_store(spark, path)
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return rerank.api_rows(workflows.answers(tables, queries, workflows.default_encoder(), low=16, threshold=0.3))
