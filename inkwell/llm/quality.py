@@ -2,13 +2,13 @@
 
 Two zstandard dictionaries are trained, one from well and one from badly rated text. A document is cut into
 blocks of ``block`` bytes (all of it, however long), each block is compressed with both dictionaries, and the sizes are
-summed. The features are the difference of the sizes, once divided by the document's bytes and once by the sum of both
-sizes, and the bytes that the good dictionary leaves of one. A logistic curve fitted on labelled rows that the
-dictionaries have not seen turns them into a score from 0 to 1. Its rows are weighted by how frequent their class is
+summed. The difference of both sizes, divided by the document's bytes, is all that a document is judged by: a logistic
+curve turns it into a score from 0 to 1. The curve is fitted on labelled rows by cross-fitting: they are dealt to FOLDS
+folds, and the rows of a fold are measured with dictionaries that are trained on the other folds only. Its rows are weighted by how frequent their class is
 among all labelled ids that may be learned from, so the score is calibrated to that population, however many rows of a
 class the fit takes.
 
-Defined results: a null or empty text has features of 0 and gets the score of those; a null doc_id is
+Defined results: a null or empty text has a difference of 0 and gets the score of that; a null doc_id is
 scored like any other row and is never used for fitting; repeated rows are scored once each, and of the texts of a
 repeated id the first in order is learned from; ids with both labels are not learned from; if the labels hold
 only one class (or none), every score is 0.5. Columns of the input other than doc_id and text are ignored.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +30,25 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import id_crc, slices
 
 LEVEL = 3
+FOLDS = 16
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Trained dictionaries (None: nothing could be learned) and the logistic curve: a weight per feature."""
+    """Trained dictionaries (None: nothing could be learned) and the logistic curve over the difference."""
 
     bad: bytes | None
     good: bytes | None
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    slope: float = 0.0
     intercept: float = 0.0
     block: int = 256
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(features.reshape(-1, len(self.weights)) @ np.array(self.weights) + self.intercept, -60, 60)))
+    def score(self, difference: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(difference * self.slope + self.intercept, -60, 60)))
 
 
-class SizeFeatures:
-    """Callable on a text: (difference / bytes, difference / both sizes, good size / bytes); the difference is the size
-    with the bad dictionary less that with the good one."""
+class SizeDifference:
+    """Callable on a text: its size with the bad dictionary less that with the good one, over its bytes."""
 
     def __init__(self, model: QualityModel):
         self.block, self.by = model.block, []
@@ -57,13 +57,13 @@ class SizeFeatures:
             known.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress)
 
-    def __call__(self, text: str | None) -> tuple[float, float, float]:
+    def __call__(self, text: str | None) -> float:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return (0.0, 0.0, 0.0)
+            return 0.0
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         bad, good = (sum(map(len, map(c, blocks))) for c in self.by)
-        return ((bad - good) / len(raw), (bad - good) / (bad + good), good / len(raw))
+        return (bad - good) / len(raw)
 
 
 def rated_ids(labels: DataFrame, label: str, train: Column) -> DataFrame:
@@ -107,18 +107,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rou
 
 
 def dictionary_blocks(sample: DataFrame, per_class: int, size: int) -> DataFrame:
-    """label, block: of all blocks of the sampled texts, whole ones, per_class of each class at most, those with the
+    """label, fold, block: of all blocks of the sampled texts, whole ones, per_class of each class at most, those with the
     smallest hash of id and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             out = []
-            for i, label, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
+            for i, label, fold, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "fold", "text")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(label, zlib.crc32(f"{i}:{at}".encode()), raw[at : at + size]) for at in range(0, len(raw), size)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["label", "place", "block"])
+                out += [(label, fold, zlib.crc32(f"{i}:{at}".encode()), raw[at : at + size]) for at in range(0, len(raw), size)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["label", "fold", "place", "block"])
 
-    blocks = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInArrow(run, "label int, place long, block binary")
+    blocks = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "fold", "text").mapInArrow(run, "label int, fold int, place long, block binary")
     parts = [blocks.filter(F.col("label") == v).orderBy("place", "block").limit(per_class) for v in (0, 1)]
     return parts[0].unionByName(parts[1])
 
@@ -137,45 +137,70 @@ def train_dictionary(blocks: list[bytes], size: int) -> bytes | None:
 def fit_quality(
     documents: DataFrame, labels: DataFrame, *, train: Column | None = None, dictionary_docs: int = 4000, dictionary_blocks_kept: int = 16384, calibration_docs: int = 1500, dictionary_bytes: int = 512 * 1024, block: int = 256, block_bytes: int = 1024
 ) -> QualityModel:
-    """Fit on a bounded sample of labelled rows: dictionary_docs and calibration_docs of each class at most; from
-    the whole texts of the former, dictionary_blocks_kept blocks of block_bytes. train: which ids may be learned from
-    (default: all). A quarter of the ids, told apart by their crc32, is kept for the curve; the dictionaries learn from
-    the others."""
+    """Fit on a bounded sample of labelled rows: dictionary_docs of each class at most, of which calibration_docs for the
+    curve; from the whole texts, dictionary_blocks_kept blocks of block_bytes. train: which ids may be learned from
+    (default: all). Folds are told apart by the ids' crc32; the model's own dictionaries learn from all of them."""
     train = F.lit(True) if train is None else train
-    aside = (F.floor(id_crc(F.col("doc_id")) / 7) % 4) == 0
+    fold = (F.floor(id_crc(F.col("doc_id")) / 7) % FOLDS).cast("int")
     rated = rated_ids(labels, "quality", train)
-    rows = dictionary_blocks(labelled_sample(documents, rated.filter(~aside), dictionary_docs), dictionary_blocks_kept, block_bytes).collect()
-    bad, good = (train_dictionary(sorted(bytes(r["block"]) for r in rows if r["label"] == v), dictionary_bytes) for v in (0, 1))
-    if bad is None or good is None:
-        return QualityModel(None, None, block=block)
-    model = QualityModel(bad, good, block=block)
-    scored = _scored(labelled_sample(documents, rated.filter(aside), calibration_docs), model, ["doc_id", "label"]).select("doc_id", "label", "features").orderBy("doc_id").collect()
-    x, y = np.array([r["features"] for r in scored], dtype=float).reshape(-1, 3), np.array([r["label"] for r in scored], dtype=float)
+    sample = labelled_sample(documents, rated, dictionary_docs).withColumn("fold", fold)
+    rows = dictionary_blocks(sample, dictionary_blocks_kept, block_bytes).collect()
+
+    def trained(left_out: int | None) -> QualityModel:
+        pair = (train_dictionary(sorted(bytes(r["block"]) for r in rows if r["label"] == v and r["fold"] != left_out), dictionary_bytes) for v in (0, 1))
+        bad, good = pair
+        return QualityModel(bad, good, block=block) if bad and good else QualityModel(None, None, block=block)
+
+    model = trained(None)
+    if model.bad is None:
+        return model
+    models = [trained(f) for f in range(FOLDS)]
+    some = labelled_sample(documents, rated, calibration_docs).withColumn("fold", fold).filter(F.col("fold").isin([f for f, m in enumerate(models) if m.bad is not None]))
+    measured = _measured(some, models, ["doc_id", "label"]).select("doc_id", "label", "difference").orderBy("doc_id").collect()
+    x, y = np.array([[r["difference"]] for r in measured], dtype=float), np.array([r["label"] for r in measured], dtype=float)
     if len(set(y)) < 2:
-        return QualityModel(bad, good, (20.0, 0.0, 0.0), block=block)
-    by_class = class_weights(rated.filter(aside), Counter(r["label"] for r in scored))
-    weights, intercept = logistic(x, y, np.array([by_class[r["label"]] for r in scored]))
-    return QualityModel(bad, good, tuple(map(float, weights)), intercept, block)
+        return replace(model, slope=20.0)
+    by_class = class_weights(rated, Counter(r["label"] for r in measured))
+    weights, intercept = logistic(x, y, np.array([by_class[r["label"]] for r in measured]))
+    return replace(model, slope=float(weights[0]), intercept=intercept)
+
+
+def _measured(documents: DataFrame, models: list[QualityModel], keep: list[str]) -> DataFrame:
+    """The columns keep, and the difference by the model of the row's fold."""
+    shared = documents.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, measure = None, None  # one pair of dictionaries at a time
+        for b in slices(batches):
+            x = []
+            for f, text in zip(b.column("fold").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if f != at:
+                    at, measure = f, SizeDifference(shared.value[f])
+                x.append(measure(text))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(x, pa.float64())], [*keep, "difference"])
+
+    schema = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep) + ", difference double"
+    return documents.select(*keep, "fold", "text").repartition(FOLDS, "fold").sortWithinPartitions("fold").mapInArrow(run, schema)
 
 
 def _scored(documents: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = SizeFeatures(shared.value)
+        measure = SizeDifference(shared.value)
         for b in slices(batches):
             x = [measure(t) for t in b.column("text").to_pylist()]
             score = shared.value.score(np.array(x, dtype=float))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(x, pa.list_(pa.float64())), pa.array(score, pa.float64())], [*keep, "features", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(x, pa.float64()), pa.array(score, pa.float64())], [*keep, "difference", "score"])
 
-    schema = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep) + ", features array<double>, score double"
+    schema = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep) + ", difference double, score double"
     return documents.select(*keep, "text").mapInArrow(run, schema)
 
 
 def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, features (null: no model), score of every row, each whole text read once."""
+    """doc_id, difference (null: no model), score of every row, each whole text read once."""
     if model.bad is None:
-        return documents.select("doc_id", F.lit(None).cast("array<double>").alias("features"), F.lit(0.5).alias("score"))
+        return documents.select("doc_id", F.lit(None).cast("double").alias("difference"), F.lit(0.5).alias("score"))
     return _scored(documents.select("doc_id", "text"), model, ["doc_id"])
 
 
@@ -186,7 +211,7 @@ def keep_quality(documents: DataFrame, model: QualityModel, threshold: float = 0
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = SizeFeatures(shared.value)
+        measure = SizeDifference(shared.value)
         for b in slices(batches):
             x = np.array([measure(t) for t in b.column("text").to_pylist()], dtype=float)
             yield b.filter(pa.array(shared.value.score(x) >= threshold, pa.bool_()))

@@ -10,7 +10,10 @@ counts. The sum of the weights, divided by a power of the number of words, is pu
 The lexicon can be given or learned from labelled rows: document frequencies of words, word beginnings and pairs of
 words among toxic and clean documents are counted in the tasks, and all terms whose log-odds are clear enough become
 entries. Exceptions are learned next: clean words that begin like an entry, and phrases of two or three words around an
-entry that stand in clean documents and hardly in toxic ones. The curve's rows are weighted by how frequent their class
+entry that stand in clean documents and hardly in toxic ones. A word that is used both ways, so that its log-odds are
+positive but not clear enough, is looked at once more: where such phrases stand around it, its documents are counted
+again without the places inside them, and if it is clear enough then, the word becomes an entry and its phrases
+exceptions. The curve's rows are weighted by how frequent their class
 is among all ids that may be learned from.
 
 Defined results: null, empty and word-free texts have no matches and the score of none; a null doc_id is scored, but
@@ -157,6 +160,16 @@ class Phrases:
         return out
 
 
+class Outside:
+    """Callable on a folded text: the entries found outside the model's exceptions."""
+
+    def __init__(self, model: ToxicityModel):
+        self.match = Matcher(model)
+
+    def __call__(self, folded: str) -> set[str]:
+        return {folded[start:end] for start, end, _ in self.match.spans(folded)}
+
+
 def choose_entries(weights: dict[str, float]) -> dict[str, float]:
     """Of the terms that are clear enough those that say something new: a term that begins with, ends with or holds
     another one must weigh clearly more."""
@@ -172,11 +185,12 @@ def choose_entries(weights: dict[str, float]) -> dict[str, float]:
 
 
 def fit_toxicity(
-    documents: DataFrame, labels: DataFrame, *, train: Column | None = None, lexicon_docs: int = 5000, calibration_docs: int = 2500, min_docs: int = 4, min_weight: float = 3.0, min_exception: float = 1.0, power: float = 0.25
+    documents: DataFrame, labels: DataFrame, *, train: Column | None = None, lexicon_docs: int = 5000, calibration_docs: int = 2500, min_docs: int = 4, min_weight: float = 3.0, min_doubtful: float = 0.5, min_exception: float = 1.0, power: float = 0.25
 ) -> ToxicityModel:
     """Learn lexicon and curve from labelled rows: at most lexicon_docs and calibration_docs of each class. Terms in
     min_docs toxic documents whose log-odds reach min_weight become entries, all of them; what stands in min_docs clean
-    documents with log-odds of -min_exception or less, exceptions. A quarter of the ids, told apart by their crc32, is
+    documents with log-odds of -min_exception or less, exceptions. Words whose log-odds reach min_doubtful only become
+    entries if they reach min_weight without the places inside such phrases. A quarter of the ids, told apart by their crc32, is
     kept for the curve."""
     train = F.lit(True) if train is None else train
     aside = (F.floor(id_crc(F.col("doc_id")) / 7) % 4) == 0
@@ -189,10 +203,20 @@ def fit_toxicity(
     odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(n) - F.col(c) + 0.5))
     weighed = lambda counts: counts.withColumn("weight", odds("toxic", n_toxic) - odds("clean", n_clean)).filter(F.col("toxic") + F.col("clean") >= min_docs)
     counts = materialize(weighed(_counted(sample, lambda: terms)), "terms")
-    kept = choose_entries({r["term"]: r["weight"] for r in counts.filter((F.col("toxic") >= min_docs) & (F.col("weight") >= min_weight)).collect()})
-    shared = documents.sparkSession.sparkContext.broadcast(ToxicityModel(kept))
-    phrases = weighed(_counted(sample, lambda: Phrases(shared.value)))
+    found = {r["term"]: r["weight"] for r in counts.filter((F.col("toxic") >= min_docs) & (F.col("weight") >= min(min_doubtful, min_weight))).collect()}
+    kept = choose_entries({t: w for t, w in found.items() if w >= min_weight})
+    doubtful = {t: w for t, w in found.items() if w < min_weight and t.endswith(MARK) and t.count(MARK) == 2 and not any(t[:n] in kept for n in range(2, len(t) + 1))}
+    shared = documents.sparkSession.sparkContext.broadcast(ToxicityModel(kept | doubtful))
     harmless = (F.col("clean") >= min_docs) & (F.col("weight") <= -min_exception)
+    phrases = [r["term"] for r in weighed(_counted(sample, lambda: Phrases(shared.value))).filter(harmless).select("term").collect()]
+    inside = {f"{MARK}{w}{MARK}" for p in phrases for w in p.strip(MARK).split(MARK)}
+    again = {t: w for t, w in doubtful.items() if t in inside}
+    if again:
+        outside = documents.sparkSession.sparkContext.broadcast(ToxicityModel(again, tuple(phrases)))
+        clear = weighed(_counted(sample, lambda: Outside(outside.value))).filter((F.col("toxic") >= min_docs) & (F.col("weight") >= min_weight))
+        kept |= {r["term"]: r["weight"] for r in clear.collect()}
+    around = Matcher(ToxicityModel(kept))
+    phrases = [p for p in phrases if around.spans(p)]
     starts = [t for t in kept if not t.endswith(MARK)]
     doubt = F.lit(False)
     for n in BEGINNINGS:
@@ -201,7 +225,7 @@ def fit_toxicity(
             doubt = doubt | F.substring("term", 1, n + 1).isin(some)
     alone = F.length(F.replace(F.col("term"), F.lit(MARK), F.lit(""))) == F.length("term") - 2
     words = counts.filter(F.col("term").endswith(MARK) & alone & (F.col("weight") < 0) & doubt)
-    exceptions = tuple(sorted({r["term"] for part in (words, phrases.filter(harmless)) for r in part.select("term").collect()}))
+    exceptions = tuple(sorted({*phrases, *(r["term"] for r in words.select("term").collect())}))
     model = ToxicityModel(kept, exceptions, power=power)
     held = _values(labelled_sample(documents, rated.filter(aside), calibration_docs), model, ["doc_id", "label"]).select("doc_id", "value", "label").orderBy("doc_id").collect()
     y = np.array([r["label"] for r in held], dtype=float)

@@ -23,7 +23,7 @@ from inkwell.llm.licenses import rules, scan_licenses
 from inkwell.llm.near_dup import Shingler, components, merged, near_duplicates, neighbours, orders, sketches
 from inkwell.llm.quality import class_weights, fit_quality, logistic, score_quality
 from inkwell.llm.token_store import FileReader, FileWriter, PieceEncoder
-from inkwell.llm.toxicity import Matcher, choose_entries, fit_toxicity, fold, lexicon_model, score_toxicity, terms
+from inkwell.llm.toxicity import Matcher, ToxicityModel, choose_entries, fit_toxicity, fold, lexicon_model, score_toxicity, terms
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ALPHABET = [" ", "  ", "a", "b", "C", "\n", "\t", "\x1c", "é", "<|endoftext|>", "<|startoftext|>", "'s", "1", "22", "!", "!!", "\u3000", "\0", "Foo", "\xa0", "\u0301", "Σ", "İ", "漢", "😀", "aaa", "the", "ing", ".", "\u0338", ">"]
@@ -283,8 +283,8 @@ def test_quality_against_plain_sizes(spark, sf_dir):
             c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
             sizes.append(sum(len(c.compress(raw[i : i + 256])) for i in range(0, len(raw), 256)))
         b, g = sizes
-        x = ((b - g) / len(raw), (b - g) / (b + g), g / len(raw)) if raw else (0, 0, 0)
-        want[r["doc_id"]] = 1 / (1 + np.exp(-sum(w * v for w, v in zip(model.weights, x, strict=True)) - model.intercept))
+        x = (b - g) / len(raw) if raw else 0
+        want[r["doc_id"]] = 1 / (1 + np.exp(-model.slope * x - model.intercept))
     got = {r["doc_id"]: r["score"] for r in score_quality(docs, model).collect()}
     assert got == pytest.approx(want, abs=1e-9)
 
@@ -341,6 +341,40 @@ def test_lexicon_against_plain_counts(spark):
         assert scores[i] == pytest.approx(1 / (1 + np.exp(-model.slope * value - model.intercept)), abs=1e-9)
 
 
+def test_words_that_harm_alone_and_not_in_phrases(spark):
+    """At the query's own thresholds: words that clean documents hold in phrases only become entries, and the phrases
+    exceptions; words that both use alike become neither."""
+    rng = random.Random(9)
+    plain = [f"word{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    rows = []
+    for i in range(600):
+        words = rng.choices(plain, k=30)
+        words[4:4] = rng.choice([["loud"], []])
+        if i % 2:
+            words[9:9] = [rng.choice(["scum", "vermin"])]
+            words[20:20] = rng.choice([["utter", "scum"], ["such", "vermin"]])
+        elif i % 3:
+            words[9:9] = rng.choice([["pond", "scum", "grows"], ["vermin", "control", "firm"]])
+        rows.append((i, " ".join(words), i % 2))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels)
+    mine = lambda w: any(fold(w).startswith(e) or e == fold(w) for e in model.entries)
+    assert mine("scum") and mine("vermin") and not mine("loud")
+    assert {fold("pond scum"), fold("vermin control")} <= set(model.exceptions)
+    total = lambda t: sum(w for _, _, w in Matcher(model).spans(fold(t)))
+    assert total("the pond scum grows") == total("a vermin control firm came") == total("a loud word") == 0 < min(total("you scum"), total("they are vermin"))
+    # log-odds outside the harmless phrases, by plain counts
+    learned = [(fold(t), y) for i, t, y in rows if (zlib.crc32(str(i).encode()) // 7) % 4]
+    n = [sum(y == v for _, y in learned) for v in (0, 1)]
+    only = ToxicityModel({fold("scum"): 1.0, fold("vermin"): 1.0}, model.exceptions)
+    odds = lambda c, m: np.log((c + 0.5) / (m - c + 0.5))
+    for w in ("scum", "vermin"):
+        held = [sum(any(f[s:e] == fold(w) for s, e, _ in slow_matches(f, only)) for f, y in learned if y == v) for v in (0, 1)]
+        assert model.entries[fold(w)] == pytest.approx(odds(held[1], n[1]) - odds(held[0], n[0]))
+    scores = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model).collect()}
+    assert all((scores[i] >= 0.3) == bool(y) for i, _, y in rows)
+
+
 def test_no_lexicon_is_cut(spark):
     """Thousands of entries stay entries."""
     rows = [(i, " ".join(f"bad{'abcdefghij'[j % 10]}q{'klmnopqrst'[j // 10 % 10]}x{'abcdefghij'[j // 100 % 10]}v{'abcdefghij'[j // 1000]}" for j in range(6000)) if i % 2 else "harmless words", i % 2) for i in range(40)]
