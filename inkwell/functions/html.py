@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -139,19 +140,43 @@ def _strings(element: Element) -> list[str]:
     return out
 
 
+def _squeezed(text: str) -> str:
+    return re.sub(r"\s+", " ", text)
+
+
 #: Blocks that Markdown has a form for.
 OWN_FORM = frozenset("h1 h2 h3 h4 h5 h6 pre hr ul ol blockquote table".split())
 
 
+def _finished(task: Generator):
+    """What a task returns, whose parts are tasks that it yields: a stack of its own, so that depth is no matter."""
+    stack, value = [task], None
+    while stack:
+        try:
+            part = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(part)
+            value = None
+    return value
+
+
 class _Writer:
-    """Markdown of a tree. Blocks are separated by blank lines; white space in running text is squeezed."""
+    """Markdown of a tree. Blocks are separated by blank lines; white space in running text is squeezed. inline, blocks
+    and block are tasks for _finished."""
 
-    def __init__(self, base_url: str):
+    def __init__(self, base_url: str, root: Element):
         self.base = base_url
-
-    def inline(self, node) -> str:
-        if isinstance(node, str):
-            return re.sub(r"\s+", " ", node)
+        #: Elements with a block below them.
+        self.holding: set[int] = set()
+        every = list(root.walk())
+        for x in reversed(every):  # parents come before their children
+            if any(not isinstance(c, str) and (c.tag in BLOCKS or id(c) in self.holding) for c in x.children):
+                self.holding.add(id(x))
+
+    def inline(self, node: Element) -> Generator:
         if node.tag in SILENT:
             return ""
         if node.tag == "br":
@@ -161,7 +186,7 @@ class _Writer:
         if node.tag in ("code", "kbd", "samp", "tt"):
             code = node.text()
             return f"`` {code} ``" if "`" in code else f"`{code}`" if code.strip() else ""
-        inner = "".join(map(self.inline, node.children))
+        inner = yield self.line(node)
         core = inner.strip()
         if not core:
             return " " if inner else ""
@@ -174,11 +199,14 @@ class _Writer:
             return f"{lead}*{core}*{trail}"
         return inner
 
-    @staticmethod
-    def has_blocks(node: Element) -> bool:
-        return any(x.tag in BLOCKS for c in node.children if not isinstance(c, str) for x in c.walk())
+    def line(self, node: Element) -> Generator:
+        """The children of a node as running text."""
+        parts = []
+        for c in node.children:
+            parts.append(_squeezed(c) if isinstance(c, str) else (yield self.inline(c)))
+        return "".join(parts)
 
-    def blocks(self, node: Element) -> list[str]:
+    def blocks(self, node: Element) -> Generator:
         out, run = [], []
 
         def flush():
@@ -193,22 +221,24 @@ class _Writer:
             c = todo.pop()
             if c is None:
                 flush()
-            elif isinstance(c, str) or (c.tag not in BLOCKS and not self.has_blocks(c)):
-                run.append(self.inline(c))
+            elif isinstance(c, str):
+                run.append(_squeezed(c))
+            elif c.tag not in BLOCKS and id(c) not in self.holding:
+                run.append((yield self.inline(c)))
             else:
                 flush()
                 if c.tag in OWN_FORM:
-                    out.extend(self.block(c))
+                    out.extend((yield self.block(c)))
                 elif c.tag not in SILENT:
                     todo.append(None)
                     todo.extend(reversed(c.children))
         flush()
         return out
 
-    def block(self, x: Element) -> list[str]:
+    def block(self, x: Element) -> Generator:
         tag = x.tag
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            text = " ".join("".join(map(self.inline, x.children)).split())
+            text = " ".join((yield self.line(x)).split())
             return [f"{'#' * int(tag[1])} {text}"] if text else []
         if tag == "pre":
             code = x.text().strip("\n")
@@ -224,25 +254,31 @@ class _Writer:
                     continue
                 number += c.tag == "li"
                 mark = f"{number}. " if tag == "ol" else "* "
-                inner = self.blocks(c) if c.tag == "li" else self.block(c)
+                inner = yield self.blocks(c) if c.tag == "li" else self.block(c)
                 if inner:
                     tight = "\n".join(inner) if not any("\n\n" in i or i.startswith("```") for i in inner) else "\n\n".join(inner)
                     lines.append(mark + tight.replace("\n", "\n" + " " * len(mark)))
             return ["\n".join(lines)] if lines else []
         if tag == "blockquote":
-            inner = "\n\n".join(self.blocks(x))
+            inner = "\n\n".join((yield self.blocks(x)))
             return ["> " + inner.replace("\n", "\n> ")] if inner else []
         if tag == "table":
-            rows = [[" ".join("".join(map(self.inline, c.children)).split()).replace("|", "\\|") for c in r.children if not isinstance(c, str) and c.tag in ("td", "th")] for r in x.walk() if r.tag == "tr"]
-            rows = [r for r in rows if r]
+            rows = []
+            for r in x.walk():
+                cells = [c for c in r.children if not isinstance(c, str) and c.tag in ("td", "th")] if r.tag == "tr" else []
+                row = []
+                for c in cells:
+                    row.append(" ".join((yield self.line(c)).split()).replace("|", "\\|"))
+                if row:
+                    rows.append(row)
             if not rows:
-                return self.blocks(x)
+                return (yield self.blocks(x))
             width = max(map(len, rows))
             lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
             return ["\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])]
-        return self.blocks(x)
+        return (yield self.blocks(x))
 
 
 def to_markdown(root: Element, base_url: str) -> str:
     """Markdown with absolute links, without front matter."""
-    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(_Writer(base_url).block(root))).strip() + "\n"
+    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(_finished(_Writer(base_url, root).block(root)))).strip() + "\n"

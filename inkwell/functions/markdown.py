@@ -46,37 +46,41 @@ def file_stem(path: Column | str) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-#: A role is its name between colons and its argument: text in backquotes, or a bare word; a doc role may also have a
-#: bare word with a target in angle brackets. A colon before backquotes is a role without a name.
-ROLE = r":(?:[a-z0-9_-]+:(?:`[^`]+`|(?<=:doc:)[^ \n`<>]+ <[^>]+>|[^ \n`]+)|(?=`[^`]))"
+#: A role by the markup's public grammar: a name of letters and digits with single signs inside, maybe with a domain
+#: before it, between colons; then its argument, in backquotes or, where converters have dropped these, up to white space.
+ROLE = r"(?<![\w:]):[A-Za-z](?:[.+_:-]?[A-Za-z0-9])*:(?:`[^`]+`|(?![\s:`])\S+)"
+
+# What the two linking roles point at, entities that are decoded, endings of source files.
+SETTINGS_PAGE = "ref/settings/"
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&amp;": "&"}
+SOURCE_ENDINGS = r"\.(?:txt|rst)$"
 
 
 def clean_roles(text: Column | str, base_url: str) -> Column:
-    """Documentation roles left in converted text, in one pass over them: ``doc`` becomes a link, ``setting`` a link to
-    its anchor, other roles their content. Tildes and escapes go, entities are decoded, blank lines squeezed."""
-
-    def link(title: Column, path: Column) -> Column:
-        return F.concat(F.lit("["), title, F.lit(f"]({base_url}/"), path, F.lit(")"))
-
-    def role(match: Column) -> Column:
-        name = F.regexp_extract(match, r"^:([a-z0-9_-]*):", 1)
-        argument = F.regexp_replace(match, r"^:(?:[a-z0-9_-]+:)?", "")
-        bare = F.btrim(argument, F.lit("` "))
-        title, target = F.regexp_extract(bare, r"(?s)^([^<]*?) <", 1), F.regexp_extract(bare, r"(?s)^[^<]* <(.*)>$", 1)
-        titled = target != ""
-        page = F.regexp_replace(F.ltrim(F.when(titled, target).otherwise(bare), F.lit("/")), r"\.(?:txt|rst)|~", "")
-        page = F.regexp_replace(page, r"(?<=[^/])$", "/")
-        setting = F.regexp_replace(argument, r"[`~]|\\(?=_)", "")
-        anchor = F.concat(F.lit("ref/settings/#"), F.translate(F.lower(setting), "_", "-"))
-        linked = (name == "doc") & (argument.startswith("`") | titled)
-        return F.when(linked, link(F.when(titled, title).otherwise(bare), page)).when(name == "setting", link(setting, anchor)).otherwise(argument)
+    """Documentation roles left in converted text become plain Markdown: a doc role a link to its page, a setting role a
+    link to the setting's anchor, any other role its argument with its backquotes. Then tildes and escapes before
+    underscores and asterisks go, entities are decoded and blank lines squeezed.
+
+    The text is cut at the roles, and each role, a piece of its own, is judged by its name."""
+
+    def shown(piece: Column) -> Column:
+        argument = F.regexp_replace(piece, r"^:(?:[^:`\s]+:)+", "")
+        name = F.element_at(F.split(F.regexp_extract(piece, r"^:((?:[^:`\s]+:)+)", 1), ":"), -2)
+        inner = F.btrim(argument, F.lit("`"))
+        target = F.regexp_extract(inner, r"<([^<>]+)>\s*$", 1)
+        title = F.when(target == "", inner).otherwise(F.btrim(F.regexp_replace(inner, r"<[^<>]+>\s*$", "")))
+        page = F.btrim(F.regexp_replace(F.when(target == "", inner).otherwise(target), SOURCE_ENDINGS, ""), F.lit("/"))
+        anchor = F.concat(F.lit(f"{SETTINGS_PAGE}#"), F.lower(F.replace(inner, F.lit("_"), F.lit("-"))))
+        to = lambda words, where: F.concat(F.lit("["), words, F.lit(f"]({base_url}/"), where, F.lit(")"))
+        return F.when(name == "doc", to(title, F.concat(page, F.lit("/")))).when(name == "setting", to(inner, anchor)).otherwise(argument)
 
     plain = _col(text)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    made = F.transform(F.regexp_extract_all(plain, F.lit(ROLE), F.lit(0)), role)
-    pieces = F.zip_with(F.split(plain, ROLE, -1), made, lambda between, one: F.concat(between, F.coalesce(one, F.lit(""))))
-    return squeeze_newlines(F.regexp_replace(F.array_join(pieces, ""), r"~|\\(?=[_*])", ""))
+    for written, char in ENTITIES.items():
+        plain = F.replace(plain, F.lit(written), F.lit(char))
+    plain = F.regexp_replace(plain, r"~|\\(?=[_*])", "")
+    roles = F.transform(F.regexp_extract_all(plain, F.lit(ROLE), F.lit(0)), shown)
+    pieces = F.zip_with(F.split(plain, ROLE, -1), roles, lambda between, role: F.concat(between, F.coalesce(role, F.lit(""))))
+    return squeeze_newlines(F.array_join(pieces, ""))
 
 
 def word_count(text: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"
-#: Names of generated listings hold one of these words.
+# Names of generated listings hold one of these words.
 LISTING_WORDS = ("index", "latest", "toc", "genindex")
 
 

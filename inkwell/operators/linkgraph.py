@@ -2,41 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.urls import is_target_url
+from inkwell.sources.files import work_folder
 
 
-def discover(edges: DataFrame, seeds: Sequence[str] | DataFrame, base_prefix: str | None = None, exclusions: Sequence[str] = (), checkpoint_every: int = 4) -> DataFrame:
+def discover(edges: DataFrame, seeds: Sequence[str] | DataFrame, base_prefix: str | None = None, exclusions: Sequence[str] = ()) -> DataFrame:
     """url, depth of every page that links (src, dst) reach from the seeds, each once, at its smallest depth.
 
-    Only targets that begin with the base and no exclusion are followed (None: all). A round joins the frontier with
-    the edges and takes away what has been visited; reliable checkpoints cut the lineage."""
+    Only targets that begin with the base and no exclusion are followed (None: all). The edges are written once, bucketed
+    by source, and what has been visited is a table bucketed by URL, to which each round adds the pages it found. So a
+    round shuffles its frontier and the targets found, never edges or visited pages, and starts from tables."""
     spark = edges.sparkSession
     links = edges.select("src", "dst").filter(F.col("dst").isNotNull())
     if base_prefix is not None:
         links = links.filter(is_target_url("dst", base_prefix, exclusions))
-    links = links.distinct().cache()
     start = seeds.toDF("url") if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "url string")
-    visited = frontier = start.distinct().withColumn("depth", F.lit(0))
-    saved, depth, held = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined(), 0, []
+    folder, name, buckets = work_folder(spark), f"discover_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(rows: DataFrame, table: str, key: str) -> None:
+        # dealt as the buckets are, each is written by one task
+        dealt = rows.repartition(buckets, key)
+        dealt.write.mode("append").format("parquet").option("path", f"{folder}/{table}").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{name}_{table}")
+
+    add(links.distinct(), "edges", "src")
+    add(start.distinct().withColumn("depth", F.lit(0)), "visited", "url")
+    known, depth = spark.table(f"{name}_edges"), 0
     while True:
         depth += 1
-        near = frontier.join(links, frontier.url == links.src).select(F.col("dst").alias("url")).distinct()
-        frontier = near.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)).cache()
-        held.append(frontier)
-        if frontier.isEmpty():
+        visited = spark.table(f"{name}_visited")
+        frontier = visited.filter(F.col("depth") == depth - 1)
+        near = frontier.join(known, frontier.url == known.src).select(F.col("dst").alias("url")).distinct()
+        add(near.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "visited", "url")
+        spark.catalog.refreshTable(f"{name}_visited")
+        if spark.table(f"{name}_visited").filter(F.col("depth") == depth).isEmpty():
             break
-        visited = visited.unionByName(frontier)
-        if saved and depth % checkpoint_every == 0:
-            visited, frontier = visited.checkpoint(), frontier.checkpoint()
-            for df in held:  # what the checkpoints hold need not be kept besides
-                df.unpersist()
-            held = []
-    return visited
+    out = spark.read.schema("url string, depth int").parquet(f"{folder}/visited")
+    for table in ("edges", "visited"):
+        spark.sql(f"DROP TABLE {name}_{table}")  # of files at a path of their own, which stay
+    return out
 
 
 def crawl_stats(visited: DataFrame, pages: DataFrame) -> DataFrame:

@@ -275,6 +275,42 @@ def g1(spark, sf_dir):
     return linkgraph.discover(tree(spark, sf_dir)[1], ["https://t/0"], "https://t/")
 
 
+def site_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages, and the links they hold; every page of a site that is linked but not in the table leads back to the first
+    page of its site, so that the links have cycles."""
+    pages = read(spark, sf_dir, "pages")
+    site = lambda c: F.regexp_extract(c, "^([^:]+://[^/?#]+)", 1)
+    links = html.page_links(pages)
+    first = pages.groupBy(site("url").alias("site")).agg(F.min("url").alias("dst"))
+    back = links.select(F.col("dst").alias("src")).distinct().withColumn("site", site("src")).join(first, "site").select("src", "dst")
+    return pages.select("url"), links.unionByName(back)
+
+
+_LINKS = "SELECT url, concat(lower(regexp_extract(url, '^([^:]+)://', 1)), '://', regexp_extract(url, '^[^:]+://([^/?#]+)', 1), unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS dst FROM pages"
+SQL_SITES = f"""RECURSIVE l AS ({_LINKS}), f AS (SELECT regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS site, min(url) AS dst FROM pages GROUP BY 1),
+             e AS (SELECT url AS src, dst FROM l UNION SELECT l.dst, f.dst FROM l JOIN f ON regexp_extract(l.dst, '^([^:]+://[^/?#]+)', 1) = f.site),
+             g AS (SELECT src, dst FROM e WHERE NOT starts_with(dst, 'http://www.') AND NOT starts_with(dst, 'https://www.')),
+             v(url, depth) AS (SELECT url, 0 FROM pages WHERE page_id IN (3, 5) OR page_id % 10 = 0 UNION SELECT g.dst, v.depth + 1 FROM v JOIN g ON g.src = v.url WHERE v.depth < 8),
+             u AS (SELECT url, min(depth) AS depth FROM v GROUP BY url)"""
+
+
+@query("g1_discover_sites", f"WITH {SQL_SITES} SELECT url, depth FROM u")
+def g1_sites(spark, sf_dir):
+    """From some pages over the pages' own links, with cycles; sites that begin with www are not entered."""
+    seeds = read(spark, sf_dir, "pages").filter("page_id IN (3, 5) OR page_id % 10 = 0").select("url")
+    return linkgraph.discover(site_links(spark, sf_dir)[1], seeds, "http", ["http://www.", "https://www."])
+
+
+@query("g2_g3_site_pages", f"WITH {SQL_SITES} SELECT p.page_id, u.depth, (SELECT count(*) FROM u LEFT JOIN pages q ON q.url = u.url WHERE q.url IS NULL) AS failed FROM pages p JOIN u ON u.url = p.url")
+def g2_sites(spark, sf_dir):
+    """The pages that were visited, and of how many visited URLs the snapshot has none."""
+    visited = g1_sites(spark, sf_dir)
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    failed = linkgraph.crawl_stats(visited, pages).select("failed")
+    kept = linkgraph.keep_visited(pages, visited, "url").join(visited, "url")
+    return kept.select("page_id", "depth").join(F.broadcast(failed))  # one row
+
+
 @query("g2_crawl_stats", f"WITH {SQL_VISITED} SELECT count(p.page_id) AS ok, count(*) - count(p.page_id) AS failed FROM v LEFT JOIN pages p ON p.page_id = v.i")
 def g2(spark, sf_dir):
     pages, links = tree(spark, sf_dir)

@@ -26,6 +26,74 @@ def test_discover(spark):
     assert linkgraph.crawl_stats(linkgraph.discover(edges, ["a"]), pages).first().asDict() == {"ok": 2, "failed": 2}
 
 
+def test_rounds_do_not_shuffle_edges(spark, monkeypatch):
+    """Edges and visited pages are bucketed, so only the frontier and what it finds are exchanged in a round."""
+    edges = spark.range(3000).select(F.concat(F.lit("p"), F.col("id") % 1000).alias("src"), F.concat(F.lit("p"), (F.col("id") * 7 + 1) % 1000).alias("dst"))
+    plans, table = [], type(spark).table
+
+    def watched(self, name):
+        plans.append(name)
+        return table(self, name)
+
+    monkeypatch.setattr(type(spark), "table", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = {r["url"]: r["depth"] for r in linkgraph.discover(edges, ["p0", "p5"]).collect()}
+        links = {}
+        for r in edges.collect():
+            links.setdefault(r["src"], set()).add(r["dst"])
+        want, at, depth = {"p0": 0, "p5": 0}, {"p0", "p5"}, 0
+        while at:
+            depth += 1
+            at = set().union(*(links.get(u, set()) for u in at)) - want.keys()
+            want |= dict.fromkeys(at, depth)
+        assert seen == want and len(plans) > 3
+        monkeypatch.undo()
+        edges.write.bucketBy(4, "src").mode("overwrite").saveAsTable("some_edges")
+        some = spark.createDataFrame([("p1",)], "url string").repartition(4, "url").join(spark.table("some_edges"), F.col("url") == F.col("src"))
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange" in line and "src" in line for line in plan.splitlines()), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS some_edges")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("discover_")]
+
+
+def test_store_of_two_writers(spark, tmp_path):
+    """Neither is lost; parts without new documents keep their files."""
+    path = f"file://{tmp_path}/store"
+
+    def tables(ids, text, version="1"):
+        docs = spark.createDataFrame([(f"{i}-{text}", f"d{i}.md", version) for i in ids], "id string, source_path string, target_version string")
+        sections = docs.select(F.concat(F.lit("s"), "id").alias("id"), F.col("id").alias("document_id"))
+        return {"documents": docs, "sections": sections, "chunks": sections.withColumn("content", F.lit(text))}
+
+    files.upsert_store(spark, path, tables(range(40), "old"), parts=8)
+    first = files.last_commit(spark, path)[1]["folders"]["chunks"]
+    real, raced = files.try_commit, []
+
+    def slow(spark_, path_, number, content):
+        if not raced:  # another writer commits between this one's reading and its commit
+            raced.append(number)
+            files.upsert_store(spark, path, tables([2, 50], "other"), parts=8)
+        return real(spark_, path_, number, content)
+
+    files.try_commit = slow
+    try:
+        assert files.upsert_store(spark, path, tables([1, 2, 60], "mine"), parts=8) == 3
+    finally:
+        files.try_commit = real
+    now = files.published_store(spark, path)
+    got = {r["document_id"] for r in now["chunks"].collect()}
+    assert got == {f"{i}-old" for i in range(40) if i not in (1, 2)} | {"50-other", "1-mine", "2-mine", "60-mine"}
+    assert {r["id"] for r in now["documents"].collect()} == got and now["sections"].count() == len(got) and files.PART not in now["chunks"].columns
+    last = files.last_commit(spark, path)[1]["folders"]["chunks"]
+    assert 0 < sum(first[p] == last[p] for p in first) < len(first)
+    assert not files.try_commit(spark, path, 3, {})
+    with pytest.raises(ValueError, match="parts"):
+        files.upsert_store(spark, path, tables([1], "x"), parts=4)
+
+
 def test_dedupe(spark):
     pages = spark.createDataFrame([(2, "x"), (1, "x"), (3, None), (4, "")], "id int, html string")
     assert sorted(r["id"] for r in linkgraph.dedupe_by_content(pages, "html", "id").collect()) == [1, 3]

@@ -67,6 +67,11 @@ def test_html():
     assert links_of("<a href='a'>1</a><a name='q'>2</a><a href='//h/b#c'>3</a>", "https://x/y/") == ["https://x/y/a", "https://h/b#c"]
 
 
+@pytest.mark.parametrize(("page", "inside"), [("<span>x" * 1500, "xxx"), ("<blockquote>x" * 700, "> > x"), ("<ul><li>x" * 600, "* x"), ("<font>x" * 3000 + "<p>end", "\n\nend"), ("<table><tr><td>x" * 200, "| x |"), ("<b>x" * 20_000, "**x")])
+def test_depth_loses_no_page(page, inside):
+    assert inside in to_markdown(body_of(parse(page)), BASE)
+
+
 def test_chunks():
     assert [(h, c) for h, c in chunks("# Title\n\n## One\n\ntext\n\n### Deep\n\nmore\n\n#### D4\n\nx")] == [
         ({1: "Title", 2: "One"}, "# Title\n\n## One\n\ntext"),
