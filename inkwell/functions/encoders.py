@@ -34,3 +34,21 @@ class HashingEncoder:
             length = np.sqrt((dense**2).sum())
             out.append((dense / length if length > 0 else dense, rows, len(tokens)))
         return out
+
+
+class WordLengthEncoder:
+    """A plain encoder for tests and queries that SQL can follow: how many words of a text have each length up to dim. It
+    refuses texts that hold a given word."""
+
+    def __init__(self, dim: int = 16, refused: str | None = None):
+        self.dim, self.refused = dim, refused
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        out = []
+        for t in texts:
+            words = (t or "").split()
+            if self.refused is not None and any(self.refused in w for w in words):
+                raise ValueError(f"a word with {self.refused}")
+            counts = np.bincount([min(len(w), self.dim) - 1 for w in words], minlength=self.dim).astype(float)
+            out.append((counts, counts[None, :], len(words)))
+        return out

@@ -20,8 +20,8 @@ def _links(html: pd.Series, url: pd.Series) -> pd.Series:
 
 def convert_pages(pages: DataFrame, selectors: Sequence[str] = (), html: str = "html", url: str = "url") -> DataFrame:
     """Adds title, markdown and error, in place of columns of these names. The body is the first element of the first selector that matches (default: main
-    content, then body, then everything), its links are made absolute against the URL. A page that can't be converted
-    has its error and no text."""
+    content, then body, then everything), its links are made absolute against the URL. A page that can't be converted,
+    such as one without html, has its error and no text."""
     chosen = tuple(selectors)
 
     @F.pandas_udf("title string, markdown string, error string")
@@ -29,7 +29,9 @@ def convert_pages(pages: DataFrame, selectors: Sequence[str] = (), html: str = "
         rows = []
         for page, at in zip(pages, urls, strict=True):
             try:
-                body = body_of(parse(page or ""), chosen)
+                if page is None:
+                    raise ValueError("no html")
+                body = body_of(parse(page), chosen)
                 rows.append((title_of(body), to_markdown(body, at or ""), None))
             except Exception as e:  # noqa: BLE001  one bad page must not end the job
                 rows.append((None, None, f"{type(e).__name__}: {e}"))

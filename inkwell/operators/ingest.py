@@ -96,6 +96,23 @@ def quarantine(rows: DataFrame, error: str = "error") -> tuple[DataFrame, DataFr
     return rows.filter(F.col(error).isNull()), rows.filter(F.col(error).isNotNull())
 
 
+def withheld(documents: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents and chunks of which nothing failed, and a row for each document of which something did: id, source_path,
+    target_version, the number of its rows that failed and the first error. One failed chunk withholds its document with
+    all its chunks."""
+    bad = pieces.filter(F.col("error").isNotNull()).groupBy("document_id").agg(F.count(F.lit(1)).alias("failed_rows"), F.min("error").alias("error"))
+    lost = documents.join(bad.withColumnRenamed("document_id", "id"), "id").select("id", *KEYS, "failed_rows", "error")
+    good = pieces.join(bad.select("document_id"), "document_id", "left_anti").drop("error")
+    return documents.join(bad.select(F.col("document_id").alias("id")), "id", "left_anti"), good, lost
+
+
+def file_results(documents: DataFrame, chunks: DataFrame, lost: DataFrame) -> DataFrame:
+    """source_path, error, n_chunks of every document of a run, kept or withheld: what ingest_summary takes."""
+    n = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    kept = documents.join(n, "id", "left").select("source_path", F.lit(None).cast("string").alias("error"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    return kept.unionByName(lost.select("source_path", "error", F.lit(0).cast("long").alias("n_chunks")))
+
+
 def key_violations(documents: DataFrame) -> DataFrame:
     """Paths and versions that stand more than once, with their number."""
     return documents.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

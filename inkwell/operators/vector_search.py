@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.vectors import low_dim, pack
@@ -20,23 +20,54 @@ from inkwell.sources.files import work_folder
 QUERY_BLOCK, PIECE, MOST_PIVOTS = 1024, 4096, 1024
 
 
-def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "content", low: int = 128, kind: str = "int8", batch: int = 64) -> DataFrame:
-    """Adds embedding (array<float>), multi_vector_low_dim (packed) and token_count, in place of columns of these names. encoder makes the encoder, once
-    in each Python worker; it gets batch texts at a time."""
+def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "content", low: int = 128, kind: str = "int8", batch: int = 64, errors: bool = False) -> DataFrame:
+    """Adds embedding (array<float>), multi_vector_low_dim (packed) and token_count, in place of columns of these names.
+    encoder makes the encoder, once in each Python worker; it gets batch texts at a time. errors: a text that can't be
+    encoded doesn't end the job; where a batch fails its texts are encoded one by one, and what went wrong stands in a column
+    error (where rows have one, what it held stays, and such rows are not encoded)."""
     made: dict[str, object] = {}
 
-    @F.pandas_udf("embedding array<float>, multi_vector_low_dim binary, token_count int")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def encoded(texts: list) -> list[tuple]:
+        try:
+            return [(dense.astype(np.float32), pack(low_dim(tokens, low), kind), n, None) for dense, tokens, n in made["encoder"].encode(texts)]
+        except Exception as e:  # noqa: BLE001  one bad text must not end the job
+            if not errors:
+                raise
+            return [(None, None, None, f"{type(e).__name__}: {e}")] if len(texts) == 1 else [r for t in texts for r in encoded([t])]
+
+    @F.pandas_udf("embedding array<float>, multi_vector_low_dim binary, token_count int, error string")
+    def run(texts: pd.Series, before: pd.Series) -> pd.DataFrame:
         if "encoder" not in made:
             made["encoder"] = encoder()
-        out = []
-        for at in range(0, len(texts), batch):
-            for dense, tokens, n in made["encoder"].encode(texts.iloc[at : at + batch].tolist()):
-                out.append((dense.astype(np.float32), pack(low_dim(tokens, low), kind), n))
-        return pd.DataFrame(out, columns=["embedding", "multi_vector_low_dim", "token_count"])
-
-    made_here = ("embedding", "multi_vector_low_dim", "token_count")
-    return rows.withColumn("__e", run(F.col(text_column))).select(*(F.col(f"`{c}`") for c in rows.columns if c not in made_here), "__e.*")
+        out = [(None, None, None, e) for e in before]
+        todo = [i for i, e in enumerate(before) if e is None]
+        for at in range(0, len(todo), batch):
+            some = todo[at : at + batch]
+            for i, row in zip(some, encoded(texts.iloc[some].tolist()), strict=True):
+                out[i] = row
+        return pd.DataFrame(out, columns=["embedding", "multi_vector_low_dim", "token_count", "error"]).astype({"token_count": "Int32"})
+
+    made_here = ("embedding", "multi_vector_low_dim", "token_count", *(["error"] if errors else []))
+    before = F.col("error") if errors and "error" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("__e", run(F.col(text_column), before)).select(*(F.col(f"`{c}`") for c in rows.columns if c not in made_here), *(F.col(f"__e.{c}") for c in made_here))
+
+
+def embed_new(rows: DataFrame, known: DataFrame, encoder: Callable[[], object], text_column: str = "content", low: int = 128, kind: str = "int8") -> DataFrame:
+    """digest, embedding, multi_vector_low_dim, token_count of the texts in rows that known (the same columns) lacks, each
+    text once: what a table of vectors by content digest has to be given. Written once, it serves all rows by with_vectors."""
+    texts = rows.filter(F.col(text_column).isNotNull()).select(text_digest(text_column).alias("digest"), F.col(text_column).alias("text"))
+    new = texts.join(known.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    return embed(new, encoder, "text", low, kind).drop("text")
+
+
+def with_vectors(rows: DataFrame, known: DataFrame, text_column: str = "content") -> DataFrame:
+    """rows with what known (digest, embedding, multi_vector_low_dim, token_count) has for their texts."""
+    keyed = rows.withColumn("__digest", text_digest(text_column))
+    return keyed.join(known.withColumnRenamed("digest", "__digest"), "__digest", "left").drop("__digest")
+
+
+def text_digest(text_column: str) -> Column:
+    return F.sha2(text_column, 256)
 
 
 @dataclass(frozen=True)

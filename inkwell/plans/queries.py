@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import markdown, urls, vectors
+from inkwell.functions.encoders import WordLengthEncoder
 from inkwell.operators import bm25, catalog, chunking, evaluation, fusion, html, ingest, linkgraph, querylog, rerank, text_index, vector_search
 from inkwell.plans import workflows
 from inkwell.sources import files as storage
@@ -256,6 +257,13 @@ def t10(spark, sf_dir):
     return html.conversion_stats(html.convert_pages(pages))
 
 
+@query("t10_failing_pages", "SELECT regexp_extract(html, 'lang=\"(\\w+)\"', 1) AS source, count(*) AS pages, count(*) FILTER (WHERE page_id % 9 <> 4) AS converted, count(*) FILTER (WHERE page_id % 9 = 4) AS failed FROM pages GROUP BY 1")
+def t10_failing(spark, sf_dir):
+    """Some pages have lost their html, which the conversion reports."""
+    pages = read(spark, sf_dir, "pages").withColumn("source", F.regexp_extract("html", 'lang="(\\w+)"', 1))
+    return html.conversion_stats(html.convert_pages(pages.withColumn("html", F.when(F.col("page_id") % 9 != 4, F.col("html")))))
+
+
 # ---- link graph -----------------------------------------------------------------------------------------------------
 
 
@@ -460,6 +468,71 @@ def i7(spark, sf_dir):
     return ingest.reingest_files(held["documents"], held["documents"].filter("status = 'Inactive'"), files).drop("content")
 
 
+_FAILS = "regexp_matches(text, '[^\\s]*tha[^\\s]*')"
+
+
+def text_ingest(spark: SparkSession, sf_dir: str, chunk_size: int = 1500) -> dict[str, DataFrame]:
+    """All documents as files, with an encoder that refuses words with tha."""
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("source_path"), F.col("text").alias("content"), F.coalesce("lang", F.lit("xx")).alias("default_version"), F.col("source").alias("default_category"), F.col("doc_id").alias("seq"))
+    return workflows.ingest(files, F.lit(AT).cast("timestamp"), lambda: WordLengthEncoder(16, "tha"), chunk_size=chunk_size, low=16)
+
+
+@query(
+    "i8_failing_encoder",
+    f"""WITH d AS (SELECT concat('d/', doc_id, '.md') AS source_path, {_FAILS} AS fails, regexp_matches(text, '\\S') AS words FROM documents)
+        SELECT 'documents' AS name, source_path FROM d WHERE NOT fails UNION ALL SELECT 'sections', source_path FROM d WHERE NOT fails AND words
+        UNION ALL SELECT 'chunks', source_path FROM d WHERE NOT fails AND words UNION ALL SELECT 'quarantine', source_path FROM d WHERE fails""",
+)
+def i8_failing(spark, sf_dir):
+    """An encoder that fails on some chunks withholds their documents, and nothing else, from all tables."""
+    made = text_ingest(spark, sf_dir)
+    docs = made["documents"].select(F.col("id").alias("document_id"), "source_path")
+    parts = [made["documents"].select(F.lit("documents").alias("name"), "source_path"), made["quarantine"].select(F.lit("quarantine").alias("name"), "source_path")]
+    # rows of a withheld document would be left over here
+    parts += [made[n].select("document_id").distinct().join(docs, "document_id", "left").select(F.lit(n).alias("name"), "source_path") for n in ("sections", "chunks")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("i10_run_summary", f"WITH d AS (SELECT {_FAILS} AS fails, regexp_matches(text, '\\S') AS words FROM documents) SELECT count(*) AS total, count(*) FILTER (WHERE NOT fails) AS successful, count(*) FILTER (WHERE fails) AS failed, count(*) FILTER (WHERE NOT fails AND words) AS chunks FROM d")
+def i10_run(spark, sf_dir):
+    """The summary of a run with failures; chunks are long enough for any document."""
+    made = text_ingest(spark, sf_dir, 1_000_000)
+    return ingest.ingest_summary(ingest.file_results(made["documents"], made["chunks"], made["quarantine"]))
+
+
+@query("e1_word_lengths", "WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: least(len(x), 16)) AS n FROM documents) SELECT doc_id, list_transform(range(1, 17), lambda i: CAST(len(list_filter(n, lambda x: x = i)) AS DOUBLE)) AS embedding, CAST(len(n) AS INTEGER) AS token_count, CAST(0 AS BIGINT) AS encoded_again FROM w")
+def e1_once(spark, sf_dir):
+    """Every text encoded once, copies from the vectors of the first; a second run over all of them encodes nothing."""
+    path, docs, plain = storage.work_folder(spark), read(spark, sf_dir, "documents").select("doc_id", "text"), WordLengthEncoder
+    none = vector_search.embed_new(docs.limit(0), docs.limit(0).select(F.col("text").alias("digest")), plain, "text", 16)
+    half = vector_search.embed_new(docs.filter("doc_id % 2 = 0"), none, plain, "text", 16)
+    half.write.parquet(path)
+    vector_search.embed_new(docs, spark.read.schema(half.schema).parquet(path), plain, "text", 16).write.mode("append").parquet(path)
+    known = spark.read.schema(half.schema).parquet(path)
+    again = vector_search.embed_new(docs, known, plain, "text", 16).agg(F.count(F.lit(1)).alias("encoded_again"))
+    made = vector_search.with_vectors(docs, known, "text").select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "token_count")
+    return made.join(F.broadcast(again))  # one row
+
+
+@query(
+    "i4_upsert_store",
+    f"""WITH {SQL_STORE}, e AS (SELECT * FROM docs WHERE target_version <> 'de'), n AS (SELECT id + 1000000 AS id, source_path, target_version FROM docs WHERE target_version <> 'en'),
+             d AS (SELECT id FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.source_path = e.source_path AND n.target_version = e.target_version) UNION ALL SELECT id FROM n)
+        SELECT 'documents' AS name, id AS document_id FROM d UNION ALL SELECT 'sections', id FROM d UNION ALL SELECT 'chunks', id FROM d""",
+)
+def i4_store(spark, sf_dir):
+    """A stored table set, and new documents put into the parts of it that hold their keys."""
+    held, path = store(spark, sf_dir), storage.work_folder(spark)
+    sides = ({"documents": held["documents"].filter("target_version <> 'de'")}, {"documents": held["documents"].filter("target_version <> 'en'").withColumn("id", F.col("id") + 1000000)})
+    for side, shift in zip(sides, (0, 1000000), strict=True):
+        own = side["documents"].select(F.col("id").alias("document_id"))
+        side |= {n: held[n].withColumn("document_id", F.col("document_id") + shift).join(own, "document_id", "left_semi") for n in ("sections", "chunks")}
+        storage.upsert_store(spark, path, side)
+    back = storage.published_store(spark, path)
+    rows = [back[n].select(F.lit(n).alias("name"), F.col(c).alias("document_id")) for n, c in (("documents", "id"), ("sections", "document_id"), ("chunks", "document_id"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("i8_quarantine", "SELECT doc_id, length(text) < 100 AS failed FROM documents")
 def i8(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") < 100, "too short").alias("error"))

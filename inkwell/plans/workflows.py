@@ -12,7 +12,7 @@ from inkwell.functions.markdown import with_front_matter
 from inkwell.functions.urls import file_path, normalize_url
 from inkwell.operators.chunking import chunk_documents
 from inkwell.operators.html import convert_pages
-from inkwell.operators.ingest import ACTIVE, build_chunks, build_documents, build_sections, last_wins
+from inkwell.operators.ingest import ACTIVE, build_chunks, build_documents, build_sections, last_wins, withheld
 from inkwell.operators.rerank import full_search
 from inkwell.operators.text_index import TextIndex, create_index, facet_key
 from inkwell.operators.vector_search import VectorCells, embed, vector_cells
@@ -27,14 +27,21 @@ def pages_to_markdown(pages: DataFrame, source: str, target_version: str, collec
 
 
 def ingest(files: DataFrame, at: Column, encoder: Callable[[], object] | None = None, chunk_size: int = 1500, overlap: int = 200, low: int = 128) -> dict[str, DataFrame]:
-    """The tables of files (source_path, content, default_version, default_category, seq). Chunks are embedded if an
-    encoder is given."""
-    documents = last_wins(build_documents(files, at))
-    pieces = chunk_documents(documents.select(F.col("id").alias("document_id"), "body"), "document_id", "body", chunk_size, overlap)
+    """The tables of files (source_path, content, default_version, default_category, seq), and quarantine. Chunks are
+    embedded if an encoder is given. A document that can't be cut or of which a chunk can't be encoded is withheld from all
+    tables and stands in quarantine; the others go on. Documents and chunks are written to a work folder, so that no text is cut or
+    encoded twice."""
+    spark = files.sparkSession
+    path = work_folder(spark)
+    last_wins(build_documents(files, at)).write.parquet(f"{path}/documents")
+    documents = spark.read.parquet(f"{path}/documents")
+    pieces = chunk_documents(documents.select(F.col("id").alias("document_id"), "body"), "document_id", "body", chunk_size, overlap, errors=True)
     if encoder is not None:
-        pieces = embed(pieces, encoder, "content", low)
-    sections = build_sections(pieces)
-    return {"documents": documents.drop("body", "seq"), "sections": sections, "chunks": build_chunks(pieces, sections)}
+        pieces = embed(pieces, encoder, "content", low, errors=True)
+    pieces.write.parquet(f"{path}/pieces")
+    documents, good, lost = withheld(documents, spark.read.schema(pieces.schema).parquet(f"{path}/pieces"))
+    sections = build_sections(good)
+    return {"documents": documents.drop("body", "seq"), "sections": sections, "chunks": build_chunks(good, sections), "quarantine": lost}
 
 
 #: What queries may filter by, and the status that hits must have.
