@@ -6,10 +6,14 @@ Every node gets a composite text density: its characters per tag, lowered the mo
 the body is the densest subtree, and the lowest density on its path to the body is the threshold. Then every element off
 that path is judged:
 
-- what HTML or ARIA itself says is no article goes: navigation, page headers, footers, asides, controls, media;
-- an element whose class or id names an advert, notice, menu, sidebar or reader comments, or a form, counts with a small
-  part of its density, and goes if that is below the threshold; if the name has other words too, or the element is a
-  paragraph, heading, item or the like, it counts in full inside the densest subtree and with a half outside;
+- what HTML or ARIA itself says is no article goes: navigation, page headers, footers, asides, controls, media (a button
+  among the words of a paragraph stays, as do formulas);
+- an element whose class or id names what stands around a text, or a form, is under suspicion: it has to show prose. Half its
+  density, weighed by the characters that show it, must reach half of what a passage of PROSE characters in plain paragraphs
+  would have, and a quarter of the threshold; so short boxes go, and long passages stay whatever they are called. Of an element named as an
+  advert, notice, menu, sidebar or reader comments, which the main text is without, a small part of the density counts. If
+  the name has other words too, half the density must reach the threshold; inside the densest subtree a paragraph, heading, item
+  or the like is not suspected, nor is an element whose name has other words;
 - outside the densest subtree, elements that are mostly links and below the threshold go, headings excepted.
 
 A name is not believed if less than a tenth of what it names would be left as the text. All else stays, short blocks, headings and loose text included. Article and main elements get no preference; only a
@@ -40,11 +44,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes head nav footer aside button select option datalist dialog menu template noscript object applet canvas svg math audio video map".split())
+DROPPED = frozenset("script style textarea title xmp iframe noembed noframes head nav footer aside button select option datalist dialog menu template noscript object applet canvas svg audio video map".split())
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "thead": ("tr", "td", "th")}
 #: An implied end does not reach beyond these.
 SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), **{t: frozenset(("table",)) for t in ("tr", "td", "th", "tbody", "tfoot", "thead")}, "option": frozenset(("select", "datalist")), "p": frozenset(("td", "th", "table", "button", "object", "caption"))}
-BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond disqus replies reply share sharing social related widget toolbar pagination pager skip login search".split())
+#: Names of what the main text is without: adverts, notices, menus, sidebars, footers, reader comments.
+LISTED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond disqus replies reply".split())
+#: Names of what often stands around it.
+AROUND_NAMES = frozenset("newsletter subscribe subscription signup share sharing social related widget toolbar pagination pager skip login search".split())
+BOILERPLATE_NAMES = LISTED_NAMES | AROUND_NAMES
 #: These name boilerplate only outside the densest subtree.
 PAGE_NAMES = frozenset("header topbar masthead banner".split())
 #: Words of a name that say nothing by themselves.
@@ -54,8 +62,11 @@ SECTIONS = frozenset(("article", "main", "section"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are text rather than containers of it.
 TEXTUAL = HEADINGS | frozenset("p li dt dd pre blockquote td th tr caption figcaption address summary legend".split())
-#: What a name leaves of an element's density.
-NAMED, PARTLY_NAMED = 0.02, 0.5
+#: What a name leaves of an element's density: one of those listed, one around a text (both put the element under
+#: suspicion), and one that has other words too, which is a little more to be told from them.
+LISTED, NAMED, PARTLY_NAMED = 0.02, 0.5, 0.501
+#: Characters of a passage and of its paragraphs, and those at which half of a density counts as shown.
+PROSE, PARAGRAPH, SHOWN = 300, 100, 200
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[!?/][^>]*+(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -94,8 +105,9 @@ def _judged(tag: str, attributes: str, in_section: bool) -> tuple[bool, tuple[fl
             for each in value.split():
                 words = set(_NAME.findall(each)) - NEUTRAL_NAMES
                 if words & (BOILERPLATE_NAMES | PAGE_NAMES):
-                    inside = min(inside, NAMED if words <= BOILERPLATE_NAMES and tag not in TEXTUAL else 1.0)
-                    outside = min(outside, NAMED if words <= BOILERPLATE_NAMES | PAGE_NAMES and tag not in TEXTUAL else PARTLY_NAMED)
+                    left = LISTED if words & (LISTED_NAMES | PAGE_NAMES) else NAMED
+                    inside = min(inside, left if words <= BOILERPLATE_NAMES and tag not in TEXTUAL else 1.0)
+                    outside = min(outside, left if words <= BOILERPLATE_NAMES | PAGE_NAMES and tag not in HEADINGS else PARTLY_NAMED)
     return False, (inside, outside)
 
 
@@ -143,6 +155,8 @@ def parse(html: str) -> Node:
                 close(cut)
         up = stack[-1]
         dropped, names = _judged(tag, attributes, any(open_tags[t] for t in SECTIONS))
+        if tag == "button" and up.tag in TEXTUAL and any(isinstance(c, str) and not c.isspace() for c in up.children):
+            dropped = False  # one of the words
         node = Node(tag, dropped or up.dropped, names)
         up.children.append(node)
         if tag in RAW:
@@ -239,9 +253,21 @@ def _visible(body: Node) -> int:
     return total
 
 
+def shown(density: float, chars: int) -> float:
+    """A density weighed by the characters that show it."""
+    return density * chars / (chars + SHOWN)
+
+
+def passage_density(chars: int, of_body: float) -> float:
+    """The density of plain paragraphs without links, where so large a part of the body's characters are links."""
+    tags, base = chars / PARAGRAPH, math.log(of_body * chars + math.e)
+    return chars / tags * math.log(chars * tags) / (math.log(base) if base > 1 else 1.0)
+
+
 def _drop(body: Node) -> list[Node]:
     """Drops the elements under the body that are no part of the main text, and returns them."""
     best, path, threshold = densest(body)
+    prose = max(threshold / 4, shown(passage_density(PROSE, body.links / max(1, body.chars)), PROSE) / 2)
     gone, todo = [], [(body, best is not body)]
     while todo:
         x, outside = todo.pop()
@@ -255,7 +281,8 @@ def _drop(body: Node) -> list[Node]:
                 continue
             part_of_text, heading = x.loose and c.tag not in BLOCK, c.tag in HEADINGS
             left = c.names[1 if menus else 0] * (1.0 if heading else inherited)
-            weak = left < 1 and c.density * left < threshold
+            suspect = left <= NAMED
+            weak = left < 1 and (shown(c.density, c.chars) * left < prose if suspect else c.density * left < threshold)
             menu = menus and not heading and 2 * c.links > c.chars and c.density < threshold and (c.loose or not c.elements())
             if not part_of_text and (weak or menu):
                 c.dropped = True

@@ -488,9 +488,37 @@ PAGES = {
     "scripts": (f"<script>var t='</p>';</script><style>p{{}}</style><div>{TEXT}<noscript>no</noscript></div>", WANT),
     "one long paragraph with bold": (f"<nav>{MENU}</nav><div><h1>Title</h1><p><b>{P1} {P2} {P3}<br><p>Short.</p></div>", ["Title", f"{P1} {P2} {P3}", "Short."]),
     "deep": ("<div>" * 2000 + TEXT, WANT),
+    "formula and button among words": (f"<div><p>{P1}</p><p>Euler wrote <math><mi>e</mi></math> in a letter. Press <button>Save</button> to keep the file.</p><p>{P3}</p></div>", [P1, "Euler wrote e in a letter. Press Save to keep the file.", P3]),
+    "button beside the text": (f"<div>{TEXT}<div><button>Save</button></div></div>", WANT),
+    "notice in a paragraph": (f"<p class=notice>We use cookies on this site. Read our policy.</p><div>{TEXT}</div>", WANT),
+    "long thread of comments": (f"<article>{TEXT}</article><section id=comments>{''.join(f'<p>{P2} {P1}</p>' for _ in range(9))}</section>", WANT),
+    **{f"short box, {name}": (f"<article>{TEXT}</article><div class={name}><p>Three other things to see here.</p></div>", WANT) for name in ("related", "social", "share", "login", "widget", "newsletter")},
+    **{f"prose in {name}": (f"<article>{TEXT}</article><section class={name}>{TEXT}<p>{P2} {P1}</p></section>", [*WANT, *WANT, f"{P2} {P1}"]) for name in ("related", "social", "share", "login", "widget", "newsletter")},
+    **{f"prose in {name} inside": (f"<article><p>{P1}</p><div class={name}>{TEXT}<p>{P2} {P1}</p></div><p>{P3}</p></article>", [P1, *WANT, f"{P2} {P1}", P3]) for name in ("related", "social", "share")},
+    **{f"menu without a name, {n} times": (f"{MENU * n}<div><h1>Title</h1>{TEXT}</div>", ["Title", *WANT]) for n in (2, 3, 4, 6, 9)},
 }
 
 
+def test_densities_decide(monkeypatch):
+    """With the same density everywhere, at least a tenth of the pages get another text: boxes are told from prose by their density,
+    and menus without a name from lists."""
+    assert len(PAGES) >= 60
+    measured = html_text.measure
+
+    def flat(root):
+        nodes = measured(root)
+        for x in nodes:
+            x.density = 1.0
+        for x in nodes:
+            x.rank = sum(c.density * c.names[1] for c in x.elements() if not c.dropped)
+        return nodes
+
+    monkeypatch.setattr(html_text, "measure", flat)
+    changed = [name for name, (body, want) in PAGES.items() if html_text.main_text(f"<html><body>{body}</body></html>").split("\n") != want]
+    assert len(changed) >= len(PAGES) / 10
+    assert any("prose" in c for c in changed) and any("menu" in c for c in changed), changed
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_varied_pages(name):
     body, want = PAGES[name]
