@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors in a cell; cells of small tables are smaller, down to LEAST, so that there is one for each shuffle partition.
-CELL, LEAST = 65_536, 4_096
+#: Vectors in a cell at most, and bytes of their components as doubles; cells of small tables are smaller, down to LEAST
+#: vectors, so that there is one for each shuffle partition.
+CELL, CELL_BYTES, LEAST = 65_536, 64 << 20, 4_096
 #: Error bounds are so many standard deviations of the estimate wide.
 SPREAD = 4.0
 #: Bits for each dimension of a query.
@@ -138,8 +139,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
     v = F.col(vector_column)
     row = [F.size(v).alias("dim"), F.col(id_column).cast("long").alias("id"), F.xxhash64(v).alias("h"), v.alias("v")]
     rows, queries = kept.select(*row), kept.filter(is_query).select(*row).distinct()
-    n, wanted = rows.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = max(1, -(-n // cell), min(wanted, -(-n // least)))
+    n, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    cell = max(1, min(cell, CELL_BYTES // (8 * dim)))
+    wanted = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(1, -(-n // cell), min(wanted, -(-n // min(least, cell))))
     dealt = rows.select("dim", F.pmod(F.xxhash64("id", "h", F.lit(11)), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("kind"), "id", "h", "v")
     asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), "id", "h", "v")
     # the vectors of a cell come first, then the queries, which are read and answered a few at a time

@@ -9,7 +9,7 @@ which the grouping by bytes detects, the job fails instead of merging them.
 
 Defined results: the kept row of a group is the one with the smallest doc_id; ids that are null come last, so a group
 of which all ids are null has keep_id null; rows that repeat both doc_id and text share their flags (of them,
-drop_exact_duplicates leaves one). Other columns of the input are ignored.
+drop_exact_duplicates leaves one, whichever way the rows are partitioned). Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -42,13 +42,17 @@ def exact_groups(documents: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat doc_id and text, one.
+    """The documents that stay, with all their columns; of rows that repeat doc_id and text, the first in order of its
+    columns.
 
     Rows are told apart by id and text digest. Only rows that may be dropped are shuffled with their texts."""
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"))
     rows = materialize(exact_groups(documents).select(F.concat(key, "text_sha256").alias("row"), "kept"), "rows")
     dropped = rows.filter("NOT kept").select("row").distinct()
     repeated = rows.filter("kept").groupBy("row").count().filter("count > 1").select("row")
-    marked = documents.withColumn("__row", F.concat(key, F.sha2(normalised(F.col("text")), 256)))
-    rest = without_keys(marked, "__row", dropped)
-    return without_keys(rest, "__row", repeated).unionByName(within_keys(rest, "__row", repeated).join(repeated.withColumnRenamed("row", "__row"), "__row", "left_semi").dropDuplicates(["__row"])).drop("__row")
+    # the columns travel as one, so that no name of theirs meets one of the work
+    marked = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole"), F.concat(key, F.sha2(normalised(F.col("text")), 256)).alias("row"))
+    rest = without_keys(marked, "row", dropped)
+    again = within_keys(rest, "row", repeated).join(repeated, "row", "left_semi")
+    one = again.groupBy("row").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
+    return without_keys(rest, "row", repeated).select("whole").unionByName(one.select("whole")).select("whole.*")

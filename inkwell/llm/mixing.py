@@ -110,14 +110,13 @@ def mixture(documents: DataFrame, weights: Sequence[float], share: float = 1.0,
     Rows are told apart by id and text digest. Rows that share both are documents of their own; what the mix takes of
     them is dealt out evenly, and what is left over of that comes from the one that is first in order of its columns."""
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
-    keyed = documents.withColumn("__row", key)
-    queue = fair_queue(keyed.select(F.col("__row").alias("doc_id"), "source", "text"), weights, share, repeats, seed)
-    taken = queue.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("taken_copies").alias("__taken"), F.count(F.lit(1)).alias("__rows")).filter("__taken > 0")
-    taken = materialize(taken.select("__key", F.floor(F.col("__taken") / F.col("__rows")).cast("int").alias("__each"), (F.col("__taken") % F.col("__rows")).cast("int").alias("__rest")), "taken")
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    even = keyed.join(taken.filter("__each > 0"), F.col("__row") == F.col("__key")).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__each"))).select(*columns)
-    some = taken.filter("__rest > 0")
-    whole = F.struct(*columns)
-    one = within_keys(keyed, "__row", some.select("__key")).join(some, F.col("__row") == F.col("__key"))
-    one = one.groupBy("__row").agg(F.min_by(whole, F.to_json(whole)).alias("__whole"), F.first("__rest").alias("__rest"))
-    return even.unionByName(one.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__rest"))).select("__whole.*"))
+    columns = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    keyed = documents.select(columns.alias("whole"), key.alias("row"))
+    queue = fair_queue(documents.select(key.alias("doc_id"), "source", "text"), weights, share, repeats, seed)
+    taken = queue.groupBy(F.col("doc_id").alias("key")).agg(F.sum("taken_copies").alias("taken"), F.count(F.lit(1)).alias("rows")).filter("taken > 0")
+    taken = materialize(taken.select("key", F.floor(F.col("taken") / F.col("rows")).cast("int").alias("each"), (F.col("taken") % F.col("rows")).cast("int").alias("rest")), "taken")
+    even = keyed.join(taken.filter("each > 0"), F.col("row") == F.col("key")).withColumn("copy", F.explode(F.sequence(F.lit(1), "each"))).select("whole")
+    some = taken.filter("rest > 0")
+    one = within_keys(keyed, "row", some.select("key")).join(some, F.col("row") == F.col("key"))
+    one = one.groupBy("row").agg(F.min_by("whole", F.to_json("whole")).alias("whole"), F.first("rest").alias("rest"))
+    return even.unionByName(one.withColumn("copy", F.explode(F.sequence(F.lit(1), "rest"))).select("whole")).select("whole.*")

@@ -456,4 +456,5 @@ def _block_links(members: DataFrame, label: DataFrame, documents: DataFrame, nod
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, one of each group, with all their columns. Rows without an id stay."""
     judged = near_duplicates(documents, words, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return without_keys(documents, "doc_id", materialize(judged.filter("NOT kept").select("doc_id"), "dropped"))
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole"), "doc_id")
+    return without_keys(whole, "doc_id", materialize(judged.filter("NOT kept").select("doc_id"), "dropped")).select("whole.*")

@@ -195,3 +195,33 @@ def test_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in out.collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 2, 0.0), (100, 1, 0, 1.414214), (100, 2, 1, 1.414214), (100, 3, 2, 1.414214)]
     assert nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_pipeline_on_edges(spark, docs, none, tmp_path):
+    """Nulls, repeats, blank and very long texts, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    odd = docs.withColumns({n: F.lit("x") for n in ("__row", "__word", "__hit", "__key", "whole", "taken", "rest", "copy")})
+    labels = spark.createDataFrame([(2, 1, 0), (7, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, table in (("some", odd), ("none", none)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (labels if name == "some" else labels.limit(0)).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    stage_docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, stage_docs, f"{tmp_path}/some").columns == odd.columns
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    worded = {i for i, t, _ in ROWS if (t or "").split()}
+    assert got and all(r["doc_id"] in worded for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stages_keep_clashing_columns_and_agree(spark):
+    """A column with a name of the work's own keeps its values, and which of equal rows stays does not hang on partitions."""
+    names = ("__row", "__word", "__bit", "__hit", "__key", "whole", "row", "kept")
+    rows = [(1, "a b c d e f", "s", *(f"{n}{k}" for n in names)) for k in range(6)] + [(2, "g h i j k l", "s", *("z" for _ in names)), (3, "g h i j k l", "s", *("y" for _ in names))]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'`{n}` string' for n in names)}")
+    left = {tuple(r) for n in (1, 5) for r in drop_exact_duplicates(df.repartition(n)).collect()}
+    assert left == {rows[0], rows[6]}
+    assert {tuple(r) for r in drop_near_duplicates(df.filter("doc_id > 1")).collect()} == {rows[6]}
+    mixed = mixture(df.filter("doc_id > 1"), (1.0,)).collect()
+    assert {tuple(r) for r in mixed} == {rows[6], rows[7]} and len(mixed) == 2
