@@ -38,6 +38,28 @@ def search_rows(rows: DataFrame, text: str, fields: Sequence[str]) -> DataFrame:
     return rows
 
 
+#: Characters of a gram: shorter words can't be looked up.
+GRAM = 3
+
+
+def write_gram_index(rows: DataFrame, fields: Sequence[str], path: str, id_column: str = "id") -> None:
+    """A table of gram and id: which three characters in a row stand in some of the fields of which row, whatever the
+    case. It is sorted by gram, so that looking up a word reads few of its files; a frequent gram is cut over several."""
+    grams = F.flatten(F.array(*(F.coalesce(F.regexp_extract_all(F.lower(f), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), F.array().cast("array<string>")) for f in fields)))
+    found = rows.select(F.explode(F.array_distinct(grams)).alias("gram"), F.col(id_column).alias("id"))
+    found.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(path)
+
+
+def gram_search(rows: DataFrame, index: DataFrame, text: str, fields: Sequence[str], id_column: str = "id") -> DataFrame:
+    """The same as search_rows, by an index (gram, id) of the rows' fields: rows that lack a gram of a word are not looked
+    at, the others are verified. Words shorter than a gram don't narrow the rows; with no other words all are scanned."""
+    needed = sorted({w[i : i + GRAM] for w in text.lower().split() for i in range(len(w) - GRAM + 1)})
+    if not needed:
+        return search_rows(rows, text, fields)
+    may = index.filter(F.col("gram").isin(needed)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(needed)).select(F.col("id").alias(id_column))
+    return search_rows(rows.join(may, id_column, "left_semi"), text, fields)
+
+
 def chunk_catalog(chunks: DataFrame, sections: DataFrame, documents: DataFrame, version: str | None = None, category: str | None = None) -> DataFrame:
     """Chunks with the titles of their section and document."""
     docs = list_documents(documents, version, category).select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), "target_version", "category")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def log_records(queries: DataFrame, hits: DataFrame, tool: str = "search", at: Column | None = None, params: Sequence[str] = ()) -> DataFrame:
@@ -25,7 +24,11 @@ def log_records(queries: DataFrame, hits: DataFrame, tool: str = "search", at: C
     return rows.select("query_id", *head, "query", given.alias("params"), F.size("__hits").alias("results_count"), top.alias("top_results"), F.transform("__hits", lambda h: h["id"]).alias("chunk_ids"))
 
 
-def flag_repeats(queries: DataFrame, session: str = "session", query: str = "query", order: str = "ts") -> DataFrame:
-    """queries with repeated: the same text came before in the session."""
-    n = F.row_number().over(Window.partitionBy(session, query).orderBy(order))
-    return queries.withColumn("repeated", n > 1)
+def flag_repeats(queries: DataFrame, session: str = "session", query: str = "query", order: str = "ts", key: Sequence[str] = ()) -> DataFrame:
+    """queries with repeated: the same text came before in the session. Of rows that tie in order the one with the smallest
+    key is first; rows that tie in all of it are first together. The first of each text is found by partial aggregates and
+    joined back, so a text that fills half of a session gathers in no task."""
+    place = F.struct(F.col(order).isNotNull(), F.col(order), *key)
+    first = queries.groupBy(F.col(session).alias("__session"), F.col(query).alias("__query")).agg(F.min(place).alias("__first"))
+    both = queries.join(first, F.col(session).eqNullSafe(F.col("__session")) & F.col(query).eqNullSafe(F.col("__query")))
+    return both.withColumn("repeated", place > F.col("__first")).drop("__session", "__query", "__first")

@@ -778,6 +778,31 @@ def c4(spark, sf_dir):
     return catalog.search_rows(store(spark, sf_dir)["chunks"], "The SRC1", ["content", "section_title"]).select("id")
 
 
+def gram_found(spark: SparkSession, rows: DataFrame, text: str, fields: list[str]) -> DataFrame:
+    path = f"{storage.work_folder(spark)}/grams"
+    catalog.write_gram_index(rows, fields, path)
+    return catalog.gram_search(rows, spark.read.parquet(path), text, fields).select("id")
+
+
+@query("c4_indexed_documents", f"WITH {SQL_STORE} SELECT id FROM docs WHERE (contains(lower(title), 'src1') OR contains(lower(source_path), 'src1')) AND (contains(lower(title), '7') OR contains(lower(source_path), '7'))")
+def c4_documents(spark, sf_dir):
+    return gram_found(spark, store(spark, sf_dir)["documents"], "SRC1 7", ["title", "source_path"])
+
+
+@query("c4_indexed_sections", f"WITH {SQL_STORE} SELECT concat('s', id) AS id FROM docs WHERE (contains(lower(category), 'src') OR contains(lower(title), 'src')) AND (contains(lower(category), 'tle') OR contains(lower(title), 'tle')) AND (contains(lower(category), '12') OR contains(lower(title), '12'))")
+def c4_sections(spark, sf_dir):
+    held = store(spark, sf_dir)
+    rows = held["sections"].join(held["documents"].select(F.col("id").alias("document_id"), F.col("title").alias("document_title")), "document_id")
+    return gram_found(spark, rows, "src TLE 12", ["title", "document_title"])
+
+
+@query("c4_indexed_chunks", "SELECT doc_id AS id FROM documents WHERE contains(lower(concat(text, chr(1), source, chr(1), 'title ', doc_id)), 'thereth') AND contains(lower(concat(text, chr(1), source, chr(1), 'title ', doc_id)), 'src')")
+def c4_chunks(spark, sf_dir):
+    held = store(spark, sf_dir)
+    rows = held["chunks"].join(held["documents"].select(F.col("id").alias("document_id"), F.col("title").alias("document_title")), "document_id")
+    return gram_found(spark, rows, "Thereth src", ["content", "section_title", "document_title"])
+
+
 @query("c5_chunk_catalog", f"WITH {SQL_STORE} SELECT id, category AS section_title, title AS document_title, target_version FROM docs WHERE category = 'src2'")
 def c5(spark, sf_dir):
     held = store(spark, sf_dir)
@@ -904,6 +929,13 @@ def l2(spark, sf_dir):
     return querylog.flag_repeats(said.select(F.col("conv_id").alias("session"), F.col("turn").alias("ts"), F.regexp_extract("text", r"^(\S*)", 1).alias("query")))
 
 
+@query("l2_hot_text", "WITH s AS (SELECT conv_id % 3 AS session, turn AS ts, conv_id, CASE WHEN turn % 2 = 0 THEN 'same' ELSE text END AS query FROM conversations) SELECT session, ts, conv_id, md5(query) AS query, row_number() OVER (PARTITION BY session, query ORDER BY ts, conv_id) > 1 AS repeated FROM s")
+def l2_hot(spark, sf_dir):
+    """Three sessions, and one text in about half of all rows."""
+    said = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 3).alias("session"), F.col("turn").alias("ts"), "conv_id", F.when(F.col("turn") % 2 == 0, "same").otherwise(F.col("text")).alias("query"))
+    return querylog.flag_repeats(said, key=["conv_id"]).withColumn("query", F.md5("query"))
+
+
 # ---- workloads ------------------------------------------------------------------------------------------------------
 
 

@@ -302,3 +302,53 @@ def test_chunk_job_and_report(spark):
 def test_encoder_is_deterministic():
     a, b = HashingEncoder(8).encode(["Hello world"]), HashingEncoder(8).encode(["hello WORLD"])
     assert np.allclose(a[0][0], b[0][0]) and a[0][2] == 2 and HashingEncoder(8).encode([None])[0][2] == 0
+
+
+def test_gram_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("abcÄß \n\U0001f600", k=rng.randrange(60))), rng.choice([None, "Title", "ab"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, content string, title string")
+    catalog.write_gram_index(df, ["content", "title"], f"{tmp_path}/grams")
+    index = spark.read.parquet(f"{tmp_path}/grams")
+    for text in ("abc", "AB ca", "äß", "title abc b", "ß\U0001f600a", "", "zzz", "abab"):
+        want = {r["id"] for r in catalog.search_rows(df, text, ["content", "title"]).collect()}
+        assert {r["id"] for r in catalog.gram_search(df, index, text, ["content", "title"]).collect()} == want
+    assert catalog.gram_search(df, index, "abab", ["content", "title"]).count() > 0
+    assert catalog.gram_search(df.limit(0), index.limit(0), "abc", ["content"]).count() == 0
+
+
+def test_repeats_with_ties_and_nulls(spark):
+    rows = [("s", "q", 1, 2), ("s", "q", 1, 1), ("s", "q", None, 0), (None, "q", 5, 1), (None, "q", 4, 1), ("s", None, 1, 1), ("s", None, 2, 1), ("t", "q", 1, 1)]
+    df = spark.createDataFrame(rows, "session string, query string, ts int, n int")
+    got = {(r["session"], r["query"], r["ts"], r["n"]): r["repeated"] for r in querylog.flag_repeats(df, key=["n"]).collect()}
+    assert [k for k, v in got.items() if not v and k[0] == "s" and k[1] == "q"] == [("s", "q", None, 0)]
+    assert got["s", "q", 1, 1] and got["s", "q", 1, 2] and not got[None, "q", 4, 1] and got[None, "q", 5, 1] and not got["s", None, 1, 1] and got["s", None, 2, 1] and not got["t", "q", 1, 1]
+
+
+def test_maxsim_of_blocks_against_pairs(spark):
+    import pyarrow as pa
+
+    rng = np.random.RandomState(0)
+    packed = [None, b"", b"\x01", b"\x02\x00" + bytes(5)] + [vectors.pack(vectors.low_dim(rng.standard_normal((n, 6)), 4), "int8") + bytes(n % 3) for n in (0, 1, 3, 7, 2)]
+    pairs = [(packed[i], packed[j]) for i in range(len(packed)) for j in range(len(packed))]
+    order = rng.permutation(len(pairs))
+    q, d = (pa.array([pairs[i][k] for i in order], pa.binary()) for k in (0, 1))
+    want = [vectors.maxsim_score(*pairs[i], 4) for i in order]
+    assert vectors.maxsim_scores(q, d, 4) == pytest.approx(want)
+    assert vectors.maxsim_scores(q.slice(7, 20), d.slice(7, 20), 4) == pytest.approx(want[7:27])
+    assert len(vectors.maxsim_scores(q.slice(0, 0), d.slice(0, 0), 4)) == 0
+
+
+def test_failed_chunk_withholds_its_document(spark):
+    from inkwell.functions.encoders import WordLengthEncoder
+
+    long = "\n\n".join(f"paragraph {i} of some length to fill a chunk " * 12 for i in range(8))
+    rows = [("a.md", "# One\n\nfine text"), ("b.md", long + "\n\na bad word"), ("c.md", ""), ("d.md", "bad"), ("e.md", None)]
+    source = spark.createDataFrame(rows, "source_path string, content string").withColumns({"default_version": F.lit("1"), "default_category": F.lit("c"), "seq": F.lit(1)})
+    made = workflows.ingest(source, now(), lambda: WordLengthEncoder(8, "bad"), low=8)
+    assert sorted(r["source_path"] for r in made["documents"].collect()) == ["a.md", "c.md", "e.md"]
+    assert {(r["source_path"], r["failed_rows"]) for r in made["quarantine"].collect()} == {("b.md", 1), ("d.md", 1)}
+    assert made["chunks"].count() == made["sections"].count() == 1 and "error" not in made["chunks"].columns
+    assert ingest.ingest_summary(ingest.file_results(made["documents"], made["chunks"], made["quarantine"])).first().asDict() == {"total": 5, "successful": 3, "failed": 2, "chunks": 1}
+    with pytest.raises(Exception, match="bad"):
+        vector_search.embed(spark.createDataFrame([("bad",)], "content string"), lambda: WordLengthEncoder(8, "bad")).collect()
