@@ -41,6 +41,8 @@ from inkwell.sources.files import last_commit, try_commit, work_folder
 TIERS, SIGNATURE, ID_BUCKETS = 32, 2048, 64
 #: The first pass meets so many times k postings and scores so many times k chunks.
 FIRST_POSTINGS, FIRST_CHUNKS = 400, 4
+#: A query whose terms have up to so many postings is scored from all of them, without bounds.
+DIRECT = 200_000
 TABLES = ("chunks", "postings", "tiers", "terms", "fields", "gone")
 
 
@@ -295,6 +297,7 @@ class _Search:
         order = Window.partitionBy("query_id").orderBy(F.desc("best"), "term", "field", "tier")
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         every = F.sum("drop").over(Window.partitionBy("query_id"))
+        rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy("query_id")))
         return rows.withColumn("met", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("bound", every - F.coalesce(F.sum("drop").over(before), F.lit(0.0)))
 
     def met(self, taken: DataFrame) -> DataFrame:
@@ -353,22 +356,29 @@ def _has_bit(signature: Column, bit: Column) -> Column:
     return F.get(signature, F.floor(bit / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)))) != 0
 
 
-def pruned_search(index: TextIndex, queries: DataFrame, k: int = 50, title_boost: float = 3.0, digits: int | None = None, fixed: dict[str, str] | None = None, counted: list | None = None) -> DataFrame:
+def pruned_search(index: TextIndex, queries: DataFrame, k: int = 50, title_boost: float = 3.0, digits: int | None = None, fixed: dict[str, str] | None = None, direct: int = DIRECT, counted: list | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the best k chunks of each query (query_id, query, and any of the index's facets
     as its own filter), the same rows as bm25.search gives. digits: round scores before ranking. fixed: facet values that
-    hold for all queries. counted: gets the rows (query_id, chunk_id) that were scored exactly."""
+    hold for all queries. direct: queries whose terms have up to so many postings are scored from all of them at once; bounds
+    would cost more than they save. counted: gets the rows (query_id, chunk_id) that were scored exactly."""
     run = _Search(index, queries, k, title_boost, fixed)
-    near = run.live(run.met(run.heads.filter(F.col("met") < FIRST_POSTINGS * k)))
-    seeded = run.held(run.exact(top_k(near, "query_id", [F.desc("partial"), F.col("chunk_id")], FIRST_CHUNKS * k)))
-    kth = top_k(seeded, "query_id", [F.desc("score"), F.col("chunk_id")], k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-    # what rounding may lift, and the sums' own error
-    slack = F.lit(0.0 if digits is None else 2.0 * 10.0**-digits) + F.lit(1e-9)
-    kth = run.held(kth.select("query_id", (F.col("kth") * (1 - 1e-9) - slack).alias("kth")))
-    met = run.met(run.heads.join(kth, "query_id", "left").filter("kth IS NULL OR bound >= kth").drop("kth"))
-    scored = run.exact(run.bounded(met).join(kth, "query_id", "left").filter("kth IS NULL OR upper >= kth"))
+    order = [F.desc("score"), F.col("chunk_id")]
+    final = lambda c: c if digits is None else F.round(c, digits)
+    few, many = run.heads.filter(F.col("total") <= direct), run.heads.filter(F.col("total") > direct)
+    scored = run.live(run.met(few)).select("query_id", "chunk_id", F.col("partial").alias("score"))
+    if not many.isEmpty():
+        near = run.live(run.met(many.filter(F.col("met") < FIRST_POSTINGS * k)))
+        seeded = run.held(run.exact(top_k(near, "query_id", [F.desc("partial"), F.col("chunk_id")], FIRST_CHUNKS * k)))
+        kth = top_k(seeded, "query_id", order, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        # what rounding may lift, and the sums' own error
+        slack = F.lit(0.0 if digits is None else 2.0 * 10.0**-digits) + F.lit(1e-9)
+        kth = run.held(kth.select("query_id", (F.col("kth") * (1 - 1e-9) - slack).alias("kth")))
+        met = run.met(many.join(kth, "query_id", "left").filter("kth IS NULL OR bound >= kth").drop("kth"))
+        rest = run.exact(run.bounded(met).join(kth, "query_id", "left").filter("kth IS NULL OR upper >= kth"))
+        scored = scored.unionByName(rest)
+        if counted is not None:
+            counted.append(seeded.select("query_id", "chunk_id"))
     if counted is not None:
         scored = run.kept(scored)
-        counted.extend([seeded.select("query_id", "chunk_id"), scored.select("query_id", "chunk_id")])
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    return top_k(scored, "query_id", [F.desc("score"), F.col("chunk_id")], k)
+        counted.append(scored.select("query_id", "chunk_id"))
+    return top_k(scored.withColumn("score", final(F.col("score"))), "query_id", order, k)

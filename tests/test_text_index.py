@@ -38,7 +38,9 @@ def test_same_rows_as_scoring_everything(spark, tmp_path, k, size):
     chunks = made(spark, 600)
     index = text_index.create_index(chunks, f"file://{tmp_path}/i")
     queries = asked(spark, size=size)
-    assert rows_of(text_index.pruned_search(index, queries, k, digits=6)) == rows_of(bm25.search(bm25.build_index(chunks), queries, k, digits=6))
+    want = rows_of(bm25.search(bm25.build_index(chunks), queries, k, digits=6))
+    for direct in (0, 500, text_index.DIRECT):  # all, some and none of the queries with bounds
+        assert rows_of(text_index.pruned_search(index, queries, k, digits=6, direct=direct)) == want
 
 
 def test_common_words_score_few_pairs(spark, tmp_path):
@@ -46,7 +48,7 @@ def test_common_words_score_few_pairs(spark, tmp_path):
     index = text_index.create_index(chunks, f"file://{tmp_path}/i")
     queries = spark.createDataFrame([(1, "w0 w1 w2"), (2, "w3 w7 w10 w12"), (3, "w0 w20"), (4, "w5 w6 w40 w1500")], "query_id int, query string")
     counted = []
-    got = rows_of(text_index.pruned_search(index, queries, 10, digits=6, counted=counted))
+    got = rows_of(text_index.pruned_search(index, queries, 10, digits=6, direct=0, counted=counted))
     held = bm25.build_index(chunks)
     assert got == rows_of(bm25.search(held, queries, 10, digits=6))
     matches = queries.select("query_id", F.explode(bm25.tokens("query")).alias("term")).join(held["postings"], "term").select("query_id", "chunk_id").distinct().count()
@@ -60,7 +62,7 @@ def test_filters_of_queries(spark, tmp_path):
     index = text_index.create_index(chunks, f"file://{tmp_path}/i", ["target_version", "category"])
     queries = asked(spark, target_version=["en", "All", None, "fr"], category=["a", "", "b"])
     counted = []
-    got = text_index.pruned_search(index, queries, 10, digits=6, counted=counted)
+    got = text_index.pruned_search(index, queries, 10, digits=6, direct=0, counted=counted)
     assert rows_of(got) == rows_of(bm25.search(bm25.build_index(chunks), queries, 10, allowed=chunks, digits=6))
     # none that a filter excludes is scored
     own = queries.select("query_id", F.col("target_version").alias("v"), F.col("category").alias("c"))
@@ -82,7 +84,8 @@ def test_increments(spark, tmp_path):
     assert index_rows(index) == index_rows(plain)
     queries = asked(spark, target_version=["en", "All"])
     want = rows_of(bm25.search(bm25.build_index(now), queries, 10, allowed=now.select("chunk_id", "target_version"), digits=6))
-    assert rows_of(text_index.pruned_search(index, queries, 10, digits=6)) == want
+    for direct in (0, text_index.DIRECT):
+        assert rows_of(text_index.pruned_search(index, queries, 10, digits=6, direct=direct)) == want
     assert text_index.merge_index(index, share=0.5).segments == index.segments
     merged = text_index.merge_index(index)
     assert len(merged.segments) == 1 and index_rows(merged) == index_rows(plain)
