@@ -251,8 +251,8 @@ def _filter(columns: Sequence[str]) -> Column:
 class _Search:
     """One batch of queries over an index; the tables between its passes are written to a work folder."""
 
-    def __init__(self, index: TextIndex, queries: DataFrame, k: int, title_boost: float, fixed: dict[str, str] | None):
-        self.index, self.k, self.spark = index, k, index.spark
+    def __init__(self, index: TextIndex, queries: DataFrame, title_boost: float, fixed: dict[str, str] | None, direct: int):
+        self.index, self.spark = index, index.spark
         self.folder = work_folder(self.spark)
         own = [c for c in index.facets if c in queries.columns]
         self.filters = self.held(allowed_facets(index, queries, fixed)) if own or fixed else None
@@ -260,9 +260,14 @@ class _Search:
         idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.when(F.col("field") == "section_title", F.lit(title_boost)).otherwise(F.lit(1.0))
         weights = asked.join(index.terms(), "term").join(F.broadcast(index.fields()), "field")
-        self.weights = self.held(weights.select("query_id", "filter", "term", "field", weight.alias("weight"), "avg_length"))
-        self.words = self.held(self.weights.select("term", "field").distinct())
-        self.heads = self.held(self._heads())
+        total = F.sum("df").over(Window.partitionBy("query_id"))
+        every = self.held(weights.select("query_id", "filter", "term", "field", weight.alias("weight"), "avg_length", total.alias("total")))
+        #: Terms of the queries that are scored from all their postings, and of those that need bounds.
+        self.few, self.weights = (every.filter(c).drop("total") for c in (F.col("total") <= direct, F.col("total") > direct))
+        self.bounds = not self.weights.isEmpty()
+        if self.bounds:
+            self.words = self.held(self.weights.select("term", "field").distinct())
+            self.heads = self.held(self._heads())
 
     def kept(self, df: DataFrame) -> DataFrame:
         """df as a table."""
@@ -297,9 +302,16 @@ class _Search:
         order = Window.partitionBy("query_id").orderBy(F.desc("best"), "term", "field", "tier")
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         every = F.sum("drop").over(Window.partitionBy("query_id"))
-        rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy("query_id")))
         return rows.withColumn("met", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("bound", every - F.coalesce(F.sum("drop").over(before), F.lit(0.0)))
 
+    def whole(self) -> DataFrame:
+        """query_id, chunk_id, score of all chunks that the queries with few postings meet."""
+        rows = self.index.table("postings").join(self.few, ["term", "field"])
+        if self.filters is not None:
+            rows = rows.join(self.filters, ["filter", "facet"], "left_semi")
+        found = rows.groupBy("query_id", "chunk_id", "segment").agg(F.sum(self._adds()).alias("score"))
+        return self.live(found).select("query_id", "chunk_id", "score")
+
     def met(self, taken: DataFrame) -> DataFrame:
         """query_id, chunk_id, segment, partial (exact, of the tiers taken) and over (the same less the bounds of the terms
         met) of chunks in the tiers taken; sets the cuts that go with them."""
@@ -361,19 +373,18 @@ def pruned_search(index: TextIndex, queries: DataFrame, k: int = 50, title_boost
     as its own filter), the same rows as bm25.search gives. digits: round scores before ranking. fixed: facet values that
     hold for all queries. direct: queries whose terms have up to so many postings are scored from all of them at once; bounds
     would cost more than they save. counted: gets the rows (query_id, chunk_id) that were scored exactly."""
-    run = _Search(index, queries, k, title_boost, fixed)
+    run = _Search(index, queries, title_boost, fixed, direct)
     order = [F.desc("score"), F.col("chunk_id")]
     final = lambda c: c if digits is None else F.round(c, digits)
-    few, many = run.heads.filter(F.col("total") <= direct), run.heads.filter(F.col("total") > direct)
-    scored = run.live(run.met(few)).select("query_id", "chunk_id", F.col("partial").alias("score"))
-    if not many.isEmpty():
-        near = run.live(run.met(many.filter(F.col("met") < FIRST_POSTINGS * k)))
+    scored = run.whole()
+    if run.bounds:
+        near = run.live(run.met(run.heads.filter(F.col("met") < FIRST_POSTINGS * k)))
         seeded = run.held(run.exact(top_k(near, "query_id", [F.desc("partial"), F.col("chunk_id")], FIRST_CHUNKS * k)))
         kth = top_k(seeded, "query_id", order, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
         # what rounding may lift, and the sums' own error
         slack = F.lit(0.0 if digits is None else 2.0 * 10.0**-digits) + F.lit(1e-9)
         kth = run.held(kth.select("query_id", (F.col("kth") * (1 - 1e-9) - slack).alias("kth")))
-        met = run.met(many.join(kth, "query_id", "left").filter("kth IS NULL OR bound >= kth").drop("kth"))
+        met = run.met(run.heads.join(kth, "query_id", "left").filter("kth IS NULL OR bound >= kth").drop("kth"))
         rest = run.exact(run.bounded(met).join(kth, "query_id", "left").filter("kth IS NULL OR upper >= kth"))
         scored = scored.unionByName(rest)
         if counted is not None:
