@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from inkwell.llm.common import Memory, slices
 
 #: What an encoder may remember; a Python worker holds one encoder for each vocabulary file that it meets.
-MEMORY_BYTES = 48 << 20
+MEMORY_BYTES = 24 << 20
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Characters that Python's split() takes for white space and Unicode does not.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")

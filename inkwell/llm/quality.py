@@ -24,6 +24,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +157,9 @@ def fit_quality(
         return model
     models = [trained(f) for f in range(FOLDS)]
     some = labelled_sample(documents, rated, calibration_docs).withColumn("fold", fold).filter(F.col("fold").isin([f for f, m in enumerate(models) if m.bad is not None]))
-    measured = _measured(some, models, ["doc_id", "label"]).select("doc_id", "label", "difference").orderBy("doc_id").collect()
+    shared = documents.sparkSession.sparkContext.broadcast(models)
+    measured = _measured(some, shared, ["doc_id", "label"]).select("doc_id", "label", "difference").orderBy("doc_id").collect()
+    shared.destroy()  # later stages need the memory
     x, y = np.array([[r["difference"]] for r in measured], dtype=float), np.array([r["label"] for r in measured], dtype=float)
     if len(set(y)) < 2:
         return replace(model, slope=20.0)
@@ -165,9 +168,8 @@ def fit_quality(
     return replace(model, slope=float(weights[0]), intercept=intercept)
 
 
-def _measured(documents: DataFrame, models: list[QualityModel], keep: list[str]) -> DataFrame:
-    """The columns keep, and the difference by the model of the row's fold."""
-    shared = documents.sparkSession.sparkContext.broadcast(models)
+def _measured(documents: DataFrame, shared: Broadcast, keep: list[str]) -> DataFrame:
+    """The columns keep, and the difference by that of the shared models which is the row's fold's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, measure = None, None  # one pair of dictionaries at a time
