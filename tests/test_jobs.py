@@ -213,7 +213,7 @@ def test_packed_vectors(spark):
 
 
 def test_bm25_against_plain_python(spark):
-    texts = {1: "hello world hello", 2: "say hello to Django", 3: "nothing here", 4: "", 5: None}
+    texts = {1: "hello world hello", 2: "say hello to Spark", 3: "nothing here", 4: "", 5: None}
     rows = [(i, t, "Title world" if i == 3 else "Main") for i, t in texts.items()]
     index = bm25.build_index(spark.createDataFrame(rows, "chunk_id int, content string, section_title string"))
     asked = spark.createDataFrame([(1, "Hello, world hello"), (2, "absent"), (3, None)], "query_id int, query string")
