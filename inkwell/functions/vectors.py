@@ -19,6 +19,13 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.transform(_col(v), lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x * x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero as SQL engines do it on doubles: scaled, rounded and scaled back. What rounds to
+    zero keeps its sign, which F.round drops."""
+    whole = F.round(x * F.lit(10.0**digits))
+    return F.when(whole == 0, x * F.lit(0.0)).otherwise(whole / F.lit(10.0**digits))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     terms = F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
@@ -47,7 +54,8 @@ def preview(v: Column | str, shown: int = 5) -> Column:
 def low_dim(tokens: np.ndarray, dim: int) -> np.ndarray:
     """The first dim components of each token (rows), each at length one; zero tokens stay zero."""
     low = np.asarray(tokens, np.float64)[:, :dim]
-    length = np.sqrt((low**2).sum(axis=1, keepdims=True))
+    # added up in order, as SQL does it: the last bit can decide about a rounded value
+    length = np.sqrt(np.cumsum(low**2, axis=1)[:, -1:]) if low.shape[1] else np.zeros((len(low), 1))
     return np.divide(low, length, out=np.zeros_like(low), where=length > 0)
 
 

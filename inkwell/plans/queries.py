@@ -377,7 +377,7 @@ def e1(spark, sf_dir):
 
 @query("e2_l2_normalize", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS len FROM v) SELECT vec_id, list_transform(e, lambda x: round(CASE WHEN len > 0 THEN x / len ELSE 0 END, 6)) AS unit FROM n")
 def e2(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(vectors.l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(vectors.l2_normalize("embedding"), lambda x: vectors.rounded(x, 6)).alias("unit"))
 
 
 def packed(spark: SparkSession, sf_dir: str, kind: str = "int8") -> DataFrame:
