@@ -398,7 +398,7 @@ def e3(spark, sf_dir):
 @query("e6_unpack", f"WITH {SQL_TOKENS} SELECT vec_id, CAST(t AS INTEGER) AS token, list_transform(f, lambda y: round(y, 6)) AS values FROM tk")
 def e6(spark, sf_dir):
     rows = packed(spark, sf_dir, "float32").select("vec_id", F.posexplode(vectors.unpack_tokens(8, "float32")("multi")).alias("token", "v"))
-    return rows.select("vec_id", "token", F.transform("v", lambda x: F.round(x, 6)).alias("values"))
+    return rows.select("vec_id", "token", F.transform("v", lambda x: vectors.rounded(x, 6)).alias("values"))
 
 
 # ---- ingestion ------------------------------------------------------------------------------------------------------
