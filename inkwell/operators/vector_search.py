@@ -16,8 +16,8 @@ from inkwell.functions.vectors import low_dim, pack
 from inkwell.operators.bm25 import top_k
 from inkwell.sources.files import work_folder
 
-#: Queries that meet a packed row of vectors together, vectors in such a row, and pivots at most.
-QUERY_BLOCK, PIECE, MOST_PIVOTS = 1024, 4096, 1024
+#: Vectors in a packed row and pivots at most; bytes of vectors on a shelf, and numbers of a matrix that is made at a time.
+PIECE, MOST_PIVOTS, SHELF_BYTES, BLOCK = 4096, 1024, 8 << 20, 1 << 21
 
 
 def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "content", low: int = 128, kind: str = "int8", batch: int = 64, errors: bool = False) -> DataFrame:
@@ -90,12 +90,13 @@ def _units(lists: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def vector_cells(vectors: DataFrame, id_column: str = "chunk_id", vector_column: str = "embedding", facet: str | None = None) -> VectorCells:
-    """Vectors dealt to the nearest of about sqrt(n) pivots, which are some of them, separately for each facet (a column of
-    whole numbers), and packed in rows of at most PIECE vectors. A vector is shuffled once; a crowded cell is cut over
-    several tasks and rows."""
+    """Vectors dealt to the nearest of about sqrt(n / facets) pivots, which are some of them, separately for each facet (a
+    column of whole numbers), and packed in rows of at most PIECE vectors, so that there are about sqrt(n facets) cells. A
+    vector is shuffled once; a crowded cell is cut over several tasks and rows."""
     held = vectors.filter(F.col(vector_column).isNotNull())
     rows = held.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v"), (F.col(facet) if facet else F.lit(0)).cast("long").alias("facet"), F.size(vector_column).alias("dim"))
-    wanted = max(1, min(MOST_PIVOTS, math.isqrt(rows.count())))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("facet").alias("facets")).first()
+    wanted = max(1, min(MOST_PIVOTS, math.isqrt(size["n"] // max(1, size["facets"]))))
     pivots: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect():  # at most MOST_PIVOTS
         v = np.array(r["v"])
@@ -125,8 +126,9 @@ def vector_cells(vectors: DataFrame, id_column: str = "chunk_id", vector_column:
             keys = np.stack([b.column(c).to_numpy() for c in ("dim", "facet", "cell")]) if b.num_rows else np.empty((3, 0), int)
             cuts = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
             for i, j in zip(cuts, cuts[1:], strict=False):
-                for at in range(i, j, PIECE):
-                    part = b.slice(at, min(PIECE, j - at))
+                step = max(1, min(PIECE, SHELF_BYTES // 4 // max(8, 8 * int(keys[0, i]))))
+                for at in range(i, j, step):
+                    part = b.slice(at, min(step, j - at))
                     ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
                     units = b"".join(part.column("unit").to_pylist())
                     yield pa.RecordBatch.from_arrays([*(part.column(c).slice(0, 1) for c in ("dim", "facet", "cell")), ids, pa.array([units], pa.binary()), pa.array([part.num_rows], pa.int64()), pa.array([max(part.column("angle").to_numpy())])], ["dim", "facet", "cell", "ids", "units", "n", "angle"])
@@ -142,18 +144,41 @@ def vector_cells(vectors: DataFrame, id_column: str = "chunk_id", vector_column:
     return VectorCells(pieces, matrix, {d: np.array(c, dtype=[("facet", "i8"), ("cell", "i4"), ("n", "i8"), ("angle", "f8")]) for d, c in stats.items()}, id_column, kind)
 
 
+def _shelved(cells: dict[int, np.ndarray], least: int) -> tuple[dict[int, np.ndarray], int]:
+    """The cells of each dimension with their number, first shelf and how many shelves they are on, and the number of
+    shelves: neighbours share one until it is full, a crowded cell has several. There are at least about so many."""
+    out, number, shelf = {}, 0, 0
+    for dim, known in cells.items():
+        full = max(1, min(SHELF_BYTES // max(8, 8 * dim), -(-int(known["n"].sum()) // least)))
+        rows, filled = [], 0
+        for n in known["n"].tolist():
+            several = -(-n // full)
+            if filled and filled + n > full:
+                shelf, filled = shelf + 1, 0
+            rows.append((number, shelf, several))
+            number, shelf, filled = number + 1, shelf + several - 1, filled + n if several == 1 else full
+        shelf += 1
+        more = np.array(rows, dtype=[("number", "i4"), ("shelf", "i4"), ("shelves", "i4")])
+        made = np.empty(len(known), dtype=known.dtype.descr + more.dtype.descr)
+        for c in made.dtype.names:
+            made[c] = (known if c in known.dtype.names else more)[c]
+        out[dim] = made
+    return out, max(1, shelf)
+
+
 def cell_search(held: VectorCells, queries: DataFrame, k: int = 50, digits: int | None = None, filters: DataFrame | None = None, visits: list | None = None) -> DataFrame:
     """query_id, id, similarity, rank: the k vectors of largest cosine for each query (query_id, vector); a zero vector has
     similarity null and comes last; a query meets vectors of its own dimension.
 
     First each query visits the cells nearest to it that hold k vectors together, which gives a limit; then all cells in
-    which, by the angle to their pivot and their largest angle, something may be as near as that. Blocks of queries meet
-    packed cells, and only the best k of each meeting leave it, so pairs are never rows, and vectors are read where they are or
-    shuffled once, however many queries there are.
+    which, by the angle to their pivot and their largest angle, something may be as near as that. Cells stand on shelves of
+    SHELF_BYTES. A task holds one shelf, past which the queries that visit it are streamed; a query goes once to a shelf, and
+    only its best k there leave it. So pairs are never rows, and what a task holds does not grow with vectors or queries.
 
     filters: (filter, facet), the facets that the queries' column filter admits; other cells are not visited. visits: gets
-    the rows (query_id, facet, cell) of both rounds."""
-    spark, cells, pivots, id_column = queries.sparkSession, held.cells, held.pivots, held.id_column
+    the rows (query_id, cell) of both rounds."""
+    spark, pivots, id_column = queries.sparkSession, held.pivots, held.id_column
+    cells, n_shelves = _shelved(held.cells, 2 * spark.sparkContext.defaultParallelism)
     qkind = queries.schema["query_id"].dataType.simpleString()
     rows = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), *(["filter"] if filters is not None else []))
     if filters is None:
@@ -164,72 +189,124 @@ def cell_search(held: VectorCells, queries: DataFrame, k: int = 50, digits: int
     folder = work_folder(spark)
     slack = 1e-9 if digits is None else 2.0 * 10.0**-digits
 
+    def chosen_cells(part: pa.RecordBatch, known: np.ndarray, unit: np.ndarray, second: bool) -> np.ndarray:
+        """Which of the known cells each query visits."""
+        facets, limits = part.column("facets").to_pylist(), part.column("kth").to_numpy(zero_copy_only=False)
+        distinct = {f: np.ones(len(known), bool) if f is None else np.isin(known["facet"], np.array(f, np.int64)) for f in {None if f is None else tuple(f) for f in facets}}
+        open_ = np.stack([distinct[None if f is None else tuple(f)] for f in facets])
+        # of cells without a pivot nothing is known, nor for a query of length zero
+        upper = np.ones((len(unit), len(known)))
+        dim = unit.shape[1]
+        if dim in pivots:
+            to = np.arccos(np.clip(unit @ pivots[dim].T, -1, 1))
+            upper = np.cos(np.maximum(0, to[:, np.maximum(known["cell"], 0)] - known["angle"])) + 1e-7  # arccos loses half its digits near 1
+            upper[:, known["cell"] < 0] = -np.inf
+        upper[~unit.any(axis=1)] = np.inf
+        ranked = np.where(open_, upper, -np.inf)
+        order = np.argsort(-ranked, axis=1, kind="stable")
+        n = np.where(open_ & (known["cell"] >= 0), known["n"], 0)
+        enough = (np.cumsum(np.take_along_axis(n, order, axis=1), axis=1) < k).sum(axis=1) + 1
+        chosen = np.zeros(open_.shape, bool)
+        np.put_along_axis(chosen, order, np.arange(len(known)) < enough[:, None], axis=1)
+        if second:
+            chosen = ~chosen & (np.isnan(limits)[:, None] | (upper >= limits[:, None] - slack))
+        return chosen & open_
+
     def visiting(second: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                dims, limits = b.column("dim").to_numpy(), b.column("kth").to_pylist()
-                facets, qid = b.column("facets").to_pylist(), b.column("query_id")
-                at, facet, cell, units = [], [], [], []
-                for i, dim in enumerate(dims.tolist()):
+                dims = b.column("dim").to_numpy()
+                for dim in np.unique(dims).tolist():
                     known = cells.get(dim)
                     if known is None:
                         continue
-                    unit = _units(b.column("vector").slice(i, 1), dim)
-                    if facets[i] is not None:
-                        known = known[np.isin(known["facet"], np.array(facets[i], np.int64))]
-                    # of cells without a pivot, and for a query of length zero, nothing is known
-                    upper = np.full(len(known), 1.0 if unit.any() else np.inf)
-                    if dim in pivots and unit.any():
-                        to = np.arccos(np.clip(pivots[dim] @ unit[0], -1, 1))
-                        upper = np.where(known["cell"] >= 0, np.cos(np.maximum(0, to[np.maximum(known["cell"], 0)] - known["angle"])), -np.inf) + 1e-7  # arccos loses half its digits near 1
-                    order = np.argsort(-upper, kind="stable")
-                    enough = np.searchsorted(np.cumsum(np.where(known["cell"] >= 0, known["n"], 0)[order]), k) + 1
-                    first = order[:enough]
-                    chosen = first
-                    if second:
-                        near = np.arange(len(known)) if limits[i] is None else np.flatnonzero(upper >= limits[i] - slack)
-                        chosen = np.setdiff1d(near, first)
-                    at += [i] * len(chosen)
-                    facet += known["facet"][chosen].tolist()
-                    cell += known["cell"][chosen].tolist()
-                    units += [unit.tobytes()] * len(chosen)
-                yield pa.RecordBatch.from_arrays([qid.take(pa.array(at, pa.int64())), pa.array(dims[at], pa.int32()), pa.array(facet, pa.int64()), pa.array(cell, pa.int32()), pa.array(units, pa.binary())], ["query_id", "dim", "facet", "cell", "unit"])
+                    mine = b.filter(pa.array(dims == dim))
+                    step = max(1, BLOCK // 4 // len(known))
+                    for i in range(0, mine.num_rows, step):
+                        part = mine.slice(i, step)
+                        unit = _units(part.column("vector"), dim)
+                        query, cell = np.nonzero(chosen_cells(part, known, unit, second))
+                        times = known["shelves"][cell]
+                        query, cell = np.repeat(query, times), np.repeat(cell, times)
+                        shelf = known["shelf"][cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                        order = np.lexsort((shelf, query))
+                        query, cell, shelf = query[order], cell[order], shelf[order]
+                        starts = np.flatnonzero(np.concatenate([[True], (np.diff(query) != 0) | (np.diff(shelf) != 0)])) if len(query) else np.empty(0, int)
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(query)), pa.int32()), pa.array(known["number"][cell], pa.int32()))
+                        who = pa.array(query[starts], pa.int64())
+                        units = pa.array([u.tobytes() for u in unit], pa.binary()).take(who)
+                        yield pa.RecordBatch.from_arrays([pa.array(shelf[starts], pa.int32()), pa.array(np.full(len(who), dim), pa.int32()), part.column("query_id").take(who), units, part.column("kth").take(who), lists], ["shelf", "dim", "query_id", "unit", "kth", "cells"])
 
         return run
 
+    def nearest(q: np.ndarray, limits: np.ndarray, wanted: list, v: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query's best k vectors in its cells: the query, the vector and the score, which is -2 where it is null."""
+        places, at = np.unique(numbers, return_inverse=True)
+        asked = np.zeros((len(q), len(places)), bool)
+        for i, w in enumerate(wanted):
+            asked[i, np.searchsorted(places, w)] = True
+        score = q @ v.T
+        score[~q.any(axis=1)] = -2
+        score[:, ~v.any(axis=1)] = -2
+        if not asked.all():
+            score[~asked[:, at]] = -np.inf
+        least = np.where(np.isnan(limits), -2, limits - slack)[:, None]
+        near = score >= least
+        if near.sum() > 8 * k * len(q) and len(v) > k:
+            near &= score >= np.partition(score, -k, axis=1)[:, -k][:, None] - slack
+        who, what = np.nonzero(near)
+        how = score[who, what]
+        if digits is not None:
+            how = np.round(how, digits)
+        order = np.lexsort((keys[what], -how, who))
+        who, what, how = who[order], what[order], how[order]
+        first = np.searchsorted(who, np.arange(len(q)))
+        kept = np.arange(len(who)) - first[who] < k
+        return who[kept], what[kept], how[kept]
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dim, asked = batch.column("dim")[r].as_py(), batch.column("asked").slice(r, 1).flatten()
-                ids = batch.column("ids").slice(r, 1).flatten()
-                v = np.frombuffer(batch.column("units")[r].as_buffer()).reshape(len(ids), dim)
-                q = np.frombuffer(b"".join(asked.field("unit").to_pylist())).reshape(len(asked), dim)
-                score = q @ v.T
-                if digits is not None:
-                    score = np.round(score, digits)
-                score[~q.any(axis=1)] = -np.inf
-                score[:, ~v.any(axis=1)] = -np.inf
-                keys = ids.to_numpy(zero_copy_only=False)
-                who, what, how = [], [], []
-                for i in range(len(q)):
-                    row = score[i]
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    near = near[np.lexsort((keys[near], -row[near]))][:k]
-                    who.append(np.full(len(near), i))
-                    what.append(near)
-                    how.append(row[near])
-                who, what, how = (np.concatenate(x) for x in (who, what, how))
-                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(who)), ids.take(pa.array(what)), pa.array(how, mask=np.isneginf(how))], ["query_id", id_column, "similarity"])
+        shelf, pieces, ready = None, [], None
+        for b in batches:
+            of = b.column("shelf").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if of[i] != shelf:
+                    shelf, pieces, ready = of[i], [], None
+                part = b.slice(i, j - i)
+                dim = part.column("dim")[0].as_py()
+                n = len(part) - part.column("number").null_count  # pieces come first
+                for r in range(n):
+                    ids = part.column("ids").slice(r, 1).flatten()
+                    pieces.append((ids, np.frombuffer(part.column("units")[r].as_py()).reshape(len(ids), dim), part.column("number")[r].as_py()))
+                if n == len(part) or not pieces:
+                    continue
+                if ready is None:
+                    ids = pa.concat_arrays([p[0] for p in pieces])
+                    ready = ids, np.concatenate([p[1] for p in pieces]), ids.to_numpy(zero_copy_only=False), np.repeat([p[2] for p in pieces], [len(p[0]) for p in pieces])
+                    pieces = [()]
+                ids, v, keys, numbers = ready
+                step = max(1, BLOCK // len(v))
+                for at in range(n, len(part), step):
+                    some = part.slice(at, step)
+                    q = np.frombuffer(b"".join(some.column("unit").to_pylist())).reshape(len(some), dim)
+                    who, what, how = nearest(q, some.column("kth").to_numpy(zero_copy_only=False).astype(float), some.column("cells").to_pylist(), v, keys, numbers)
+                    yield pa.RecordBatch.from_arrays([some.column("query_id").take(pa.array(who)), ids.take(pa.array(what)), pa.array(how, mask=how < -1.5)], ["query_id", id_column, "similarity"])
+
+    places = [(dim, *r) for dim, known in cells.items() for r in known[["facet", "cell", "number", "shelf", "shelves"]].tolist()]
+    shelves = spark.createDataFrame(places, "dim int, facet long, cell int, number int, shelf int, shelves int")
+    placed = held.pieces.join(F.broadcast(shelves), ["dim", "facet", "cell"])  # a row for each cell
+    placed = placed.select((F.col("shelf") + F.pmod(F.xxhash64("ids"), F.col("shelves"))).cast("int").alias("shelf"), "dim", "number", "ids", "units")
 
     def met(asked: DataFrame, second: bool) -> DataFrame:
-        found = asked.mapInArrow(visiting(second), f"query_id {qkind}, dim int, facet long, cell int, unit binary")
+        found = asked.mapInArrow(visiting(second), f"shelf int, dim int, query_id {qkind}, unit binary, kth double, cells array<int>")
         if visits is not None:
-            visits.append(found.select("query_id", "facet", "cell"))
-        blocks = found.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).groupBy("dim", "facet", "cell", "block").agg(F.collect_list(F.struct("query_id", "unit")).alias("asked"))
-        both = held.pieces.join(blocks, ["dim", "facet", "cell"]).select("dim", "ids", "units", "asked")
-        return both.mapInArrow(best, f"query_id {qkind}, {id_column} {held.id_type}, similarity double")
+            visits.append(found.select("query_id", F.explode("cells").alias("cell")))
+        both = placed.unionByName(found, allowMissingColumns=True)
+        shelved = both.repartitionById(n_shelves, "shelf").sortWithinPartitions("shelf", F.col("number").isNull())
+        return shelved.mapInArrow(best, f"query_id {qkind}, {id_column} {held.id_type}, similarity double")
 
-    n_blocks = max(1, -(-rows.count() // QUERY_BLOCK))
     order = [F.col("similarity").desc_nulls_last(), F.col(id_column)]
     met(rows.withColumn("kth", F.lit(None).cast("double")), False).write.parquet(f"{folder}/first")
     first = spark.read.parquet(f"{folder}/first")
