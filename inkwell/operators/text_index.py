@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.window import Window
 
-from inkwell.operators.bm25 import BROADCAST_ROWS, FIELDS, term_counts, tokens, top_k
+from inkwell.operators.bm25 import FIELDS, small, term_counts, tokens, top_k
 from inkwell.sources.files import last_commit, try_commit, work_folder
 
 #: Steps between the least and the most that a posting can add, bits of a chunk's signature, and buckets of ids.
@@ -277,8 +277,7 @@ class _Search:
 
     def held(self, df: DataFrame) -> DataFrame:
         """df for several uses: broadcast if it is small, else as a table."""
-        rows = df.limit(BROADCAST_ROWS + 1).toArrow()
-        return F.broadcast(self.spark.createDataFrame(rows, df.schema)) if rows.num_rows <= BROADCAST_ROWS else self.kept(df)
+        return small(df)
 
     def _heads(self) -> DataFrame:
         """A row for each query, term, field and tier: the postings in it, the bound top of what one can add from here on,
