@@ -589,8 +589,7 @@ def r1(spark, sf_dir):
 
 @query("r2_index_terms", f"WITH {SQL_INDEX} SELECT term, p.field, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY ALL")
 def r2(spark, sf_dir):
-    index = index_of(spark, sf_dir)
-    return index["terms"].join(index["postings"].groupBy("term", "field").agg(F.sum("tf").alias("tf")), ["term", "field"])
+    return bm25.build_index(store(spark, sf_dir)["chunks"].withColumnRenamed("id", "chunk_id"))["terms"]
 
 
 def words_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
