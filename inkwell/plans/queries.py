@@ -6,6 +6,7 @@ source, status from labels.toxic), embeddings are their vectors, benchmark texts
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return bm25.build_index(store(spark, sf_dir)["chunks"].withColumnRenamed("id", "chunk_id"), cache=True)
+    return bm25.build_index(store(spark, sf_dir)["chunks"].withColumnRenamed("id", "chunk_id"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -632,10 +633,10 @@ def r6(spark, sf_dir):
     return fusion.assemble_hits(fused(spark, sf_dir), every).select("query_id", "chunk_id", "rank", "document_title", "target_version", F.md5("content").alias("digest"))
 
 
-def multi_hits(spark: SparkSession, sf_dir: str, kind: str = "int8") -> tuple[DataFrame, DataFrame]:
+def multi_hits(spark: SparkSession, sf_dir: str, kind: str = "int8", hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Fused hits with the packed vectors of hits and queries."""
     multi = packed(spark, sf_dir, kind)
-    hits = fused(spark, sf_dir).join(multi.select(F.col("vec_id").alias("chunk_id"), F.col("multi").alias("multi_vector_low_dim")), "chunk_id", "left").withColumn("similarity", F.col("rrf_score"))
+    hits = (fused(spark, sf_dir) if hits is None else hits).join(multi.select(F.col("vec_id").alias("chunk_id"), F.col("multi").alias("multi_vector_low_dim")), "chunk_id", "left").withColumn("similarity", F.col("rrf_score"))
     return hits, asked(spark, sf_dir).select("query_id").join(multi.select(F.col("vec_id").alias("query_id"), "multi"), "query_id", "left")
 
 
@@ -658,9 +659,9 @@ SQL_RERANK = f"""{SQL_RRF}, {SQL_TOKENS},
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS final_rank FROM k)"""
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reranked(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
     """The best five of the fused hits by MaxSim of packed int8 vectors, rounded before they are ranked."""
-    hits, queries = multi_hits(spark, sf_dir)
+    hits, queries = multi_hits(spark, sf_dir, hits=hits)
     score = F.round(vectors.maxsim(8)("multi", "multi_vector_low_dim"), 6)
     hits = hits.join(queries, "query_id").withColumn("s", score).drop("multi")
     return rerank.rerank(hits, queries, dim=8, threshold=0.3, limit=5, score="s").filter("NOT rerank_failed")
@@ -840,7 +841,7 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def golden_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return words_hits(spark, sf_dir).filter("rank <= 5").join(texts, "chunk_id")
+    return texts.join(bm25.small(words_hits(spark, sf_dir).filter("rank <= 5")), "chunk_id")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -891,10 +892,14 @@ def v6_failures(spark, sf_dir):
 )
 def v7(spark, sf_dir):
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    one = lambda mode, hits: evaluation.judge(golden(spark, sf_dir), hits.filter("rank <= 5").join(texts, "chunk_id")).withColumn("mode", F.lit(mode))
-    words, near = words_hits(spark, sf_dir), vector_hits(spark, sf_dir)
-    every = one("bm25", words).unionByName(one("vector", near)).unionByName(one("hybrid", fusion.reciprocal_rank_fusion(words, near)))
-    every = every.unionByName(one("reranked", reranked(spark, sf_dir).select("query_id", "chunk_id", F.col("final_rank").alias("rank"))))
+    words, near = bm25.small(words_hits(spark, sf_dir)), bm25.small(vector_hits(spark, sf_dir))
+    both = bm25.small(fusion.reciprocal_rank_fusion(words, near))
+    best = reranked(spark, sf_dir, both).withColumn("rank", F.col("final_rank"))
+    modes = {"bm25": words, "vector": near, "hybrid": both, "reranked": best}
+    first = [hits.filter("rank <= 5").select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank") for mode, hits in modes.items()]
+    seen = bm25.small(texts.join(bm25.small(reduce(lambda x, y: x.unionByName(y), first)), "chunk_id"))
+    one = lambda mode: evaluation.judge(golden(spark, sf_dir), seen.filter(F.col("mode") == mode)).withColumn("mode", F.lit(mode))
+    every = reduce(lambda x, y: x.unionByName(y), [one(mode) for mode in modes])
     return rounded(evaluation.measures(every, ["mode"]))
 
 
