@@ -8,12 +8,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions.urls import _col
 
+#: Bytes of packed multi-vectors that are unpacked at a time.
+PACKED_BYTES = 1 << 20
+
 
 def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.transform(_col(v), lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x * x))
@@ -151,7 +155,10 @@ def maxsim(dim: int, kind: str = "int8"):
 
     @F.arrow_udf(T.DoubleType())
     def run(query: pa.Array, doc: pa.Array) -> pa.Array:
-        return pa.array(maxsim_scores(query, doc, dim, kind))
+        # unpacked, a document takes many times its bytes: so many are at a time
+        filled = np.cumsum(pc.fill_null(pc.binary_length(doc), 0).to_numpy(zero_copy_only=False)) // PACKED_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(doc)]
+        return pa.array(np.concatenate([maxsim_scores(query.slice(i, j - i), doc.slice(i, j - i), dim, kind) for i, j in zip(cuts, cuts[1:], strict=False)]))
 
     return run
 

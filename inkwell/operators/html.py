@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 from inkwell.functions.html import body_of, links_of, parse, title_of, to_markdown
 from inkwell.functions.urls import normalize_url
 
+#: Pages of a batch that are Python strings at a time; the others stay as Arrow holds them.
+PAGES = 64
+
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _links(html: pd.Series, url: pd.Series) -> pd.Series:
@@ -24,18 +28,20 @@ def convert_pages(pages: DataFrame, selectors: Sequence[str] = (), html: str = "
     such as one without html, has its error and no text."""
     chosen = tuple(selectors)
 
-    @F.pandas_udf("title string, markdown string, error string")
-    def run(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page, at in zip(pages, urls, strict=True):
-            try:
-                if page is None:
-                    raise ValueError("no html")
-                body = body_of(parse(page), chosen)
-                rows.append((title_of(body), to_markdown(body, at or ""), None))
-            except Exception as e:  # noqa: BLE001  one bad page must not end the job
-                rows.append((None, None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["title", "markdown", "error"])
+    def made(page: str | None, at: str | None) -> dict:
+        try:
+            if page is None:
+                raise ValueError("no html")
+            body = body_of(parse(page), chosen)
+            return {"title": title_of(body), "markdown": to_markdown(body, at or ""), "error": None}
+        except Exception as e:  # noqa: BLE001  one bad page must not end the job
+            return {"title": None, "markdown": None, "error": f"{type(e).__name__}: {e}"}
+
+    @F.arrow_udf("title string, markdown string, error string")
+    def run(pages: pa.Array, urls: pa.Array) -> pa.Array:
+        kind = pa.struct([(c, pa.string()) for c in ("title", "markdown", "error")])
+        parts = [pa.array([made(*p) for p in zip(pages.slice(at, PAGES).to_pylist(), urls.slice(at, PAGES).to_pylist(), strict=True)], kind) for at in range(0, len(pages), PAGES)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     made_here = ("title", "markdown", "error")
     return pages.withColumn("__made", run(F.col(html), F.col(url))).select(*(F.col(f"`{c}`") for c in pages.columns if c not in made_here), "__made.*")

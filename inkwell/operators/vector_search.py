@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,17 +34,19 @@ def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "co
                 raise
             return [(None, None, None, f"{type(e).__name__}: {e}")] if len(texts) == 1 else [r for t in texts for r in encoded([t])]
 
-    @F.pandas_udf("embedding array<float>, multi_vector_low_dim binary, token_count int, error string")
-    def run(texts: pd.Series, before: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("embedding array<float>, multi_vector_low_dim binary, token_count int, error string")
+    def run(texts: pa.Array, before: pa.Array) -> pa.Array:
         if "encoder" not in made:
             made["encoder"] = encoder()
-        out = [(None, None, None, e) for e in before]
-        todo = [i for i, e in enumerate(before) if e is None]
-        for at in range(0, len(todo), batch):
-            some = todo[at : at + batch]
-            for i, row in zip(some, encoded(texts.iloc[some].tolist()), strict=True):
+        kinds = {"embedding": pa.list_(pa.float32()), "multi_vector_low_dim": pa.binary(), "token_count": pa.int32(), "error": pa.string()}
+        parts = [pa.array([], pa.struct(list(kinds.items())))]
+        for at in range(0, len(texts), batch):  # only so many are Python objects at a time
+            out = [(None, None, None, e) for e in before.slice(at, batch).to_pylist()]
+            todo, some = [i for i, r in enumerate(out) if r[3] is None], texts.slice(at, batch).to_pylist()
+            for i, row in zip(todo, encoded([some[i] for i in todo]) if todo else [], strict=True):
                 out[i] = row
-        return pd.DataFrame(out, columns=["embedding", "multi_vector_low_dim", "token_count", "error"]).astype({"token_count": "Int32"})
+            parts.append(pa.StructArray.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds.values())], list(kinds)))
+        return pa.concat_arrays(parts)
 
     made_here = ("embedding", "multi_vector_low_dim", "token_count", *(["error"] if errors else []))
     before = F.col("error") if errors and "error" in rows.columns else F.lit(None).cast("string")

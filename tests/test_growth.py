@@ -1,10 +1,15 @@
 """What may not grow with the tables: rows between stages, what a Python worker holds, rows and files of tables."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import bm25
+from inkwell.functions import vectors
+from inkwell.functions.encoders import WordLengthEncoder
+from inkwell.operators import bm25, html, vector_search
 from inkwell.plans.queries import QUERIES
 
 
@@ -35,3 +40,39 @@ def test_counted_terms_are_those_asked():
     words = pa.array([["b", "a", "b"], [], None, ["z"]] * 300)
     places, counts = bm25._counted_terms(words, pa.array(["a", "b", "c"]))
     assert places.to_pylist() == [[0, 1], [], [], []] * 300 and counts.to_pylist() == [[1, 2], [], [], []] * 300
+
+
+def held_by(monkeypatch, make, *columns):
+    """The most bytes of Python objects and numpy arrays while a vectorised function runs over columns, and its result."""
+    found, real = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: found.append(f) or real(kind)(f))
+    make()
+    monkeypatch.undo()
+    tracemalloc.start()
+    made = found[0](*columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak, made
+
+
+def test_pages_of_a_batch_are_not_all_python_objects(spark, monkeypatch):
+    pages = pa.array([f"<h1>T{i}</h1>" + "x" * 20_000 for i in range(500)] + [None])
+    made_of = spark.createDataFrame([], "url string, html string")
+    peak, made = held_by(monkeypatch, lambda: html.convert_pages(made_of), pages, pa.array([None] * 501, pa.string()))
+    assert peak < 8_000_000 and len(made) == 501
+    assert made[499]["title"].as_py() == "T499" and made[500]["error"].as_py() == "ValueError: no html" and made[500]["markdown"].as_py() is None
+
+
+def test_rows_of_a_batch_are_encoded_in_parts(spark, monkeypatch):
+    texts, errors = ["a bb " * 2_000 + str(i) for i in range(1_000)] + ["no", None], [None] * 1_000 + ["E", None]
+    rows = spark.createDataFrame([], "content string, error string")
+    peak, made = held_by(monkeypatch, lambda: vector_search.embed(rows, lambda: WordLengthEncoder(4), low=4, errors=True), pa.array(texts), pa.array(errors, pa.string()))
+    assert peak < 8_000_000 and len(made) == 1_002
+    assert made[7]["token_count"].as_py() == 4_001 and made[1_000]["error"].as_py() == "E" and made[1_001]["token_count"].as_py() == 0
+
+
+def test_packed_vectors_are_unpacked_in_parts(monkeypatch):
+    made = np.random.default_rng(1).normal(size=(200, 16))
+    doc, query = vectors.pack(vectors.low_dim(made, 16)), vectors.pack(vectors.low_dim(made[:9], 16))
+    peak, score = held_by(monkeypatch, lambda: vectors.maxsim(16), pa.array([query] * 4_000 + [None]), pa.array([doc, None] * 2_000 + [doc]))
+    assert peak < 40_000_000 and np.allclose(score[0].as_py(), vectors.maxsim_score(query, doc, 16)) and score[1].as_py() == score[4_000].as_py() == 0
