@@ -29,12 +29,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 from pyspark.sql.window import Window
 
-from inkwell.operators.bm25 import FIELDS, small, term_counts, tokens, top_k
+from inkwell.operators.bm25 import FIELDS, small, tokens, top_k
 from inkwell.sources.files import last_commit, try_commit, work_folder
 
 #: Steps between the least and the most that a posting can add, bits of a chunk's signature, and buckets of ids.
@@ -43,6 +44,8 @@ TIERS, SIGNATURE, ID_BUCKETS = 32, 2048, 64
 FIRST_POSTINGS, FIRST_CHUNKS = 400, 4
 #: A query whose terms have up to so many postings is scored from all of them, without bounds.
 DIRECT = 200_000
+#: Chunks of a batch that are counted at a time.
+COUNTED = 512
 TABLES = ("chunks", "postings", "tiers", "terms", "fields", "gone")
 
 
@@ -104,8 +107,8 @@ def facet_key(facets: Sequence[str]) -> Column:
     return F.xxhash64(*(F.col(c) for c in facets)) if facets else F.lit(0).cast("long")
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _signature(bits: pa.Array) -> pa.Array:
+def _marks(bits: pa.Array) -> pa.Array:
+    """Lists of bits as signatures."""
     rows = np.repeat(np.arange(len(bits)), np.diff(bits.offsets.to_numpy()))
     marks = np.zeros((len(bits), SIGNATURE), bool)
     marks[rows, bits.flatten().to_numpy(zero_copy_only=False)] = True
@@ -114,15 +117,35 @@ def _signature(bits: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * width), pa.array(words.reshape(-1)))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _signature(bits: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_marks(bits.slice(at, COUNTED)) for at in range(0, max(1, len(bits)), COUNTED)])
+
+
+@F.arrow_udf(ArrayType(StructType().add("term", StringType()).add("field", StringType()).add("tf", LongType())))
+def _counts(*words: pa.Array) -> pa.Array:
+    """Of the words of each field how often each stands there; rows of a batch are counted in parts."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("field", pa.string()), ("tf", pa.int64())]))
+    out = [pa.array([], kind)]
+    for at in range(0, len(words[0]), COUNTED):
+        some = [w.slice(at, COUNTED) for w in words]
+        flat = pa.concat_arrays([w.flatten().cast(pa.string()) for w in some]).dictionary_encode()
+        n_terms, code = max(1, len(flat.dictionary)), flat.indices.to_numpy().astype(np.int64)
+        row = np.concatenate([np.repeat(np.arange(len(w)), pc.fill_null(pc.list_value_length(w), 0).to_numpy()) for w in some])
+        field = np.repeat(np.arange(len(some)), [len(w.flatten()) for w in some])
+        key, tf = np.unique((row * len(some) + field) * n_terms + code, return_counts=True)
+        cuts = pa.array(np.searchsorted(key, np.arange(len(some[0]) + 1) * len(some) * n_terms).astype(np.int32))
+        named = pa.array(FIELDS).take(pa.array(key // n_terms % len(some)))
+        terms = pa.StructArray.from_arrays([flat.dictionary.take(pa.array(key % n_terms)), named, pa.array(tf.astype(np.int64))], ["term", "field", "tf"])
+        out.append(pa.ListArray.from_arrays(cuts, terms))
+    return pa.concat_arrays(out)
+
+
 def _counted(chunks: DataFrame, facets: Sequence[str]) -> DataFrame:
     """chunk_id, id_bucket, facet and its columns, lengths, terms (term, field, tf) and signature of chunks."""
     rows = chunks.select("chunk_id", *facets, *(tokens(f).alias(f) for f in FIELDS))
 
-    def counts(field: str) -> Column:
-        found = F.coalesce(term_counts(F.col(field)), F.array().cast("array<struct<term:string,tf:bigint>>"))
-        return F.transform(found, lambda t: F.struct(t["term"].alias("term"), F.lit(field).alias("field"), t["tf"].alias("tf")))
-
-    rows = rows.select("chunk_id", *facets, *(F.size(f).alias(f"{f}_length") for f in FIELDS), F.concat(*(counts(f) for f in FIELDS)).alias("terms"))
+    rows = rows.select("chunk_id", *facets, *(F.size(f).alias(f"{f}_length") for f in FIELDS), _counts(*(F.col(f) for f in FIELDS)).alias("terms"))
     return rows.select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(ID_BUCKETS)).cast("int").alias("id_bucket"), facet_key(facets).alias("facet"), *facets, *(f"{f}_length" for f in FIELDS), "terms", _signature(F.transform("terms", lambda t: term_bit(t["term"], t["field"]))).alias("signature"))
 
 

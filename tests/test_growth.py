@@ -76,3 +76,14 @@ def test_packed_vectors_are_unpacked_in_parts(monkeypatch):
     doc, query = vectors.pack(vectors.low_dim(made, 16)), vectors.pack(vectors.low_dim(made[:9], 16))
     peak, score = held_by(monkeypatch, lambda: vectors.maxsim(16), pa.array([query] * 4_000 + [None]), pa.array([doc, None] * 2_000 + [doc]))
     assert peak < 40_000_000 and np.allclose(score[0].as_py(), vectors.maxsim_score(query, doc, 16)) and score[1].as_py() == score[4_000].as_py() == 0
+
+
+def test_words_are_counted_in_parts(monkeypatch):
+    """Counts by field, in rows that are null, empty or hold a word in both fields; not sorted word by word in expressions."""
+    from inkwell.operators import text_index
+
+    monkeypatch.setattr(text_index, "COUNTED", 2)
+    content, title = pa.array([["b", "a", "b"], None, [], ["z"], ["a"]]), pa.array([["b"], ["c", "c"], [], None, ["a", "q"]])
+    got = [sorted((t["term"], t["field"], t["tf"]) for t in row) for row in text_index._counts.func(content, title).to_pylist()]
+    c, t = bm25.FIELDS
+    assert got == [[("a", c, 1), ("b", c, 2), ("b", t, 1)], [("c", t, 2)], [], [("z", c, 1)], [("a", c, 1), ("a", t, 1), ("q", t, 1)]]
