@@ -44,7 +44,9 @@ def convert_pages(pages: DataFrame, selectors: Sequence[str] = (), html: str = "
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     made_here = ("title", "markdown", "error")
-    return pages.withColumn("__made", run(F.col(html), F.col(url))).select(*(F.col(f"`{c}`") for c in pages.columns if c not in made_here), "__made.*")
+    # else a filter on error is pushed below, and every page converted twice, in two workers for each core
+    once = run.asNondeterministic()
+    return pages.withColumn("__made", once(F.col(html), F.col(url))).select(*(F.col(f"`{c}`") for c in pages.columns if c not in made_here), "__made.*")
 
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -20,7 +20,8 @@ def rerank(hits: DataFrame, queries: DataFrame, dim: int = 128, threshold: float
     Where the query has none, hits stay as they are with rerank_failed. Ties keep the former order. score: a column
     that already holds the MaxSim score."""
     paired = hits.join(queries.select("query_id", "multi"), "query_id", "left")
-    found = F.col(score) if score else maxsim(dim, kind)(F.col("multi"), F.col("multi_vector_low_dim"))
+    # else the filter by threshold is pushed below, and every pair scored twice, in two workers for each core
+    found = F.col(score) if score else maxsim(dim, kind).asNondeterministic()(F.col("multi"), F.col("multi_vector_low_dim"))
     lacks = F.col("multi_vector_low_dim").isNull() | (F.length("multi_vector_low_dim") == 0)
     paired = paired.withColumn("rerank_failed", F.col("multi").isNull()).withColumn("__found", found)
     scored = paired.withColumn("rerank_score", F.when(F.col("rerank_failed"), None).when(lacks, F.lit(0.0)).otherwise(F.col("__found")))

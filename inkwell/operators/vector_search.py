@@ -50,7 +50,8 @@ def embed(rows: DataFrame, encoder: Callable[[], object], text_column: str = "co
 
     made_here = ("embedding", "multi_vector_low_dim", "token_count", *(["error"] if errors else []))
     before = F.col("error") if errors and "error" in rows.columns else F.lit(None).cast("string")
-    return rows.withColumn("__e", run(F.col(text_column), before)).select(*(F.col(f"`{c}`") for c in rows.columns if c not in made_here), *(F.col(f"__e.{c}") for c in made_here))
+    # else a filter on what is made is pushed below, and every text encoded twice, in two workers for each core
+    return rows.withColumn("__e", run.asNondeterministic()(F.col(text_column), before)).select(*(F.col(f"`{c}`") for c in rows.columns if c not in made_here), *(F.col(f"__e.{c}") for c in made_here))
 
 
 def embed_new(rows: DataFrame, known: DataFrame, encoder: Callable[[], object], text_column: str = "content", low: int = 128, kind: str = "int8") -> DataFrame:

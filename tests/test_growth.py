@@ -87,3 +87,19 @@ def test_words_are_counted_in_parts(monkeypatch):
     got = [sorted((t["term"], t["field"], t["tf"]) for t in row) for row in text_index._counts.func(content, title).to_pylist()]
     c, t = bm25.FIELDS
     assert got == [[("a", c, 1), ("b", c, 2), ("b", t, 1)], [("c", t, 2)], [], [("z", c, 1)], [("a", c, 1), ("a", t, 1), ("q", t, 1)]]
+
+
+def test_python_runs_once_for_each_row_under_a_filter(spark, sf_dir):
+    """A filter on what Python made is not pushed below it, which would run it twice, in two workers for each core."""
+    runs = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+    from inkwell.operators import rerank
+    from inkwell.plans.queries import page_files
+
+    assert runs(page_files(spark, sf_dir)) == 1
+    texts = spark.createDataFrame([(1, "a b"), (2, "no")], "id int, content string")
+    made = vector_search.embed(texts, lambda: WordLengthEncoder(4, "no"), low=4, errors=True).filter("error IS NULL")
+    assert runs(made) == 1 and [r["id"] for r in made.collect()] == [1]
+    packed = vectors.pack(vectors.low_dim(np.eye(4), 4))
+    hits = spark.createDataFrame([(1, 7, 1, 0.5, packed)], "query_id int, chunk_id int, rank int, similarity double, multi_vector_low_dim binary")
+    best = rerank.rerank(hits, spark.createDataFrame([(1, packed)], "query_id int, multi binary"), 4)
+    assert runs(best) == 1 and best.first()["rerank_score"] == 1.0
