@@ -103,3 +103,20 @@ def test_python_runs_once_for_each_row_under_a_filter(spark, sf_dir):
     hits = spark.createDataFrame([(1, 7, 1, 0.5, packed)], "query_id int, chunk_id int, rank int, similarity double, multi_vector_low_dim binary")
     best = rerank.rerank(hits, spark.createDataFrame([(1, packed)], "query_id int, multi binary"), 4)
     assert runs(best) == 1 and best.first()["rerank_score"] == 1.0
+
+
+@pytest.mark.parametrize("marks", [1 << 25, 0])
+def test_a_gram_has_a_row_for_each_part_not_for_each_id(spark, tmp_path, monkeypatch, marks):
+    """Of nulls, short texts, characters beyond 16 bits and several parts of a batch the same pairs as by plain Python."""
+    from inkwell.operators import catalog
+
+    monkeypatch.setattr(catalog, "MARKS", marks)
+    given = [(f"s{i}", ["The the", "", None, "ab", "\U0001f600ßx\ny", "thethe" * 20][i % 6], "Thx" if i % 2 else None) for i in range(600)]
+    rows = spark.createDataFrame(given, "id string, content string, title string").repartition(2)
+    catalog.write_gram_index(rows, ["content", "title"], f"{tmp_path}/grams")
+    index = spark.read.parquet(f"{tmp_path}/grams")
+    want = {(t.lower()[k : k + 3], i) for i, *texts in given for t in texts if t for k in range(len(t) - 2)}
+    got = [(r["gram"], i) for r in index.collect() for i in r["ids"]]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert index.count() <= 2 * len({g for g, _ in want})
+    assert not list(catalog._gram_pairs([pa.array(["ab", None])])[0])
