@@ -230,8 +230,9 @@ def t6(spark, sf_dir):
 
 @query("s2_markdown_files", f"SELECT concat(doc_id, '.md') AS rel_path, md5({SQL_FRONT}) AS digest FROM documents WHERE text IS NOT NULL")
 def s2(spark, sf_dir):
-    path = storage.work_folder(spark)
-    storage.write_text_files(fronted(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("rel_path"), "content"), path)
+    """The files stand in subfolders, which are written and listed side by side; the names are the documents'."""
+    path, folder = storage.work_folder(spark), F.pmod(F.col("doc_id"), F.lit(64))
+    storage.write_text_files(fronted(spark, sf_dir).select(F.concat(folder, F.lit("/"), "doc_id", F.lit(".md")).alias("rel_path"), "content"), path)
     return storage.read_markdown(spark, path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("rel_path"), F.md5("content").alias("digest"))
 
 

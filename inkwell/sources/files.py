@@ -15,12 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("documents", "sections", "chunks")
+#: Bytes of files that one task reads.
+TASK_BYTES = 32 << 20
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path and content of every file under path whose name matches; a single file is read whatever its folder."""
-    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    # as text each file costs milliseconds, in which a configuration is copied and codecs are looked up
+    texts = spark.read.format("binaryFile").load(path, recursiveFileLookup=True, pathGlobFilter=pattern)
+    # a file counts as 4 MB when files are dealt to tasks: of small ones a task gets few
+    size = texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    texts = texts.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-int(size) // TASK_BYTES)))
+    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("content"))
 
 
 def read_html_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -38,13 +44,16 @@ def write_text_files(rows: DataFrame, path: str, name: str = "rel_path", content
     their number. Tasks write their own rows; a repeated task writes the same files again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pa.fs.FileSystem.from_uri(path)
+        (store, base), folders = pa.fs.FileSystem.from_uri(path), set()
         for b in batches:
             for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if ".." in file.split("/"):
                     raise ValueError(f"{file} leaves the folder")
                 target = f"{base}/{file}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
+                folder = target.rpartition("/")[0]
+                if folder not in folders:
+                    store.create_dir(folder, recursive=True)
+                    folders.add(folder)
                 with store.open_output_stream(target) as out:
                     out.write(text.encode())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])

@@ -120,3 +120,19 @@ def test_a_gram_has_a_row_for_each_part_not_for_each_id(spark, tmp_path, monkeyp
     assert len(got) == len(set(got)) and set(got) == want
     assert index.count() <= 2 * len({g for g, _ in want})
     assert not list(catalog._gram_pairs([pa.array(["ab", None])])[0])
+
+
+def test_small_files_do_not_get_a_task_each(spark, tmp_path):
+    """Texts as they were written, other bytes than ASCII too, by tasks whose number follows from their bytes."""
+    from inkwell.sources import files
+
+    key, rows = "spark.sql.files.maxPartitionBytes", [(f"{i % 3}/{i} é.md", f"# é\r\n{i}\U0001f600") for i in range(60)]
+    files.write_text_files(spark.createDataFrame(rows, "rel_path string, content string"), f"file://{tmp_path}/out")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4m")
+    try:
+        read = files.read_markdown(spark, f"file://{tmp_path}/out")
+        assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(r["content"] for r in read.collect()) == sorted(t for _, t in rows)
+    finally:
+        spark.conf.set(key, before)
