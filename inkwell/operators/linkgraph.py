@@ -5,32 +5,41 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from inkwell.functions.urls import is_target_url
 from inkwell.sources.files import work_folder
 
+#: Edges in a bucket, as far as there are partitions enough.
+BUCKET_ROWS = 100_000
+
 
 def discover(edges: DataFrame, seeds: Sequence[str] | DataFrame, base_prefix: str | None = None, exclusions: Sequence[str] = ()) -> DataFrame:
     """url, depth of every page that links (src, dst) reach from the seeds, each once, at its smallest depth.
 
     Only targets that begin with the base and no exclusion are followed (None: all). The edges are written once, bucketed
     by source, and what has been visited is a table bucketed by URL, to which each round adds the pages it found. So a
-    round shuffles its frontier and the targets found, never edges or visited pages, and starts from tables."""
+    round shuffles its frontier and the targets found, never edges or visited pages, and starts from tables. There are as many
+    buckets as the edges need: each round opens a file of every bucket and earlier round."""
     spark = edges.sparkSession
     links = edges.select("src", "dst").filter(F.col("dst").isNotNull())
     if base_prefix is not None:
         links = links.filter(is_target_url("dst", base_prefix, exclusions))
     start = seeds.toDF("url") if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "url string")
-    folder, name, buckets = work_folder(spark), f"discover_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, name = work_folder(spark), f"discover_{uuid.uuid4().hex}"
+    links.distinct().write.parquet(f"{folder}/given")
+    given = spark.read.schema(links.schema).parquet(f"{folder}/given")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-given.count() // BUCKET_ROWS)))
 
-    def add(rows: DataFrame, table: str, key: str) -> None:
+    def add(rows: DataFrame, table: str, key: str) -> int:
         # dealt as the buckets are, each is written by one task
-        dealt = rows.repartition(buckets, key)
+        seen = Observation()
+        dealt = rows.observe(seen, F.count(F.lit(1)).alias("n")).repartition(buckets, key)
         dealt.write.mode("append").format("parquet").option("path", f"{folder}/{table}").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{name}_{table}")
+        return seen.get["n"]
 
-    add(links.distinct(), "edges", "src")
+    add(given, "edges", "src")
     add(start.distinct().withColumn("depth", F.lit(0)), "visited", "url")
     known, depth = spark.table(f"{name}_edges"), 0
     while True:
@@ -38,9 +47,9 @@ def discover(edges: DataFrame, seeds: Sequence[str] | DataFrame, base_prefix: st
         visited = spark.table(f"{name}_visited")
         frontier = visited.filter(F.col("depth") == depth - 1)
         near = frontier.join(known, frontier.url == known.src).select(F.col("dst").alias("url")).distinct()
-        add(near.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "visited", "url")
+        found = add(near.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "visited", "url")
         spark.catalog.refreshTable(f"{name}_visited")
-        if spark.table(f"{name}_visited").filter(F.col("depth") == depth).isEmpty():
+        if not found:
             break
     out = spark.read.schema("url string, depth int").parquet(f"{folder}/visited")
     for table in ("edges", "visited"):

@@ -136,3 +136,24 @@ def test_small_files_do_not_get_a_task_each(spark, tmp_path):
         assert sorted(r["content"] for r in read.collect()) == sorted(t for _, t in rows)
     finally:
         spark.conf.set(key, before)
+
+
+def test_buckets_of_a_discovery_follow_from_its_edges(spark, monkeypatch):
+    """Many partitions of shuffles don't make many files of few pages, which every round opens."""
+    from inkwell.operators import linkgraph
+
+    made = []
+    monkeypatch.setattr(linkgraph, "work_folder", lambda s, real=linkgraph.work_folder: made.append(real(s)) or made[-1])
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        edges = spark.createDataFrame([(f"p{i}", f"p{2 * i + k}") for i in range(200) for k in (1, 2)] + [("p9", "p0"), ("p9", None)], "src string, dst string")
+        found = linkgraph.discover(edges, ["p0"]).collect()
+        assert {r["url"] for r in found} == {f"p{i}" for i in range(401)} and len(found) == 401 and max(r["depth"] for r in found) == 8
+        monkeypatch.setattr(linkgraph, "BUCKET_ROWS", 1)
+        assert sorted(linkgraph.discover(edges, ["p0"]).collect()) == sorted(found)
+        files = [len(spark.read.parquet(f"{p}/edges").inputFiles()) for p in made]
+        assert files[0] <= spark.sparkContext.defaultParallelism < files[1]
+    finally:
+        spark.conf.set(key, before)
