@@ -6,8 +6,12 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
 from functools import reduce
+from itertools import batched
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -15,18 +19,98 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("documents", "sections", "chunks")
-#: Bytes of files that one task reads.
-TASK_BYTES = 32 << 20
+#: Bytes of files that one task reads, and of contents that a Python worker holds at a time.
+TASK_BYTES, HELD_BYTES = 32 << 20, 4 << 20
+#: Entries after which the task that lists the first folders leaves the others to more tasks; names in a batch.
+LISTED, NAMES = 10_000, 10_000
+#: What the path of a URI can't hold as it stands.
+ILLEGAL = re.compile(r"[^\w.~/:@!$&'()*,;=+\u00a1-\U0010ffff-]|\s")
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """path and content of every file under path whose name matches; a single file is read whatever its folder."""
-    # as text each file costs milliseconds, in which a configuration is copied and codecs are looked up
-    texts = spark.read.format("binaryFile").load(path, recursiveFileLookup=True, pathGlobFilter=pattern)
-    # a file counts as 4 MB when files are dealt to tasks: of small ones a task gets few
-    size = texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    texts = texts.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-int(size) // TASK_BYTES)))
-    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("content"))
+    """path (a URI) and content of every file under path whose name matches; a single file is read whatever its folder.
+
+    Tasks list the folders, each its own, and tasks read the files; the driver gets their number of bytes only. A path that
+    only Spark's readers can open, or that stands for several, is left to them: they list files in the driver, and leave out
+    empty ones and names with _ or . in front."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    uri, root = where.toASCIIString(), re.sub("^file:/+", "file:/", where.toString())
+    try:
+        store, base = pa.fs.FileSystem.from_uri(uri)
+        kind = store.get_file_info(base).type
+    except (pa.ArrowInvalid, OSError):
+        kind = pa.fs.FileType.NotFound
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    if kind == pa.fs.FileType.NotFound:
+        texts = spark.read.format("binaryFile").load(path, recursiveFileLookup=True, pathGlobFilter=pattern)
+        # a file counts as 4 MB when files are dealt to tasks: of small ones a task gets few
+        size = texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        texts = texts.coalesce(max(tasks, -(-int(size) // TASK_BYTES)))
+        return texts.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("content"))
+    files = spark.range(0, 1, 1, 1).select(F.lit(base).alias("path"), F.lit(-1).cast("long").alias("size"))
+    if kind == pa.fs.FileType.Directory:
+        entries = "path string, size long"
+        files = files.mapInArrow(_lister(uri, pattern, tasks), entries).repartition(tasks, "path").mapInArrow(_lister(uri, pattern), entries)
+    else:
+        files = files.filter(F.lit(fnmatchcase(base.rpartition("/")[2], pattern)))
+    size = files.agg(F.sum("size")).first()[0] or 0
+    dealt = files.select("path").repartition(max(tasks, -(-size // TASK_BYTES)), "path")
+    return dealt.mapInArrow(_reader(uri, base, root), "path string, content binary").withColumn("content", F.col("content").cast("string"))
+
+
+def _lister(uri: str, pattern: str, enough: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Files and their sizes below the folders given, which have the size -1; files given pass. With enough it ends when that
+    many folders, or LISTED entries, are found, and gives the folders that are left."""
+
+    def entries(given: Iterator[tuple[str, int]]) -> Iterator[tuple[str, int]]:
+        (store, _), folders, seen = pa.fs.FileSystem.from_uri(uri), deque(), 0
+        for path, size in given:
+            if size < 0:
+                folders.append(path)
+            else:
+                yield path, size
+        while folders and (enough is None or len(folders) < enough and seen < LISTED):
+            found = store.get_file_info(pa.fs.FileSelector(folders.popleft()))
+            seen += len(found)
+            for x in found:
+                if x.type == pa.fs.FileType.Directory:
+                    folders.append(x.path)
+                elif x.type == pa.fs.FileType.File and fnmatchcase(x.base_name, pattern):
+                    yield x.path, x.size
+        yield from ((path, -1) for path in folders)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for rows in batched(entries(given), NAMES):
+            paths, sizes = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return run
+
+
+def _reader(uri: str, base: str, root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """URI and content of each file."""
+
+    def batch(paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+        names = [root + ILLEGAL.sub(lambda m: quote(m[0], safe=""), p[len(base) :]) for p in paths]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pa.fs.FileSystem.from_uri(uri)
+        for b in batches:
+            paths, contents, size = [], [], 0
+            for path in b.column(0).to_pylist():
+                with store.open_input_stream(path, compression=None) as f:
+                    contents.append(f.read())
+                paths.append(path)
+                size += len(contents[-1])
+                if size >= HELD_BYTES:
+                    yield batch(paths, contents)
+                    paths, contents, size = [], [], 0
+            yield batch(paths, contents)
+
+    return run
 
 
 def read_html_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """What may not grow with the tables: rows between stages, what a Python worker holds, rows and files of tables."""
 
 import tracemalloc
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,27 @@ def test_small_files_do_not_get_a_task_each(spark, tmp_path):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("listed", [10_000, 1])
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch, listed):
+    """The driver holds no list of files. Each is read once, at any depth, an empty one and one named like the page of a root too."""
+    from inkwell.sources import files
+
+    monkeypatch.setattr(files, "LISTED", listed)
+    monkeypatch.setattr(files, "NAMES", 2)
+    names = ["_root_.md", "empty.md", "a b/100% é#.md", "x=1/y/z/deep.md", *(f"many/{i}/{i}.md" for i in range(40))]
+    rows = spark.createDataFrame([(n, "" if n == "empty.md" else n) for n in [*names, "x.txt", "a b/x.md.txt"]], "rel_path string, content string")
+    files.write_text_files(rows, f"file://{tmp_path}/out")
+    read = files.read_markdown(spark, f"{tmp_path}/out")
+    assert "binaryFile" not in plan(read) and read.inputFiles() == []
+    assert sorted((unquote(r["path"]), r["content"]) for r in read.collect()) == sorted((f"file:{tmp_path}/out/{n}", "" if n == "empty.md" else n) for n in names)
+    assert [r["path"] for r in files.read_markdown(spark, f"{tmp_path}/out/a b").collect()] == [f"file:{tmp_path}/out/a%20b/100%25%20é%23.md"]
+    assert files.read_markdown(spark, f"{tmp_path}/out/x.txt").collect() == []
+    # a pattern of folders is left to Spark's reader
+    assert [r["content"] for r in files.read_markdown(spark, f"{tmp_path}/out/x=*/y").collect()] == ["x=1/y/z/deep.md"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_markdown(spark, f"{tmp_path}/none")
+
+
 def test_buckets_of_a_discovery_follow_from_its_edges(spark, monkeypatch):
     """Many partitions of shuffles don't make many files of few pages, which every round opens."""
     from inkwell.operators import linkgraph
